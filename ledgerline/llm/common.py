@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package's source to the executors, once a context, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerline_sent", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    to = Path(tempfile.mkdtemp(prefix="ledgerline-source-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(to))
+    sc._ledgerline_sent = True
+
+
 def limit_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds of its input; the setting is read when a plan runs."""
+    """Bounds what a Python worker holds of its input, and sends this package to the workers.
+
+    The setting is read when a plan runs.
+    """
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
         spark.conf.set(key, str(ROWS_PER_BATCH))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, decontaminate, html_text, secrets, token_counts
+from ledgerline.llm import bpe, decontaminate, html_text, quality, secrets, token_counts, toxicity
 from ledgerline.llm.common import table
+from ledgerline.llm.labelled import remainder
 
 TOKEN_LIMIT = 2048
 
@@ -69,6 +70,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = remainder("doc_id", 5)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), part != 0)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = remainder("doc_id", 4)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), part != 2)
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,6 +121,8 @@ def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op3_token_counts": op3_token_counts,
+        "op6_toxicity": op6_toxicity,
+        "op7_quality": op7_quality,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secret_scan": op9_secret_scan,
         "op10_html_text": op10_html_text,
