@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, decontaminate, html_text, quality, secrets, token_counts, toxicity
+from ledgerline.llm import bpe, cover_tree, decontaminate, html_text, pll, quality, secrets, token_counts, toxicity
 from ledgerline.llm.common import table
 from ledgerline.llm.labelled import remainder
 
@@ -64,12 +64,36 @@ from docs left join places using (rid) left join found using (rid)
 """
 
 
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pll.score(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, _tokenizer("word_bpe_49k.json"), keep=["doc_id"])
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return cover_tree.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+OP5_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), pairs as (
+  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+), ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from pairs
+)
+select * from ranked where rank <= 10
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     part = remainder("doc_id", 5)
@@ -120,7 +144,9 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_pseudo_likelihood": op2_pseudo_likelihood,
         "op3_token_counts": op3_token_counts,
+        "op5_exact_top_k": op5_exact_top_k,
         "op6_toxicity": op6_toxicity,
         "op7_quality": op7_quality,
         "op8_byte_bpe": op8_byte_bpe,
@@ -130,4 +156,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_exact_top_k": OP5_SQL}
