@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, cover_tree, decontaminate, html_text, pll, quality, secrets, token_counts, toxicity
+from ledgerline.llm import bpe, cover_tree, decontaminate, html_text, ngram_join, pll, quality, secrets, token_counts, toxicity
 from ledgerline.llm.common import table
 from ledgerline.llm.labelled import remainder
 
@@ -74,6 +74,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("keep_key")
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return cover_tree.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
@@ -81,11 +85,11 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
   from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), pairs as (
-  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) as bigint) as score
+  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
 ), ranked as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from pairs
@@ -146,6 +150,7 @@ def queries() -> dict:
         "op1_decontaminate": op1_decontaminate,
         "op2_pseudo_likelihood": op2_pseudo_likelihood,
         "op3_token_counts": op3_token_counts,
+        "op4_ngram_join": op4_ngram_join,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_toxicity": op6_toxicity,
         "op7_quality": op7_quality,
