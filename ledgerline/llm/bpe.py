@@ -1,8 +1,8 @@
 """Byte-level BPE by merge replay over the distinct pre-tokens of a block of the corpus.
 
-All distinct pre-tokens of a block stand in one array of symbols. An index from merge rank to the positions of its pairs
-is worked off in rank order; a merge touches only the two neighbours of its position, whose new pairs enter the index.
-Encoded pre-tokens are kept for the following blocks of the same task.
+All new pre-tokens of a block stand in one array of symbols. An index from merge rank to the positions of its pairs is
+worked off in rank order, all positions of a rank at once; a merge touches only the two neighbours of its position,
+whose new pairs enter the index. Encoded pre-tokens are kept for the following blocks of the same task.
 """
 
 from __future__ import annotations
@@ -12,98 +12,110 @@ import heapq
 import re
 import sys
 import unicodedata
-from array import array
-from collections.abc import Callable, Iterable
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerline.llm.common import map_rows
+from ledgerline.llm.common import limit_batches
 
-#: Encoded pre-tokens in each of the two generations that a worker keeps; a forgotten one is merged again.
-KEPT_WORDS = 200_000
+#: Pre-tokens that a worker keeps; beyond it starts anew, which costs time but changes no result.
+KEPT_WORDS = 400_000
+#: Bytes of text whose new pre-tokens are replayed together.
+BLOCK_BYTES = 16 << 20
 #: Room for ids in a pair's key.
 PAIR = 1 << 24
+_NONE = np.int64(1 << 40)
 
 
-def replay(words: list[list[int]], merges: dict[int, int], made: list[int] | range) -> list[list[int]]:
-    """words after all merges. merges: left id * PAIR + right id -> rank; made: the merged symbol's id by rank.
+class Merges:
+    """Pairs of symbols with their ranks, and the symbol that a rank makes."""
+
+    def __init__(self, ranks: dict[int, int], made: Sequence[int]) -> None:
+        """ranks: left id * PAIR + right id -> rank."""
+        order = np.argsort(keys := np.fromiter(ranks, dtype=np.int64, count=len(ranks)))
+        self.keys, self.ranks = keys[order], np.fromiter(ranks.values(), dtype=np.int64, count=len(ranks))[order]
+        self.made = made
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, _NONE where there is no merge; the marks -1 and -2 are in none."""
+        key = left * PAIR + right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
+
+
+def replay(symbols: np.ndarray, merges: Merges) -> np.ndarray:
+    """The symbols after all merges; a -1 stands after each word and stays.
 
     In each word the pair of least rank is merged first, the leftmost of equal ones; words don't touch each other.
-    A key that holds one of the marks -1 (end of a word) and -2 (merged away) is in no merge.
     """
-    symbols: list[int] = []
-    for w in words:
-        symbols += w
-        symbols.append(-1)
     n = len(symbols)
-    symbols += [-1, -1]
-    after, before = list(range(1, n + 2)), list(range(-1, n + 1))
-    rank_of = merges.get
-    index: dict[int, list[int]] = {}
-    for i, key in enumerate([a * PAIR + b for a, b in zip(symbols, symbols[1:], strict=False)]):
-        if (rank := rank_of(key)) is not None:
+    symbols = np.concatenate([symbols, [-1, -1]])
+    after, before = np.arange(1, n + 3), np.arange(-1, n + 1)
+    word = np.cumsum(symbols == -1)
+    rank_at = np.full(n + 2, _NONE)
+    rank_at[:n] = merges.of(symbols[:n], symbols[1 : n + 1])
+    index: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def enter(ranks: np.ndarray, places: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for k, rank in enumerate(ranks[cuts[:-1]].tolist()):
+            part = places[cuts[k] : cuts[k + 1]]
             if rank in index:
-                index[rank].append(i)
+                index[rank].append(part)
             else:
-                index[rank] = [i]
-    queue = list(index)
-    heapq.heapify(queue)
+                index[rank] = [part]
+                heapq.heappush(queue, rank)
+
+    live = np.flatnonzero(rank_at < _NONE)
+    if len(live):
+        enter(rank_at[live], live)
     while queue:
         rank = heapq.heappop(queue)
-        spots = index.pop(rank, None)
-        if spots is None:
+        parts = index.pop(rank)
+        i = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        i = i[rank_at[i] == rank]
+        if not len(i):
             continue
-        if len(spots) > 1:
-            spots.sort()
-        new = made[rank]
-        for k, i in enumerate(spots):
-            j = after[i]
-            if rank_of(symbols[i] * PAIR + symbols[j]) != rank:
-                continue
-            symbols[i] = new
-            symbols[j] = -2
-            after[i] = far = after[j]
-            before[far] = i
-            near = before[i]
-            back = False
-            left, right = rank_of(symbols[near] * PAIR + new), rank_of(new * PAIR + symbols[far])
-            if left is not None:
-                if left in index:
-                    index[left].append(near)
-                else:
-                    index[left] = [near]
-                    heapq.heappush(queue, left)
-                back = left <= rank
-            if right is not None:
-                if right in index:
-                    index[right].append(i)
-                else:
-                    index[right] = [i]
-                    heapq.heappush(queue, right)
-                back |= right <= rank
-            if back:  # a neighbour's turn comes before the rest of this rank
-                if rank not in index:
-                    index[rank] = []
-                    heapq.heappush(queue, rank)
-                index[rank] += spots[k + 1 :]
-                break
-    out: list[list[int]] = []
-    at: list[int] = []
-    for s in symbols[:n]:
-        if s >= 0:
-            at.append(s)
-        elif s == -1:
-            out.append(at)
-            at = []
-    return out
+        again = np.flatnonzero(word[i[1:]] == word[i[:-1]]) + 1
+        if len(again):  # a word's next pair of this rank waits for what its first one may make
+            index[rank] = [i[again]]
+            heapq.heappush(queue, rank)
+            i = np.delete(i, again)
+        j = after[i]
+        far, near = after[j], before[i]
+        symbols[i], symbols[j] = merges.made[rank], -2
+        rank_at[j], after[i], before[far] = _NONE, far, i
+        touched = np.concatenate([near, i])
+        ranks = merges.of(symbols[touched], np.concatenate([symbols[i], symbols[far]]))
+        rank_at[touched] = ranks
+        live = np.flatnonzero(ranks < _NONE)
+        if len(live):
+            enter(ranks[live], touched[live])
+    symbols = symbols[:n]
+    return symbols[symbols != -2]
+
+
+def symbols_of(words: list[bytes], byte_ids: Sequence[int]) -> np.ndarray:
+    """The ids of the words' bytes with a -1 after each word. A byte FF is in no UTF-8 text."""
+    table = np.array(byte_ids, dtype=np.int64)
+    table[0xFF] = -1
+    return table[np.frombuffer(b"\xff".join([*words, b""]), dtype=np.uint8)]
 
 
 @cache
-def rank_table(path: str) -> tuple[dict[int, int], list[int], dict[int, bytes]]:
-    """Of a file of base64 tokens with ranks: merges for replay(), the id of each byte, the bytes of each id.
+def rank_table(path: str) -> tuple[Merges, list[int], dict[int, bytes]]:
+    """Of a file of base64 tokens with ranks: the merges, the id of each byte, the bytes of each id.
 
     Any two tokens whose bytes together are a token merge at that token's rank.
     """
@@ -115,7 +127,7 @@ def rank_table(path: str) -> tuple[dict[int, int], list[int], dict[int, bytes]]:
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
                 merges[a * PAIR + b] = rank
-    return merges, [ranks[bytes([b])] for b in range(256)], {r: t for t, r in ranks.items()}
+    return Merges(merges, range(max(ranks.values()) + 1)), [ranks[bytes([b])] for b in range(256)], {r: t for t, r in ranks.items()}
 
 
 @cache
@@ -155,33 +167,53 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: (full if beyond(text) else low)(text)
 
 
+class Numbered:
+    """Numbers words in the order in which they first come."""
+
+    def __init__(self) -> None:
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+
+    def of(self, words: Iterable[str], n: int) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=n)
+
+    def since(self, first: int) -> list[str]:
+        return list(islice(self.numbers, first, None))
+
+
 class Encoder:
-    """Encodes texts block by block; keeps what it has learnt about pre-tokens, as their ids' bytes."""
+    """Encodes texts block by block; keeps the ids of the pre-tokens that it has met."""
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
-        self.merges, self.byte_ids, tokens = rank_table(ranks_path)
-        self.made = range(max(tokens) + 1)
-        self.split, self.known, self.older = splitter(pattern), {}, {}
-
-    def learn(self, new: set[str]) -> None:
-        older, byte_ids = self.older, self.byte_ids
-        self.known.update((w, older[w]) for w in new if w in older)
-        fresh = [w for w in new if w not in older]
-        ids = replay([[byte_ids[b] for b in w.encode()] for w in fresh], self.merges, self.made)
-        self.known.update((w, array("i", x).tobytes()) for w, x in zip(fresh, ids, strict=True))
-
-    def ids(self, texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and where each text's begin, with one end more."""
-        words = [self.split(t.decode()) if t else [] for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.older, self.known = self.known, {}
-        if new := set().union(*words).difference(self.known):
-            self.learn(new)
-        of = self.known.__getitem__
-        each = [b"".join(map(of, ws)) for ws in words]
-        ends = np.zeros(len(each) + 1, dtype=np.int64)
-        np.cumsum([len(x) // 4 for x in each], out=ends[1:])
-        return np.frombuffer(b"".join(each), dtype=np.int32), ends
+        self.merges, self.byte_ids, _ = rank_table(ranks_path)
+        self.split = splitter(pattern)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids, self.ends = Numbered(), np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+
+    def _learn(self) -> None:
+        new = self.words.since(len(self.ends) - 1)
+        if new:
+            out = replay(symbols_of([w.encode() for w in new], self.byte_ids), self.merges)
+            marks = np.flatnonzero(out == -1)
+            self.ends = np.concatenate([self.ends, len(self.ids) + marks - np.arange(len(marks))])
+            self.ids = np.concatenate([self.ids, out[out >= 0].astype(np.int32)])
+
+    def encode(self, blocks: list[list[str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each list of texts all ids, and where each text's begin, with one end more."""
+        if len(self.words.numbers) > KEPT_WORDS:
+            self._forget()
+        numbered = []
+        for texts in blocks:
+            words = [self.split(t) if t else [] for t in texts]
+            n = [len(w) for w in words]
+            numbered.append((self.words.of((x for w in words for x in w), sum(n)), np.array(n, dtype=np.int64)))
+        self._learn()
+        for codes, n in numbered:
+            starts, sizes = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
+            to = np.r_[0, np.cumsum(sizes)]
+            ids = self.ids[np.repeat(starts - to[:-1], sizes) + np.arange(to[-1])]
+            yield ids, to[np.r_[0, np.cumsum(n)]]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -190,28 +222,51 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
     Each match of pattern is encoded by itself, without special tokens. A column of the name `out` is replaced; repeated
     rows give repeated results, and an empty table an empty one.
     """
+    limit_batches(docs.sparkSession)
+    kept = [f for f in docs.schema.fields if f.name.lower() != out.lower() and (keep is None or f.name in keep)]
+    names = [f.name for f in kept] + [out]
 
-    def make():
-        encoder = Encoder(ranks_path, pattern)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, held, size = Encoder(ranks_path, pattern), [], 0
 
-        def work(texts):
-            ids, ends = encoder.ids(texts)
-            return (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for b, (ids, ends) in zip(held, encoder.encode([b.column(len(kept)).to_pylist() for b in held]), strict=True):
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), lists], names=names)
 
-        return work
+        for b in batches:
+            held.append(b)
+            size += b.column(len(kept)).nbytes
+            if size >= BLOCK_BYTES:
+                yield from flush()
+                held, size = [], 0
+        yield from flush()
 
-    return map_rows(docs, [text], f"`{out}` array<int>", make, keep)
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ranks_path: str, *, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """docs with the bytes of each array of ids; a null array gives no bytes, an unknown id fails the query."""
-
-    def make():
-        token = rank_table(ranks_path)[2].__getitem__
-
-        def work(rows):
-            return ([b"".join(map(token, x or ())) for x in rows],)
-
-        return work
-
-    return map_rows(docs, [ids], f"`{out}` binary", make, keep)
+    limit_batches(docs.sparkSession)
+    kept = [f for f in docs.schema.fields if f.name.lower() != out.lower() and (keep is None or f.name in keep)]
+    names = [f.name for f in kept] + [out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = rank_table(ranks_path)[2]
+        every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        raw, ends = np.frombuffer(b"".join(every), dtype=np.uint8), np.r_[0, np.cumsum([len(t) for t in every])]
+        for b in batches:
+            lists = b.column(len(kept)).fill_null([])
+            own = np.asarray(lists.flatten())
+            if len(own) and (own.min() < 0 or own.max() >= len(every) or (ends[own + 1] == ends[own]).any()):
+                raise ValueError("an id is not in the vocabulary")
+            sizes = ends[own + 1] - ends[own]
+            to = np.r_[0, np.cumsum(sizes)]
+            text = raw[np.repeat(ends[own] - to[:-1], sizes) + np.arange(to[-1])]
+            cuts = to[np.r_[0, np.cumsum(lists.value_lengths())]].astype(np.int32)
+            made = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cuts), pa.py_buffer(text)])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), made], names=names)
+
+    schema = T.StructType([*kept, T.StructField(out, T.BinaryType())])
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{ids}`").alias("__ids")).mapInArrow(run, schema)

@@ -56,15 +56,17 @@ def limit_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the cluster's shared checkpoint folder.
-
-    Files there outlive lost executors. A folder of its own is set only where the session names none.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; a folder of its own only where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared folder, where they outlive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

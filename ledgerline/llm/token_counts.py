@@ -11,9 +11,11 @@ import re
 import unicodedata
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerline.llm.bpe import KEPT_WORDS, PAIR, SPACE, replay, splitter
+from ledgerline.llm.bpe import KEPT_WORDS, PAIR, SPACE, Merges, Numbered, replay, splitter, symbols_of
 from ledgerline.llm.common import map_rows
 
 
@@ -36,23 +38,31 @@ class Counted:
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or (split["behavior"], split["invert"]) != ("Removed", True):
             raise ValueError(f"{path}: another kind of tokenizer")
         vocab, self.end = model["vocab"], model["end_of_word_suffix"] or ""
-        self.merges = {vocab[a] * PAIR + vocab[b]: rank for rank, (a, b) in enumerate(model["merges"])}
-        self.made = [vocab[a + b] for a, b in model["merges"]]
+        ranks = {vocab[a] * PAIR + vocab[b]: rank for rank, (a, b) in enumerate(model["merges"])}
+        self.merges = Merges(ranks, [vocab[a + b] for a, b in model["merges"]])
         letters = byte_letters()
         self.first = [vocab[letters[b]] for b in range(256)]
-        self.last = [vocab[letters[b] + self.end] for b in range(256)]
+        self.last = np.array([vocab[letters[b] + self.end] for b in range(256)])
         self.split = splitter(split["pattern"]["Regex"])
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = re.compile("|".join(special)).split if special else lambda t: [t]
         self.runs = re.compile(f"[{SPACE}]+").sub
         self.whole = self._whole(vocab, {c: b for b, c in letters.items()})
-        self.known = dict.fromkeys(self.whole, 1)
+        self._forget()
 
-    def _symbols(self, word: str) -> list[int]:
-        raw = word.encode()
-        return [*(self.first[b] for b in raw[:-1]), self.last[raw[-1]]]
+    def _forget(self) -> None:
+        self.words, self.sizes = Numbered(), np.ones(len(self.whole), dtype=np.int32)
+        self.words.of(self.whole, len(self.whole))
 
-    def _whole(self, vocab: dict[str, int], byte: dict[str, int]) -> frozenset[str]:
+    def _sizes(self, words: list[str]) -> np.ndarray:
+        """How many tokens the merges leave of each word; a word's last byte has the word's end in its symbol."""
+        raw = [w.encode() for w in words]
+        symbols = symbols_of(raw, self.first)
+        last = np.cumsum([len(w) + 1 for w in raw]) - 2
+        symbols[last] = self.last[[w[-1] for w in raw]]
+        return np.diff(np.r_[-1, np.flatnonzero(replay(symbols, self.merges) == -1)]) - 1
+
+    def _whole(self, vocab: dict[str, int], byte: dict[str, int]) -> list[str]:
         """The vocabulary strings that are one pre-token and come out of the merges as one token."""
         words = []
         for token in vocab:
@@ -63,25 +73,28 @@ class Counted:
                     continue
                 if self.split(word) == [word]:
                     words.append(word)
-        return frozenset(w for w, ids in zip(words, replay([self._symbols(w) for w in words], self.merges, self.made), strict=True) if len(ids) == 1)
-
-    def counts(self, texts: list[bytes | None]) -> list[int]:
-        if len(self.known) > len(self.whole) + KEPT_WORDS:
-            self.known = dict.fromkeys(self.whole, 1)
-        specials, words = [], []
-        for t in texts:
-            parts = self.special(t.decode()) if t else [""]
-            specials.append(len(parts) - 1)
+        return [w for w, n in zip(words, self._sizes(words).tolist(), strict=True) if n == 1]
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """Tokens of each text. Words proven whole have the numbers before all others, and a size of 1."""
+        if len(self.words.numbers) > KEPT_WORDS:
+            self._forget()
+        out, words, n = np.zeros(len(texts), dtype=np.int64), [], []
+        for k, t in enumerate(texts):
+            parts = self.special(t) if t else [""]
+            out[k] = len(parts) - 1
             found = []
             for part in parts:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case is taken letter by letter
                 found += self.split(self.runs(" ", part).lower())
-            words.append(found)
-        if rest := list(set().union(*words).difference(self.known)):
-            self.known.update(zip(rest, map(len, replay([self._symbols(w) for w in rest], self.merges, self.made)), strict=True))
-        of = self.known.__getitem__
-        return [n + sum(map(of, ws)) for n, ws in zip(specials, words, strict=True)]
+            words.append(self.words.of(found, len(found)))
+            n.append(len(found))
+        if rest := self.words.since(len(self.sizes)):
+            self.sizes = np.concatenate([self.sizes, self._sizes(rest).astype(np.int32)])
+        ends = np.r_[0, np.cumsum(n)]
+        total = np.r_[0, np.cumsum(self.sizes[np.concatenate(words)], dtype=np.int64)] if words else ends
+        return out + total[ends[1:]] - total[ends[:-1]]
 
 
 @cache
@@ -98,6 +111,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ke
 
     def make():
         c = counted(tokenizer_path)
-        return lambda texts: ([len(t or b"") for t in texts], c.counts(texts))
+        return lambda texts: ([len(t or b"") for t in texts], pa.array(c.counts([t and t.decode() for t in texts])))
 
     return map_rows(docs, [text], "n_bytes bigint, n_tokens bigint", make, keep)
