@@ -231,9 +231,9 @@ def doc_policy_scan(docs: DataFrame, rules: DataFrame, *, doc: str = "doc_id", t
 
 
 def banned_pattern(token: str) -> str:
-    """A literal pattern; short tokens match whole words only."""
+    """A literal pattern; short tokens of letters and digits match whole words only."""
     safe = "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in token)
-    return rf"\b{safe}\b" if len(token) <= 4 else safe
+    return rf"\b{safe}\b" if len(token) <= 4 and token.isalnum() else safe
 
 
 def references_missing(a: DataFrame, b: DataFrame, pattern: str, *, key: str, text: str = "text") -> DataFrame:

@@ -117,14 +117,14 @@ def baselines(rows: DataFrame, target: str, *, by: Sequence[str] = ("entity",),
     )
 
 
-def evaluate(rows: DataFrame, models: Sequence[str], *, by: Sequence[str] = ("entity",), order: Sequence[str] = ("feature_available_date", "fiscal_period")) -> DataFrame:
+def evaluate(rows: DataFrame, models: Sequence[str], *, by: Sequence[str] = ("entity",), order: Sequence[str] = ("feature_available_date", "fiscal_period"), digits: int = 6) -> DataFrame:
     """by, model, n, mae, rmse (round 6), directional_accuracy (round 4): share of equal signs of first differences."""
     long = rows.unpivot([*by, *order, "actual"], list(models), "model", "prediction").where("prediction is not null and actual is not null")
     w = Window.partitionBy(*by, "model").orderBy(*order)
     change = lambda c: F.signum(F.col(c) - F.lag(c).over(w))
     e = F.col("prediction") - F.col("actual")
     marked = long.withColumn("same", (change("prediction") == change("actual")).cast("double"))
-    return marked.groupBy(*by, "model").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg("same"), 4).alias("directional_accuracy"))
+    return marked.groupBy(*by, "model").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), digits).alias("mae"), F.round(F.sqrt(F.avg(e * e)), digits).alias("rmse"), F.round(F.avg("same"), 4).alias("directional_accuracy"))
 
 
 def model_quality(scores: DataFrame, coefficients: DataFrame, model: str, *, by: Sequence[str] = ("entity",)) -> DataFrame:

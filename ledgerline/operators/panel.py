@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import fiscal_quarter, fiscal_year, growth, no_nan, quarter_index, quarter_label, safe_div
@@ -44,19 +44,15 @@ def ratio_attach(panel: DataFrame, metrics: DataFrame, names: Sequence[str] = RA
     return panel.join(wide, [entity, "fiscal_period"], "left")
 
 
-def shifted(panel: DataFrame, columns: Sequence[str], by: int, suffix: str, *, entity: str = "entity") -> DataFrame:
-    """panel with the columns of the quarter `by` earlier (later if negative), found by label: a gap gives null."""
-    other = panel.select(entity, (F.col("qidx") + by).alias("qidx"), *(F.col(c).alias(f"{c}{suffix}") for c in columns))
-    return panel.join(other, [entity, "qidx"], "left")
+def at_offset(value: str, by: int, *, entity: str = "entity") -> Column:
+    """value of the quarter `by` away, found by its index: a gap gives null. All offsets share one sort."""
+    return F.first(value).over(Window.partitionBy(entity).orderBy("qidx").rangeBetween(by, by))
 
 
 def qoq_yoy(panel: DataFrame, names: Sequence[str], *, entity: str = "entity", digits: int = 6) -> DataFrame:
     """Growth by |prior| on the quarter before and on the same quarter of the year before."""
-    out = panel
-    for back, tag in ((1, "qoq"), (4, "yoy")):
-        out = shifted(out, list(names), back, f"__{tag}", entity=entity)
-        out = out.select("*", *(F.round(growth(n, f"{n}__{tag}", absolute=True), digits).alias(f"{n}_{tag}") for n in names)).drop(*(f"{n}__{tag}" for n in names))
-    return out
+    made = {f"{n}_{tag}": F.round(growth(n, at_offset(n, -back, entity=entity), absolute=True), digits) for back, tag in ((1, "qoq"), (4, "yoy")) for n in names}
+    return panel.withColumns(made)
 
 
 def intensity(panel: DataFrame, *, digits: int = 6) -> DataFrame:
@@ -64,8 +60,8 @@ def intensity(panel: DataFrame, *, digits: int = 6) -> DataFrame:
 
 
 def operating_leverage(panel: DataFrame, *, entity: str = "entity", digits: int = 6) -> DataFrame:
-    out = shifted(panel, ["operating_income", "revenue"], 4, "__b", entity=entity)
-    return out.withColumn("operating_leverage", F.round(safe_div(F.col("operating_income") - F.col("operating_income__b"), F.col("revenue") - F.col("revenue__b")), digits)).drop("operating_income__b", "revenue__b")
+    income, sales = (F.col(n) - at_offset(n, -4, entity=entity) for n in ("operating_income", "revenue"))
+    return panel.withColumn("operating_leverage", F.round(safe_div(income, sales), digits))
 
 
 def attach_text_features(panel: DataFrame, features: DataFrame, names: Sequence[str], *, key: str = "accession") -> DataFrame:
@@ -82,8 +78,8 @@ def attach_market(panel: DataFrame, market: DataFrame, *, entity: str = "entity"
 
 def target_primary(panel: DataFrame, growth_column: str, *, entity: str = "entity") -> DataFrame:
     """The next quarter's growth and the day it is known; null unless that quarter is in the panel."""
-    later = panel.select(entity, (F.col("qidx") - 1).alias("qidx"), F.col("fiscal_period").alias("target_period"), F.col(growth_column).alias("target_value"), F.col("feature_available_date").alias("target_available_date"))
-    return panel.join(later, [entity, "qidx"], "left")
+    later = {"target_period": "fiscal_period", "target_value": growth_column, "target_available_date": "feature_available_date"}
+    return panel.withColumns({new: at_offset(old, 1, entity=entity) for new, old in later.items()})
 
 
 def target_secondary(panel: DataFrame, metrics: DataFrame, *, entity: str = "entity", metric: str = "revenue", digits: int = 6) -> DataFrame:

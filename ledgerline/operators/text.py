@@ -159,7 +159,7 @@ def keyword_scores(docs: DataFrame, themes: dict[str, Sequence[str]], *, key: Se
     t = F.lower(F.col(text))
     quote = lambda k: "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in k.lower())
     n = F.greatest(F.size(F.filter(F.split(F.trim(t), r"\s+"), lambda x: x != "")), F.lit(1))
-    scores = [F.struct(F.lit(name).alias("theme"), F.round(sum((F.regexp_count(t, F.lit(rf"\b{quote(k)}\b")) for k in words), F.lit(0)) / n, digits).alias("score")) for name, words in themes.items()]
+    scores = [F.struct(F.lit(name).alias("theme"), F.round(sum((F.regexp_count(t, F.lit(rf"(?U)\b{quote(k)}\b")) for k in words), F.lit(0)) / n, digits).alias("score")) for name, words in themes.items()]
     return docs.select(*key, F.explode(F.array(*scores)).alias("s")).select(*key, "s.*")
 
 

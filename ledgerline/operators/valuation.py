@@ -156,7 +156,7 @@ def sanity_checks(rated: DataFrame, grid: DataFrame, sensitivity: DataFrame) ->
     off = safe_div(F.col("expected_value") - F.col("price"), "price")
     notes = F.array_compact(F.array(
         F.when(F.abs(off) > 0.5, "divergence"), F.when(~F.col("grid_hit"), "no_grid_cell"), F.when(safe_div(F.col("bear") - F.col("price"), "price") < -0.4, "bear_downside"),
-        F.when(~F.col("price").between("low", "high"), "sensitivity_miss"),
+        F.when(~F.col("price").between(F.col("low"), F.col("high")), "sensitivity_miss"),
     ))
     return rated.join(near, "entity").join(range_, "entity").select("entity", F.concat_ws(";", notes).alias("notes"))
 

@@ -93,10 +93,10 @@ def _(spark, d):
 
 
 def _count_sql(words: list[str]) -> str:
-    return " + ".join(f"len(regexp_extract_all(t, '\\b{w}\\b'))" for w in words)
+    return " + ".join("len(regexp_extract_all(padded, ' " + w.replace(" ", "   ") + " '))" for w in words)
 
 
-KEY_SQL = f"""{SECTIONS_SQL}, lo as (select *, lower(text) as t, greatest(len(list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda x: x <> '')), 1) as nw from sections), ks as (
+KEY_SQL = f"""{SECTIONS_SQL}, lo as (select *, '  ' || regexp_replace(lower(text), '([^\p{{L}}\p{{N}}_])', ' \1 ', 'g') || '  ' as padded, greatest(len(list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda x: x <> '')), 1) as nw from sections), ks as (
 {' union all '.join(f"select entity, section, doc_id, accession, filing_date, '{n}' as theme, round(({_count_sql(w)}) * 1.0 / nw, 6) as score from lo" for n, w in THEMES.items())})"""
 
 
@@ -212,18 +212,18 @@ def _(spark, d):
 FEATURES = ["revenue_yoy", "operating_income_qoq", "rd_intensity", "capex_intensity", "gross_margin"]
 BASE_SQL = f"""{PANEL_SQL}, i as (select *, row_number() over w - 1 as i from panel window w as (partition by entity order by feature_available_date, fiscal_period)),
 bl as (select entity, feature_available_date, fiscal_period, target_value as actual, lag(target_value) over w as last_value,
-  round(case when i >= 4 and count(target_value) over w4 >= 2 then avg(target_value) over w4 end, 6) as mean_4, round(case when i >= 3 and count(target_value) over w3 >= 2 then avg(target_value) over w3 end, 6) as mean_3,
-  case when count(target_value) over wp >= 2 then round(regr_slope(target_value, case when target_value is not null then cast(i as double) end) over wp * i + regr_intercept(target_value, case when target_value is not null then cast(i as double) end) over wp, 6) end as linear_trend
+  round(case when i >= 4 and count(target_value) over w4 >= 2 then avg(target_value) over w4 end, 9) as mean_4, round(case when i >= 3 and count(target_value) over w3 >= 2 then avg(target_value) over w3 end, 9) as mean_3,
+  case when count(target_value) over wp >= 2 then round(regr_slope(target_value, case when target_value is not null then cast(i as double) end) over wp * i + regr_intercept(target_value, case when target_value is not null then cast(i as double) end) over wp, 9) end as linear_trend
   from i window w as (partition by entity order by feature_available_date, fiscal_period), w4 as (partition by entity order by feature_available_date, fiscal_period rows between 4 preceding and 1 preceding),
   w3 as (partition by entity order by feature_available_date, fiscal_period rows between 3 preceding and 1 preceding), wp as (partition by entity order by feature_available_date, fiscal_period rows between unbounded preceding and 1 preceding))"""
 MODELS = ["last_value", "mean_4", "mean_3", "linear_trend"]
 EVAL_SQL = f"""{BASE_SQL}, lg as (select entity, feature_available_date, fiscal_period, actual, u.model, u.prediction from bl, unnest([{', '.join(f"{{'model': '{m}', 'prediction': {m}}}" for m in MODELS)}]) as t(u)),
 ch as (select *, sign(prediction - lag(prediction) over w) = sign(actual - lag(actual) over w) as same from lg where prediction is not null and actual is not null window w as (partition by entity, model order by feature_available_date, fiscal_period)),
-ev as (select entity, model, count(*) as n, round(avg(abs(prediction - actual)), 6) as mae, round(sqrt(avg(pow(prediction - actual, 2))), 6) as rmse, round(avg(cast(same as integer)), 4) as directional_accuracy from ch group by all)"""
+ev as (select entity, model, count(*) as n, round(avg(abs(prediction - actual)), 9) as mae, round(sqrt(avg(pow(prediction - actual, 2))), 9) as rmse, round(avg(cast(same as integer)), 4) as directional_accuracy from ch group by all)"""
 
 
 def base(spark, d):
-    return mo.baselines(panel(spark, d), "target_value")
+    return mo.baselines(panel(spark, d), "target_value", digits=9)
 
 
 @R.add("baselines", f"{BASE_SQL} select * from bl")
@@ -233,23 +233,23 @@ def _(spark, d):
 
 @R.add("evaluate", f"{EVAL_SQL} select * from ev")
 def _(spark, d):
-    return mo.evaluate(base(spark, d), MODELS)
+    return mo.evaluate(base(spark, d), MODELS, digits=9)
 
 
 @R.add("leaderboard", f"{EVAL_SQL} select *, cast(row_number() over (partition by entity order by mae, model) as integer) as place from ev")
 def _(spark, d):
-    return mo.leaderboard(mo.evaluate(base(spark, d), MODELS))
+    return mo.leaderboard(mo.evaluate(base(spark, d), MODELS, digits=9))
 
 
 @R.add("signals", f"{EVAL_SQL} select entity, max(directional_accuracy) filter (model = 'linear_trend') as ml_signal from ev group by 1")
 def _(spark, d):
-    return mo.evaluate(base(spark, d), MODELS).groupBy("entity").agg(F.max(F.when(F.col("model") == "linear_trend", F.col("directional_accuracy"))).alias("ml_signal"))
+    return mo.evaluate(base(spark, d), MODELS, digits=9).groupBy("entity").agg(F.max(F.when(F.col("model") == "linear_trend", F.col("directional_accuracy"))).alias("ml_signal"))
 
 
 @R.add("model_quality", f"""{EVAL_SQL}, q as (select entity, max(mae) filter (model = 'linear_trend') as own, max(mae) filter (model <> 'linear_trend') as worst from ev group by 1)
 select entity, case when right(entity, 1) = '7' then 'degenerate' when own > worst then 'diagnostic' else 'usable' end as status from q""")
 def _(spark, d):
-    scores = mo.evaluate(base(spark, d), MODELS)
+    scores = mo.evaluate(base(spark, d), MODELS, digits=9)
     c = scores.select("entity").distinct().select("entity", F.lit("x").alias("feature"), F.when(F.col("entity").endswith("7"), 0.0001).otherwise(0.5).alias("coefficient"))
     return mo.model_quality(scores, c, "linear_trend")
 
