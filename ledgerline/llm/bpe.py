@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import limit_batches
+from ledgerline.llm.common import counted_memory, limit_batches
 
 #: Pre-tokens that a worker keeps; beyond it starts anew, which costs time but changes no result.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 #: Bytes of text whose new pre-tokens are replayed together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Room for ids in a pair's key.
 PAIR = 1 << 24
 _NONE = np.int64(1 << 40)
@@ -113,21 +113,31 @@ def symbols_of(words: list[bytes], byte_ids: Sequence[int]) -> np.ndarray:
     return table[np.frombuffer(b"\xff".join([*words, b""]), dtype=np.uint8)]
 
 
-@cache
-def rank_table(path: str) -> tuple[Merges, list[int], dict[int, bytes]]:
-    """Of a file of base64 tokens with ranks: the merges, the id of each byte, the bytes of each id.
-
-    Any two tokens whose bytes together are a token merge at that token's rank.
-    """
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A file of base64 tokens with ranks."""
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+@cache
+def rank_table(path: str) -> tuple[Merges, list[int]]:
+    """Of a file of ranks: the merges and the id of each byte. Any two tokens whose bytes together are a token merge at its rank."""
+    ranks = read_ranks(path)
     merges = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
                 merges[a * PAIR + b] = rank
-    return Merges(merges, range(max(ranks.values()) + 1)), [ranks[bytes([b])] for b in range(256)], {r: t for t, r in ranks.items()}
+    return Merges(merges, range(max(ranks.values()) + 1)), [ranks[bytes([b])] for b in range(256)]
+
+
+@cache
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids one after another, and where each id's begin, with one end more; an unused id has none."""
+    tokens = {r: t for t, r in read_ranks(path).items()}
+    every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+    return np.frombuffer(b"".join(every), dtype=np.uint8), np.r_[0, np.cumsum([len(t) for t in every])]
 
 
 @cache
@@ -184,7 +194,7 @@ class Encoder:
     """Encodes texts block by block; keeps the ids of the pre-tokens that it has met."""
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
-        self.merges, self.byte_ids, _ = rank_table(ranks_path)
+        self.merges, self.byte_ids = rank_table(ranks_path)
         self.split = splitter(pattern)
         self._forget()
 
@@ -234,13 +244,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), lists], names=names)
 
-        for b in batches:
-            held.append(b)
-            size += b.column(len(kept)).nbytes
-            if size >= BLOCK_BYTES:
-                yield from flush()
-                held, size = [], 0
-        yield from flush()
+        with counted_memory():
+            for b in batches:
+                held.append(b)
+                size += b.column(len(kept)).nbytes
+                if size >= BLOCK_BYTES:
+                    yield from flush()
+                    held, size = [], 0
+            yield from flush()
 
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])
     return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
@@ -253,13 +264,11 @@ def decode(docs: DataFrame, ranks_path: str, *, ids: str = "ids", out: str = "de
     names = [f.name for f in kept] + [out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = rank_table(ranks_path)[2]
-        every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        raw, ends = np.frombuffer(b"".join(every), dtype=np.uint8), np.r_[0, np.cumsum([len(t) for t in every])]
+        raw, ends = byte_table(ranks_path)
         for b in batches:
             lists = b.column(len(kept)).fill_null([])
             own = np.asarray(lists.flatten())
-            if len(own) and (own.min() < 0 or own.max() >= len(every) or (ends[own + 1] == ends[own]).any()):
+            if len(own) and (own.min() < 0 or own.max() >= len(ends) - 1 or (ends[own + 1] == ends[own]).any()):
                 raise ValueError("an id is not in the vocabulary")
             sizes = ends[own + 1] - ends[own]
             to = np.r_[0, np.cumsum(sizes)]

@@ -22,7 +22,7 @@ from ledgerline.llm.components import components
 TREES, LONGEST, RECALL = 20, 8, 0.995
 #: Classes and n-grams in a block of candidates, about.
 BLOCK_ROWS, BLOCK_GRAMS = 512, 400_000
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

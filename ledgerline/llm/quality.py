@@ -24,7 +24,7 @@ from ledgerline.llm.sums import ROWS, blocks, summed
 CORES, SHAPES, DIM = 8192, 1024, 32
 #: Labelled documents to learn from, at most.
 SAMPLE = 20_000
-_KEPT_TOKENS = 300_000
+_KEPT_TOKENS = 200_000
 _EDGE = b"".join(bytes([b]) for b in range(128) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A))
 
 

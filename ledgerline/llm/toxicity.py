@@ -21,7 +21,7 @@ from ledgerline.llm.labelled import sample
 BITS = 20
 #: Labelled documents to learn from, at most.
 SAMPLE = 12_000
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 200_000
 
 
 class Features:
