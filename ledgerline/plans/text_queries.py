@@ -96,7 +96,7 @@ def _count_sql(words: list[str]) -> str:
     return " + ".join("len(regexp_extract_all(padded, ' " + w.replace(" ", "   ") + " '))" for w in words)
 
 
-KEY_SQL = f"""{SECTIONS_SQL}, lo as (select *, '  ' || regexp_replace(lower(text), '([^\p{{L}}\p{{N}}_])', ' \1 ', 'g') || '  ' as padded, greatest(len(list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda x: x <> '')), 1) as nw from sections), ks as (
+KEY_SQL = f"""{SECTIONS_SQL}, lo as (select *, '  ' || regexp_replace(lower(text), '([^\\p{{L}}\\p{{N}}_])', ' \\1 ', 'g') || '  ' as padded, greatest(len(list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda x: x <> '')), 1) as nw from sections), ks as (
 {' union all '.join(f"select entity, section, doc_id, accession, filing_date, '{n}' as theme, round(({_count_sql(w)}) * 1.0 / nw, 6) as score from lo" for n, w in THEMES.items())})"""
 
 
