@@ -157,7 +157,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     copy_id: least id among the texts of the same n-gram set, n_copies their number. n_links: rows whose set is at least
     `similarity` alike, copies included, the row itself not. class_id: least id among all that links join, directly or
-    by others. keep_key: xxhash64(id, text) of one row of the class, the same for all its rows. Texts of fewer than n words have one
+    by others. keep_key: xxhash64(id, text) of the class's row of
+    least id, the same for all its rows. Texts of fewer than n words have one
     n-gram; a text without words, null included, is a class of its own with 0 links. Rows may repeat: they are copies.
     Null ids are no class id unless the class has no other.
     """
@@ -180,7 +181,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     sketched = shared(map_rows(source, ["text"], "set binary, n_grams int, nodes array<long>", sketch, ["doc_id", "key"]))
     sets = shared(
-        sketched.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.min("key").alias("key"), F.max("n_grams").alias("n_grams"), F.first("nodes").alias("nodes"))
+        sketched.where("set is not null").groupBy("set")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("least"), F.count("*").alias("n_copies"), F.max("n_grams").alias("n_grams"), F.first("nodes").alias("nodes"))
+        .select("set", F.col("least.doc_id").alias("copy_id"), F.col("least.key").alias("key"), "n_copies", "n_grams", "nodes")
     )
     paths = sets.select("set", F.explode("nodes").alias("node"))
     hubs = paths.groupBy("node").agg(F.min("set").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
