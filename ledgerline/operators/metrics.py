@@ -37,12 +37,12 @@ def fact_pivot(facts: DataFrame, names: Sequence[str], *, entity: str = "entity"
 
 def ratios(facts: DataFrame, *, entity: str = "entity", digits: int = 6) -> DataFrame:
     """Twelve derived metrics, long; null on a missing input or a zero denominator."""
-    wide = fact_pivot(facts, INPUTS, entity=entity)
-    when = facts.groupBy(entity, *PERIOD).agg(F.max("source_available_date").alias("source_available_date"))
-    made = wide.select(entity, *PERIOD, *(F.round(f().cast("double"), digits).alias(f"m_{n}") for n, (f, _) in RATIOS.items()))
+    first = lambda n: F.min_by(F.when(F.col("metric") == n, F.col("value")), F.when((F.col("metric") == n) & F.col("value").isNotNull(), F.struct("filing_date", "accession"))).alias(n)
+    wide = facts.groupBy(entity, *PERIOD).agg(F.max("source_available_date").alias("source_available_date"), *(first(n) for n in INPUTS))
+    made = wide.select(entity, *PERIOD, "source_available_date", *(F.round(f().cast("double"), digits).alias(f"m_{n}") for n, (f, _) in RATIOS.items()))
     unit = F.element_at(F.create_map(*[F.lit(x) for n, (_, u) in RATIOS.items() for x in (n, u)]), F.col("metric"))
-    long = made.unpivot([entity, *PERIOD], [f"m_{n}" for n in RATIOS], "metric", "value").withColumn("metric", F.substring("metric", 3, 100))
-    return long.join(when, [entity, *PERIOD]).withColumn("unit", unit)
+    long = made.unpivot([entity, *PERIOD, "source_available_date"], [f"m_{n}" for n in RATIOS], "metric", "value").withColumn("metric", F.substring("metric", 3, 100))
+    return long.select(entity, *PERIOD, "metric", "value", "source_available_date").withColumn("unit", unit)
 
 
 def line_items(facts: DataFrame, names: Sequence[str] = tuple(PASSED), *, entity: str = "entity") -> DataFrame:

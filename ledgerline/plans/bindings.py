@@ -74,10 +74,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.make_date("fy", F.lit(1), F.lit(1)).alias("start"), F.last_day(F.make_date("fy", F.col("q") * 3, F.lit(1))).alias("end"),
         F.max("filed").over(w).alias("filed"), F.count("*").over(w).alias("n"),
     )
-    year = F.concat(F.lit("FY"), F.col("fy").cast("string"))
-    part = F.concat(F.lit("Q"), F.col("q").cast("string"))
-    quarterly = _long(ytd.where("q < 4"), F.concat_ws("-", year, part), part)
-    return quarterly.unionByName(_long(ytd.where("q = 4 and n = 4"), year, F.lit("FY")))
+    year, part = F.concat(F.lit("FY"), F.col("fy").cast("string")), F.concat(F.lit("Q"), F.col("q").cast("string"))
+    annual = F.col("q") == 4
+    return _long(ytd.where("q < 4 or n = 4"), F.when(annual, year).otherwise(F.concat_ws("-", year, part)), F.when(annual, "FY").otherwise(part))
 
 
 def _sums(f) -> str:

@@ -295,8 +295,8 @@ def _(spark, d):
 
 
 @R.add("peer_panel", f"""{PANEL_SQL}, q as (select entity as ticker, case when right(entity, 1) = '3' then null else rd_intensity end as rd_intensity, case when right(entity, 1) = '3' then null else capex_intensity end as capex_intensity, case when right(entity, 1) = '5' then null else target_value end as target_value from panel where not (right(entity, 1) = '4' and qidx > 7985)),
-g as (select ticker, count(*) as n_rows, bool_and(rd_intensity is null and capex_intensity is null) as e, count(target_value) as t from q group by 1)
-select ticker, n_rows, not e and n_rows >= 10 and t > 0 as included, case when e then 'all_null' when n_rows < 10 then 'history' when t = 0 then 'no_target' end as reason from g""")
+gg as (select ticker, count(*) as n_rows, bool_and(rd_intensity is null and capex_intensity is null) as e, count(target_value) as t from q group by 1)
+select ticker, n_rows, not e and n_rows >= 10 and t > 0 as included, case when e then 'all_null' when n_rows < 10 then 'history' when t = 0 then 'no_target' end as reason from gg""")
 def _(spark, d):
     p = panel(spark, d).where("not (right(entity, 1) = '4' and qidx > 7985)").withColumnRenamed("entity", "ticker")
     for c in ("rd_intensity", "capex_intensity"):
