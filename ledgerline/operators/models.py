@@ -42,7 +42,7 @@ def fit_linear(rows: DataFrame, features: Sequence[str], target: str, *, alpha:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    clean = rows.where(F.col(target).isNotNull()).select(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features), F.col(target).cast("double").alias("__y"))
+    clean = rows.where(F.col(target).isNotNull()).select(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features), F.col(target).cast("double").alias("__y")).persist()  # read by the statistics and by each pass of the solver
     n, spread = clean.agg(F.count("*"), F.stddev_pop("__y")).first()
     spark = rows.sparkSession
     if n < 2 or not spread:
@@ -145,7 +145,7 @@ def fit_trees(rows: DataFrame, features: Sequence[str], target: str, *, kind: st
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     clean = rows.where(F.col(target).isNotNull()).select("*", F.col(target).cast("double").alias("__y")).fillna(0.0, subset=list(features))
-    data = VectorAssembler(inputCols=list(features), outputCol="__x").transform(clean)
+    data = VectorAssembler(inputCols=list(features), outputCol="__x").transform(clean).persist()
     options = {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "prediction", "seed": seed}
     estimator = RandomForestRegressor(numTrees=trees, **options) if kind == "random_forest" else GBTRegressor(maxIter=trees, maxDepth=3, **options)
     return estimator.fit(data), data
@@ -158,7 +158,7 @@ def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
 
 def tree_walk_forward(rows: DataFrame, features: Sequence[str], target: str, cuts: Sequence[int], *, at: str = "qidx", kind: str = "gradient_boosting", trees: int = 20) -> DataFrame:
     """One fit for each cut of the pooled panel: rows before the cut are learnt, rows at it predicted. Cuts are a short list of dates."""
-    out = None
+    out, rows = None, rows.persist()  # one pass over the panel for all cuts
     for c in cuts:
         model, _ = fit_trees(rows.where(F.col(at) < c), features, target, kind=kind, trees=trees)
         _, now = fit_trees_input(rows.where(F.col(at) == c), features, target)
