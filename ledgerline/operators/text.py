@@ -91,16 +91,17 @@ def proxy_quality(docs: DataFrame, terms: Sequence[str], *, text: str = "text")
 def parse_filings(filings: DataFrame, *, key: str = "accession", source: str = "html") -> DataFrame:
     """Sections of every filing with status and tier: by item number, else by title; the discussion also by its anchor."""
     plain = filings.select(key, "form_type", html_to_text(source).alias("text"))
-    rows = section_extract(plain, key=key)
-    for s in TITLES:
-        found = title_fallback(plain, s, key=key).select(key, "section_name", F.col("text").alias("by_title"))
-        rows = rows.join(found, [key, "section_name"], "left").withColumn("extraction_tier", F.when(F.col("parse_status") == "missing", F.when(F.col("by_title").isNotNull(), "title"))) if s == "business" else rows.join(found, [key, "section_name"], "left").withColumn("extraction_tier", F.coalesce("extraction_tier", F.when((F.col("parse_status") == "missing") & F.col("by_title").isNotNull(), "title")))
-        rows = rows.withColumn("text", F.coalesce("text", "by_title")).drop("by_title")
-    rows = rows.withColumn("extraction_tier", F.when(F.col("parse_status") == "success", "item").otherwise(F.col("extraction_tier"))).withColumn("parse_status", F.when(F.col("extraction_tier") == "title", "fallback").otherwise(F.col("parse_status")))
+    titled = None
+    for section in TITLES:
+        found = title_fallback(plain, section, key=key).select(key, "section_name", F.col("text").alias("by_title"))
+        titled = found if titled is None else titled.unionByName(found)
     proxy = proxy_fallback(plain, key=key).select(key, F.lit("mda").alias("section_name"), F.col("text").alias("by_anchor"))
-    short = F.coalesce(F.length("text"), F.lit(0)) < 500
-    rows = rows.join(proxy, [key, "section_name"], "left").withColumn("use", short & F.col("by_anchor").isNotNull())
-    return rows.select(key, "form_type", "section_name", F.when(F.col("use"), F.col("by_anchor")).otherwise(F.col("text")).alias("text"), F.when(F.col("use"), "proxy").otherwise(F.col("parse_status")).alias("parse_status"), F.when(F.col("use"), "proxy").otherwise(F.col("extraction_tier")).alias("extraction_tier"))
+    rows = section_extract(plain, key=key).join(titled, [key, "section_name"], "left").join(proxy, [key, "section_name"], "left")
+    best = F.coalesce("text", "by_title")
+    by_anchor = (F.coalesce(F.length(best), F.lit(0)) < 500) & F.col("by_anchor").isNotNull()
+    tier = F.when(by_anchor, "proxy").when(F.col("text").isNotNull(), "item").when(F.col("by_title").isNotNull(), "title")
+    status = F.when(tier == "item", "success").when(tier == "title", "fallback").when(tier == "proxy", "proxy").otherwise("missing")
+    return rows.select(key, "form_type", "section_name", F.when(by_anchor, F.col("by_anchor")).otherwise(best).alias("text"), status.alias("parse_status"), tier.alias("extraction_tier"))
 
 
 def terms(docs: DataFrame, stop: Sequence[str] = (), *, key: Sequence[str], text: str = "text") -> DataFrame:
