@@ -84,15 +84,20 @@ def walk_forward(rows: DataFrame, features: Sequence[str], target: str, *, by: S
     base = rows.select(*by, *order, *(c.alias(n) for c, n in zip([*x, y], names, strict=True)), F.row_number().over(w).alias("fold"))
     ordered = Window.partitionBy(*by).orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
     sums = [F.sum(n).over(ordered) for n in names] + [F.sum(F.col(names[i]) * F.col(names[j])).over(ordered) for i in range(p + 1) for j in range(i, p + 1)]
-    made = base.withColumn("__s", F.array(*sums)).where(F.col("fold") > least).withColumn("__v", F.array(*names))
+    made = base.withColumn("__s", F.array(*sums)).withColumn("__n", F.col("fold") - 1).where(F.col("__n") >= least).withColumn("__v", F.array(*names))
+    predict = predictor(p, alpha, l1, ridge)
+    return made.select(*by, *order, "fold", F.round(predict("__s", "__v", "__n"), digits).alias("prediction"), F.col("__y").alias("actual"))
 
+
+def predictor(p: int, alpha: float, l1: float, ridge: bool):
+    """A pandas UDF (sums and sums of products of p features and the target, a row's values, rows summed) -> prediction."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
     def predict(s: pd.Series, v: pd.Series, n: pd.Series) -> pd.Series:
         out = []
         for a, now, m in zip(s, v, n, strict=True):
-            a, m = np.asarray(a, dtype=float), int(m) - 1
+            a, m = np.asarray(a, dtype=float), int(m)
             mean, square = a[: p + 1] / m, np.zeros((p + 1, p + 1))
             square[np.triu_indices(p + 1)] = a[p + 1 :]
             square = square + np.triu(square, 1).T - m * np.outer(mean, mean)
@@ -100,7 +105,26 @@ def walk_forward(rows: DataFrame, features: Sequence[str], target: str, *, by: S
             out.append(mean[p] + (np.asarray(now, dtype=float)[:p] - mean[:p]) @ c)
         return pd.Series(out, dtype=float)
 
-    return made.select(*by, *order, "fold", F.round(predict("__s", "__v", "fold"), digits).alias("prediction"), F.col("__y").alias("actual"))
+    return predict
+
+
+def pooled_walk_forward(rows: DataFrame, features: Sequence[str], target: str, *, keys: Sequence[str] = ("entity", "fiscal_period"), at: str = "feature_available_date", least: int = 5, alpha: float = 0.1, l1: float = 0.5, ridge: bool = False, digits: int = 6) -> DataFrame:
+    """keys, at, n_train, prediction, actual: every row is predicted by a fit on all entities' rows of earlier days.
+
+    Sums of products are made by day first, so that the expanding window runs over days, of which there are few, not
+    over the pool.
+    """
+    rows, p = rows.where(F.col(target).isNotNull()), len(features)
+    names = [*(f"__x{i}" for i in range(p)), "__y"]
+    values = [*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features), F.col(target).cast("double")]
+    base = rows.select(*keys, at, *(c.alias(n) for c, n in zip(values, names, strict=True)))
+    parts = [*names, *(f"__p{i}_{j}" for i in range(p + 1) for j in range(i, p + 1))]
+    terms = [F.col(n) for n in names] + [F.col(names[i]) * F.col(names[j]) for i in range(p + 1) for j in range(i, p + 1)]
+    days = base.groupBy(at).agg(F.count("*").alias("__c"), *(F.sum(t).alias(n) for t, n in zip(terms, parts, strict=True)))
+    past = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    known = days.select(at, F.sum("__c").over(past).alias("n_train"), F.array(*(F.sum(n).over(past) for n in parts)).alias("__s"))
+    made = base.join(known, at).where(F.col("n_train") >= least).withColumn("__v", F.array(*names))
+    return made.select(*keys, at, "n_train", F.round(predictor(p, alpha, l1, ridge)("__s", "__v", "n_train"), digits).alias("prediction"), F.col("__y").alias("actual"))
 
 
 def baselines(rows: DataFrame, target: str, *, by: Sequence[str] = ("entity",), order: Sequence[str] = ("feature_available_date", "fiscal_period"), digits: int = 6) -> DataFrame:

@@ -259,10 +259,9 @@ def _(spark, d):
     return mo.walk_forward(panel(spark, d), FEATURES, "target_value")
 
 
-@R.add("walk_forward_pooled", None)
+@R.add("panel_walk_forward", None)
 def _(spark, d):
-    rows = panel(spark, d).withColumn("pool", F.lit("all")).withColumn("key", F.concat_ws("|", "fiscal_period", "entity"))
-    return mo.walk_forward(rows, FEATURES, "target_value", by=["pool"], order=["feature_available_date", "key"], least=5)
+    return mo.pooled_walk_forward(panel(spark, d), FEATURES, "target_value", alpha=0.001)
 
 
 @R.add("fit_elasticnet", None)
@@ -384,3 +383,29 @@ l as (select ticker, period, arg_max(revenue_estimate, retrieval_date) as e from
 def _(spark, d):
     s = table(spark, d, "events").select(F.expr("'E' || (user_id % 30)").alias("ticker"), F.element_at(F.lit(["0q", "0y", "+1y"]), (F.col("event_id") % 3 + 1).cast("int")).alias("period"), F.col("ts").alias("retrieval_date"), F.col("value").alias("revenue_estimate"))
     return rd.growth_estimates(rd.analyst_latest(s))
+
+
+@R.add("parse_filings", f"""with {FILED_SQL}, s as (select accession, 'business' as section_name, case when form_type = '10-K' then 'Item 1. Business' || chr(10) || left(body, 400) end as t from filings where form_type = '10-K'
+union all select accession, 'risk_factors', 'Item 1A. Risk Factors' || chr(10) || left(body, 300) from filings union all select accession, 'mda', case when form_type = '10-K' then 'Item 7. Discussion' else 'Item 2. Discussion' end || chr(10) || body from filings
+union all select accession, 'quant', null from filings where form_type = '10-K')
+select accession, section_name, case when length(t) > 60 then 'success' else 'missing' end as parse_status, case when length(t) > 60 then 'item' end as extraction_tier from s where t is null or length(t) > 60""")
+def _(spark, d):
+    f = filings(spark, d)
+    html = F.concat(F.lit("<html><style>p {}</style><body><p>"), F.regexp_replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), "\n", "</p><p>"), F.lit("</p></body></html>"))
+    out = tx.parse_filings(f.select("accession", "form_type", html.alias("html")))
+    return out.where(F.col("text").isNull() | (F.length("text") > 60)).where("section_name = 'quant' or text is not null").select("accession", "section_name", "parse_status", "extraction_tier")
+
+
+@R.add("sections_sink", "select source as entity, lang as section, count(*) as n, cast(sum(length(text)) as bigint) as chars from documents group by all")
+def _(spark, d):
+    path = rd.scratch(spark, "sections")
+    rd.write_table(sections(spark, d), path, partition_by=["section"])
+    back = spark.read.parquet(path)
+    return back.groupBy("entity", F.col("section").cast("string").alias("section")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@R.add("table_sinks", f"{RATIOS_SQL} select entity, metric, count(*) as n, max(value) as largest from metrics group by all")
+def _(spark, d):
+    path = rd.scratch(spark, "metrics")
+    rd.write_table(metrics(spark, d), path)
+    return spark.read.parquet(path).groupBy("entity", "metric").agg(F.count("*").alias("n"), F.max("value").alias("largest"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +98,12 @@ def manual_overrides(raw: DataFrame, *, json: str = "value") -> DataFrame:
     return d.select(part[0].alias("metric"), F.expr("try_cast(trim(element_at(split(k, ','), 2)) as int)").alias("fiscal_year"), "v.manual_value", "v.status")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table in the folder that all executors share; a local one only where the session names none."""
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-tables-")
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = None) -> None:
     """Overwrites a Parquet table."""
     w = df.write.mode("overwrite")

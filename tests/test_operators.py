@@ -137,6 +137,23 @@ def test_walk_forward_against_least_squares(spark):
         assert got[i + 1] == pytest.approx(k + (x[i] - m) @ w, abs=1e-5)
 
 
+def test_pooled_walk_forward_learns_from_earlier_days_only(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, days = rng.normal(size=(30, 2)), np.repeat(np.arange(10), 3)
+    y = x @ [1.0, 3.0] + 0.5
+    df = spark.createDataFrame([(f"E{i % 3}", f"P{d}", D("2020-01-01") + dt.timedelta(days=int(d)), *map(float, v), float(t)) for i, (d, v, t) in enumerate(zip(days, x, y, strict=True))], "entity string, fiscal_period string, feature_available_date date, a double, b double, y double")
+    got = {(r.entity, r.fiscal_period): r for r in md.pooled_walk_forward(df, ["a", "b"], "y", alpha=1.0, ridge=True).collect()}
+    assert len(got) == 24  # the first two days have under five rows before them
+    for i in range(6, 30):
+        own = days < days[i]
+        m, k = x[own].mean(axis=0), y[own].mean()
+        w = np.linalg.solve((x[own] - m).T @ (x[own] - m) + np.eye(2), (x[own] - m).T @ (y[own] - k))
+        r = got[f"E{i % 3}", f"P{days[i]}"]
+        assert r.n_train == own.sum() and r.prediction == pytest.approx(k + (x[i] - m) @ w, abs=1e-5)
+
+
 def test_ttm_needs_four_consecutive_quarters(spark):
     q = spark.createDataFrame([("E", "revenue", f"FY202{y}-Q{k}", 1.0) for y, k in ((0, 1), (0, 2), (0, 3), (0, 4), (1, 2))], "entity string, metric string, fiscal_period string, value double")
     assert rows(mo.ttm(q, "revenue"), "fiscal_period", "ttm")[-2:] == [("FY2020-Q4", 4.0), ("FY2021-Q2", None)]
