@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from ledgerline.llm.common import counted_memory, limit_batches
 
 #: Pre-tokens that a worker keeps; beyond it starts anew, which costs time but changes no result.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: Bytes of text whose new pre-tokens are replayed together.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Room for ids in a pair's key.
 PAIR = 1 << 24
 _NONE = np.int64(1 << 40)

@@ -20,7 +20,7 @@ _WORD_BYTES = bytes(
 )
 
 #: Rows handed to Python at once: a batch of long documents stays far from Arrow's 2 GiB limit.
-ROWS_PER_BATCH = 1024
+ROWS_PER_BATCH = 512
 
 
 def words_of(text: bytes | None) -> list[bytes]:

@@ -80,8 +80,8 @@ def word_vectors(docs: DataFrame, *, text: str = "text") -> np.ndarray:
             if not len(core):
                 continue
             doc = np.repeat(np.arange(len(n)), n)
-            for low in range(0, len(core), 1 << 18):
-                c, s, d = (x[low : low + (1 << 18)] for x in (core, shape, doc))
+            for low in range(0, len(core), 1 << 16):
+                c, s, d = (x[low : low + (1 << 16)] for x in (core, shape, doc))
                 own = index[c] + index[s]
                 around = own.copy()
                 same = (d[1:] == d[:-1])[:, None]
