@@ -164,13 +164,13 @@ def _(spark, d):
 
 @R.add("split_adjust", f"""{FACTS_SQL}, splits(split_date, ratio) as (values (date '1997-06-01', 2), (date '1999-03-01', 4), (date '2000-01-01', 1)),
 f as (select f.*, coalesce((select product(ratio) from splits where ratio > 1 and split_date > f.period_end and f.entity < 'NATION_2'), 1.0) as k from facts f where metric in ('diluted_eps', 'diluted_shares', 'revenue'))
-select entity, metric, fiscal_period, value as raw_value, cast(k as double) as adjustment_factor, round(case metric when 'diluted_shares' then value * k when 'diluted_eps' then value / k else value end, 4) as value,
+select entity, metric, fiscal_period, value as raw_value, cast(k as double) as adjustment_factor, round(case metric when 'diluted_shares' then value * k when 'diluted_eps' then value / k else value end, 8) as value,
        case when metric <> 'revenue' and k <> 1 then 'split_adjusted' else 'as_reported' end as adjustment_basis, case when metric = 'diluted_eps' then 'raw_value' else 'value' end as validation_basis from f""")
 def _(spark, d):
     f = facts(spark, d).where("metric in ('diluted_eps', 'diluted_shares', 'revenue')")
     splits = f.where("entity < 'NATION_2'").select("entity").distinct().withColumn("s", F.explode(F.expr("array(struct(date'1997-06-01' as split_date, 2 as ratio), struct(date'1999-03-01' as split_date, 4 as ratio), struct(date'2000-01-01' as split_date, 1 as ratio))"))).select("entity", "s.*")
     out = fo.split_adjust(f, splits)
-    return out.select("entity", "metric", "fiscal_period", "raw_value", "adjustment_factor", F.round("value", 4).alias("value"), "adjustment_basis", "validation_basis")
+    return out.select("entity", "metric", "fiscal_period", "raw_value", "adjustment_factor", F.round("value", 8).alias("value"), "adjustment_basis", "validation_basis")
 
 
 @R.add("coverage_summary", f"""{FACTS_SQL} select entity, count(distinct metric) as metrics_found, round(count(distinct metric) * 100.0 / 21, 4) as coverage_pct, min(fiscal_year) as first_fy, max(fiscal_year) as last_fy, count(*) as n_facts from facts group by 1""")
