@@ -5,8 +5,8 @@ frequent words and hashed buckets of the others; the network gives the probabili
 corpus counts that of the token within its class, so that the conditional probabilities of a place sum to 1. A
 document's score is the sum of its tokens' conditional log-probabilities.
 
-The network is trained in numpy by every task on its own part of the corpus, in rounds; Spark averages the tasks'
-parameters between rounds.
+The network is trained in numpy by every task on every window of its own part of the corpus, in rounds; Spark averages
+the tasks' parameters after each round.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ WORDS, BUCKETS, CLASSES, DIM, HIDDEN = 4096, 512, 64, 16, 32
 #: The token that stands beyond both ends of a text.
 EDGE = WORDS + BUCKETS
 WINDOW = (-2, -1, 1, 2)
-#: One window in so many is trained on in a round, another one in each round.
-STRIDE = 16
 
 
 @dataclass
@@ -135,22 +133,21 @@ def learn(p: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: flo
     emb[ids[first]] -= np.add.reduceat(dx[order], first, axis=0)
 
 
-def train(docs: DataFrame, vocab: Broadcast, *, text: str = "text", rounds: int = 2, batch: int = 256, rate: float = 0.05) -> np.ndarray:
-    """Parameters of the network. In a round each task starts from the last average and takes one window in STRIDE."""
+def train(docs: DataFrame, vocab: Broadcast, *, text: str = "text", rounds: int = 1, batch: int = 512, rate: float = 0.05) -> np.ndarray:
+    """Parameters of the network. In a round each task starts from the last average and takes every window of its part."""
     flat = initial()
-    for turn in range(rounds):
+    for _ in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast(flat.astype(np.float32))
 
-        def part(batches: Iterator[pa.RecordBatch], turn: int = turn, sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
-            p, v, seen, skip = unpacked(sent.value), vocab.value, 0, turn * STRIDE // rounds
+        def part(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            p, v, seen = unpacked(sent.value), vocab.value, 0
             for b in batches:
                 ids, _ = v.ids(b.column(0).to_pylist())
                 at = np.flatnonzero(ids != EDGE)
-                here, skip = at[skip::STRIDE], (skip - len(at)) % STRIDE
-                around, target = np.stack([ids[here + o] for o in WINDOW], axis=1), v.kind[ids[here]]
-                for k in range(0, len(here), batch):
-                    learn(p, around[k : k + batch], target[k : k + batch], rate)
-                seen += len(here)
+                for k in range(0, len(at), batch):
+                    here = at[k : k + batch]
+                    learn(p, np.stack([ids[here + o] for o in WINDOW], axis=1), v.kind[ids[here]], rate)
+                seen += len(at)
             if seen:
                 yield from blocks(np.append(np.concatenate([x.ravel() for x in p]).astype(np.float64) * seen, seen))
 

@@ -236,6 +236,16 @@ def test_pseudo_likelihood_is_a_distribution(spark):
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_pseudo_likelihood_trains_on_every_window(spark):
+    cycle = [f"w{k}".encode() for k in range(16)]
+    docs = spark.createDataFrame([(1, " ".join(w.decode() for w in cycle * 3000))], "doc_id long, text string").coalesce(1)
+    v = pll.vocabulary(docs)
+    p = pll.unpacked(pll.train(docs, spark.sparkContext.broadcast(v)).astype(np.float32))
+    ids, n = v.ids([b" ".join(cycle * 4)])
+    found = pll.log_probabilities(p, v, ids)[16:32]  # a period of 16: a stride of 16 leaves most words no target
+    assert n.tolist() == [64] and found.min() > np.log(0.5)
+
+
 def der(*parts):
     body = b"".join(b"\x02" + bytes([len(x)]) + x for x in parts)
     return b"\x30" + (bytes([len(body)]) if len(body) < 128 else b"\x81" + bytes([len(body)])) + body
