@@ -2,8 +2,11 @@
 
 Every token is predicted from the two tokens before and the two after it, itself left out. The vocabulary is the most
 frequent words and hashed buckets of the others; the network gives the probability of the token's class, and the
-corpus counts that of the token within its class, so that the conditional probabilities of a place sum to 1. A
-document's score is the sum of its tokens' conditional log-probabilities.
+corpus counts those of the id within its class and of the word within its bucket, so that the conditional probabilities
+of all distinct words at a place sum to 1. A document's score is the sum of its tokens' conditional log-probabilities.
+
+Vocabulary and classes grow with the distinct words. The counts of the words in buckets never leave Spark: they are
+joined to the words of each document.
 
 The network is trained in numpy by every task on every window of its own part of the corpus, in rounds; Spark averages
 the tasks' parameters after each round.
@@ -22,22 +25,30 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import limit_batches, map_rows, words_of
+from ledgerline.llm.common import limit_batches, map_rows, shared, words_of
 from ledgerline.llm.sums import ROWS, blocks, summed
 
-WORDS, BUCKETS, CLASSES, DIM, HIDDEN = 4096, 512, 64, 16, 32
-#: The token that stands beyond both ends of a text.
+#: Words with ids of their own and classes, at least; GROWTH times the root of the number of distinct words if that is more.
+WORDS, BUCKETS, CLASSES, DIM, HIDDEN, GROWTH = 4096, 512, 64, 16, 32, 8
+#: The token that stands beyond both ends of a text; words after the first WORDS have the ids after it.
 EDGE = WORDS + BUCKETS
 WINDOW = (-2, -1, 1, 2)
 
 
 @dataclass
 class Vocabulary:
-    """Ids of frequent words; the class and the log-probability within its class of every id."""
+    """Ids of frequent words; the class and the log-probability within its class of every id; tokens in each bucket."""
 
     words: dict[bytes, int]
     kind: np.ndarray
     within: np.ndarray
+    buckets: np.ndarray
+    #: Which classes have words.
+    live: np.ndarray
+
+    @property
+    def shapes(self) -> tuple[tuple[int, ...], ...]:
+        return shapes(len(self.kind), len(self.live))
 
     def ids(self, texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all tokens with two EDGEs after each text and before the first, and how many tokens each text has."""
@@ -54,8 +65,8 @@ class Vocabulary:
         return np.array(out, dtype=np.int64), np.array(found, dtype=np.int64)
 
 
-def vocabulary(docs: DataFrame, *, text: str = "text") -> Vocabulary:
-    """Counts every word of every document; only the most frequent words and the buckets' totals reach the driver."""
+def counted(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """(word, n): every distinct word of all documents, in the shared folder."""
     limit_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,41 +83,57 @@ def vocabulary(docs: DataFrame, *, text: str = "text") -> Vocabulary:
         yield rows()
 
     made = docs.select(F.col(text).cast("binary")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    ranked = made.orderBy(F.desc("n"), "word").limit(WORDS)
-    top = [(bytes(r.word), r.n) for r in ranked.collect()]
-    totals = made.groupBy((F.crc32("word") % BUCKETS).cast("int").alias("bucket")).agg(F.sum("n").alias("n")).collect()
-    n = np.full(EDGE + 1, 0.5)
-    n[: len(top)] += [c for _, c in top]
-    for r in totals:
-        n[WORDS + r.bucket] += r.n
-    for w, c in top:
-        n[WORDS + crc32(w) % BUCKETS] -= c
+    return shared(made)
+
+
+def vocabulary(docs: DataFrame, *, text: str = "text", counts: DataFrame | None = None) -> Vocabulary:
+    """From the counts of every word of every document; the frequent words, the buckets' totals and how many words have each count reach the driver."""
+    counts = counted(docs, text=text) if counts is None else counts
+    sizes = sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    most, taken, least = max(WORDS, int(GROWTH * sum(k for _, k in sizes) ** 0.5)), 0, sizes[0][0] + 1 if sizes else 1
+    for c, k in sizes:
+        if (taken := taken + k) > most:
+            break
+        least = c
+    top = sorted(((bytes(r.word), r.n) for r in counts.where(F.col("n") >= least).collect()), key=lambda r: (-r[1], r[0]))
+    rare = counts.where(F.col("n") < least).groupBy((F.crc32("word") % BUCKETS).cast("int").alias("bucket")).agg(F.sum("n").alias("n"))
+    words = {w: i if i < WORDS else i + BUCKETS + 1 for i, (w, _) in enumerate(top)}
+    n, buckets = np.zeros(max(EDGE + 1, len(top) + BUCKETS + 1)), np.zeros(BUCKETS)
+    n[list(words.values())] = [c for _, c in top]
+    for r in rare.collect():
+        n[WORDS + r.bucket] = buckets[r.bucket] = r.n
     # frequent words have classes of their own, the others share classes of about equal counts
-    kind = np.empty(EDGE + 1, dtype=np.int64)
-    order, alone = np.argsort(-n, kind="stable"), CLASSES // 2
+    classes = int(CLASSES * (len(n) / (EDGE + 1)) ** 0.5)
+    kind = np.empty(len(n), dtype=np.int64)
+    order, alone = np.argsort(-n, kind="stable"), classes // 2
     kind[order[:alone]] = np.arange(alone)
     tail = np.cumsum(n[order[alone:]])
-    kind[order[alone:]] = alone + np.minimum((tail - tail[0]) * (CLASSES - alone) // tail[-1], CLASSES - alone - 1).astype(np.int64)
-    within = np.log(n) - np.log(np.bincount(kind, n, minlength=CLASSES))[kind]
-    return Vocabulary({w: i for i, (w, _) in enumerate(top)}, kind, within)
+    kind[order[alone:]] = alone + np.minimum((tail - tail[0]) * (classes - alone) // max(tail[-1], 1), classes - alone - 1).astype(np.int64)
+    held = np.bincount(kind, n, minlength=classes)
+    within = np.full(len(n), -np.inf)  # of ids that no text has
+    within[n > 0] = np.log(n[n > 0]) - np.log(held[kind[n > 0]])
+    return Vocabulary(words, kind, within, buckets, held > 0)
+
+
+def shapes(ids: int, classes: int) -> tuple[tuple[int, ...], ...]:
+    return ((ids, DIM), (len(WINDOW) * DIM, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,))
 
 
-SHAPES = ((EDGE + 1, DIM), (len(WINDOW) * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
-SIZE = sum(int(np.prod(s)) for s in SHAPES)
+SHAPES = shapes(EDGE + 1, CLASSES)
 
 
-def unpacked(flat: np.ndarray) -> list[np.ndarray]:
+def unpacked(flat: np.ndarray, like: tuple[tuple[int, ...], ...] = SHAPES) -> list[np.ndarray]:
     out, at = [], 0
-    for s in SHAPES:
+    for s in like:
         k = int(np.prod(s))
         out.append(flat[at : at + k].reshape(s).astype(np.float32))
         at += k
     return out
 
 
-def initial() -> np.ndarray:
+def initial(like: tuple[tuple[int, ...], ...] = SHAPES) -> np.ndarray:
     rng = np.random.default_rng(2)
-    return np.concatenate([(rng.normal(0, 0.3 if k == 0 else 1 / np.sqrt(s[0]), s) if len(s) == 2 else np.zeros(s)).ravel() for k, s in enumerate(SHAPES)])
+    return np.concatenate([(rng.normal(0, 0.3 if k == 0 else 1 / np.sqrt(s[0]), s) if len(s) == 2 else np.zeros(s)).ravel() for k, s in enumerate(like)])
 
 
 def learn(p: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> None:
@@ -135,12 +162,13 @@ def learn(p: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: flo
 
 def train(docs: DataFrame, vocab: Broadcast, *, text: str = "text", rounds: int = 1, batch: int = 512, rate: float = 0.05) -> np.ndarray:
     """Parameters of the network. In a round each task starts from the last average and takes every window of its part."""
-    flat = initial()
+    like = vocab.value.shapes
+    flat = initial(like)
     for _ in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast(flat.astype(np.float32))
 
         def part(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
-            p, v, seen = unpacked(sent.value), vocab.value, 0
+            p, v, seen = unpacked(sent.value, like), vocab.value, 0
             for b in batches:
                 ids, _ = v.ids(b.column(0).to_pylist())
                 at = np.flatnonzero(ids != EDGE)
@@ -151,7 +179,7 @@ def train(docs: DataFrame, vocab: Broadcast, *, text: str = "text", rounds: int
             if seen:
                 yield from blocks(np.append(np.concatenate([x.ravel() for x in p]).astype(np.float64) * seen, seen))
 
-        total = summed(docs.select(F.col(text).cast("binary")).mapInArrow(part, ROWS), SIZE + 1)
+        total = summed(docs.select(F.col(text).cast("binary")).mapInArrow(part, ROWS), len(flat) + 1)
         if total[-1]:
             flat = total[:-1] / total[-1]
     return flat
@@ -168,6 +196,7 @@ def log_probabilities(p: list[np.ndarray], v: Vocabulary, ids: np.ndarray) -> np
         for o, t in zip(WINDOW[1:], tables[1:], strict=True):
             h += t[ids[here + o]]
         logit = np.tanh(h, out=h) @ w2 + b2
+        logit[:, ~v.live] = -np.inf
         logit -= logit.max(axis=1, keepdims=True)
         own = v.kind[ids[here]]
         picked = logit[np.arange(len(here)), own]
@@ -179,21 +208,34 @@ def score(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
     """docs with n_words, log_likelihood (the sum of conditional log-probabilities) and mean_log_likelihood a word.
 
     Vocabulary and network are learnt from all of docs. A text without words has 0, 0 and null. Each row counts as often
-    as it is there; columns of these names are replaced. What is sent to the tasks has the fixed size of the network and
-    of the vocabulary.
+    as it is there; columns of these names are replaced. What is sent to the tasks grows with the root of the number of
+    distinct words.
     """
     sc = docs.sparkSession.sparkContext
-    vocab = sc.broadcast(vocabulary(docs, text=text))
+    counts = counted(docs, text=text)
+    vocab = sc.broadcast(vocabulary(docs, text=text, counts=counts))
     sent = sc.broadcast(train(docs, vocab, text=text).astype(np.float32))
 
     def make():
-        p, v = unpacked(sent.value), vocab.value
+        v = vocab.value
+        p = unpacked(sent.value, v.shapes)
 
         def work(texts):
             ids, n = v.ids(texts)
-            sums = np.bincount(np.repeat(np.arange(len(n)), n), log_probabilities(p, v, ids), minlength=len(n))
-            return pa.array(n), pa.array(sums), pa.array(sums / np.maximum(n, 1), mask=n == 0)
+            found = log_probabilities(p, v, ids)
+            ids = ids[ids != EDGE]
+            bucket = (ids >= WORDS) & (ids < EDGE)
+            found[bucket] -= np.log(v.buckets[ids[bucket] - WORDS])
+            sums = np.bincount(np.repeat(np.arange(len(n)), n), found, minlength=len(n))
+            return pa.array(n), pa.array(sums), [[w for w in words_of(t) if w not in v.words] for t in texts]
 
         return work
 
-    return map_rows(docs, [text], "n_words bigint, log_likelihood double, mean_log_likelihood double", make, keep)
+    # of a word in a bucket, what is still wanting is the logarithm of its own count
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    kept = None if keep is None else [*keep, "__row"]
+    part = shared(map_rows(numbered, [text], "n_words bigint, log_likelihood double, __rare array<binary>", make, kept).drop("mean_log_likelihood"))
+    rare = part.select("__row", F.explode("__rare").alias("word")).join(counts, "word").groupBy("__row").agg(F.sum(F.log("n")).alias("__own"))
+    total = F.col("log_likelihood") + F.coalesce("__own", F.lit(0.0))
+    out = part.drop("__rare").join(rare, "__row", "left").withColumn("log_likelihood", total)
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))).drop("__row", "__own")

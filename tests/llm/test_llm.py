@@ -246,6 +246,42 @@ def test_pseudo_likelihood_trains_on_every_window(spark):
     assert n.tolist() == [64] and found.min() > np.log(0.5)
 
 
+def test_pseudo_likelihood_gives_each_rare_word_its_own_probability(spark, monkeypatch):
+    # 6,000 words seen once or thrice follow 8,192 frequent ones: they share buckets, not a probability
+    rows = [(k, " ".join(f"f{j} " * 4 for j in range(32 * k, 32 * k + 32))) for k in range(256)]
+    rows += [(1000 + k, " ".join(f"once{j}" for j in range(50 * k, 50 * k + 50))) for k in range(60)]
+    rows += [(2000 + k, " ".join(f"thrice{j}" for j in range(50 * k, 50 * k + 50))) for k in range(60) for _ in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {bytes(r.word): r.n for r in pll.counted(docs).collect()}
+    v = pll.vocabulary(docs)
+    assert len(counts) == 14_192 and sum(counts.values()) == 32_768 + 3000 + 9000
+    assert v.buckets.sum() == sum(c for w, c in counts.items() if w not in v.words) > 0
+    p = pll.unpacked(pll.initial(v.shapes), v.shapes)
+    words = list(counts)
+    total = 0.0
+    for w in words:
+        ids, _ = v.ids([w])
+        own = np.log(counts[w] / v.buckets[ids[2] - pll.WORDS]) if pll.WORDS <= ids[2] < pll.EDGE else 0.0
+        total += np.exp(pll.log_probabilities(p, v, ids)[0] + own)
+    assert total == pytest.approx(1, abs=1e-3)
+    one = docs.where("doc_id in (1000, 2000)")
+    monkeypatch.setattr(pll, "train", lambda *a, **b: pll.initial(v.shapes))
+    monkeypatch.setattr(pll, "counted", lambda *a, **b: docs.sparkSession.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, n bigint"))
+    for r in pll.score(one).collect():
+        ws = r.text.encode().split()
+        ids, _ = v.ids([r.text.encode()])
+        base = pll.log_probabilities(p, v, ids)
+        at = ids[ids != pll.EDGE]
+        want = sum(x + (np.log(counts[w] / v.buckets[i - pll.WORDS]) if w not in v.words else 0) for x, w, i in zip(base, ws, at, strict=True))
+        assert r.log_likelihood == pytest.approx(want, rel=1e-5)
+
+
+def test_pseudo_likelihood_vocabulary_grows(spark):
+    docs = spark.range(1_012_000, numPartitions=2).selectExpr("id as doc_id", "concat('w', id % 6000, ' v', id) as text")
+    v = pll.vocabulary(docs)
+    assert len(v.words) == 6000 and len(v.live) > pll.CLASSES and v.buckets.sum() == 1_012_000
+
+
 def der(*parts):
     body = b"".join(b"\x02" + bytes([len(x)]) + x for x in parts)
     return b"\x30" + (bytes([len(body)]) if len(body) < 128 else b"\x81" + bytes([len(body)])) + body
