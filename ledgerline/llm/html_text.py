@@ -1,7 +1,7 @@
 """HTML to laid-out text: a tree builder with implied tags, then rendering of what is visible.
 
-The builder closes elements that HTML closes by implication (p, li, td, option ...), ignores stray end tags, and reads
-script, style and the like as raw text. Rendering drops hidden subtrees, keeps blank lines between blocks, marks list
+The builder closes elements that HTML closes by implication (p, li, td, option, head ...), ignores stray end tags, and
+reads script, style and the like as raw text. What stands in a table outside its cells is laid out before the table. Rendering drops hidden subtrees, keeps blank lines between blocks, marks list
 items, keeps preformatted white space, and pads the cells of a table to equal columns.
 """
 
@@ -21,6 +21,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul xmp".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr xmp".split())
+#: What may stand in a head; all else ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Parts of a table.
+PARTS = frozenset("tr td th thead tbody tfoot".split())
 #: An opening tag closes an open element of these, unless one of the limits stands between.
 _IMPLIED = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
@@ -39,14 +43,15 @@ MAX_DEPTH = 256
 
 
 class Node:
-    __slots__ = ("children", "hidden", "span", "start", "tag")
+    __slots__ = ("children", "hidden", "holds", "span", "start", "tag")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag, self.children, self.hidden, self.span, self.start = tag, [], tag in INVISIBLE, 1, 1
+        self.holds = False  # parts of the table around it
         if attrs and not attrs.isspace():
             found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
             style = found.get("style", "").lower()
-            self.hidden |= "hidden" in found or bool(style and _HIDDEN_STYLE.search(style)) or found.get("aria-hidden", "").lower() == "true"
+            self.hidden |= "hidden" in found or bool(style and _HIDDEN_STYLE.search(style))
             self.hidden |= tag == "input" and found.get("type", "").lower() == "hidden"
             if tag in ("td", "th") and found.get("colspan", "").isdigit():
                 self.span = min(max(int(found["colspan"][:4]), 1), 100)
@@ -66,14 +71,19 @@ def parse(source: str) -> Node:
             if stack[k].tag in limits:
                 return
 
-    at, n = 0, len(source)
+    def add(text: str) -> None:
+        if stack[-1].tag == "head" and not text.isspace():
+            stack.pop()
+        stack[-1].children.append(text)
+
+    at, n, headed = 0, len(source), False
     while at < n:
         m = _TOKEN.search(source, at)
         if m is None:
-            stack[-1].children.append(source[at:])
+            add(source[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(source[at : m.start()])
+            add(source[at : m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
@@ -88,6 +98,9 @@ def parse(source: str) -> Node:
             continue
         if tag in ("html", "body") and any(x.tag == tag for x in stack[1:]):
             continue
+        if headed and tag not in HEAD:
+            close(frozenset(("head",)), frozenset(("template",)))
+            headed = any(x.tag == "head" for x in stack)
         if tag in ENDS_P:
             close(frozenset(("p",)), _SCOPE)
         if tag in IMPLIED:
@@ -98,6 +111,12 @@ def parse(source: str) -> Node:
                     break
         node = Node(tag, m[3])
         stack[-1].children.append(node)
+        headed |= tag == "head"
+        if tag in PARTS:
+            for x in reversed(stack):
+                if x.tag == "table" or x.holds:
+                    break
+                x.holds = True
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*/?>", re.I).search(source, at)
             node.children.append(source[at : end.start() if end else n])
@@ -147,24 +166,41 @@ class Page:
         return "".join(self.parts)
 
 
-def rows_of(table: Node) -> list[list[Node]]:
-    """The rows of cells of a table, not those of tables inside its cells."""
-    out: list[list[Node]] = []
-    for x in table.children:
-        if isinstance(x, str) or x.hidden:
-            continue
-        if x.tag == "tr":
-            out.append([c for c in x.children if not isinstance(c, str) and c.tag in ("td", "th") and not c.hidden])
-        elif x.tag in ("thead", "tbody", "tfoot"):
-            out += rows_of(x)
-        elif x.tag in ("td", "th"):
-            out.append([x])
-    return out
+def rows_of(table: Node) -> tuple[list[list[Node]], list]:
+    """The rows of cells of a table, not those of tables inside its cells, and what stands outside the cells.
+
+    Elements that are no part of a table but hold such parts (a form around rows) are looked through.
+    """
+    rows: list[list[Node]] = []
+    outside: list = []
+
+    def walk(parent: Node, row: list[Node] | None) -> None:
+        for x in parent.children:
+            if isinstance(x, str):
+                if row is None or not x.isspace():
+                    outside.append(x)
+            elif x.hidden or x.tag in VOID or (x.tag == "caption" and parent is table):
+                continue
+            elif x.tag in ("td", "th"):
+                if row is None:
+                    rows.append([x])
+                else:
+                    row.append(x)
+            elif x.tag == "tr":
+                rows.append([])
+                walk(x, rows[-1])
+            elif x.holds or x.tag in PARTS or x.tag == "colgroup":
+                walk(x, row)
+            else:
+                outside.append(x)
+
+    walk(table, None)
+    return rows, outside if any(not isinstance(x, str) or not x.isspace() for x in outside) else []
 
 
-def render_table(table: Node) -> str:
+def render_table(found: list[list[Node]]) -> str:
     rows, width = [], {}
-    for cells in rows_of(table):
+    for cells in found:
         row, at = [], 0
         for c in cells:
             page = Page()
@@ -201,12 +237,14 @@ def render(children: list, page: Page, pre: bool, depth: int) -> None:
         elif tag == "hr":
             page.block(2)
         elif tag == "table":
+            rows, outside = rows_of(x)
+            render(outside, page, False, depth)
             page.block(2)
             for c in x.children:
                 if not isinstance(c, str) and c.tag == "caption" and not c.hidden:
                     render(c.children, page, False, depth)
                     page.block(1)
-            if laid := render_table(x):
+            if laid := render_table(rows):
                 page.put(laid)
             page.block(2)
         elif tag in ("ul", "ol", "menu"):

@@ -311,6 +311,27 @@ def test_html_layout():
     assert html_text.to_text("<script>var a='</p>'</script>x<!-- y") == "x"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><form><tr><td>a<td>b</tr><tr><td>c<td>d</tr></form></table>", "a | b\nc | d"),
+        ("<table><tbody><div><center><tr><td>a</td></tr></center></div></tbody></table>", "a"),
+        ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a | b"),
+        ("<table><tr><a href=x><td>a</td></a></tr></table>z", "a\n\nz"),
+        ("<table>stray <b>bold</b><tr>more<td>cell</td></tr><p>para</p></table>", "stray boldmore\n\npara\n\ncell"),
+        ("<table><form><p>label</p><tr><td>a</td></tr></form></table>", "label\n\na"),
+        ("<table><tr><td><table><form><tr><td>in</td></tr></form></table></td><td>out</td></tr></table>", "in | out"),
+        ("<table><tr hidden><td>no</td></tr><form hidden><tr><td>no</td></tr></form><tr><td>yes</td></tr></table>", "yes"),
+        ("<head><title>x</title><h1>Heading</h1><p>text", "Heading\n\ntext"),
+        ("<html><head><meta charset=utf-8><script>var a</script>words<b> bold</b>", "words bold"),
+        ("<head><template><div>no</div></template><title>no</title></head><body>yes", "yes"),
+        ("<p>a <span aria-hidden='true'>shown</span>", "a shown"),
+    ],
+)
+def test_html_text_is_whole(page, text):
+    assert html_text.to_text(page) == text
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a"), (2, None), (3, ""), (1, "<p>a")], "page_id int, html string")
     assert sorted((r.page_id, r.text or "") for r in html_text.extract(pages).collect()) == [(1, "a"), (1, "a"), (2, ""), (3, "")]
