@@ -180,14 +180,23 @@ def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, v, k + 1) for k, (f, v) in enumerate(rows)], "feature string, importance double, place int")
 
 
-def tree_walk_forward(rows: DataFrame, features: Sequence[str], target: str, cuts: Sequence[int], *, at: str = "qidx", kind: str = "gradient_boosting", trees: int = 20) -> DataFrame:
-    """One fit for each cut of the pooled panel: rows before the cut are learnt, rows at it predicted. Cuts are a short list of dates."""
-    out, rows = None, rows.persist()  # one pass over the panel for all cuts
+def tree_walk_forward(rows: DataFrame, features: Sequence[str], target: str, cuts: Sequence[int] | None = None, *, at: str = "qidx", kind: str = "gradient_boosting", trees: int = 100, least: int = 3) -> DataFrame:
+    """One fit for each cut of the pooled panel: rows before the cut are learnt, rows at it predicted.
+
+    Cuts are a short list of dates: by default every date with a target but the first `least`.
+    """
+    rows = rows.persist()  # one pass over the panel for all cuts
+    if cuts is None:
+        cuts = sorted(r[0] for r in rows.where(F.col(target).isNotNull() & F.col(at).isNotNull()).select(at).distinct().collect())[least:]
+    out = None
     for c in cuts:
-        model, _ = fit_trees(rows.where(F.col(at) < c), features, target, kind=kind, trees=trees)
+        model, learnt = fit_trees(rows.where(F.col(at) < c), features, target, kind=kind, trees=trees)
+        learnt.unpersist()
         _, now = fit_trees_input(rows.where(F.col(at) == c), features, target)
         p = model.transform(now).select("entity", F.lit(c).alias(at), F.col("__y").alias("actual"), "prediction")
         out = p if out is None else out.unionByName(p)
+    if out is None:
+        return rows.select("entity", at, F.col(target).cast("double").alias("actual"), F.lit(0.0).alias("prediction")).limit(0)
     return out
 
 

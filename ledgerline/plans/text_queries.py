@@ -276,21 +276,29 @@ def _(spark, d):
     return mo.fit_linear(p, FEATURES, "target_value", alpha=0.001)
 
 
+KINDS = ["random_forest", "gradient_boosting"]
+
+
 @R.add("tree_models", None)
 def _(spark, d):
-    model, data = mo.fit_trees(panel(spark, d), FEATURES, "target_value", trees=20)
-    return model.transform(data).select("entity", "fiscal_period", F.round("prediction", 6).alias("prediction"))
+    out = []
+    for kind in KINDS:
+        model, data = mo.fit_trees(panel(spark, d), FEATURES, "target_value", kind=kind)
+        out.append(model.transform(data).select("entity", "fiscal_period", F.lit(kind).alias("kind"), F.round("prediction", 6).alias("prediction")))
+    return out[0].unionByName(out[1])
 
 
 @R.add("feature_importance", None)
 def _(spark, d):
-    model, _ = mo.fit_trees(panel(spark, d), FEATURES, "target_value", trees=20)
-    return mo.feature_importance(model, FEATURES, spark)
+    out = [mo.feature_importance(mo.fit_trees(panel(spark, d), FEATURES, "target_value", kind=kind)[0], FEATURES, spark).withColumn("kind", F.lit(kind)) for kind in KINDS]
+    return out[0].unionByName(out[1])
 
 
 @R.add("tree_walk_forward", None)
 def _(spark, d):
-    return mo.tree_walk_forward(panel(spark, d), FEATURES, "target_value", [1999 * 4, 2000 * 4], trees=5)
+    p = panel(spark, d)
+    out = [mo.tree_walk_forward(p, FEATURES, "target_value", kind=kind).withColumn("kind", F.lit(kind)) for kind in KINDS]
+    return out[0].unionByName(out[1])
 
 
 @R.add("peer_panel", f"""{PANEL_SQL}, q as (select entity as ticker, case when right(entity, 1) = '3' then null else rd_intensity end as rd_intensity, case when right(entity, 1) = '3' then null else capex_intensity end as capex_intensity, case when right(entity, 1) = '5' then null else target_value end as target_value from panel where not (right(entity, 1) = '4' and qidx > 7985)),

@@ -178,3 +178,16 @@ def test_entry_imports_and_names_match():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) > 140
+
+
+def test_tree_walk_forward_predicts_every_quarter_past_the_history(spark):
+    from inspect import signature
+
+    from ledgerline.operators import models as mo
+
+    rows = spark.createDataFrame([(f"E{e}", 8100 + q, float(q), float(q + e)) for e in range(4) for q in range(6)], "entity string, qidx int, x double, y double")
+    for kind in ("random_forest", "gradient_boosting"):
+        got = mo.tree_walk_forward(rows, ["x"], "y", kind=kind, trees=2).collect()
+        assert sorted((r.entity, r.qidx) for r in got) == [(f"E{e}", 8103 + q) for e in range(4) for q in range(3)]
+    assert mo.tree_walk_forward(rows.where("qidx < 8103"), ["x"], "y").count() == 0
+    assert signature(mo.tree_walk_forward).parameters["trees"].default == 100
