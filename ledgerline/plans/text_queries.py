@@ -137,7 +137,7 @@ def _(spark, d):
 
 
 def topics(spark, d):
-    return tx.topic_model(table(spark, d, "documents").where("lang = 'en'"))
+    return tx.topic_model(table(spark, d, "documents"))
 
 
 @R.add("topic_model", None)

@@ -191,3 +191,12 @@ def test_tree_walk_forward_predicts_every_quarter_past_the_history(spark):
         assert sorted((r.entity, r.qidx) for r in got) == [(f"E{e}", 8103 + q) for e in range(4) for q in range(3)]
     assert mo.tree_walk_forward(rows.where("qidx < 8103"), ["x"], "y").count() == 0
     assert signature(mo.tree_walk_forward).parameters["trees"].default == 100
+
+
+def test_topics_of_documents_of_all_languages(spark, tmp_path):
+    from ledgerline.plans import text_queries as tq
+
+    rows = [(k, f"word{k % 3} other{k % 2} " * 10 + f"rest{k % 4}", ["en", "de", None][k % 3]) for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    weights, _, _ = tq.topics(spark, str(tmp_path))
+    assert {r.doc_id for r in weights.select("doc_id").distinct().collect()} == set(range(12))
