@@ -25,6 +25,8 @@ CORES, SHAPES, DIM = 8192, 1024, 32
 #: Labelled documents to learn from, at most.
 SAMPLE = 20_000
 _KEPT_TOKENS = 200_000
+#: Tokens whose vectors are summed at once.
+SLICE = 1 << 16
 _EDGE = b"".join(bytes([b]) for b in range(128) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A))
 
 
@@ -64,7 +66,10 @@ class Tokens:
         codes = np.fromiter((x for w in tokens for x in map(of, w)), dtype=np.int64, count=int(n.sum()))
         core, shape = codes >> 16, codes & 0xFFFF
         if len(core) > 1:
-            shape[1:] += (SHAPES // 2) * (core[1:] == core[:-1])
+            again = core[1:] == core[:-1]
+            starts = np.cumsum(n)[:-1]
+            again[starts[(starts > 0) & (starts < len(core))] - 1] = False  # a text's first token repeats none
+            shape[1:] += (SHAPES // 2) * again
         return core, shape + CORES, n
 
 
@@ -80,13 +85,16 @@ def word_vectors(docs: DataFrame, *, text: str = "text") -> np.ndarray:
             if not len(core):
                 continue
             doc = np.repeat(np.arange(len(n)), n)
-            for low in range(0, len(core), 1 << 16):
-                c, s, d = (x[low : low + (1 << 16)] for x in (core, shape, doc))
+            for low in range(0, len(core), SLICE):
+                # a token more on both sides, so that no pair of neighbours is lost
+                front = min(low, 1)
+                c, s, d = (x[low - front : low + SLICE + 1] for x in (core, shape, doc))
                 own = index[c] + index[s]
                 around = own.copy()
                 same = (d[1:] == d[:-1])[:, None]
                 around[1:] += own[:-1] * same
                 around[:-1] += own[1:] * same
+                c, s, around = (x[front : front + SLICE] for x in (c, s, around))
                 for ids in (c, s):
                     order = np.argsort(ids, kind="stable")
                     ids = ids[order]

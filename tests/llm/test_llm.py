@@ -332,6 +332,22 @@ def test_html_text_is_whole(page, text):
     assert html_text.to_text(page) == text
 
 
+def test_quality_tokens_do_not_depend_on_the_batch(spark):
+    both = quality.Tokens().of([b"one same", b"", None, b"Same same end"])
+    alone = [quality.Tokens().of([t]) for t in (b"one same", b"Same same end")]
+    assert both[1].tolist() == [x for a in alone for x in a[1].tolist()] and both[2].tolist() == [2, 0, 0, 3]
+
+
+def test_quality_neighbours_across_slices(spark):
+    # one text of two slices; its words at the border are met there only
+    words = ["fill"] * (quality.SLICE - 1) + ["left", "right"] + ["fill"] * 10
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    core, shape, _ = quality.Tokens().of([" ".join(words).encode()])
+    index, k = quality.index_vectors(), quality.SLICE - 1
+    want = sum(index[core[j]] + index[shape[j]] for j in (k - 1, k, k + 1))
+    assert quality.word_vectors(docs)[core[k]] == pytest.approx(want / np.linalg.norm(want), abs=1e-5)
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a"), (2, None), (3, ""), (1, "<p>a")], "page_id int, html string")
     assert sorted((r.page_id, r.text or "") for r in html_text.extract(pages).collect()) == [(1, "a"), (1, "a"), (2, ""), (3, "")]
