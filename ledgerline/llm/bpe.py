@@ -9,11 +9,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
-import sys
-import unicodedata
 from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 from itertools import count, islice
 
@@ -23,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.llm.characters import splitter
 from ledgerline.llm.common import counted_memory, limit_batches
 
 #: Pre-tokens that a worker keeps; beyond it starts anew, which costs time but changes no result.
@@ -31,21 +29,21 @@ KEPT_WORDS = 200_000
 BLOCK_BYTES = 8 << 20
 #: Room for ids in a pair's key.
 PAIR = 1 << 24
-_NONE = np.int64(1 << 40)
+_NONE = np.int32((1 << 31) - 1)
 
 
 class Merges:
     """Pairs of symbols with their ranks, and the symbol that a rank makes."""
 
     def __init__(self, ranks: dict[int, int], made: Sequence[int]) -> None:
-        """ranks: left id * PAIR + right id -> rank."""
+        """ranks: left id * PAIR + right id -> rank. The pairs of one rank make the same symbol, which is in none of them."""
         order = np.argsort(keys := np.fromiter(ranks, dtype=np.int64, count=len(ranks)))
-        self.keys, self.ranks = keys[order], np.fromiter(ranks.values(), dtype=np.int64, count=len(ranks))[order]
+        self.keys, self.ranks = keys[order], np.fromiter(ranks.values(), dtype=np.int32, count=len(ranks))[order]
         self.made = made
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, _NONE where there is no merge; the marks -1 and -2 are in none."""
-        key = left * PAIR + right
+        key = left.astype(np.int64) * PAIR + right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
@@ -57,11 +55,13 @@ def replay(symbols: np.ndarray, merges: Merges) -> np.ndarray:
     In each word the pair of least rank is merged first, the leftmost of equal ones; words don't touch each other.
     """
     n = len(symbols)
-    symbols = np.concatenate([symbols, [-1, -1]])
-    after, before = np.arange(1, n + 3), np.arange(-1, n + 1)
-    word = np.cumsum(symbols == -1)
+    symbols = np.concatenate([symbols, [-1, -1]]).astype(np.int32)
+    after, before = np.arange(1, n + 3, dtype=np.int32), np.arange(-1, n + 1, dtype=np.int32)
+    word = np.cumsum(symbols == -1, dtype=np.int32)
     rank_at = np.full(n + 2, _NONE)
-    rank_at[:n] = merges.of(symbols[:n], symbols[1 : n + 1])
+    for low in range(0, n, 1 << 18):
+        high = min(n, low + (1 << 18))
+        rank_at[low:high] = merges.of(symbols[low:high], symbols[low + 1 : high + 1])
     index: dict[int, list[np.ndarray]] = {}
     queue: list[int] = []
 
@@ -77,7 +77,28 @@ def replay(symbols: np.ndarray, merges: Merges) -> np.ndarray:
                 index[rank] = [part]
                 heapq.heappush(queue, rank)
 
-    live = np.flatnonzero(rank_at < _NONE)
+    def in_turn(i: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places of a rank, those that each word takes from left to right, and those to be looked at again.
+
+        A place overlapped by the one before it is not taken. All after a place whose merge makes a pair of lower rank wait.
+        """
+        every = i
+        chained = np.r_[False, after[i[:-1]] == i[1:]]
+        starts = np.maximum.accumulate(np.where(chained, 0, np.arange(len(i))))
+        i = i[(np.arange(len(i)) - starts) % 2 == 0]
+        new = np.full(len(i), merges.made[rank], dtype=np.int32)
+        left, right = symbols[before[i]], symbols[after[after[i]]]
+        left[1:][after[after[i[:-1]]] == i[1:]] = merges.made[rank]  # the neighbour has been merged by then
+        lower = (merges.of(left, new) < rank) | (merges.of(new, right) < rank)
+        if not lower.any():
+            return i, i[:0]
+        of = word[i]
+        first = np.r_[True, of[1:] != of[:-1]]
+        so_far = np.cumsum(lower) - lower
+        waits = so_far > so_far[np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))]
+        return i[~waits], np.setdiff1d(every, i[~waits], assume_unique=True)
+
+    live = np.flatnonzero(rank_at < _NONE).astype(np.int32)
     if len(live):
         enter(rank_at[live], live)
     while queue:
@@ -87,17 +108,19 @@ def replay(symbols: np.ndarray, merges: Merges) -> np.ndarray:
         i = i[rank_at[i] == rank]
         if not len(i):
             continue
-        again = np.flatnonzero(word[i[1:]] == word[i[:-1]]) + 1
-        if len(again):  # a word's next pair of this rank waits for what its first one may make
-            index[rank] = [i[again]]
-            heapq.heappush(queue, rank)
-            i = np.delete(i, again)
+        if (word[i[1:]] == word[i[:-1]]).any():
+            i, waiting = in_turn(i, rank)
+            if len(waiting):
+                index[rank] = [waiting]
+                heapq.heappush(queue, rank)
         j = after[i]
-        far, near = after[j], before[i]
+        far = after[j]
         symbols[i], symbols[j] = merges.made[rank], -2
-        rank_at[j], after[i], before[far] = _NONE, far, i
-        touched = np.concatenate([near, i])
-        ranks = merges.of(symbols[touched], np.concatenate([symbols[i], symbols[far]]))
+        rank_at[j] = _NONE
+        after[i], before[far] = far, i
+        near = before[i]
+        touched = np.unique(np.concatenate([near[near >= 0], i]))
+        ranks = merges.of(symbols[touched], symbols[after[touched]])
         rank_at[touched] = ranks
         live = np.flatnonzero(ranks < _NONE)
         if len(live):
@@ -140,43 +163,6 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(every), dtype=np.uint8), np.r_[0, np.cumsum([len(t) for t in every])]
 
 
-@cache
-def char_class(kind: str, last: int) -> str:
-    """The characters up to last whose Unicode category begins with kind, as the inside of a character class."""
-    out, start = [], None
-    for c in range(last + 2):
-        inside = c <= last and unicodedata.category(chr(c))[0] == kind
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
-
-#: White space as Unicode has it; Python's own \s also takes the four separators from 1C to 1F.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
-def written_out(pattern: str, last: int) -> str:
-    """The pattern with \\p{L}, \\p{N} and \\s spelt out for the standard engine, for texts of characters up to last."""
-    marked = pattern.replace("\\p{L}", "\0").replace("\\p{N}", "\1").replace("\\s", "\2").replace("\\S", f"[^{SPACE}]")
-    out, inside = [], False
-    for c in marked:
-        inside = c == "[" or inside and c != "]"
-        body = SPACE if c == "\2" else char_class("LN"[ord(c)], last) if c in "\0\1" else None
-        out.append(c if body is None else body if inside else f"[{body}]")
-    return "".join(out)
-
-
-@cache
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """findall of the pattern. Classes without characters above FFFF are far quicker, and most texts have none."""
-    beyond = re.compile("[\U00010000-\U0010ffff]").search
-    low, full = re.compile(written_out(pattern, 0xFFFF)).findall, re.compile(written_out(pattern, sys.maxunicode)).findall
-    return lambda text: (full if beyond(text) else low)(text)
-
-
 class Numbered:
     """Numbers words in the order in which they first come."""
 
@@ -215,9 +201,11 @@ class Encoder:
             self._forget()
         numbered = []
         for texts in blocks:
-            words = [self.split(t) if t else [] for t in texts]
-            n = [len(w) for w in words]
-            numbered.append((self.words.of((x for w in words for x in w), sum(n)), np.array(n, dtype=np.int64)))
+            codes = []
+            for t in texts:  # one text's pre-tokens at a time
+                words = self.split(t) if t else []
+                codes.append(self.words.of(words, len(words)))
+            numbered.append((np.concatenate(codes) if codes else np.zeros(0, dtype=np.int32), np.array([len(c) for c in codes], dtype=np.int64)))
         self._learn()
         for codes, n in numbered:
             starts, sizes = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
@@ -226,23 +214,40 @@ class Encoder:
             yield ids, to[np.r_[0, np.cumsum(n)]]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def _bytes_of(raw: np.ndarray, ends: np.ndarray, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids, of which raw and ends are the byte_table()."""
+    own = np.asarray(lists.flatten())
+    if len(own) and (own.min() < 0 or own.max() >= len(ends) - 1 or (ends[own + 1] == ends[own]).any()):
+        raise ValueError("an id is not in the vocabulary")
+    sizes = ends[own + 1] - ends[own]
+    to = np.r_[0, np.cumsum(sizes)]
+    text = raw[np.repeat(ends[own] - to[:-1], sizes) + np.arange(to[-1])]
+    cuts = to[np.r_[0, np.cumsum(lists.value_lengths())]].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cuts), pa.py_buffer(text)])
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", out: str = "ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with the ids of each whole text: an array of ints, empty for a null or empty text.
 
-    Each match of pattern is encoded by itself, without special tokens. A column of the name `out` is replaced; repeated
-    rows give repeated results, and an empty table an empty one.
+    Each match of pattern is encoded by itself, without special tokens. decoded: a column for the bytes that the ids
+    decode to, made in the same pass. Columns of these names are replaced; repeated rows give repeated results, an empty
+    table an empty one. A very long text is one block of its own; time grows with its length, not faster.
     """
     limit_batches(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name.lower() != out.lower() and (keep is None or f.name in keep)]
-    names = [f.name for f in kept] + [out]
+    added = [out] if decoded is None else [out, decoded]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {x.lower() for x in added} and (keep is None or f.name in keep)]
+    names = [f.name for f in kept] + added
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, held, size = Encoder(ranks_path, pattern), [], 0
+        table = decoded and byte_table(ranks_path)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for b, (ids, ends) in zip(held, encoder.encode([b.column(len(kept)).to_pylist() for b in held]), strict=True):
+            texts = [b.column(len(kept)).to_pylist() for b in held]
+            for b, (ids, ends) in zip(held, encoder.encode(texts), strict=True):
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), lists], names=names)
+                made = [_bytes_of(*table, lists)] if table else []
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), lists, *made], names=names)
 
         with counted_memory():
             for b in batches:
@@ -252,29 +257,25 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
                     yield from flush()
                     held, size = [], 0
             yield from flush()
+            encoder = held = None
 
-    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])])
     return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ranks_path: str, *, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """docs with the bytes of each array of ids; a null array gives no bytes, an unknown id fails the query."""
+    """docs with the bytes of each array of ids; a null array gives no bytes, an unknown id fails the query.
+
+    A column of the name `out` is replaced; an empty table gives an empty one; each row is decoded alone.
+    """
     limit_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name.lower() != out.lower() and (keep is None or f.name in keep)]
     names = [f.name for f in kept] + [out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, ends = byte_table(ranks_path)
+        table = byte_table(ranks_path)
         for b in batches:
-            lists = b.column(len(kept)).fill_null([])
-            own = np.asarray(lists.flatten())
-            if len(own) and (own.min() < 0 or own.max() >= len(ends) - 1 or (ends[own + 1] == ends[own]).any()):
-                raise ValueError("an id is not in the vocabulary")
-            sizes = ends[own + 1] - ends[own]
-            to = np.r_[0, np.cumsum(sizes)]
-            text = raw[np.repeat(ends[own] - to[:-1], sizes) + np.arange(to[-1])]
-            cuts = to[np.r_[0, np.cumsum(lists.value_lengths())]].astype(np.int32)
-            made = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cuts), pa.py_buffer(text)])
+            made = _bytes_of(*table, b.column(len(kept)).fill_null([]))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), made], names=names)
 
     schema = T.StructType([*kept, T.StructField(out, T.BinaryType())])

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerline.llm.bpe import KEPT_WORDS, PAIR, SPACE, Merges, Numbered, replay, splitter, symbols_of
+from ledgerline.llm.bpe import KEPT_WORDS, PAIR, Merges, Numbered, replay, symbols_of
+from ledgerline.llm.characters import SPACE, composed, lowered, splitter
 from ledgerline.llm.common import map_rows
 
 
@@ -85,9 +85,7 @@ class Counted:
             out[k] = len(parts) - 1
             found = []
             for part in parts:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case is taken letter by letter
-                found += self.split(self.runs(" ", part).lower())
+                found += self.split(lowered(self.runs(" ", composed(part))))
             words.append(self.words.of(found, len(found)))
             n.append(len(found))
         if rest := self.words.since(len(self.sizes)):

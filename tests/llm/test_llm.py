@@ -107,6 +107,58 @@ def test_token_counts_against_the_library(spark, awkward):
         assert (r.n_tokens, r.n_bytes) == (len(lib.encode(r.text or "", add_special_tokens=False).ids), len((r.text or "").encode()))
 
 
+def random_texts(n, seed):
+    """Texts of all kinds of characters, new and old, with marks, special strings and white space."""
+    rng = np.random.default_rng(seed)
+    blocks = [(32, 127), (0xA0, 0x590), (0x300, 0x370), (0x800, 0xE00), (0x1AB0, 0x1B00), (0x1C80, 0x1C90), (0x1DF0, 0x2070), (0xA7C0, 0xA800), (0xAC00, 0xAD00), (0x10D00, 0x10F90), (0x11380, 0x113E0), (0x11900, 0x11950), (0x13C00, 0x14400), (0x16EA0, 0x16ED4), (0x1E000, 0x1E600), (0x1F600, 0x1F650)]
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.integers(1, 6)):
+            a, b = blocks[rng.integers(len(blocks))] if rng.random() < 0.9 else (0, 0x110000)
+            parts += [chr(c) for c in rng.integers(a, b, rng.integers(1, 6)) if not 0xD800 <= c < 0xE000]
+            parts.append(rng.choice(["", " ", "\t\n", "the", "İstanbul Σ", "<|endoftext|>", "1234", "'s"]))
+        out.append("".join(parts))
+    return out
+
+
+def every_character():
+    return ["".join(chr(c) + " x" for c in range(low, low + 64) if not 0xD800 <= c < 0xE000) for low in range(0, 0x110000, 64)]
+
+
+def test_token_counts_on_every_character():
+    tokenizers = pytest.importorskip("tokenizers")
+    lib, own = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json")), token_counts.Counted(P.path("word_bpe_49k.json"))
+    texts = every_character() + random_texts(10_000, 1)
+    want = [len(x.ids) for x in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, own.counts(texts).tolist(), want, strict=True) if a != b] == []
+
+
+def test_byte_bpe_on_every_character():
+    tiktoken = pytest.importorskip("tiktoken")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = every_character() + random_texts(10_000, 2)
+    ((ids, ends),) = bpe.Encoder(path, P.PATTERN).encode([texts])
+    want = lib.encode_ordinary_batch(texts)
+    assert [t for t, a, b, w in zip(texts, ends[:-1], ends[1:], want, strict=True) if ids[a:b].tolist() != w] == []
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "ab" * 400_000, "=" * 1_000_000, "aab" * 3000])
+def test_long_runs_take_seconds(text):
+    import time
+
+    tiktoken = pytest.importorskip("tiktoken")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    encoder, began = bpe.Encoder(path, P.PATTERN), time.process_time()
+    ((ids, _),) = encoder.encode([[text]])
+    assert time.process_time() - began < 20 and bpe.Encoder(path, P.PATTERN).split(text) == [text]
+    if len(text) < 10_000:  # the library itself is quadratic
+        lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+        assert ids.tolist() == lib.encode_ordinary(text)
+    assert token_counts.Counted(P.path("word_bpe_49k.json")).counts([text])[0] > 0
+
+
 def brute_classes(texts):
     sets = []
     for t in texts:
