@@ -7,16 +7,18 @@ word the state holds the longest suffix that occurs in some item. A suffix of at
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import map_rows, words_of
+from ledgerline.llm.common import map_rows, shared, words_of
 
-#: Item words in one automaton. A larger benchmark is handled in several automata, one pass over the documents each.
+#: Item words in one automaton, about. A larger benchmark is handled in several automata, one pass over the documents each.
 WORDS_PER_AUTOMATON = 1_000_000
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 class SuffixAutomaton:
@@ -122,19 +124,24 @@ class SuffixAutomaton:
         return [(a, b) for a, b in runs], found, longest
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, words_per_automaton: int) -> list[list[tuple[str | None, bytes]]]:
-    """The benchmark in blocks of bounded size; each becomes one automaton."""
-    blocks: list[list[tuple[str | None, bytes]]] = [[]]
-    room = words_per_automaton
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).where("t is not null")
-    for row in rows.toLocalIterator():
-        n = len(words_of(bytes(row.t)))
-        if n > room and blocks[-1]:
-            blocks.append([])
-            room = words_per_automaton
-        room -= n
-        blocks[-1].append((row.i, bytes(row.t)))
-    return blocks
+def dealt(benchmark: DataFrame, item: str, text: str, words_per_automaton: int) -> tuple[DataFrame, int]:
+    """The different items (i, t) with their block, and the number of blocks, each of about that many words at most."""
+    word = r"[0-9A-Za-z\x{80}-\x{10ffff}]+"
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").distinct()
+    words = rows.agg(F.sum(F.regexp_count("t", F.lit(word)))).first()[0] or 0
+    parts = -(-words // words_per_automaton)
+    parts += parts // 2 * (parts > 1)  # room for uneven blocks
+    return rows.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(max(parts, 1)))), parts
+
+
+def _without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """The bytes of the text without its hit runs, and what stands between the words of a run."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    parts, at = [], 0
+    for start, end in runs:
+        parts.append(text[at : spans[start][0]])
+        at = spans[end - 1][1]
+    return b"".join([*parts, text[at:]])
 
 
 def _merged(a: list, b: list) -> list[tuple[int, int]]:
@@ -156,23 +163,30 @@ def find_overlaps(
     item_text: str = "text",
     window: int = 13,
     words_per_automaton: int = WORDS_PER_AUTOMATON,
+    clean: str | None = None,
 ) -> DataFrame:
     """docs with n_words, hits (array of word runs [start, end)), n_hit, items (sorted ids) and longest_match.
 
     Null and empty texts have no words and no hits; items without words match nothing; an item of a null id hits words
     but is not listed. Each row is judged alone, so repeated rows give repeated results; added columns replace input
-    columns of the same names; an empty benchmark or an empty docs gives no hits or no rows.
+    columns of the same names; an empty benchmark or an empty docs gives no hits or no rows. A text of any length is
+    streamed through the automaton word by word. clean: a column for the text without its hit runs, as by cut_hits().
+
+    The driver and a task hold the items of one automaton, about words_per_automaton words. Of a larger benchmark the
+    blocks are taken one after the other, each over what the one before has written to the shared folder.
     """
-    sc = docs.sparkSession.sparkContext
-    first = docs.drop("n_words", "hits", "n_hit", "items", "longest_match")
+    spark = docs.sparkSession
+    added = {"n_words", "hits", "n_hit", "items", "longest_match"}
+    first = docs.drop(*(c for c in docs.columns if c.lower() in added))
     ddl = "n_words bigint, hits array<struct<start:int,end:int>>, items array<string>, longest_match int"
+    rows, parts = dealt(benchmark, item, item_text, words_per_automaton)
 
-    def one_pass(df: DataFrame, block: Broadcast, again: bool) -> DataFrame:
+    def one_pass(df: DataFrame, block: Broadcast, again: bool, clean: str | None) -> DataFrame:
         def make():
             automaton = SuffixAutomaton(((i, words_of(t)) for i, t in block.value), window)
 
             def work(texts, *earlier):
-                out = ([], [], [], [])
+                out = ([], [], [], [], [])
                 for k, t in enumerate(texts):
                     words = words_of(t)
                     runs, found, longest = automaton.matches(words)
@@ -184,14 +198,20 @@ def find_overlaps(
                     out[1].append([{"start": a, "end": b} for a, b in runs])
                     out[2].append(sorted(found))
                     out[3].append(longest)
-                return out
+                    if clean:
+                        out[4].append(None if t is None else (_without(t, runs) if runs else t).decode())
+                return out if clean else out[:4]
 
             return work
 
-        return map_rows(df, [text, *(("hits", "items", "longest_match") if again else ())], ddl, make)
+        return map_rows(df, [text, *(("hits", "items", "longest_match") if again else ())], ddl + (f", `{clean}` string" if clean else ""), make)
 
-    for n, block in enumerate(item_blocks(benchmark, item, item_text, words_per_automaton)):
-        first = one_pass(first, sc.broadcast(block), n > 0)
+    for n in range(max(parts, 1)):
+        block = [(r.i, r.t.encode()) for r in rows.where(F.col("part") == n).toLocalIterator()]
+        last = n >= parts - 1
+        first = one_pass(first, spark.sparkContext.broadcast(block), n > 0, clean if last else None)
+        if not last:
+            first = shared(first)
     return first.withColumn("n_hit", F.expr("aggregate(hits, 0L, (a, h) -> a + h.end - h.start)"))
 
 
@@ -201,24 +221,11 @@ def contaminated(coverage: int = 20) -> Column:
 
 
 def cut_hits(df: DataFrame, *, text: str = "text") -> DataFrame:
-    """Removes the hit word runs of find_overlaps() from the text, with what stands between a run's words."""
-    import re
+    """Removes the hit word runs of find_overlaps() from the text, with what stands between a run's words. Null stays null."""
 
     def make():
-        word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-
         def work(texts, hits):
-            out = []
-            for t, runs in zip(texts, hits, strict=True):
-                if t and runs:
-                    spans = [m.span() for m in word.finditer(t)]
-                    parts, at = [], 0
-                    for r in runs:
-                        parts.append(t[at : spans[r["start"]][0]])
-                        at = spans[r["end"] - 1][1]
-                    t = b"".join([*parts, t[at:]])
-                out.append(None if t is None else t.decode())
-            return (out,)
+            return ([None if t is None else (_without(t, [(r["start"], r["end"]) for r in runs]) if runs else t).decode() for t, runs in zip(texts, hits, strict=True)],)
 
         return work
 
