@@ -1,8 +1,8 @@
 """Secret scans: plain patterns first, then candidates that are confirmed by their structure.
 
 Base patterns find assignments of credentials, access keys and long hex runs. Structural confirmation decodes runs of
-base64 or hex and reports them only if the bytes parse: DER keys whose nested lengths fill their frames exactly, SSH keys
-made of length-prefixed fields, and signed tokens with a JSON header that names an algorithm.
+base64 or hex and reports them only if the bytes parse: DER keys whose nested lengths fill their frames exactly and whose
+fields are those of a key, SSH keys made of length-prefixed fields, and signed tokens with a JSON header that names an algorithm.
 """
 
 from __future__ import annotations
@@ -41,11 +41,11 @@ def _unbase64(s: str) -> bytes:
         return b""
 
 
-def is_der_key(raw: bytes) -> bool:
-    """Whether raw is one DER sequence, filled exactly by at least two elements, nested ones included, with an integer or a sequence first."""
-
-    def element(at: int, end: int) -> tuple[int, int, int] | None:
-        if at + 2 > end:
+def _elements(raw: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, bytes, list]] | None:
+    """(tag, content, elements inside) of DER elements that fill raw[at:end] exactly; None if they don't."""
+    out: list[tuple[int, bytes, list]] = []
+    while at < end:
+        if at + 2 > end or depth > 8:
             return None
         tag, size, at = raw[at], raw[at + 1], at + 2
         if size & 0x80:
@@ -53,35 +53,70 @@ def is_der_key(raw: bytes) -> bool:
             if not 1 <= n <= 4 or at + n > end:
                 return None
             size, at = int.from_bytes(raw[at : at + n], "big"), at + n
-        return (tag, at, at + size) if at + size <= end else None
+        if at + size > end or tag & 0x1F == 0x1F or tag == 0:
+            return None
+        inside = _elements(raw, at, at + size, depth + 1) if tag & 0x20 else []
+        if inside is None:
+            return None
+        out.append((tag, raw[at : at + size], inside))
+        at += size
+    return out
 
-    def filled(at: int, end: int, depth: int) -> int:
-        n = 0
-        while at < end:
-            e = element(at, end)
-            if e is None or e[0] & 0x1F == 0x1F or e[0] == 0 or depth > 8:
-                return 0
-            if e[0] & 0x20 and not filled(e[1], e[2], depth + 1):
-                return 0
-            at, n = e[2], n + 1
-        return n
 
-    top = element(0, len(raw))
-    return bool(top and top[0] == 0x30 and top[2] == len(raw) and raw[top[1] : top[1] + 1] in (b"\x02", b"\x30") and filled(top[1], top[2], 0) >= 2)
+_INTEGER, _BITS, _OCTETS, _OID, _SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
 
 
-def is_ssh_key(raw: bytes) -> bool:
-    """Whether raw is length-prefixed fields, the first naming a key type, or an OpenSSH private key."""
-    if raw.startswith(b"openssh-key-v1\0"):
-        return True
-    fields, at = [], 0
-    while at + 4 <= len(raw):
+def is_der_key(raw: bytes) -> bool:
+    """Whether raw is one DER sequence, filled exactly, nested lengths included, with the fields of a key.
+
+    Those are the private keys of RSA, DSA, elliptic curves and PKCS #8, and the public keys of RSA and X.509: version,
+    algorithm identifier and key fields are looked at, so that a certificate or a signature is none.
+    """
+    top = _elements(raw, 0, len(raw))
+    if not top or len(top) != 1 or top[0][0] != _SEQUENCE:
+        return False
+    parts = top[0][2]
+    tags = [t for t, _, _ in parts]
+    whole = [int.from_bytes(c, "big", signed=True) if t == _INTEGER and c else None for t, c, _ in parts]
+    algorithm = lambda k: tags[k] == _SEQUENCE and bool(parts[k][2]) and parts[k][2][0][0] == _OID and len(parts[k][2][0][1]) >= 2 and len(parts[k][2]) <= 2
+    if len(tags) >= 6 and set(tags[:6]) == {_INTEGER} and whole[0] in (0, 1):
+        return all(x is not None and x > 0 for x in whole[1:6]) and whole[1].bit_length() >= 256  # RSA: 9 numbers, DSA: 6
+    if len(tags) == 2 and tags == [_INTEGER, _INTEGER]:  # an RSA public key; the numbers of a signature are of like size
+        return all(whole) and whole[0].bit_length() >= 256 and whole[0] % 2 == 1 and 3 <= whole[1] < 1 << 33 and whole[1] % 2 == 1
+    if len(tags) >= 3 and tags[0] == _INTEGER and whole[0] in (0, 1) and algorithm(1) and tags[2] == _OCTETS:
+        return bool(parts[2][1]) and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])  # PKCS #8
+    if len(tags) >= 2 and tags[:2] == [_INTEGER, _OCTETS] and whole[0] == 1:
+        return 16 <= len(parts[1][1]) <= 72 and all(t in (0xA0, 0xA1) for t in tags[2:])  # elliptic curve
+    return len(tags) == 2 and tags[1] == _BITS and algorithm(0) and len(parts[1][1]) >= 17  # public key
+
+
+def _fields(raw: bytes, at: int, n: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from at on, n of them or as many as there are, and where they end."""
+    out: list[bytes] = []
+    while len(out) != n and at < len(raw):
         size = int.from_bytes(raw[at : at + 4], "big")
         if at + 4 + size > len(raw):
-            return False
-        fields.append(raw[at + 4 : at + 4 + size])
+            return None
+        out.append(raw[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(raw) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]+$", fields[0]) is not None
+    return None if n is not None and len(out) < n else (out, at)
+
+
+_SSH_KIND = re.compile(rb"(ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]+$")
+
+
+def is_ssh_key(raw: bytes) -> bool:
+    """Whether raw is length-prefixed fields, the first naming a key type, or an OpenSSH private key with all its fields."""
+    magic = b"openssh-key-v1\0"
+    if raw.startswith(magic):
+        head = _fields(raw, len(magic), 3)  # cipher, derivation, its options
+        if head is None or not re.fullmatch(rb"[a-z0-9@.-]+", head[0][0]) or not re.fullmatch(rb"[a-z0-9]+", head[0][1]):
+            return False
+        n, at = int.from_bytes(raw[head[1] : head[1] + 4], "big"), head[1] + 4
+        keys = _fields(raw, at, n + 1) if 1 <= n <= 64 else None
+        return keys is not None and keys[1] == len(raw) and all(is_ssh_key(k) for k in keys[0][:n]) and len(keys[0][n]) >= 8
+    found = _fields(raw, 0)
+    return found is not None and len(found[0]) >= 2 and _SSH_KIND.match(found[0][0]) is not None
 
 
 def is_jwt(header: str, body: str) -> bool:
@@ -119,19 +154,39 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def scan(docs: DataFrame, *, text: str = "text", out: str = "spans", keep: list[str] | None = None) -> DataFrame:
+def _masked(t: str | None, spans: list[tuple[int, int]], by: str) -> str | None:
+    if not t or not spans:
+        return t
+    parts, at, end = [], 0, -1
+    for x in sorted(spans):
+        if x[0] >= end:
+            parts += [t[at if end < 0 else end : x[0]], by]
+        end = max(end, x[1])
+    return "".join([*parts, t[end:]])
+
+
+def scan(docs: DataFrame, *, text: str = "text", out: str = "spans", masked: str | None = None, by: str = "[SECRET]", keep: list[str] | None = None) -> DataFrame:
     """docs with an array of (kind, start, end), by start and then kind as in KINDS; code points, end exclusive.
 
-    Null and empty texts have none; each row is scanned alone; a column of the name `out` is replaced.
+    Null and empty texts have none, an empty table gives an empty one; each row is scanned alone and whole, however
+    long, so repeated rows give repeated results. masked: a column for the text with each run of overlapping spans
+    replaced, made in the same pass. Columns of these names are replaced.
     """
 
     def make():
         def work(texts):
-            return ([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(t.decode())] if t else [] for t in texts],)
+            spans, hidden = [], []
+            for raw in texts:
+                t = None if raw is None else raw.decode()
+                found = find(t) if t else []
+                spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found])
+                if masked:
+                    hidden.append(_masked(t, [(s, e) for s, _, e in found], by))
+            return (spans, hidden) if masked else (spans,)
 
         return work
 
-    return map_rows(docs, [text], f"`{out}` array<struct<kind:string,start:int,end:int>>", make, keep)
+    return map_rows(docs, [text], f"`{out}` array<struct<kind:string,start:int,end:int>>" + (f", `{masked}` string" if masked else ""), make, keep)
 
 
 def listed(spans: str, kinds: tuple[str, ...] = KINDS):
@@ -141,23 +196,9 @@ def listed(spans: str, kinds: tuple[str, ...] = KINDS):
 
 
 def mask(df: DataFrame, *, text: str = "text", spans: str = "spans", by: str = "[SECRET]") -> DataFrame:
-    """The text with each run of overlapping spans replaced."""
+    """The text with each run of overlapping spans replaced; a null text stays null."""
 
     def make():
-        def work(texts, rows):
-            out = []
-            for t, found in zip(texts, rows, strict=True):
-                if not t or not found:
-                    out.append(None if t is None else t.decode())
-                    continue
-                s, parts, at, end = t.decode(), [], 0, -1
-                for x in sorted((x["start"], x["end"]) for x in found):
-                    if x[0] >= end:
-                        parts += [s[at if end < 0 else end : x[0]], by]
-                    end = max(end, x[1])
-                out.append("".join([*parts, s[end:]]))
-            return (out,)
-
-        return work
+        return lambda texts, rows: ([_masked(None if t is None else t.decode(), [(x["start"], x["end"]) for x in found or ()], by) for t, found in zip(texts, rows, strict=True)],)
 
     return map_rows(df, [text, spans], f"`{text}` string", make)
