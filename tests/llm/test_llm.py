@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 import re
 
 import numpy as np
@@ -183,6 +184,7 @@ def brute_classes(texts):
 
 def test_ngram_join_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)  # a group of copies then fills several blocks
+    monkeypatch.setattr(ngram_join, "NODE_ROWS", 8)
     base = passage(5, 120).split()
     texts = [None, "", "short one", "Short, one!", *(passage(k, 60) for k in range(10, 30))]
     for k in range(40):
@@ -204,9 +206,45 @@ def test_ngram_join_awkward(spark, awkward):
     assert [r.class_id for r in got if r.doc_id in (1, 2, 3)] == [r.doc_id for r in got if r.doc_id in (1, 2, 3)]
 
 
-def test_forest_depth():
-    assert 1 - (1 - 0.8 ** ngram_join.prefix_length(0.8)) ** ngram_join.TREES >= ngram_join.RECALL
-    assert 1 - (1 - 0.8 ** (ngram_join.prefix_length(0.8) + 1)) ** ngram_join.TREES < ngram_join.RECALL
+def test_ngram_join_clash_and_hot_rows(spark):
+    rows = [(7, "the same five words and more", 0, "x")] * 400 + [(8, "the same five words and more", 1, "y"), (None, "the same five words and more", 2, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id int, `set` string")
+    got = ngram_join.near_duplicates(docs).collect()
+    assert {(r.class_id, r.n_copies, r.n_links) for r in got} == {(7, 402, 401)} and len(got) == 402
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark, monkeypatch):
+    """Pairs near the threshold are missed by whole paths; the measure asks for shorter prefixes, and not for more than are needed."""
+    depths, edges = [], ngram_join.trie_edges
+    monkeypatch.setattr(ngram_join, "trie_edges", lambda sets, depth, s: depths.append(depth) or edges(sets, depth, s))
+    far = [passage(k, 104) for k in range(200)]
+    near = [" ".join([*t.split()[:94], *(f"x{k}" for k in range(10))]) for t in far]  # 90 of 110 n-grams in common
+    docs = spark.createDataFrame(list(enumerate(far + near)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(docs).collect()}
+    assert sum(got.values()) >= 0.99 * 400 and 5 < depths[-1] < 8
+    depths.clear()
+    ngram_join.near_duplicates(spark.createDataFrame([(k, t) for k, t in enumerate(far + far)], "doc_id long, text string")).count()
+    assert depths == [8]
+
+
+def test_ngram_join_recall_on_given_documents(spark):
+    """All pairs of the given documents, by an inverted index of n-grams."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path) if os.path.exists(path) else spark.createDataFrame([(k, passage(k % 60, 60)) for k in range(90)], "doc_id long, text string")
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = {i: {tuple(w[k : k + min(5, len(w))]) for k in range(max(len(w) - 4, 1))} if (w := WORDS.findall(lower(t))) else set() for i, t in texts}
+    index = {}
+    for i, s in sets.items():
+        for g in s:
+            index.setdefault(g, []).append(i)
+    pairs = {(a, b) for own in index.values() if len(own) > 1 for a in own for b in own if a < b}
+    links = dict.fromkeys(sets, 0)
+    for a, b in pairs:
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            links[a] += 1
+            links[b] += 1
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(docs).collect()}
+    assert all(got[i] <= links[i] for i in links) and sum(got.values()) >= 0.995 * sum(links.values()) > 0
 
 
 def test_exact_top_k_against_brute_force(spark, monkeypatch):
