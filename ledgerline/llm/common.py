@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -19,8 +21,8 @@ _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 
-#: Rows handed to Python at once: a batch of long documents stays far from Arrow's 2 GiB limit.
-ROWS_PER_BATCH = 512
+#: Rows and bytes handed to Python at once, at most; a longer text is a batch of its own.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 4 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -49,19 +51,27 @@ def ship(spark: SparkSession) -> None:
 def limit_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds of its input, and sends this package to the workers.
 
-    The setting is read when a plan runs.
+    The settings are the session's and stay: Spark reads them when a plan runs, not when it is made.
     """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    for key, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a folder of its own; on a cluster that is an error, since other machines
+    would not see it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -75,7 +85,8 @@ def shared(df: DataFrame) -> DataFrame:
 def counted_memory() -> Iterator[None]:
     """While a task runs, memory is freed by counting alone: tracing its large tables costs a third of the time.
 
-    What earlier tasks of the same worker have left in cycles is traced and freed first.
+    What earlier tasks of the same worker have left in cycles is traced and freed first, and at the end the memory goes
+    back to the system: an idle worker of an earlier stage holds none of it.
     """
     gc.enable()
     gc.collect()
@@ -84,6 +95,10 @@ def counted_memory() -> Iterator[None]:
         yield
     finally:
         gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
 
 def spark_fields(ddl: str) -> list[T.StructField]:
@@ -126,5 +141,6 @@ def map_rows(
                 outs = work(*columns)
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=kind) for x, kind in zip(outs, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_front)] + arrays, names=names)
+            work = batch = columns = outs = arrays = None
 
     return df.select(*front, *feed).mapInArrow(run, T.StructType(kept + added))

@@ -119,7 +119,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = _tokenizer("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks)
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded", keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
