@@ -1,7 +1,9 @@
 """A training-corpus pipeline: each stage is one operator over what its predecessor kept, written as Parquet and reread.
 
 The order is quality, near duplicates, benchmark passages, secrets, tokens. All stages but the last return the columns
-of documents; the last returns each document's token ids.
+of documents; the last returns each document's token ids. Every stage takes each row as it is: null and empty texts are
+texts without words, repeated rows are rows (near duplicates keep one), ties go to the least id, an empty table gives an
+empty one, and columns that it adds on the way replace none of its result.
 """
 
 from __future__ import annotations
@@ -30,21 +32,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one of least id; of equal rows one."""
+    """One document of each class of near copies, the one of least id; of equal rows one.
+
+    A null id comes after all others. Texts without words, null ones included, are kept, one of each id and text.
+    """
     heads = ngram_join.near_duplicates(docs).select(F.col("keep_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    return keyed.join(heads, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    keyed = docs.withColumn("__key", ngram_join.row_key("doc_id", "text"))
+    return keyed.join(heads, "__key", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents of which benchmark passages cover a twentieth or more; shorter matches are cut from the others."""
-    found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"), window=13)
-    return _columns(decontaminate.cut_hits(found.where(~decontaminate.contaminated(20))), docs)
+    found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"), window=13, clean="text")
+    return _columns(found.where(~decontaminate.contaminated(20)), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
-    return _columns(secrets.mask(secrets.scan(docs)), docs)
+    return _columns(secrets.scan(docs, masked="text"), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded")
     same = F.sha2("decoded", 256) == F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
