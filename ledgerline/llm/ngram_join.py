@@ -28,6 +28,8 @@ TREES, LONGEST, RECALL = 20, 8, 0.995
 BLOCK_ROWS, BLOCK_GRAMS, NODE_ROWS = 512, 400_000, 1024
 #: Sets that share a node are joined if their signatures agree in so much less than the similarity: six deviations.
 SLACK = 0.2
+#: Slots of the filter that keeps most texts out of the exact comparison before they are moved; it has a row a slot at most.
+SLOTS = 1 << 20
 #: Recall is measured on links of a similarity less than this above the threshold.
 BAND = 0.05
 _KEPT_WORDS = 200_000
@@ -315,8 +317,10 @@ def linked_sets(source: DataFrame, sets: DataFrame, n: int, similarity: float, t
         known = marks
         parts = members.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("parts"))
         placed = members.join(parts, "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")).select("key", "set", "cluster", "block", "parts", "n_copies")
+        slot = F.pmod(F.col("key"), F.lit(SLOTS)).cast("int").alias("slot")
+        own = source.select("key", "text", slot).join(F.broadcast(placed.select(slot).distinct()), "slot", "left_semi").drop("slot")
         # rows that repeat have one key: each task keeps one of them
-        grams = map_rows(source.select("key", "text").join(placed, "key"), ["text", "set"], "grams binary", regram, ["cluster", "set", "block", "parts", "n_copies"]).where("grams is not null")
+        grams = map_rows(own.join(placed, "key"), ["text", "set"], "grams binary", regram, ["cluster", "set", "block", "parts", "n_copies"]).where("grams is not null")
         full = grams.groupBy("set", "cluster", "block", "parts", "n_copies").agg(F.first("grams").alias("grams"))
         dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
             "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set", "block", "n_copies", "grams"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import limit_batches, map_rows
+from ledgerline.llm.common import counted_memory, limit_batches, map_rows
 from ledgerline.llm.labelled import sample
 from ledgerline.llm.sums import ROWS, blocks, summed
 
@@ -78,29 +78,31 @@ def word_vectors(docs: DataFrame, *, text: str = "text") -> np.ndarray:
     limit_batches(docs.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, tokens = index_vectors(), Tokens()
-        total = np.zeros((CORES + SHAPES, DIM))
-        for b in batches:
-            core, shape, n = tokens.of(b.column(0).to_pylist())
-            if not len(core):
-                continue
-            doc = np.repeat(np.arange(len(n)), n)
-            for low in range(0, len(core), SLICE):
-                # a token more on both sides, so that no pair of neighbours is lost
-                front = min(low, 1)
-                c, s, d = (x[low - front : low + SLICE + 1] for x in (core, shape, doc))
-                own = index[c] + index[s]
-                around = own.copy()
-                same = (d[1:] == d[:-1])[:, None]
-                around[1:] += own[:-1] * same
-                around[:-1] += own[1:] * same
-                c, s, around = (x[front : front + SLICE] for x in (c, s, around))
-                for ids in (c, s):
-                    order = np.argsort(ids, kind="stable")
-                    ids = ids[order]
-                    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-                    total[ids[first]] += np.add.reduceat(around[order], first, axis=0)
-        yield from blocks(total)
+        with counted_memory():
+            index, tokens = index_vectors(), Tokens()
+            total = np.zeros((CORES + SHAPES, DIM))
+            for b in batches:
+                core, shape, n = tokens.of(b.column(0).to_pylist())
+                if not len(core):
+                    continue
+                doc = np.repeat(np.arange(len(n)), n)
+                for low in range(0, len(core), SLICE):
+                    # a token more on both sides, so that no pair of neighbours is lost
+                    front = min(low, 1)
+                    c, s, d = (x[low - front : low + SLICE + 1] for x in (core, shape, doc))
+                    own = index[c] + index[s]
+                    around = own.copy()
+                    same = (d[1:] == d[:-1])[:, None]
+                    around[1:] += own[:-1] * same
+                    around[:-1] += own[1:] * same
+                    c, s, around = (x[front : front + SLICE] for x in (c, s, around))
+                    for ids in (c, s):
+                        order = np.argsort(ids, kind="stable")
+                        ids = ids[order]
+                        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                        total[ids[first]] += np.add.reduceat(around[order], first, axis=0)
+            yield from blocks(total)
+            index = tokens = None
 
     size = (CORES + SHAPES) * DIM
     total = summed(docs.select(F.col(text).cast("binary")).mapInArrow(gather, ROWS), size).reshape(-1, DIM)
