@@ -1,12 +1,14 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Every token is predicted from the two tokens before and the two after it, itself left out. The vocabulary is the most
-frequent words and hashed buckets of the others; the network gives the probability of the token's class, and the
-corpus counts those of the id within its class and of the word within its bucket, so that the conditional probabilities
-of all distinct words at a place sum to 1. A document's score is the sum of its tokens' conditional log-probabilities.
+frequent words and hashed buckets of the others. The network gives the probability of the token's class and that of the
+id within its class, both from the context and both with an exact normaliser; only a word within its bucket has its
+share of the bucket's count. So the conditional probabilities of all distinct words at a place sum to 1. A document's
+score is the sum of its tokens' conditional log-probabilities.
 
 Vocabulary and classes grow with the distinct words. The counts of the words in buckets never leave Spark: they are
-joined to the words of each document.
+joined to the words of each document. Texts are cut into words twice, to count them and to number them; training and
+scoring read the numbers.
 
 The network is trained in numpy by every task on every window of its own part of the corpus, in rounds; Spark averages
 the tasks' parameters after each round.
@@ -25,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import limit_batches, map_rows, shared, words_of
+from ledgerline.llm.common import counted_memory, limit_batches, map_rows, shared, words_of
 from ledgerline.llm.sums import ROWS, blocks, summed
 
 #: Words with ids of their own and classes, at least; GROWTH times the root of the number of distinct words if that is more.
@@ -33,22 +35,26 @@ WORDS, BUCKETS, CLASSES, DIM, HIDDEN, GROWTH = 4096, 512, 64, 16, 32, 8
 #: The token that stands beyond both ends of a text; words after the first WORDS have the ids after it.
 EDGE = WORDS + BUCKETS
 WINDOW = (-2, -1, 1, 2)
+#: A bias whose power of e is 0, and stays it.
+NEVER = -1e4
 
 
 @dataclass
 class Vocabulary:
-    """Ids of frequent words; the class and the log-probability within its class of every id; tokens in each bucket."""
+    """Ids of frequent words; of every id its class and its place among the ids in order of class; tokens in each bucket."""
 
     words: dict[bytes, int]
     kind: np.ndarray
-    within: np.ndarray
+    place: np.ndarray
+    #: Of the ids in order of class: where each class begins, with one end more.
+    starts: np.ndarray
+    #: Logarithms of the counts of classes and of ids in order of class, NEVER for those that no text has.
+    prior: tuple[np.ndarray, np.ndarray]
     buckets: np.ndarray
-    #: Which classes have words.
-    live: np.ndarray
 
     @property
     def shapes(self) -> tuple[tuple[int, ...], ...]:
-        return shapes(len(self.kind), len(self.live))
+        return shapes(len(self.kind), len(self.starts) - 1)
 
     def ids(self, texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all tokens with two EDGEs after each text and before the first, and how many tokens each text has."""
@@ -102,21 +108,24 @@ def vocabulary(docs: DataFrame, *, text: str = "text", counts: DataFrame | None
     n[list(words.values())] = [c for _, c in top]
     for r in rare.collect():
         n[WORDS + r.bucket] = buckets[r.bucket] = r.n
-    # frequent words have classes of their own, the others share classes of about equal counts
+    # the most frequent words have classes of their own, the others share classes of about equal counts
     classes = int(CLASSES * (len(n) / (EDGE + 1)) ** 0.5)
     kind = np.empty(len(n), dtype=np.int64)
-    order, alone = np.argsort(-n, kind="stable"), classes // 2
+    order, alone = np.argsort(-n, kind="stable"), classes // 8
     kind[order[:alone]] = np.arange(alone)
     tail = np.cumsum(n[order[alone:]])
     kind[order[alone:]] = alone + np.minimum((tail - tail[0]) * (classes - alone) // max(tail[-1], 1), classes - alone - 1).astype(np.int64)
+    by = np.argsort(kind, kind="stable")
+    place = np.empty(len(n), dtype=np.int64)
+    place[by] = np.arange(len(n))
     held = np.bincount(kind, n, minlength=classes)
-    within = np.full(len(n), -np.inf)  # of ids that no text has
-    within[n > 0] = np.log(n[n > 0]) - np.log(held[kind[n > 0]])
-    return Vocabulary(words, kind, within, buckets, held > 0)
+    prior = tuple(np.where(x > 0, np.log(np.maximum(x, 1) / max(n.sum(), 1)), NEVER) for x in (held, n[by]))
+    return Vocabulary(words, kind, place, np.searchsorted(kind[by], np.arange(classes + 1)), prior, buckets)
 
 
 def shapes(ids: int, classes: int) -> tuple[tuple[int, ...], ...]:
-    return ((ids, DIM), (len(WINDOW) * DIM, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,))
+    """Vectors of the ids around, the hidden layer, the classes, and the ids within their classes."""
+    return ((ids, DIM), (len(WINDOW) * DIM, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,), (ids, HIDDEN), (ids,))
 
 
 SHAPES = shapes(EDGE + 1, CLASSES)
@@ -131,55 +140,114 @@ def unpacked(flat: np.ndarray, like: tuple[tuple[int, ...], ...] = SHAPES) -> li
     return out
 
 
-def initial(like: tuple[tuple[int, ...], ...] = SHAPES) -> np.ndarray:
+def initial(like: tuple[tuple[int, ...], ...] = SHAPES, prior: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Parameters before the first step. prior: biases of classes and of ids, which then begin with the corpus counts."""
     rng = np.random.default_rng(2)
-    return np.concatenate([(rng.normal(0, 0.3 if k == 0 else 1 / np.sqrt(s[0]), s) if len(s) == 2 else np.zeros(s)).ravel() for k, s in enumerate(like)])
+    scale = (0.3, 1 / np.sqrt(like[1][0]), 0, 1 / np.sqrt(HIDDEN), 0, 0, 0)
+    parts = [rng.normal(0, x, s) if x else np.zeros(s) for x, s in zip(scale, like, strict=True)]
+    if prior is not None:
+        parts[4], parts[6] = prior
+    return np.concatenate([x.ravel() for x in parts])
 
 
-def learn(p: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One step of gradient descent on a batch of windows, in place."""
-    emb, w1, b1, w2, b2 = p
+def powers(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of e of rows of logits, in place and up to a factor a row, and the sum of each row."""
+    logit -= logit.max(axis=1, keepdims=True)
+    np.exp(logit, out=logit)
+    return logit, logit.sum(axis=1)
+
+
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """An order of small numbers, and where runs of equal ones begin in it, with one end more."""
+    order = np.argsort(keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys, kind="stable")
+    own = keys[order]
+    return order, np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]).tolist() if len(keys) else [0]
+
+
+def learn(p: list[np.ndarray], v: Vocabulary, around: np.ndarray, target: np.ndarray, rate: float) -> None:
+    """One step of gradient descent on a batch of windows and the ids in their middles, in place."""
+    emb, w1, b1, w2, b2, u, ub = p
+    step, every = np.float32(rate / np.sqrt(len(target))), np.arange(len(target))
+    order, cuts = in_order(v.kind[target])
+    around, target = around[order], target[order]  # the tokens of a class stand together
+    kind = v.kind[target]
     x = emb[around].reshape(len(around), -1)
     h = np.tanh(x @ w1 + b1)
-    logit = h @ w2 + b2
-    logit -= logit.max(axis=1, keepdims=True)
-    g = np.exp(logit)
-    g /= g.sum(axis=1, keepdims=True)
-    g[np.arange(len(target)), target] -= 1
-    g *= rate / np.sqrt(len(target))
-    back = g @ w2.T * (1 - h * h)
-    dx = (back @ w1.T).reshape(-1, DIM)
+    g, total = powers(h @ w2 + b2)
+    g *= (step / total)[:, None]
+    g[every, kind] -= step
+    back = g @ w2.T
     w2 -= h.T @ g
     b2 -= g.sum(axis=0)
+    places = v.place[target]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        low, high = v.starts[kind[a]], v.starts[kind[a] + 1]
+        if high - low > 1:
+            own, inner = h[a:b], u[low:high]
+            g, total = powers(own @ inner.T + ub[low:high])
+            g *= (step / total)[:, None]
+            g[every[: b - a], places[a:b] - low] -= step
+            back[a:b] += g @ inner
+            inner -= g.T @ own
+            ub[low:high] -= g.sum(axis=0)
+    back *= 1 - h * h
+    dx = (back @ w1.T).reshape(-1, DIM)
     w1 -= x.T @ back
     b1 -= back.sum(axis=0)
     ids = around.ravel()
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    emb[ids[first]] -= np.add.reduceat(dx[order], first, axis=0)
+    order, cuts = in_order(ids)
+    emb[ids[order[cuts[:-1]]]] -= np.add.reduceat(dx[order], cuts[:-1], axis=0)
+
 
+def numbered(docs: DataFrame, vocab: Broadcast, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs, in the shared folder, with n_words, __ids (the ids of the words, packed) and __rare (the words in buckets)."""
+
+    def make():
+        v = vocab.value
+        size = np.uint16 if len(v.kind) < 1 << 16 else np.uint32
 
-def train(docs: DataFrame, vocab: Broadcast, *, text: str = "text", rounds: int = 1, batch: int = 512, rate: float = 0.05) -> np.ndarray:
-    """Parameters of the network. In a round each task starts from the last average and takes every window of its part."""
+        def work(texts):
+            ids, n = v.ids(texts)
+            ids = ids[ids != EDGE].astype(size)
+            ends = np.r_[0, np.cumsum(n)]
+            rare = (ids >= WORDS) & (ids < EDGE)
+            packed = [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            some = np.add.reduceat(np.append(rare, False), ends[:-1], dtype=np.int64) if len(n) else n
+            return pa.array(n), packed, [[w for w in words_of(t) if w not in v.words] if k else [] for t, k in zip(texts, some.tolist(), strict=True)]
+
+        return work
+
+    return shared(map_rows(docs, [text], "n_words bigint, __ids binary, __rare array<binary>", make, keep))
+
+
+def with_edges(packed: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """As Vocabulary.ids(), of the ids of numbered()."""
+    size = np.dtype(np.uint16 if len(v.kind) < 1 << 16 else np.uint32)
+    edge = np.full(2, EDGE, dtype=size).tobytes()
+    return np.frombuffer(edge + edge.join([*packed, b""]), dtype=size).astype(np.int64), np.array([len(x) // size.itemsize for x in packed], dtype=np.int64)
+
+
+def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = 1, batch: int = 4096, rate: float = 0.05) -> np.ndarray:
+    """Parameters of the network, from numbered() documents. In a round each task starts from the last average and takes every window of its part."""
     like = vocab.value.shapes
-    flat = initial(like)
+    flat = initial(like, vocab.value.prior)
     for _ in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast(flat.astype(np.float32))
+        sent = ids.sparkSession.sparkContext.broadcast(flat.astype(np.float32))
 
         def part(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
-            p, v, seen = unpacked(sent.value, like), vocab.value, 0
-            for b in batches:
-                ids, _ = v.ids(b.column(0).to_pylist())
-                at = np.flatnonzero(ids != EDGE)
-                for k in range(0, len(at), batch):
-                    here = at[k : k + batch]
-                    learn(p, np.stack([ids[here + o] for o in WINDOW], axis=1), v.kind[ids[here]], rate)
-                seen += len(at)
-            if seen:
-                yield from blocks(np.append(np.concatenate([x.ravel() for x in p]).astype(np.float64) * seen, seen))
-
-        total = summed(docs.select(F.col(text).cast("binary")).mapInArrow(part, ROWS), len(flat) + 1)
+            with counted_memory():
+                p, v, seen = unpacked(sent.value, like), vocab.value, 0
+                for b in batches:
+                    own, _ = with_edges(b.column(0).to_pylist(), v)
+                    at = np.flatnonzero(own != EDGE)
+                    for k in range(0, len(at), batch):
+                        here = at[k : k + batch]
+                        learn(p, v, np.stack([own[here + o] for o in WINDOW], axis=1), own[here], rate)
+                    seen += len(at)
+                if seen:
+                    yield from blocks(np.append(np.concatenate([x.ravel() for x in p]).astype(np.float64) * seen, seen))
+
+        total = summed(ids.select("__ids").mapInArrow(part, ROWS), len(flat) + 1)
         if total[-1]:
             flat = total[:-1] / total[-1]
     return flat
@@ -187,55 +255,65 @@ def train(docs: DataFrame, vocab: Broadcast, *, text: str = "text", rounds: int
 
 def log_probabilities(p: list[np.ndarray], v: Vocabulary, ids: np.ndarray) -> np.ndarray:
     """Conditional log-probabilities of all tokens of ids that aren't EDGE, in order."""
-    emb, w1, b1, w2, b2 = p
+    emb, w1, b1, w2, b2, u, ub = p
     tables = [emb @ w1[k * DIM : (k + 1) * DIM] for k in range(len(WINDOW))]
     at, out = np.flatnonzero(ids != EDGE), []
     for low in range(0, len(at), 1 << 14):
         here = at[low : low + (1 << 14)]
+        order, cuts = in_order(v.kind[ids[here]])
+        here = here[order]
+        own = ids[here]
+        kind, places, every = v.kind[own], v.place[own], np.arange(len(here))
         h = tables[0][ids[here + WINDOW[0]]] + b1
         for o, t in zip(WINDOW[1:], tables[1:], strict=True):
             h += t[ids[here + o]]
-        logit = np.tanh(h, out=h) @ w2 + b2
-        logit[:, ~v.live] = -np.inf
-        logit -= logit.max(axis=1, keepdims=True)
-        own = v.kind[ids[here]]
-        picked = logit[np.arange(len(here)), own]
-        out.append(picked - np.log(np.exp(logit, out=logit).sum(axis=1)) + v.within[ids[here]])
+        h = np.tanh(h, out=h)
+        g, total = powers(h @ w2 + b2)
+        found = np.log(g[every, kind] / total)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            first, last = v.starts[kind[a]], v.starts[kind[a] + 1]
+            if last - first > 1:
+                g, total = powers(h[a:b] @ u[first:last].T + ub[first:last])
+                found[a:b] += np.log(g[every[: b - a], places[a:b] - first] / total)
+        back = np.empty_like(found)
+        back[order] = found
+        out.append(back)
     return np.concatenate(out) if out else np.zeros(0)
 
 
 def score(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with n_words, log_likelihood (the sum of conditional log-probabilities) and mean_log_likelihood a word.
+    """docs with mean_log_likelihood a word, log_likelihood (the sum of conditional log-probabilities) and n_words.
 
-    Vocabulary and network are learnt from all of docs. A text without words has 0, 0 and null. Each row counts as often
-    as it is there; columns of these names are replaced. What is sent to the tasks grows with the root of the number of
+    Vocabulary and network are learnt from all of docs. A text without words, null included, has null, 0 and 0; an empty
+    table gives an empty one. Each row counts as often as it is there, and equal rows have equal scores; columns of these
+    names are replaced. A very long text is scored whole. What is sent to the tasks grows with the root of the number of
     distinct words.
     """
     sc = docs.sparkSession.sparkContext
     counts = counted(docs, text=text)
     vocab = sc.broadcast(vocabulary(docs, text=text, counts=counts))
-    sent = sc.broadcast(train(docs, vocab, text=text).astype(np.float32))
+    drop = [c for c in docs.columns if c.lower() in ("n_words", "log_likelihood", "mean_log_likelihood")]
+    front = [c for c in docs.columns if (keep is None or c in keep) and c not in drop]
+    rows = numbered(docs.withColumn("__row", F.monotonically_increasing_id()), vocab, text=text, keep=[*front, "__row"])
+    sent = sc.broadcast(train(rows, vocab).astype(np.float32))
 
     def make():
         v = vocab.value
         p = unpacked(sent.value, v.shapes)
 
-        def work(texts):
-            ids, n = v.ids(texts)
-            found = log_probabilities(p, v, ids)
+        def work(packed):
+            ids, n = with_edges(packed, v)
+            found = log_probabilities(p, v, ids).astype(np.float64)
             ids = ids[ids != EDGE]
             bucket = (ids >= WORDS) & (ids < EDGE)
             found[bucket] -= np.log(v.buckets[ids[bucket] - WORDS])
-            sums = np.bincount(np.repeat(np.arange(len(n)), n), found, minlength=len(n))
-            return pa.array(n), pa.array(sums), [[w for w in words_of(t) if w not in v.words] for t in texts]
+            return (pa.array(np.bincount(np.repeat(np.arange(len(n)), n), found, minlength=len(n))),)
 
         return work
 
+    part = map_rows(rows, ["__ids"], "__sum double", make, [*front, "__row", "n_words"])
     # of a word in a bucket, what is still wanting is the logarithm of its own count
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    kept = None if keep is None else [*keep, "__row"]
-    part = shared(map_rows(numbered, [text], "n_words bigint, log_likelihood double, __rare array<binary>", make, kept).drop("mean_log_likelihood"))
-    rare = part.select("__row", F.explode("__rare").alias("word")).join(counts, "word").groupBy("__row").agg(F.sum(F.log("n")).alias("__own"))
-    total = F.col("log_likelihood") + F.coalesce("__own", F.lit(0.0))
-    out = part.drop("__rare").join(rare, "__row", "left").withColumn("log_likelihood", total)
-    return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))).drop("__row", "__own")
+    rare = rows.select("__row", F.explode("__rare").alias("word")).join(counts, "word").groupBy("__row").agg(F.sum(F.log("n")).alias("__own"))
+    total = F.col("__sum") + F.coalesce("__own", F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, total / F.col("n_words"))
+    return part.join(rare, "__row", "left").select(*(F.col(f"`{c}`") for c in front), mean.alias("mean_log_likelihood"), total.alias("log_likelihood"), "n_words")
