@@ -31,12 +31,14 @@ from ledgerline.llm.common import counted_memory, limit_batches, map_rows, share
 from ledgerline.llm.sums import ROWS, blocks, summed
 
 #: Words with ids of their own and classes, at least; GROWTH times the root of the number of distinct words if that is more.
-WORDS, BUCKETS, CLASSES, DIM, HIDDEN, GROWTH = 4096, 512, 64, 16, 32, 8
+WORDS, BUCKETS, CLASSES, DIM, HIDDEN, GROWTH = 4096, 512, 64, 16, 32, 4
 #: The token that stands beyond both ends of a text; words after the first WORDS have the ids after it.
 EDGE = WORDS + BUCKETS
 WINDOW = (-2, -1, 1, 2)
-#: A bias whose power of e is 0, and stays it.
-NEVER = -1e4
+#: A bias whose power of e is 0, and stays it; the largest logit.
+NEVER, MOST = -1e4, 70
+#: Rows whose classes are worked out at once: their logits stay in the processor's cache.
+ROWS_AT_ONCE = 512
 
 
 @dataclass
@@ -124,8 +126,8 @@ def vocabulary(docs: DataFrame, *, text: str = "text", counts: DataFrame | None
 
 
 def shapes(ids: int, classes: int) -> tuple[tuple[int, ...], ...]:
-    """Vectors of the ids around, the hidden layer, the classes, and the ids within their classes."""
-    return ((ids, DIM), (len(WINDOW) * DIM, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,), (ids, HIDDEN), (ids,))
+    """Vectors of the ids around, the hidden layer, the classes, and the ids within their classes; the last two with biases."""
+    return ((ids, DIM), (len(WINDOW) * DIM, HIDDEN), (HIDDEN,), (HIDDEN + 1, classes), (ids, HIDDEN + 1))
 
 
 SHAPES = shapes(EDGE + 1, CLASSES)
@@ -143,18 +145,17 @@ def unpacked(flat: np.ndarray, like: tuple[tuple[int, ...], ...] = SHAPES) -> li
 def initial(like: tuple[tuple[int, ...], ...] = SHAPES, prior: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Parameters before the first step. prior: biases of classes and of ids, which then begin with the corpus counts."""
     rng = np.random.default_rng(2)
-    scale = (0.3, 1 / np.sqrt(like[1][0]), 0, 1 / np.sqrt(HIDDEN), 0, 0, 0)
+    scale = (0.3, 1 / np.sqrt(like[1][0]), 0, 1 / np.sqrt(HIDDEN), 0)
     parts = [rng.normal(0, x, s) if x else np.zeros(s) for x, s in zip(scale, like, strict=True)]
-    if prior is not None:
-        parts[4], parts[6] = prior
+    parts[3][HIDDEN], parts[4][:, HIDDEN] = (0, 0) if prior is None else prior
     return np.concatenate([x.ravel() for x in parts])
 
 
 def powers(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of e of rows of logits, in place and up to a factor a row, and the sum of each row."""
-    logit -= logit.max(axis=1, keepdims=True)
+    """Powers of e of rows of logits, in place, and the sum of each row. No logit counts for more than MOST."""
+    np.minimum(logit, MOST, out=logit)
     np.exp(logit, out=logit)
-    return logit, logit.sum(axis=1)
+    return logit, logit @ np.ones(logit.shape[1], dtype=logit.dtype) + np.finfo(np.float32).tiny
 
 
 def in_order(keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -164,33 +165,43 @@ def in_order(keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return order, np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]).tolist() if len(keys) else [0]
 
 
+def hidden(x: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """The hidden layer and a last column of ones, which meets the biases."""
+    h = np.ones((len(x), HIDDEN + 1), dtype=x.dtype)
+    np.tanh(x + b1, out=h[:, :HIDDEN])
+    return h
+
+
 def learn(p: list[np.ndarray], v: Vocabulary, around: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on a batch of windows and the ids in their middles, in place."""
-    emb, w1, b1, w2, b2, u, ub = p
+    emb, w1, b1, w2, u = p
     step, every = np.float32(rate / np.sqrt(len(target))), np.arange(len(target))
     order, cuts = in_order(v.kind[target])
     around, target = around[order], target[order]  # the tokens of a class stand together
-    kind = v.kind[target]
+    kind, places = v.kind[target], v.place[target]
     x = emb[around].reshape(len(around), -1)
-    h = np.tanh(x @ w1 + b1)
-    g, total = powers(h @ w2 + b2)
-    g *= (step / total)[:, None]
-    g[every, kind] -= step
-    back = g @ w2.T
-    w2 -= h.T @ g
-    b2 -= g.sum(axis=0)
-    places = v.place[target]
+    h = hidden(x @ w1, b1)
+    back, change = np.empty_like(h), np.zeros_like(w2)
+    for a in range(0, len(h), ROWS_AT_ONCE):
+        own = h[a : a + ROWS_AT_ONCE]
+        g, total = powers(own @ w2)
+        g *= (step / total)[:, None]
+        g[every[: len(own)], kind[a : a + ROWS_AT_ONCE]] -= step
+        np.matmul(g, w2.T, out=back[a : a + ROWS_AT_ONCE])
+        change += own.T @ g
+    w2 -= change
+    starts = v.starts.tolist()
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        low, high = v.starts[kind[a]], v.starts[kind[a] + 1]
+        low, high = starts[kind[a]], starts[kind[a] + 1]
         if high - low > 1:
             own, inner = h[a:b], u[low:high]
-            g, total = powers(own @ inner.T + ub[low:high])
+            g, total = powers(own @ inner.T)
             g *= (step / total)[:, None]
             g[every[: b - a], places[a:b] - low] -= step
             back[a:b] += g @ inner
             inner -= g.T @ own
-            ub[low:high] -= g.sum(axis=0)
-    back *= 1 - h * h
+    back, h = back[:, :HIDDEN], h[:, :HIDDEN]
+    back = back * (1 - h * h)
     dx = (back @ w1.T).reshape(-1, DIM)
     w1 -= x.T @ back
     b1 -= back.sum(axis=0)
@@ -255,7 +266,7 @@ def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = 1, batch: int = 409
 
 def log_probabilities(p: list[np.ndarray], v: Vocabulary, ids: np.ndarray) -> np.ndarray:
     """Conditional log-probabilities of all tokens of ids that aren't EDGE, in order."""
-    emb, w1, b1, w2, b2, u, ub = p
+    emb, w1, b1, w2, u = p
     tables = [emb @ w1[k * DIM : (k + 1) * DIM] for k in range(len(WINDOW))]
     at, out = np.flatnonzero(ids != EDGE), []
     for low in range(0, len(at), 1 << 14):
@@ -264,16 +275,17 @@ def log_probabilities(p: list[np.ndarray], v: Vocabulary, ids: np.ndarray) -> np
         here = here[order]
         own = ids[here]
         kind, places, every = v.kind[own], v.place[own], np.arange(len(here))
-        h = tables[0][ids[here + WINDOW[0]]] + b1
+        x = tables[0][ids[here + WINDOW[0]]]
         for o, t in zip(WINDOW[1:], tables[1:], strict=True):
-            h += t[ids[here + o]]
-        h = np.tanh(h, out=h)
-        g, total = powers(h @ w2 + b2)
-        found = np.log(g[every, kind] / total)
+            x += t[ids[here + o]]
+        h, found = hidden(x, b1), np.empty(len(here), dtype=x.dtype)
+        for a in range(0, len(h), ROWS_AT_ONCE):
+            g, total = powers(h[a : a + ROWS_AT_ONCE] @ w2)
+            found[a : a + ROWS_AT_ONCE] = np.log(g[every[: len(g)], kind[a : a + ROWS_AT_ONCE]] / total)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             first, last = v.starts[kind[a]], v.starts[kind[a] + 1]
             if last - first > 1:
-                g, total = powers(h[a:b] @ u[first:last].T + ub[first:last])
+                g, total = powers(h[a:b] @ u[first:last].T)
                 found[a:b] += np.log(g[every[: b - a], places[a:b] - first] / total)
         back = np.empty_like(found)
         back[order] = found
