@@ -3,11 +3,16 @@
 Vectors are dealt to cells around far-apart centres, the top of the tree, and cells to chunks of bounded size by a hash
 of the id, so that a very common vector fills several chunks. Each chunk becomes one packed row with its own cover tree;
 so does each block of queries. A pair of nodes is left out if the largest inner product that their centres and covering
-radii allow lies below the worst kth score in the query node. Every chunk gives at most k rows a query; Spark merges them.
+radii allow lies below the worst kth score in the query node.
+
+Every block of queries first meets the cell that allows the largest inner product. The kth scores found there travel
+with the block, which then meets only those other cells that allow as much as the worst of them. Every chunk gives at
+most k rows a query; Spark merges them.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +24,11 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import limit_batches, shared
 
 #: Vectors in a chunk and queries in a block, about; cells at most; blocks that meet a chunk in one task.
-CHUNK, BLOCK, CELLS, LOT = 8192, 1024, 64, 64
+CHUNK, BLOCK, CELLS, LOT = 8192, 256, 256, 64
 #: Rows among which the cells' centres are chosen; only the shape of the cells depends on it, not the result.
 SAMPLE = 2048
-LEAF, FANOUT = 64, 16
+#: Points in a leaf; a node that more children than these would have to cover at half its radius is a leaf too.
+LEAF, FANOUT = 64, 64
 
 
 def whole_numbers(vector: str, scale: int = 1024) -> Column:
@@ -32,7 +38,10 @@ def whole_numbers(vector: str, scale: int = 1024) -> Column:
 
 
 class CoverTree:
-    """Nodes over contiguous ranges of points; a node's radius covers its points from its centre, which is one of them."""
+    """Nodes over contiguous ranges of points; a node's radius covers its points from its centre, which is one of them.
+
+    The children of a node cover its points at half its radius, and their centres are further apart than that.
+    """
 
     def __init__(self, points: np.ndarray) -> None:
         self.order = np.arange(len(points))
@@ -55,13 +64,15 @@ class CoverTree:
                 continue
             # centres more than half the radius apart; each point goes to the nearest
             near, to = away.copy(), np.zeros(b - a, dtype=np.int64)
-            for k in range(1, FANOUT):
+            for k in range(1, FANOUT + 1):
                 far = int(near.argmax())
-                if near[far] <= radius / 2:
+                if near[far] <= radius / 2 or k == FANOUT:
                     break
                 d = np.linalg.norm(x[own] - x[own[far]], axis=1)
                 closer = d < near
                 near[closer], to[closer] = d[closer], k
+            if near.max() > radius / 2:
+                continue
             # the node's own centre stays first in its part, and so does each other one
             by = np.lexsort((near, to))
             self.order[a:b] = own[by]
@@ -70,7 +81,7 @@ class CoverTree:
 
 
 class Chunk:
-    """Distinct (id, vector) rows in tree order."""
+    """(id, vector) rows in tree order."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray) -> None:
         self.tree = CoverTree(points)
@@ -82,33 +93,45 @@ class Chunk:
 
 
 def products(q: np.ndarray, x: np.ndarray, q_real: np.ndarray, x_real: np.ndarray) -> np.ndarray:
-    """Exact inner products: by floating point where its 53 bits are enough."""
+    """Exact inner products: by floating point where its 53 bits are enough. Products that 64 bits can't hold are an error."""
     most = float(np.abs(q_real).max(initial=0)) * float(np.abs(x_real).max(initial=0)) * q.shape[1]
     if most < 2**53:
         return (q_real @ x_real.T).astype(np.int64)
     if most < 2**63:
         return q @ x.T
-    return np.clip(q.astype(object) @ x.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
+    exact = q.astype(object) @ x.astype(object).T
+    if exact.size and not -(2**63) < min(exact.flat) <= max(exact.flat) < 2**63:
+        raise OverflowError("an inner product doesn't fit 64 bits")
+    return exact.astype(np.int64)
 
 
 _LEAST = np.iinfo(np.int64).min
 _NO_ID = np.iinfo(np.int64).max
 
 
-def search(q: Chunk, x: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best rows of x for each row of q, best first; _NO_ID where there are fewer."""
+def largest(q: np.ndarray, q_radius: float, x: np.ndarray, x_radius: np.ndarray) -> np.ndarray:
+    """The largest inner products of points within q_radius of q and points within x_radius of each x."""
+    top = x @ q + np.linalg.norm(q) * x_radius + np.linalg.norm(x, axis=-1) * q_radius + q_radius * x_radius
+    return top + 1e-6 * (1 + np.abs(top))
+
+
+def search(q: Chunk, x: Chunk, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best rows of x for each row of q, best first; _NO_ID where there are fewer.
+
+    least: kth scores of each row of q known from elsewhere; rows of lower scores need not be found.
+    """
     ids = np.full((len(q.ids), k), _NO_ID)
     scores = np.full((len(q.ids), k), _LEAST)
+    least = np.full(len(q.ids), _LEAST) if least is None else least
 
     def bound(a: int, b: int | np.ndarray) -> np.ndarray:
-        top = x.centres[b] @ q.centres[a] + q.norms[a] * x.radius[b] + x.norms[b] * q.radius[a] + q.radius[a] * x.radius[b]
-        return top + 1e-6 * (1 + np.abs(top))
+        return largest(q.centres[a], q.radius[a], x.centres[b], x.radius[b])
 
     stack = [(0, 0, float("inf"))]
     while stack:
         a, b, top = stack.pop()
         own = slice(q.tree.start[a], q.tree.end[a])
-        if top < scores[own, -1].min():
+        if top < np.maximum(scores[own, -1], least[own]).min():
             continue
         down_q, down_x = q.tree.children[a], x.tree.children[b]
         if down_x and (not down_q or x.radius[b] >= q.radius[a]):
@@ -123,7 +146,7 @@ def search(q: Chunk, x: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
                 found = products(q.points[own], x.points[part], q.real[own], x.real[part])
                 named = np.broadcast_to(x.ids[part], found.shape)
                 self_ = named == q.ids[own][:, None]
-                live = np.flatnonzero(((found >= scores[own, -1][:, None]) & ~self_).any(axis=1))
+                live = np.flatnonzero(((found >= np.maximum(scores[own, -1], least[own])[:, None]) & ~self_).any(axis=1))
                 if not len(live):
                     continue
                 rows = live + own.start
@@ -149,23 +172,27 @@ def _far_apart(rows: list, cells: int) -> dict[int, np.ndarray]:
 
 
 def _packed(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row of the distinct rows of a chunk."""
+    """One row of the rows of a chunk, with its tree."""
     x = np.stack(rows["v"].to_numpy()).astype(np.int64).reshape(len(rows), -1)
-    whole = np.unique(np.concatenate([rows["id"].to_numpy(dtype=np.int64)[:, None], x], axis=1), axis=0)
-    return pd.DataFrame({"no": rows["no"].iloc[:1], "dim": [x.shape[1]], "ids": [whole[:, 0].tobytes()], "points": [np.ascontiguousarray(whole[:, 1:]).tobytes()]})
+    order = np.argsort(rows["id"].to_numpy(dtype=np.int64), kind="stable")
+    chunk = Chunk(rows["id"].to_numpy(dtype=np.int64)[order], x[order])
+    chunk.real = None  # made again when it is needed
+    return pd.DataFrame({"no": rows["no"].iloc[:1], "dim": [x.shape[1]], "n": [len(x)], "packed": [pickle.dumps(chunk)]})
 
 
-def _unpacked(row) -> Chunk:
-    ids = np.frombuffer(row.ids, dtype=np.int64)
-    return Chunk(ids, np.frombuffer(row.points, dtype=np.int64).reshape(len(ids), row.dim))
+def _unpacked(raw: bytes) -> Chunk:
+    chunk = pickle.loads(raw)  # noqa: S301  what _packed has written
+    chunk.real = chunk.points.astype(np.float64)
+    return chunk
 
 
 def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows for each row for which `queries` holds.
 
-    Scores are inner products of whole_numbers(). A query's own id is no candidate of its own; ties go to the smaller
-    id; rows of a null id, a null vector or a vector of another length take no part; equal rows (id and vector) count
-    once. An empty table, or one without queries, gives no rows.
+    Scores are inner products of whole_numbers(); one that 64 bits can't hold fails the query. Rows of a query's own id
+    are no candidates of it; ties go to the smaller id; rows of a null id, a null vector, an empty one or one of another
+    length take no part. Rows that repeat are rows: each is a candidate, and each that asks gets its own k. An empty
+    table, or one without queries, gives no rows; other columns are left out, whatever their names.
     """
     spark = vectors.sparkSession
     limit_batches(spark)
@@ -177,55 +204,87 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "ve
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, cell = b.column(1), np.zeros(b.num_rows, dtype=np.int32)
+            lists, cell, away = b.column(1), np.zeros(b.num_rows, dtype=np.int32), np.zeros(b.num_rows)
             dims = np.diff(np.asarray(lists.offsets))
             values = np.asarray(lists.values, dtype=np.float64)[int(lists.offsets[0].as_py()) :]
             ends = np.r_[0, np.cumsum(dims)]
             for dim in np.unique(dims):
-                if dim in centres.value:
-                    rows = np.flatnonzero(dims == dim)
-                    x, c = values[ends[rows][:, None] + np.arange(dim)], centres.value[dim]
-                    cell[rows] = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=["id", "v", "asks", "cell"])
-
-    dealt = shared(clean.mapInArrow(assign, "id long, v array<long>, asks boolean, cell int").withColumn("dim", F.size("v")))
-    counts = dealt.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("m")).orderBy("dim", "cell").collect()  # a row for each cell
-    result = "query_id long, asked long, vec_id long, score long"
+                rows = np.flatnonzero(dims == dim)
+                x, c = values[ends[rows][:, None] + np.arange(dim)], centres.value.get(int(dim), np.zeros((1, dim)))
+                cell[rows] = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+                away[rows] = np.linalg.norm(x - c[cell[rows]], axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(away)], names=["id", "v", "asks", "cell", "away"])
 
-    def packed(rows: DataFrame, count: str, size: int) -> tuple[DataFrame, int]:
-        """The rows in numbered chunks of about `size`, and the number of chunks."""
+    dealt = shared(clean.mapInArrow(assign, "id long, v array<long>, asks boolean, cell int, away double").withColumn("dim", F.size("v")))
+    counts = dealt.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("m"), F.max("away").alias("away")).orderBy("dim", "cell").collect()  # a row for each cell
+
+    def packed(rows: DataFrame, count: str, size: int) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+        """The rows in numbered chunks of about `size`; of each cell with rows its dimension, number, first chunk and chunks."""
         first, at = [], 0
         for r in counts:
             if r[count]:
                 first.append((r.dim, r.cell, at, -(-r[count] // size)))
                 at += first[-1][-1]
-        if not first:
-            return spark.createDataFrame([], "no int, dim int, ids binary, points binary"), 0
         numbers = F.broadcast(spark.createDataFrame(first, "dim int, cell int, first int, parts int"))
         placed = rows.join(numbers, ["dim", "cell"]).select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("no"), "id", "v")
-        return placed.groupBy("no").applyInPandas(_packed, "no int, dim int, ids binary, points binary"), at
+        return shared(placed.groupBy("no").applyInPandas(_packed, "no int, dim int, n int, packed binary")), first
+
+    data, chunks = packed(dealt.drop("asks"), "n", CHUNK)
+    asking, _ = packed(dealt.where("asks").drop("asks"), "m", BLOCK)
+    away = {(r.dim, r.cell): r.away for r in counts}
+
+    def cells_of(q: Chunk, dim: int, known: list[dict] | None) -> list[int]:
+        """Without kth scores, the cell nearest to the block's queries; with them, all other cells that allow a query as much as its own."""
+        own = np.array([c for d, c, _, _ in chunks if d == dim])
+        x, points = centres.value.get(dim, np.zeros((1, dim)))[own], q.points.astype(np.float64)
+        nearest = int((x @ points.mean(axis=0)).argmax())
+        if known is None:
+            return [int(own[nearest])]
+        least, radius = np.full(len(points), -np.inf), np.array([away[dim, c] for c in own.tolist()])
+        least[[r["at"] for r in known]] = [r["score"] for r in known]
+        asks = np.any([largest(p, 0.0, x, radius) >= m for p, m in zip(points, least, strict=True)], axis=0)
+        asks[nearest] = False
+        return own[asks].tolist()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("packed", "dim", "known", "seed")), strict=True)
+            found = [cells_of(pickle.loads(raw), dim, None if seed else known or []) for raw, dim, known, seed in rows]  # noqa: S301
+            yield pa.RecordBatch.from_arrays([b.column("no"), b.column("dim"), pa.array(found, pa.list_(pa.int32()))], names=["no", "dim", "cells"])
 
-    data, n_data = packed(dealt.drop("asks"), "n", CHUNK)
-    asking, n_asking = packed(dealt.where("asks").drop("asks"), "m", BLOCK)
-    if not n_data or not n_asking:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    def pairs(known: DataFrame, seed: bool) -> DataFrame:
+        rows = asking.join(known, "no", "left").withColumn("seed", F.lit(seed)).mapInArrow(choose, "no int, dim int, cells array<int>")
+        return shared(rows.select("no", "dim", F.explode("cells").alias("cell")))
 
-    def meet(blocks: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+    where = F.broadcast(spark.createDataFrame(chunks, "dim int, cell int, first int, parts int"))
+    result = "query_id long, asked long, vec_id long, score long"
+
+    def meet(blocks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        for c in chunks.itertuples():
-            x = _unpacked(c)
+        for c in held.itertuples():
+            x = _unpacked(c.packed)
             for b in blocks.itertuples():
-                if b.dim == c.dim:
-                    q = _unpacked(b)
-                    ids, scores = search(q, x, k)
-                    live = ids != _NO_ID
-                    row = np.nonzero(live)[0]
-                    parts.append(pd.DataFrame({"query_id": q.ids[row], "asked": b.no * (1 << 32) + q.tree.order[row], "vec_id": ids[live], "score": scores[live]}))
+                q = _unpacked(b.packed)
+                least = np.full(len(q.ids), _LEAST)
+                if b.known is not None and len(b.known):
+                    least[[r["at"] for r in b.known]] = [r["score"] for r in b.known]
+                ids, scores = search(q, x, k, least)
+                live = ids != _NO_ID
+                row = np.nonzero(live)[0]
+                parts.append(pd.DataFrame({"query_id": q.ids[row], "asked": (b.no << 32) + row, "vec_id": ids[live], "score": scores[live]}))
         return pd.concat(parts) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "asked", "vec_id", "score")})
 
-    lots = -(-n_asking // LOT)
-    asked = asking.withColumn("lot", F.floor(F.col("no") / LOT).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))))
-    held = data.withColumn("chunk", F.col("no")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
-    found = asked.groupBy("chunk", "lot").cogroup(held.groupBy("chunk", "lot")).applyInPandas(meet, result)
+    def met(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """What the blocks find in the chunks of the cells they are paired with."""
+        chunk = pairs.join(where, ["dim", "cell"]).select("no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("chunk"), F.floor(F.col("no") / LOT).cast("int").alias("lot"))
+        left = chunk.join(asking.select("no", "packed"), "no").join(known, "no", "left")
+        right = chunk.select(F.col("chunk").alias("held"), F.col("lot").alias("by")).distinct().join(data.select(F.col("no").alias("held"), "packed"), "held")
+        return left.groupBy("chunk", "lot").cogroup(right.groupBy("held", "by")).applyInPandas(meet, result)
+
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    nothing = spark.createDataFrame([], "no int, known array<struct<at:int,score:bigint>>")
+    first = shared(met(pairs(nothing, True), nothing).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+    kth = first.where(F.col("rank") == k).select(F.shiftright("asked", 32).cast("int").alias("no"), F.struct(F.col("asked").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"), "score").alias("r"))
+    known = shared(kth.groupBy("no").agg(F.collect_list("r").alias("known")))  # one for each query of a block
+    found = first.drop("rank").union(met(pairs(known, False), known))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -247,23 +247,45 @@ def test_ngram_join_recall_on_given_documents(spark):
     assert all(got[i] <= links[i] for i in links) and sum(got.values()) >= 0.995 * sum(links.values()) > 0
 
 
-def test_exact_top_k_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("shape", ["even", "clusters", "one"])
+def test_exact_top_k_against_brute_force(spark, monkeypatch, shape):
     monkeypatch.setattr(cover_tree, "CHUNK", 64)
     monkeypatch.setattr(cover_tree, "BLOCK", 4)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 6)).round(3)
+    if shape == "clusters":
+        x = (rng.normal(size=(8, 6))[rng.integers(0, 8, 300)] * 4 + x / 20).round(3)
+    elif shape == "one":
+        x[:] = x[0]
     x[50:90] = x[7]  # ties
-    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 6), (1003, [1.0]), (None, [1.0] * 6), (1004, [])]
+    rows = [(int(i), v.tolist(), 1) for i, v in enumerate(x)] + [(0, x[0].tolist(), 1), (1000, None, 1), (1001, [1.0, None], 1), (1002, [float("nan")] * 6, 1), (1003, [1.0], 1), (None, [1.0] * 6, 1), (1004, [], 1)]
     got: dict = {}
-    for r in cover_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).collect():
+    for r in cover_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"), F.col("vec_id") % 10 == 0).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    v = np.floor(1024 * x).astype(int)
+    v, own = np.floor(1024 * x).astype(int), np.r_[np.arange(300), 0]  # the repeated row is a candidate and a query
+    v = v[own]
     for q in range(0, 300, 10):
         s = v @ v[q]
-        best = [j for j in np.lexsort((np.arange(300), -s)) if j != q][:10]
-        assert sorted(got[q]) == [(k + 1, j, s[j]) for k, j in enumerate(best)]
+        best = [j for j in np.lexsort((own, -s)) if own[j] != q][:10]
+        want = [(k + 1, int(own[j]), int(s[j])) for k, j in enumerate(best)]
+        assert sorted(got[q]) == sorted(want * (1 + (q == 0)))
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert cover_tree.top_k(none, F.col("vec_id") % 10 == 0).count() == 0
+    assert cover_tree.top_k(spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_exact_top_k_fails_on_overflow():
+    big = np.array([[2**62, 2**62]])
+    with pytest.raises(OverflowError):
+        cover_tree.products(big, big, big.astype(float), big.astype(float))
+
+
+def test_cover_tree_covers_at_half_the_radius():
+    x = (np.random.default_rng(0).normal(size=(5, 3))[np.random.default_rng(1).integers(0, 5, 2000)] * 9 + np.random.default_rng(2).normal(size=(2000, 3))).round(2)
+    t = cover_tree.CoverTree(x)
+    for n, below in enumerate(t.children):
+        away = np.linalg.norm(x[t.order[t.start[n] : t.end[n]]] - x[t.centre[n]], axis=1)
+        assert away.max() <= t.radius[n] + 1e-9 and all(t.radius[c] <= t.radius[n] / 2 + 1e-9 for c in below)
 
 
 def labelled(spark, make, n=600):
