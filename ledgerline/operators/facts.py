@@ -130,9 +130,10 @@ def fact_dedup(facts: DataFrame, *, entity: str = "entity", period: str = "fp")
 
 def fallback_report(facts: DataFrame, concepts: DataFrame, *, entity: str = "entity") -> DataFrame:
     """(entity, metric, concept, kind): metrics without any concept, and those resolved by another than the preferred one."""
-    names, first = concepts.select("metric").distinct(), concepts.where("priority = 0").select("metric", F.col("concept").alias("preferred"))
+    names = F.broadcast(concepts.agg(F.collect_set("metric").alias("__names")))  # one row of the metrics named
+    first = concepts.where("priority = 0").select("metric", F.col("concept").alias("preferred"))
     used = facts.select(entity, "metric", "concept").distinct()
-    pairs = used.select(entity).distinct().withColumn("metric", F.explode(F.lit([r.metric for r in names.collect()])))  # a row for each metric named
+    pairs = used.select(entity).distinct().crossJoin(names).select(entity, F.explode("__names").alias("metric"))
     missing = pairs.join(used, [entity, "metric"], "left_anti").select(entity, "metric", F.lit(None).cast("string").alias("concept"), F.lit("missing").alias("kind"))
     other = used.join(F.broadcast(first), "metric").where("concept <> preferred").select(entity, "metric", "concept", F.lit("fallback").alias("kind"))
     return missing.unionByName(other)

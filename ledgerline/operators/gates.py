@@ -170,7 +170,7 @@ def price_freshness(prices: DataFrame, required: DataFrame, calendar: DataFrame,
 
 def peer_freshness(peers: DataFrame, tiers: DataFrame, *, report_date: str, max_age_days: int = 30, most: int = 3) -> DataFrame:
     age = F.date_diff(F.lit(report_date).cast("date"), F.col("source_date"))
-    rows = peers.join(F.broadcast(tiers), "ticker").withColumn("stale", F.coalesce(age > max_age_days, F.lit(True)))
+    rows = peers.join(tiers, "ticker").withColumn("stale", F.coalesce(age > max_age_days, F.lit(True)))
     n = F.count_if((F.col("tier") == "core") & F.col("stale"))
     return rows.agg(F.count("*").alias("n_peers"), F.count_if("stale").alias("n_stale"), n.alias("n_stale_core"), F.when(n >= most, "stale_blocked").when(F.count_if("stale") > 0, "partial").otherwise("fresh").alias("status"))
 
@@ -219,7 +219,7 @@ def retrieval_failures(log: DataFrame) -> DataFrame:
 def peer_attribution(peers: DataFrame, tiers: DataFrame, *, report_date: str) -> DataFrame:
     age = F.date_diff(F.lit(report_date).cast("date"), F.col("source_date"))
     reasons = F.array_compact(F.array(F.when(F.coalesce(age > 90, F.lit(True)), "stale"), F.when(F.col("market_cap").isNull(), "no_market_cap"), F.when(F.coalesce(F.col("net_income") <= 0, F.lit(True)), "no_earnings")))
-    rows = peers.join(F.broadcast(tiers), "ticker", "left").withColumn("tier", F.coalesce("tier", F.lit("context")))
+    rows = peers.join(tiers, "ticker", "left").withColumn("tier", F.coalesce("tier", F.lit("context")))
     return rows.select("ticker", "tier", "source_date", age.alias("age_days"), (F.size(reasons) == 0).alias("included"), F.concat_ws(";", reasons).alias("reasons"))
 
 

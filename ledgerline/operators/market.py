@@ -52,11 +52,33 @@ def probes_type(probes: DataFrame):
     return probes.select(F.struct(*probes.columns).alias("r")).schema["r"].dataType
 
 
+def trailing_returns(probes: DataFrame, prices: DataFrame, spans: dict[str, int], *, at: str = "as_of", digits: int = 6) -> DataFrame:
+    """(ticker, at) once each, and for each name in spans the last price on or before the date over the last one so many
+    calendar days earlier, less 1; null if one is missing or 0. All dates asked for meet the prices in one window.
+    """
+    back = F.explode(F.lit(sorted({0, *spans.values()}))).alias("__back")
+    asked = probes.select("ticker", at).distinct().select("ticker", at, back).withColumn("__then", F.date_sub(at, F.col("__back")))
+    known = as_of_backward(asked, prices, at="__then", out="__v")
+    now = F.max(F.when(F.col("__back") == 0, F.col("__v")))
+    made = [F.round(safe_div(now, F.max(F.when(F.col("__back") == days, F.col("__v")))) - 1, digits).alias(name) for name, days in spans.items()]
+    return known.groupBy("ticker", at).agg(*made)
+
+
 def trailing_return(probes: DataFrame, prices: DataFrame, days: int, *, out: str, at: str = "as_of", digits: int = 6) -> DataFrame:
-    """Last price on or before the date over the last one `days` calendar days earlier, less 1; null if missing or 0."""
-    now = as_of_backward(probes, prices, at=at, out="__now")
-    then = as_of_backward(now.withColumn("__before", F.date_sub(at, days)), prices, at="__before", out="__then")
-    return then.withColumn(out, F.round(safe_div("__now", "__then") - 1, digits)).drop("__now", "__then", "__before")
+    """probes with the return over `days` calendar days, as trailing_returns()."""
+    return probes.join(trailing_returns(probes, prices, {out: days}, at=at, digits=digits), ["ticker", at], "left")
+
+
+def excess_returns(probes: DataFrame, prices: DataFrame, *, sector: str, broad: str, at: str = "as_of", digits: int = 6) -> DataFrame:
+    """One row for each ticker and valid date: returns, and what they exceed those of two indices by."""
+    p = probes.where(F.col(at).isNotNull()).select("ticker", at).distinct().withColumn("__asked", F.lit(True))
+    indices = p.select(at).distinct().select(F.explode(F.lit([sector, broad])).alias("ticker"), at, F.lit(False).alias("__asked"))
+    every = p.unionByName(indices).groupBy("ticker", at).agg(F.max("__asked").alias("__asked"))
+    rows = trailing_returns(every, prices, {"return_3m": SHORT, "return_12m": LONG}, at=at, digits=digits).join(every, ["ticker", at])
+    day = Window.partitionBy(at)
+    of = lambda index, c: F.max(F.when(F.col("ticker") == index, F.col(c))).over(day)
+    made = [F.round(F.col(f"return_{s}") - of(index, f"return_{s}"), digits).alias(f"excess_{name}_{s}") for name, index in (("sector", sector), ("broad", broad)) for s in ("3m", "12m")]
+    return rows.select("ticker", at, "return_3m", "return_12m", *made, "__asked").where("__asked").drop("__asked")
 
 
 def _in_window(probes: DataFrame, prices: DataFrame, days: int, at: str) -> DataFrame:
@@ -91,17 +113,10 @@ def beta(probes: DataFrame, prices: DataFrame, benchmark: str, *, days: int = 25
 
 def market_features(probes: DataFrame, prices: DataFrame, *, sector: str, broad: str, at: str = "as_of", digits: int = 6) -> DataFrame:
     """One row for each ticker and valid date: returns, excess over two indices, volatility, beta."""
-    p = probes.where(F.col(at).isNotNull()).select("ticker", at).distinct()
-    own = trailing_return(trailing_return(p, prices, SHORT, out="return_3m", at=at), prices, LONG, out="return_12m", at=at)
-    dates = p.select(at).distinct()
-    out = own
-    for name, index in (("sector", sector), ("broad", broad)):
-        q = dates.withColumn("ticker", F.lit(index))
-        r = trailing_return(trailing_return(q, prices, SHORT, out=f"__{name}_3m", at=at), prices, LONG, out=f"__{name}_12m", at=at).drop("ticker")
-        out = out.join(r, at, "left")
-        for span in ("3m", "12m"):
-            out = out.withColumn(f"excess_{name}_{span}", F.round(F.col(f"return_{span}") - F.col(f"__{name}_{span}"), digits)).drop(f"__{name}_{span}")
-    return beta(volatility(out, prices, at=at), prices, sector, at=at)
+    out = excess_returns(probes, prices, sector=sector, broad=broad, at=at, digits=digits)
+    asked = probes.where(F.col(at).isNotNull()).select("ticker", at).distinct()
+    measured = beta(volatility(asked, prices, at=at), prices, sector, at=at)
+    return out.join(measured, ["ticker", at], "left")
 
 
 def peer_spread(returns: DataFrame, subject: str, peers: Sequence[str], *, at: str = "as_of", value: str = "return_12m", digits: int = 6) -> DataFrame:

@@ -65,7 +65,7 @@ def drift_series(similarity: DataFrame, *, entity: str = "entity", least: float
 
 def peer_universe(peers: DataFrame, tiers: DataFrame, events: DataFrame) -> DataFrame:
     listed = events.groupBy("ticker").agg(F.array_sort(F.collect_list("event")).alias("events"))
-    return peers.select("ticker").join(F.broadcast(tiers), "ticker", "left").join(listed, "ticker", "left").select("ticker", F.coalesce("tier", F.lit("context")).alias("tier"), F.coalesce("events", F.array().cast("array<string>")).alias("events"))
+    return peers.select("ticker").join(tiers, "ticker", "left").join(listed, "ticker", "left").select("ticker", F.coalesce("tier", F.lit("context")).alias("tier"), F.coalesce("events", F.array().cast("array<string>")).alias("events"))
 
 
 def scenario_values(valued: DataFrame, order: Sequence[str] = ("bear", "base", "bull")) -> DataFrame:

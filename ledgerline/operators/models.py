@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.workers import shared, ship
+
 
 def metrics_wide(metrics: DataFrame, names: Sequence[str], *, entity: str = "entity") -> DataFrame:
     """One row for each period: first non-null values, first availability."""
@@ -42,7 +44,8 @@ def fit_linear(rows: DataFrame, features: Sequence[str], target: str, *, alpha:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    clean = rows.where(F.col(target).isNotNull()).select(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features), F.col(target).cast("double").alias("__y")).persist()  # read by the statistics and by each pass of the solver
+    clean = rows.where(F.col(target).isNotNull()).select(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features), F.col(target).cast("double").alias("__y"))
+    clean = shared(clean)  # read by the statistics and by each pass of the solver
     n, spread = clean.agg(F.count("*"), F.stddev_pop("__y")).first()
     spark = rows.sparkSession
     if n < 2 or not spread:
@@ -85,6 +88,7 @@ def walk_forward(rows: DataFrame, features: Sequence[str], target: str, *, by: S
     ordered = Window.partitionBy(*by).orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
     sums = [F.sum(n).over(ordered) for n in names] + [F.sum(F.col(names[i]) * F.col(names[j])).over(ordered) for i in range(p + 1) for j in range(i, p + 1)]
     made = base.withColumn("__s", F.array(*sums)).withColumn("__n", F.col("fold") - 1).where(F.col("__n") >= least).withColumn("__v", F.array(*names))
+    ship(rows.sparkSession)
     predict = predictor(p, alpha, l1, ridge)
     return made.select(*by, *order, "fold", F.round(predict("__s", "__v", "__n"), digits).alias("prediction"), F.col("__y").alias("actual"))
 
@@ -111,8 +115,8 @@ def predictor(p: int, alpha: float, l1: float, ridge: bool):
 def pooled_walk_forward(rows: DataFrame, features: Sequence[str], target: str, *, keys: Sequence[str] = ("entity", "fiscal_period"), at: str = "feature_available_date", least: int = 5, alpha: float = 0.1, l1: float = 0.5, ridge: bool = False, digits: int = 6) -> DataFrame:
     """keys, at, n_train, prediction, actual: every row is predicted by a fit on all entities' rows of earlier days.
 
-    Sums of products are made by day first, so that the expanding window runs over days, of which there are few, not
-    over the pool.
+    Sums of products are made by day first, so that the expanding window, which is one task, runs over days, of which
+    there are few whatever the pool.
     """
     rows, p = rows.where(F.col(target).isNotNull()), len(features)
     names = [*(f"__x{i}" for i in range(p)), "__y"]
@@ -123,6 +127,7 @@ def pooled_walk_forward(rows: DataFrame, features: Sequence[str], target: str, *
     days = base.groupBy(at).agg(F.count("*").alias("__c"), *(F.sum(t).alias(n) for t, n in zip(terms, parts, strict=True)))
     past = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     known = days.select(at, F.sum("__c").over(past).alias("n_train"), F.array(*(F.sum(n).over(past) for n in parts)).alias("__s"))
+    ship(rows.sparkSession)
     made = base.join(known, at).where(F.col("n_train") >= least).withColumn("__v", F.array(*names))
     return made.select(*keys, at, "n_train", F.round(predictor(p, alpha, l1, ridge)("__s", "__v", "n_train"), digits).alias("prediction"), F.col("__y").alias("actual"))
 
@@ -169,7 +174,7 @@ def fit_trees(rows: DataFrame, features: Sequence[str], target: str, *, kind: st
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     clean = rows.where(F.col(target).isNotNull()).select("*", F.col(target).cast("double").alias("__y")).fillna(0.0, subset=list(features))
-    data = VectorAssembler(inputCols=list(features), outputCol="__x").transform(clean).persist()
+    data = shared(VectorAssembler(inputCols=list(features), outputCol="__x").transform(clean))  # read by each pass of the fit
     options = {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "prediction", "seed": seed}
     estimator = RandomForestRegressor(numTrees=trees, **options) if kind == "random_forest" else GBTRegressor(maxIter=trees, maxDepth=3, **options)
     return estimator.fit(data), data
@@ -185,13 +190,12 @@ def tree_walk_forward(rows: DataFrame, features: Sequence[str], target: str, cut
 
     Cuts are a short list of dates: by default every date with a target but the first `least`.
     """
-    rows = rows.persist()  # one pass over the panel for all cuts
+    rows = shared(rows)  # one pass over the panel for all cuts
     if cuts is None:
         cuts = sorted(r[0] for r in rows.where(F.col(target).isNotNull() & F.col(at).isNotNull()).select(at).distinct().collect())[least:]
     out = None
     for c in cuts:
-        model, learnt = fit_trees(rows.where(F.col(at) < c), features, target, kind=kind, trees=trees)
-        learnt.unpersist()
+        model, _ = fit_trees(rows.where(F.col(at) < c), features, target, kind=kind, trees=trees)
         _, now = fit_trees_input(rows.where(F.col(at) == c), features, target)
         p = model.transform(now).select("entity", F.lit(c).alias(at), F.col("__y").alias("actual"), "prediction")
         out = p if out is None else out.unionByName(p)

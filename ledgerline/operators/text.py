@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import col, occurrences
+from ledgerline.functions.workers import shared, ship
 
 #: The items of each section by form, and the titles that stand in for an item's number.
 SECTIONS = {
@@ -17,7 +18,9 @@ SECTIONS = {
     "10-Q": {"risk_factors": "PART II ITEM 1A", "mda": "PART I ITEM 2"},
 }
 TITLES = {"business": "Business", "risk_factors": "Risk Factors", "mda": "Management['’]s Discussion and Analysis", "quant": "Quantitative and Qualitative Disclosures About Market Risk"}
-LONGEST_SECTION, SHORTEST_SECTION = 200_000, 50
+#: Fixed value: where the narrative of a filing may begin.
+ANCHOR = r"part\s+i|item\s+1\.|item\s+2\."
+SHORTEST_SECTION = 50
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -34,20 +37,32 @@ def _pandas_unescape():
 
 
 def html_to_text(source: Column | str) -> Column:
-    """Text nodes joined by line ends, three or more of which become two; comments, scripts and styles are dropped."""
+    """Text nodes joined by line ends, three or more of which become two; comments, scripts and styles are dropped.
+
+    Tags that follow each other end one text node, not several.
+    """
     s = F.regexp_replace(col(source), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    s = _pandas_unescape()(F.regexp_replace(s, r"(?s)<[^>]*>", "\n"))
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
+    s = _pandas_unescape()(F.regexp_replace(s, r"(?s)(?:<[^>]*>)+", "\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(s, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
+
+
+def stripped(s: Column) -> Column:
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
+def _cut(s: Column, longest: int | None) -> Column:
+    return stripped(s if longest is None else F.substring(s, 1, longest))
 
 
 def sections_table(spark) -> DataFrame:
     return spark.createDataFrame([(f, s, i) for f, m in SECTIONS.items() for s, i in m.items()], "form_type string, section_name string, item string")
 
 
-def section_extract(filings: DataFrame, rules: DataFrame | None = None, *, key: str = "accession", text: str = "text") -> DataFrame:
+def section_extract(filings: DataFrame, rules: DataFrame | None = None, *, key: str = "accession", text: str = "text", longest: int | None = None) -> DataFrame:
     """(key, form_type, section_name, text, parse_status): the longest of the stretches that follow a section's heading.
 
-    A text is cut before every heading, so that a heading in the table of contents starts a short stretch only.
+    A text is cut before every heading, so that a heading in the table of contents starts a short stretch only. A stretch
+    is taken whole unless `longest` bounds it.
     """
     rules = F.broadcast(rules if rules is not None else sections_table(filings.sparkSession))
     head = r"(?im)(?=^[ \t]*(?:part[ \t]+i{1,2}\b[,. \t]*)?item[ \t]+\d{1,2}[abc]?\b)|(?=^[ \t]*part[ \t]+i{1,2}[ \t.]*$)"
@@ -56,31 +71,34 @@ def section_extract(filings: DataFrame, rules: DataFrame | None = None, *, key:
     own = F.nullif(F.upper(F.regexp_extract("part", r"(?i)^\s*part[ \t]+(i{1,2})\b", 1)), F.lit(""))
     item = F.nullif(F.upper(F.regexp_replace(F.regexp_extract("part", r"(?i)^\s*(?:part[ \t]+i{1,2}\b[,. \t]*)?(item[ \t]+\d{1,2}[abc]?)\b", 1), r"\s+", " ")), F.lit(""))
     named = parts.withColumn("in_part", F.last(own, ignorenulls=True).over(w)).withColumn("item", F.when(F.col("form_type").startswith("10-Q"), F.concat(F.lit("PART "), F.coalesce("in_part", F.lit("I")), F.lit(" "), item)).otherwise(item))
-    body = F.trim(F.substring("part", 1, LONGEST_SECTION))
+    body = _cut(F.col("part"), longest)
     found = named.join(rules, ["form_type", "item"]).withColumn("body", body).groupBy(key, "form_type", "section_name").agg(F.max_by("body", F.struct(F.length("body"), -F.col("n"))).alias("text"))
     every = filings.select(key, "form_type").join(rules.select("form_type", "section_name"), "form_type")
     ok = F.length("text") > SHORTEST_SECTION
     return every.join(found, [key, "form_type", "section_name"], "left").select(key, "form_type", "section_name", F.when(ok, F.col("text")).alias("text"), F.when(ok, "success").otherwise("missing").alias("parse_status"))
 
 
-def title_fallback(filings: DataFrame, section: str, *, key: str = "accession", text: str = "text") -> DataFrame:
+def title_fallback(filings: DataFrame, section: str, *, key: str = "accession", text: str = "text", longest: int | None = None) -> DataFrame:
     """The longest stretch from a section's title, alone on its line, to the next item or part."""
     title = TITLES[section]
     cut = rf"(?im)(?=^[ \t]*{title}[ \t.:]*$)|(?=^[ \t]*(?:item[ \t]+\d|part[ \t]+i))"
     parts = filings.select(key, F.posexplode(F.split(F.col(text), cut)).alias("n", "part")).where(F.col("part").rlike(rf"(?i)^\s*{title}"))
-    body = F.trim(F.substring("part", 1, LONGEST_SECTION))
+    body = _cut(F.col("part"), longest)
     best = parts.withColumn("body", body).groupBy(key).agg(F.max_by("body", F.struct(F.length("body"), -F.col("n"))).alias("text"))
     return best.where(F.length("text") > SHORTEST_SECTION).withColumn("section_name", F.lit(section)).withColumn("parse_status", F.lit("fallback"))
 
 
-def proxy_fallback(filings: DataFrame, anchor: str = TITLES["mda"], *, key: str = "accession", text: str = "text", size: int = 10_000, least: int = 500) -> DataFrame:
-    """Text from the first line with the anchor that is no contents line (dot leaders, a page number at its end), else from the last."""
-    lines = filings.select(key, F.col(text).alias("__t"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    hits = lines.select(key, "n", "line").where(F.col("line").rlike(rf"(?i){anchor}"))
-    contents = F.col("line").rlike(r"\.{3,}|\s\d{1,3}\s*$")
+def proxy_fallback(filings: DataFrame, anchor: str = ANCHOR, *, key: str = "accession", text: str = "text", size: int | None = None, least: int = 500) -> DataFrame:
+    """Text from the first line after the first that begins with the anchor and is no contents line (dot leaders, a page number at its end), else from the last.
+
+    All that follows is taken unless `size` bounds it.
+    """
+    lines = filings.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
+    hits = lines.where((F.col("n") > 0) & F.col("line").rlike(rf"(?i)^\s*(?:{anchor})"))
+    contents = F.col("line").rlike(r"\.{4,}|\b\d{1,4}\s*$")
     at = hits.groupBy(key).agg(F.coalesce(F.min(F.when(~contents, F.col("n"))), F.max("n")).alias("from"))
-    rest = filings.join(at, key).withColumn("text", F.substring(F.array_join(F.slice(F.split(F.col(text), "\n"), F.col("from") + 1, F.lit(2**31 - 1)), "\n"), 1, size))
-    return rest.where(F.length("text") >= least).select(key, "text", F.lit("proxy").alias("parse_status"))
+    rest = F.array_join(F.slice(F.split(F.col(text), "\n"), F.col("from") + 1, F.lit(2**31 - 1)), "\n")
+    return filings.join(at, key).withColumn("text", _cut(rest, size)).where(F.length("text") >= least).select(key, "text", F.lit("proxy").alias("parse_status"))
 
 
 def proxy_quality(docs: DataFrame, terms: Sequence[str], *, text: str = "text") -> DataFrame:
@@ -121,7 +139,8 @@ def tfidf_similarity(sections: DataFrame, stop: Sequence[str] = (), *, by: Seque
     n = sections.groupBy(*keys).agg(F.count("*").alias("n"))
     df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df"))
     weight = F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighted = tf.join(df, [*keys, "term"]).join(n, keys).select(*keys, doc, "term", weight.alias("w"))
+    # written once: norms and both sides of a pair are made of it
+    weighted = shared(tf.join(df, [*keys, "term"]).join(n, keys).select(*keys, doc, "term", weight.alias("w")))
     norms = weighted.groupBy(*keys, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     pairs = sections.select(*keys, doc, order, F.lag(doc).over(w).alias("__before")).where("__before is not null")
     own = pairs.select(*keys, doc, "__before").join(weighted, [*keys, doc])
@@ -156,12 +175,22 @@ def shift_snippets(similarity: DataFrame, sections: DataFrame, *, n: int = 5, do
 
 
 def keyword_scores(docs: DataFrame, themes: dict[str, Sequence[str]], *, key: Sequence[str] = ("doc_id",), text: str = "text", digits: int = 6) -> DataFrame:
-    """(key, theme, score): whole-word matches of a theme's keywords over the words of the text; overlaps count twice."""
+    """(key, theme, score): whole-word matches of a theme's keywords over the words of the text; overlaps count twice.
+
+    A text is cut into words once, and of these only keywords are kept; keywords of several words are looked for in texts
+    that hold them at all.
+    """
     t = F.lower(F.col(text))
     quote = lambda k: "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in k.lower())
+    every = sorted({k.lower() for words in themes.values() for k in words})
+    single = [k for k in every if k.replace("_", "").isalnum()]
     n = F.greatest(F.size(F.filter(F.split(F.trim(t), r"\s+"), lambda x: x != "")), F.lit(1))
-    scores = [F.struct(F.lit(name).alias("theme"), F.round(sum((F.regexp_count(t, F.lit(rf"(?U)\b{quote(k)}\b")) for k in words), F.lit(0)) / n, digits).alias("score")) for name, words in themes.items()]
-    return docs.select(*key, F.explode(F.array(*scores)).alias("s")).select(*key, "s.*")
+    hits = F.filter(F.regexp_extract_all(t, F.lit(r"(?U)\w+"), 0), lambda x: x.isin(*single)) if single else F.array().cast("array<string>")
+    rows = docs.select(*key, hits.alias("__hits"), n.alias("__n"), *(F.when(t.contains(k), F.regexp_count(t, F.lit(rf"(?U)\b{quote(k)}\b"))).otherwise(0).alias(f"__p{i}") for i, k in enumerate(every) if k not in single))
+    of = lambda k: F.size(F.filter("__hits", lambda x: x == k))
+    times = {k: of(k) if k in single else F.col(f"__p{i}") for i, k in enumerate(every)}
+    scores = [F.struct(F.lit(name).alias("theme"), F.round(sum((times[k.lower()] for k in words), F.lit(0)) / F.col("__n"), digits).alias("score")) for name, words in themes.items()]
+    return rows.select(*key, F.explode(F.array(*scores)).alias("s")).select(*key, "s.*")
 
 
 def sentiment_polarity(docs: DataFrame, positive: Sequence[str], negative: Sequence[str], *, key: Sequence[str] = ("doc_id",), text: str = "text", digits: int = 6) -> DataFrame:
@@ -209,46 +238,89 @@ def topic_terms(lda, counts, *, n: int = 5) -> DataFrame:
 
 
 def emerging_fading(weights: DataFrame, *, order: str = "doc_id", band: float = 0.01, digits: int = 6) -> DataFrame:
-    """Mean weight of the later half of the documents less the earlier half's, for each topic."""
-    place, n = F.row_number().over(Window.partitionBy("topic").orderBy(order)), F.count("*").over(Window.partitionBy("topic"))
-    rows = weights.withColumn("late", place > F.floor(n / 2))
+    """Mean weight of the later half of the documents less the earlier half's, for each topic.
+
+    Rows are dealt by ranges of their order; a row's place is its place in its range and the number of rows in those before.
+    """
+    dealt = shared(weights.select("topic", order, "weight").repartitionByRange(F.col(order), F.col("topic")).withColumn("__part", F.spark_partition_id()))
+    parts = dealt.groupBy("topic", "__part").agg(F.count("*").alias("m"))  # a row for each topic and task
+    before = Window.partitionBy("topic").orderBy("__part")
+    sizes = parts.select("topic", "__part", (F.sum("m").over(before) - F.col("m")).alias("front"), F.sum("m").over(Window.partitionBy("topic")).alias("n"))
+    place = F.row_number().over(Window.partitionBy("topic", "__part").orderBy(order)) + F.col("front")
+    rows = dealt.join(sizes, ["topic", "__part"]).withColumn("late", place > F.floor(F.col("n") / 2))
     d = F.avg(F.when(F.col("late"), F.col("weight"))) - F.avg(F.when(~F.col("late"), F.col("weight")))
     return rows.groupBy("topic").agg(F.round(d, digits).alias("change")).withColumn("trend", F.when(F.col("change") > band, "emerging").when(F.col("change") < -band, "fading").otherwise("stable"))
 
 
-def best_split(k: np.ndarray, a: int, b: int, size: int) -> tuple[int, float]:
-    cost = lambda i, j: (j - i) - k[i:j, i:j].sum() / (j - i)
-    whole = cost(a, b)
-    gains = [(whole - cost(a, s) - cost(s, b), -s) for s in range(a + size, b - size + 1)]
-    gain, s = max(gains, default=(-np.inf, 0))
-    return -s, gain
+def middle_gap(x: np.ndarray) -> float:
+    """The median of the squared differences of all pairs, found by counting, so that no pair is held."""
+    x = np.sort(x)
+    pairs = len(x) * (len(x) - 1) // 2
+
+    def at_most(t: float) -> int:
+        return int((np.searchsorted(x, x + t, side="right") - np.arange(1, len(x) + 1)).sum())
 
+    def smallest(k: int) -> float:
+        low, high = -1, int(np.float64(x[-1] - x[0]).view(np.int64))  # floats of one sign are ordered as their bits
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if at_most(float(np.int64(mid).view(np.float64))) >= k else (mid, high)
+        return float(np.int64(high).view(np.float64)) ** 2
 
-def change_points(series: DataFrame, *, by: str = "series", at: str = "date", value: str = "value", least: int = 4, size: int = 2, penalty: float = 3.0) -> DataFrame:
-    """(series, break_date, available_date, gain): binary segmentation under an RBF kernel cost; a break is known from the series' last date on.
+    return (smallest((pairs + 1) // 2) + smallest(pairs // 2 + 1)) / 2
 
-    A series is one group: filings of one entity, some hundreds of points.
+
+def breaks(x: np.ndarray, size: int, step: int, penalty: float) -> list[int]:
+    """Where the segments of least total cost begin, the first left out: PELT under the cost of a Gaussian kernel.
+
+    A segment of n points costs n less the sum of its kernel matrix over n, and the penalty. Segments have `size` points
+    at least and begin at multiples of `step`. Sums of kernel matrices are carried on from point to point.
     """
-    kind = series.schema[at].dataType.simpleString()
-    own = series.schema[by].dataType.simpleString()
+    n, middle = len(x), middle_gap(x)
+    scale = 1 / middle if middle > 0 else 1.0
+    starts = np.arange(0, n, step)
+    sums, best, last, open_ = np.zeros(len(starts)), np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), np.ones(len(starts), dtype=bool)
+    best[0] = 0.0
+    ends = {e for e in range(step, n, step) if e >= size} | {n}
+    for e in range(1, n + 1):
+        k = np.exp(-np.clip((x[:e] - x[e - 1]) ** 2 * scale, 1e-2, 1e2))
+        down = np.cumsum(k[::-1])[::-1]
+        live = starts < e
+        sums[live] += 2 * down[starts[live]] - k[-1]
+        if e in ends:
+            use = np.flatnonzero(live & open_ & (e - starts >= size) & np.isfinite(best[starts]))
+            length = e - starts[use]
+            cost = best[starts[use]] + length * np.exp(-1e-2) - sums[use] / length
+            if len(use):
+                at = int(cost.argmin())
+                best[e], last[e] = cost[at] + penalty, starts[use[at]]
+                open_[use[cost > best[e]]] = False  # these can begin no later segment of a best division
+    out, e = [], n
+    while last[e] > 0:
+        e = int(last[e])
+        out.append(e)
+    return out[::-1]
+
+
+def change_points(series: DataFrame, *, by: str = "series", at: str = "date", value: str = "value", least: int = 4, size: int = 2, step: int = 5, penalty: float = 3.0, period: str | None = None) -> DataFrame:
+    """(series, break_date, available_date): best division of each series under a kernel cost; a break is known from the series' last date on.
+
+    A series is one group, whose time grows with the square of its points and memory with their number. period (such as
+    month) replaces the points by the means of calendar periods, made in Spark, which bounds them by the calendar.
+    """
+    ship(series.sparkSession)
+    rows = series.select(by, at, value).where(F.col(value).isNotNull())
+    if period is not None:
+        rows = rows.groupBy(by, F.trunc(at, period).alias(at)).agg(F.avg(value).alias(value))
+    own, kind = rows.schema[by].dataType.simpleString(), rows.schema[at].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=[value]).sort_values([at, value])
-        x, out = rows[value].to_numpy(dtype=float), []
-        if len(x) >= least:
-            d = (x[:, None] - x[None, :]) ** 2
-            middle = np.median(d[np.triu_indices(len(x), 1)])
-            k = np.exp(-np.clip(d * (1 / middle if middle > 0 else 1.0), 1e-2, 1e2))
-            open_ = [(0, len(x))]
-            while open_:
-                a, b = open_.pop()
-                s, gain = best_split(k, a, b, size)
-                if gain > penalty:
-                    out.append((rows[by].iloc[0], rows[at].iloc[s], rows[at].iloc[-1], round(float(gain), 6)))
-                    open_ += [(a, s), (s, b)]
-        return pd.DataFrame(sorted(out, key=lambda r: r[1]), columns=[by, "break_date", "available_date", "gain"])
-
-    return series.select(by, at, value).groupBy(by).applyInPandas(run, f"{by} {own}, break_date {kind}, available_date {kind}, gain double")
+        rows = rows.sort_values([at, value])
+        found = breaks(rows[value].to_numpy(dtype=float), size, step, penalty) if len(rows) >= max(least, size) else []
+        days = rows[at].tolist()
+        return pd.DataFrame({by: [rows[by].iloc[0]] * len(found), "break_date": [days[e] for e in found], "available_date": [days[-1]] * len(found)}, dtype=object)
+
+    return rows.groupBy(by).applyInPandas(run, f"{by} {own}, break_date {kind}, available_date {kind}")
 
 
 def narrative_drift(sections: DataFrame, themes: dict[str, Sequence[str]], positive: Sequence[str], negative: Sequence[str], stop: Sequence[str] = ()) -> DataFrame:

@@ -127,7 +127,7 @@ def peer_filter(multiples: DataFrame, tiers: DataFrame, *, report_date: str, max
         F.when(stale("source_date", report_date, max_age_days), "stale").when(F.col("ev").isNull(), "missing_ev").when(F.col("ev") < 0, "negative_ev")
         .when(F.col("ebitda") <= 0, "negative_ebitda").when(F.col("net_income") <= 0, "negative_earnings").otherwise("ok")
     )
-    out = multiples.join(F.broadcast(tiers), "ticker", "left").withColumn("tier", F.coalesce("tier", F.lit("context"))).withColumn("status", status)
+    out = multiples.join(tiers, "ticker", "left").withColumn("tier", F.coalesce("tier", F.lit("context"))).withColumn("status", status)
     gone = F.col("status").isin("stale", "missing_ev", "negative_ev")
     return (
         out.withColumn("ev_revenue", F.when(~gone, F.col("ev_revenue"))).withColumn("ev_ebitda", F.when(~gone & (F.col("ebitda") > 0), F.col("ev_ebitda")))
@@ -145,7 +145,7 @@ def clean_peer_table(multiples: DataFrame, tiers: DataFrame, *, report_date: str
     reasons = F.array_compact(F.array(
         F.when(F.col("ev") < 0, "negative_ev"), F.when(F.col("ebitda") <= 0, "negative_ebitda"), F.when(F.col("net_income") <= 0, "negative_earnings"), F.when(stale("source_date", report_date), "stale")
     ))
-    rows = multiples.join(F.broadcast(tiers.where(F.col("tier") == tier)), "ticker")
+    rows = multiples.join(tiers.where(F.col("tier") == tier), "ticker")
     return rows.withColumn("included", F.size(reasons) == 0).withColumn("reasons", F.concat_ws(";", reasons))
 
 

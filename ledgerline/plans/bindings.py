@@ -114,8 +114,8 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(20,8)")  # summed exactly, in whatever order
     # a day's tickers are summed once; the index is a sum of those sums
     daily = sold.groupBy("ticker", F.to_date("l_shipdate").alias("date")).agg(F.sum(unit).alias("s"), F.count("*").alias("n"))
-    every = daily.groupBy(F.lit("ALL").alias("ticker"), "date").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return daily.unionByName(every).select("date", "ticker", (F.floor(F.col("s").cast("double") / F.col("n") * 10000) / 10000.0).alias("adj_close"), F.col("date").alias("source_available_date"))
+    every = daily.select(F.explode(F.array("ticker", F.lit("ALL"))).alias("ticker"), "date", "s", "n").groupBy("ticker", "date").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return every.select("date", "ticker", (F.floor(F.col("s").cast("double") / F.col("n") * 10000) / 10000.0).alias("adj_close"), F.col("date").alias("source_available_date"))
 
 
 PRICES_SQL = """

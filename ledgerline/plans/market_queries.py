@@ -57,8 +57,7 @@ RETURNS_SQL = f"""{PRICES_SQL}, {PROBES_SQL}, ret as (
 
 
 def returns(spark, d):
-    p, q = prices(spark, d), probes(spark, d)
-    return ma.trailing_return(ma.trailing_return(q, p, ma.SHORT, out="return_3m"), p, ma.LONG, out="return_12m")
+    return ma.trailing_returns(probes(spark, d), prices(spark, d), {"return_3m": ma.SHORT, "return_12m": ma.LONG})
 
 
 @R.add("trailing_return", f"{RETURNS_SQL} select * from ret")
@@ -69,7 +68,7 @@ def _(spark, d):
 @R.add("excess_return", f"""{RETURNS_SQL} select a.ticker, a.as_of, round(a.return_3m - s.return_3m, 6) as excess_sector_3m, round(a.return_12m - s.return_12m, 6) as excess_sector_12m, round(a.return_3m - b.return_3m, 6) as excess_broad_3m, round(a.return_12m - b.return_12m, 6) as excess_broad_12m
 from ret a left join ret s on s.ticker = 'EUROPE' and s.as_of = a.as_of left join ret b on b.ticker = 'ALL' and b.as_of = a.as_of""")
 def _(spark, d):
-    return ma.market_features(probes(spark, d), prices(spark, d), sector=SECTOR, broad=BROAD).select("ticker", "as_of", *(f"excess_{n}_{s}" for n in ("sector", "broad") for s in ("3m", "12m")))
+    return ma.excess_returns(probes(spark, d), prices(spark, d), sector=SECTOR, broad=BROAD).select("ticker", "as_of", *(f"excess_{n}_{s}" for n in ("sector", "broad") for s in ("3m", "12m")))
 
 
 @R.add("peer_spread", f"""{RETURNS_SQL} select o.as_of, round(o.return_12m - a.return_12m, 6) as "spread_ASIA", round(o.return_12m - m.return_12m, 6) as "spread_AMERICA"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import models as mo
@@ -24,37 +25,46 @@ FILED_SQL = r"""filings as (select 'D' || doc_id as accession, case when doc_id
 
 
 def filings(spark, d):
-    """Documents as filings: contents lines first, then the items with the text as their bodies."""
+    """Documents as filings: contents lines first, then the items, each with the whole text as its body."""
     docs = table(spark, d, "documents").where("doc_id is not null")
     body = F.regexp_replace("text", "\n", " ")
-    k = F.concat(F.lit("Item 1. Business ... 3\nItem 7. Discussion ... 9\nItem 1. Business\n"), F.substring(body, 1, 400), F.lit("\nItem 1A. Risk Factors\n"), F.substring(body, 1, 300), F.lit("\nItem 7. Discussion\n"), body, F.lit("\nItem 8. Statements\nnone"))
-    q = F.concat(F.lit("Part I\nItem 1. Statements\nnone\nItem 2. Discussion\n"), body, F.lit("\nPart II\nItem 1A. Risk Factors\n"), F.substring(body, 1, 300), F.lit("\nItem 6. Exhibits\nnone"))
+    k = F.concat(F.lit("Item 1. Business ... 3\nItem 7. Discussion ... 9\nItem 1. Business\n"), body, F.lit("\nItem 1A. Risk Factors\n"), body, F.lit("\nItem 7. Discussion\n"), body, F.lit("\nItem 8. Statements\nnone"))
+    q = F.concat(F.lit("Part I\nItem 1. Statements\nnone\nItem 2. Discussion\n"), body, F.lit("\nPart II\nItem 1A. Risk Factors\n"), body, F.lit("\nItem 6. Exhibits\nnone"))
     quarterly = F.col("doc_id") % 3 == 0
     return docs.select(F.concat(F.lit("D"), "doc_id").alias("accession"), F.when(quarterly, "10-Q").otherwise("10-K").alias("form_type"), F.when(quarterly, q).otherwise(k).alias("text"))
 
 
-@R.add("section_extract", f"""with {FILED_SQL}, s as (select accession, form_type, 'business' as section_name, case when form_type = '10-K' then 'Item 1. Business' || chr(10) || left(body, 400) end as t from filings where form_type = '10-K'
-union all select accession, form_type, 'risk_factors', 'Item 1A. Risk Factors' || chr(10) || left(body, 300) from filings
+def _stripped(s: str) -> str:
+    return rf"regexp_replace({s}, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')"
+
+
+PARTS_SQL = f"""{FILED_SQL}, s as (select accession, form_type, 'business' as section_name, 'Item 1. Business' || chr(10) || body as t from filings where form_type = '10-K'
+union all select accession, form_type, 'risk_factors', 'Item 1A. Risk Factors' || chr(10) || body from filings
 union all select accession, form_type, 'mda', case when form_type = '10-K' then 'Item 7. Discussion' else 'Item 2. Discussion' end || chr(10) || body from filings
-union all select accession, form_type, 'quant', null from filings where form_type = '10-K'),
-c as (select accession, form_type, section_name, regexp_replace(left(t, 200000), '^ +| +$|\\s+$', '') as t from s)
-select accession, section_name, case when length(t) > 50 then 'success' else 'missing' end as parse_status from c""")
+union all select accession, form_type, 'quant', null from filings where form_type = '10-K')"""
+
+
+@R.add("section_extract", f"""with {PARTS_SQL}, c as (select accession, section_name, {_stripped("t")} as t from s)
+select accession, section_name, case when length(t) > 50 then 'success' else 'missing' end as parse_status, case when length(t) > 50 then sha256(t) end as text_sha256 from c""")
 def _(spark, d):
     out = tx.section_extract(filings(spark, d))
-    return out.select("accession", "section_name", "parse_status")
+    return out.select("accession", "section_name", "parse_status", F.sha2("text", 256).alias("text_sha256"))
 
 
-@R.add("title_fallback", f"""with {FILED_SQL} select accession, 'risk_factors' as section_name, 'fallback' as parse_status from filings where length(trim('Risk Factors' || chr(10) || left(body, 200))) > 50""")
+@R.add("title_fallback", f"""with {FILED_SQL}, c as (select accession, {_stripped("'Risk Factors' || chr(10) || body")} as t from filings)
+select accession, 'risk_factors' as section_name, 'fallback' as parse_status, sha256(t) as text_sha256 from c where length(t) > 50""")
 def _(spark, d):
-    f = filings(spark, d).select("accession", F.concat(F.lit("Contents\nRisk Factors\nItem 3\nBusiness\nmany things\nRisk Factors\n"), F.substring(F.regexp_extract("text", r"(?s)Discussion\n(.*?)\n", 1), 1, 200), F.lit("\nItem 4. Other")).alias("text"))
-    return tx.title_fallback(f, "risk_factors").select("accession", "section_name", "parse_status")
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    f = docs.select(F.concat(F.lit("D"), "doc_id").alias("accession"), F.concat(F.lit("Contents\nRisk Factors\nItem 3\nBusiness\nmany things\nRisk Factors\n"), F.regexp_replace("text", "\n", " "), F.lit("\nItem 4. Other")).alias("text"))
+    return tx.title_fallback(f, "risk_factors").select("accession", "section_name", "parse_status", F.sha2("text", 256).alias("text_sha256"))
 
 
-@R.add("proxy_fallback", f"""with {FILED_SQL} select accession, 'proxy' as parse_status, length(left('Management''s Discussion and Analysis' || chr(10) || body, 10000)) as n from filings where form_type = '10-K' and length('Management''s Discussion and Analysis' || chr(10) || body) >= 500""")
+@R.add("proxy_fallback", f"""with {FILED_SQL}, c as (select accession, {_stripped("'Item 1. Business' || chr(10) || body")} as t from filings)
+select accession, 'proxy' as parse_status, length(t) as n, sha256(t) as text_sha256 from c where length(t) >= 500""")
 def _(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 3 <> 0")
-    f = docs.select(F.concat(F.lit("D"), "doc_id").alias("accession"), F.concat(F.lit("Management's Discussion and Analysis ..... 12\nother\nManagement's Discussion and Analysis\n"), F.regexp_replace("text", "\n", " ")).alias("text"))
-    return tx.proxy_fallback(f).select("accession", "parse_status", F.length("text").alias("n"))
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    f = docs.select(F.concat(F.lit("D"), "doc_id").alias("accession"), F.concat(F.lit("Contents\nPart I ..... 12\nItem 1. Business 14\nother\nItem 1. Business\n"), F.regexp_replace("text", "\n", " ")).alias("text"))
+    return tx.proxy_fallback(f).select("accession", "parse_status", F.length("text").alias("n"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @R.add("proxy_quality", "with c as (select doc_id, (length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4 as n_0, (length(lower(text)) - length(replace(lower(text), 'the ', ''))) // 4 as n_1 from documents) select doc_id, cast(n_0 as integer) as n_0, cast(n_1 as integer) as n_1, greatest(n_0, n_1) > 0 as relevant from c")
@@ -163,8 +173,13 @@ def _(spark, d):
 
 @R.add("change_points", None)
 def _(spark, d):
+    """Months of keyword scores by source, language and theme, and of the quantities shipped so far."""
     s = tx.keyword_scores(sections(spark, d), THEMES, key=["entity", "section", "filing_date"])
-    return tx.change_points(s.select(F.concat_ws("/", "entity", "section", "theme").alias("series"), F.col("filing_date").alias("date"), F.col("score").alias("value")))
+    scores = s.select(F.concat_ws("/", "entity", "section", "theme").alias("series"), F.col("filing_date").alias("date"), F.col("score").alias("value"))
+    daily = table(spark, d, "lineitem").groupBy(F.concat(F.lit("shipped/"), "l_returnflag").alias("series"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("q"))
+    so_far = F.sum("q").over(Window.partitionBy("series").orderBy("date"))  # over days, not rows
+    sent = daily.select("series", "date", so_far.cast("double").alias("value"))
+    return tx.change_points(scores.unionByName(sent), period="month")
 
 
 @R.add("narrative_drift", f"""{TFIDF_SQL}, {KEY_SQL.strip()[len(SECTIONS_SQL.strip()) + 2:]}, {POL_SQL}, al as (select sim.entity, sim.section, s.accession, sim.filing_date, 'similarity' as feature_type, 'tfidf' as feature_name, similarity as value from sim join sections s using (doc_id)
@@ -369,21 +384,21 @@ def _(spark, d):
     return rd.provenance_from_lines(lines).select("step", "timestamp", "http_status", "rows")
 
 
-@R.add("reference_values_source", f"{FACTS_SQL} select metric, fiscal_year, value, entity as source from facts where fp = 'FY' and entity = 'NATION_1'")
+@R.add("reference_values_source", f"{FACTS_SQL} select metric, fiscal_year, value, entity as source from facts where fp = 'FY'")
 def _(spark, d):
-    f = facts(spark, d).where("fp = 'FY' and entity = 'NATION_1'")
-    flat = f.where("fiscal_year % 2 = 0").groupBy("fiscal_year").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("value").cast("string")))).alias("m"))
-    nested = f.where("fiscal_year % 2 = 1").groupBy("fiscal_year").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(F.col("value").alias("value"))))).alias("m"))
-    body = flat.select("fiscal_year", F.to_json(F.map_concat("m", F.create_map(F.lit("_note"), F.lit("checked")))).alias("b")).unionByName(nested.select("fiscal_year", F.to_json(F.struct(F.col("m").alias("metrics"))).alias("b")))
-    raw = body.agg(F.concat(F.lit('{"values": {'), F.array_join(F.collect_list(F.concat(F.lit('"FY'), "fiscal_year", F.lit('": '), "b")), ","), F.lit("}}")).alias("value"))  # one short document
-    return rd.reference_values(raw, source="NATION_1")
+    f = facts(spark, d).where("fp = 'FY'")
+    flat = f.where("fiscal_year % 2 = 0").groupBy("entity", "fiscal_year").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("value").cast("string")))).alias("m"))
+    nested = f.where("fiscal_year % 2 = 1").groupBy("entity", "fiscal_year").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(F.col("value").alias("value"))))).alias("m"))
+    body = flat.select("entity", "fiscal_year", F.to_json(F.map_concat("m", F.create_map(F.lit("_note"), F.lit("checked")))).alias("b")).unionByName(nested.select("entity", "fiscal_year", F.to_json(F.struct(F.col("m").alias("metrics"))).alias("b")))
+    raw = body.groupBy("entity").agg(F.concat(F.lit('{"values": {'), F.array_join(F.collect_list(F.concat(F.lit('"FY'), "fiscal_year", F.lit('": '), "b")), ","), F.lit("}}")).alias("value"))  # a short document for each entity
+    return rd.reference_values(raw, source=F.col("entity"))
 
 
-@R.add("manual_overrides_source", f"{FACTS_SQL} select metric, fiscal_year, value as manual_value, 'ok' as status from facts where fp = 'FY' and entity = 'NATION_1' and metric in ('revenue', 'capex')")
+@R.add("manual_overrides_source", f"{FACTS_SQL} select entity, metric, fiscal_year, value as manual_value, 'ok' as status from facts where fp = 'FY'")
 def _(spark, d):
-    f = facts(spark, d).where("fp = 'FY' and entity = 'NATION_1' and metric in ('revenue', 'capex')")
+    f = facts(spark, d).where("fp = 'FY'")
     entry = F.struct(F.concat_ws(",", "metric", "fiscal_year"), F.struct(F.col("value").alias("manual_value"), F.lit("ok").alias("status")))
-    return rd.manual_overrides(f.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")))
+    return rd.manual_overrides(f.groupBy("entity").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")), keep=("entity",))
 
 
 @R.add("analyst_source", """with s as (select 'E' || (user_id % 30) as ticker, ['0q', '0y', '+1y'][1 + event_id % 3] as period, ts as retrieval_date, value as revenue_estimate, event_id from events),
@@ -393,15 +408,22 @@ def _(spark, d):
     return rd.growth_estimates(rd.analyst_latest(s))
 
 
-@R.add("parse_filings", f"""with {FILED_SQL}, s as (select accession, 'business' as section_name, case when form_type = '10-K' then 'Item 1. Business' || chr(10) || left(body, 400) end as t from filings where form_type = '10-K'
-union all select accession, 'risk_factors', 'Item 1A. Risk Factors' || chr(10) || left(body, 300) from filings union all select accession, 'mda', case when form_type = '10-K' then 'Item 7. Discussion' else 'Item 2. Discussion' end || chr(10) || body from filings
-union all select accession, 'quant', null from filings where form_type = '10-K')
-select accession, section_name, case when length(t) > 60 then 'success' else 'missing' end as parse_status, case when length(t) > 60 then 'item' end as extraction_tier from s where t is null or length(t) > 60""")
+def _from_line(title: str) -> str:
+    return rf"regexp_replace({title}, '[ \t]*\n[ \t]*', chr(10), 'g')"
+
+
+PROXY_SQL = f"""p as (select accession, {_stripped(_from_line("case when form_type = '10-K' then 'Item 1. Business' || chr(10) || body || chr(10) || 'Item 1A. Risk Factors' || chr(10) || body || chr(10) || 'Item 7. Discussion' || chr(10) || body || chr(10) || 'Item 8. Statements' || chr(10) || 'none' "
+"else 'Item 1. Statements' || chr(10) || 'none' || chr(10) || 'Item 2. Discussion' || chr(10) || body || chr(10) || 'Part II' || chr(10) || 'Item 1A. Risk Factors' || chr(10) || body || chr(10) || 'Item 6. Exhibits' || chr(10) || 'none' end"))} as proxy from filings)"""
+
+
+@R.add("parse_filings", f"""with {PARTS_SQL}, {PROXY_SQL}, c as (select accession, section_name, {_stripped(_from_line("t"))} as t, proxy from s join p using (accession)),
+m as (select accession, section_name, case when length(t) > 50 then t end as t, section_name = 'mda' and length(proxy) >= 500 and coalesce(case when length(t) > 50 then length(t) end, 0) < 500 as by_anchor, proxy from c)
+select accession, section_name, case when by_anchor then 'proxy' when t is not null then 'success' else 'missing' end as parse_status, case when by_anchor then 'proxy' when t is not null then 'item' end as extraction_tier, sha256(case when by_anchor then proxy else t end) as text_sha256 from m""")
 def _(spark, d):
     f = filings(spark, d)
     html = F.concat(F.lit("<html><style>p {}</style><body><p>"), F.regexp_replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), "\n", "</p><p>"), F.lit("</p></body></html>"))
     out = tx.parse_filings(f.select("accession", "form_type", html.alias("html")))
-    return out.where(F.col("text").isNull() | (F.length("text") > 60)).where("section_name = 'quant' or text is not null").select("accession", "section_name", "parse_status", "extraction_tier")
+    return out.select("accession", "section_name", "parse_status", "extraction_tier", F.sha2("text", 256).alias("text_sha256"))
 
 
 @R.add("sections_sink", "select source as entity, lang as section, count(*) as n, cast(sum(length(text)) as bigint) as chars from documents group by all")

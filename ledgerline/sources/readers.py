@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import col
+from ledgerline.functions.workers import shared_folder
 from ledgerline.operators.valuation import stale
 
 ENTRY = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string,frame:string>"
@@ -82,26 +82,26 @@ def provenance_from_lines(lines: DataFrame, *, line: str = "value") -> DataFrame
     return lines.select(F.from_json(F.col(line), schema, {"columnNameOfCorruptRecord": "_bad"}).alias("d")).select("d.*").where(F.col("_bad").isNull() & F.col("step").isNotNull()).drop("_bad")
 
 
-def reference_values(raw: DataFrame, *, json: str = "value", source: str = "published") -> DataFrame:
-    """(metric, fiscal_year, value) of maps FY -> metric -> value, flat or with nested metrics.<name>.value; keys from _ are notes."""
-    d = raw.select(F.from_json(F.col(json), "values map<string,string>").alias("d")).select(F.explode("d.values").alias("fy", "body"))
-    flat = d.select("fy", F.explode(F.from_json("body", "map<string,string>")).alias("metric", "v")).where(~F.col("metric").startswith("_") & (F.col("metric") != "metrics"))
-    nested = d.select("fy", F.explode(F.from_json("body", "metrics map<string,struct<value:double>>")["metrics"]).alias("metric", "v")).select("fy", "metric", F.col("v.value").cast("string").alias("v"))
+def reference_values(raw: DataFrame, *, json: str = "value", source: Column | str = "published") -> DataFrame:
+    """(metric, fiscal_year, value, source) of maps FY -> metric -> value, flat or with nested metrics.<name>.value; keys from _ are notes."""
+    named = F.lit(source) if isinstance(source, str) else source
+    d = raw.select(F.from_json(F.col(json), "values map<string,string>").alias("d"), named.alias("source")).select("source", F.explode("d.values").alias("fy", "body"))
+    flat = d.select("source", "fy", F.explode(F.from_json("body", "map<string,string>")).alias("metric", "v")).where(~F.col("metric").startswith("_") & (F.col("metric") != "metrics"))
+    nested = d.select("source", "fy", F.explode(F.from_json("body", "metrics map<string,struct<value:double>>")["metrics"]).alias("metric", "v")).select("source", "fy", "metric", F.col("v.value").cast("string").alias("v"))
     year = F.expr("try_cast(substring(fy, 3) as int)")
-    return flat.unionByName(nested).select("metric", year.alias("fiscal_year"), F.expr("try_cast(v as double)").alias("value"), F.lit(source).alias("source")).where("value is not null and fiscal_year is not null")
+    return flat.unionByName(nested).select("metric", year.alias("fiscal_year"), F.expr("try_cast(v as double)").alias("value"), "source").where("value is not null and fiscal_year is not null")
 
 
-def manual_overrides(raw: DataFrame, *, json: str = "value") -> DataFrame:
-    """(metric, fiscal_year, manual_value, status) of a map with keys "metric,year"."""
-    d = raw.select(F.explode(F.from_json(F.col(json), "map<string,struct<manual_value:double,status:string>>")).alias("k", "v"))
+def manual_overrides(raw: DataFrame, *, json: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, metric, fiscal_year, manual_value, status) of a map with keys "metric,year"."""
+    d = raw.select(*keep, F.explode(F.from_json(F.col(json), "map<string,struct<manual_value:double,status:string>>")).alias("k", "v"))
     part = F.split("k", ",")
-    return d.select(part[0].alias("metric"), F.expr("try_cast(trim(element_at(split(k, ','), 2)) as int)").alias("fiscal_year"), "v.manual_value", "v.status")
+    return d.select(*keep, part[0].alias("metric"), F.expr("try_cast(trim(element_at(split(k, ','), 2)) as int)").alias("fiscal_year"), "v.manual_value", "v.status")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a table in the folder that all executors share; a local one only where the session names none."""
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-tables-")
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a table in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = None) -> None:

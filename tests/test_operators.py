@@ -173,6 +173,83 @@ def test_change_point_of_a_step(spark):
     assert [(r.break_date, r.available_date) for r in tx.change_points(s, penalty=3.0).collect()] == [(D("2020-01-11"), D("2020-01-20"))]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_breaks_against_every_division(seed):
+    """The least cost of all divisions into segments of two points at least, by the full kernel matrix."""
+    from itertools import combinations
+
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(rng.integers(0, 4), 0.3, rng.integers(2, 6)) for _ in range(3)]).round(2)
+    n, d = len(x), (x[:, None] - x[None, :]) ** 2
+    middle = np.median(d[np.triu_indices(n, 1)])
+    assert tx.middle_gap(x) == pytest.approx(middle, rel=1e-9)
+    k = np.exp(-np.clip(d / middle, 1e-2, 1e2))
+    for step, penalty in ((1, 0.3), (1, 1.0), (2, 0.5), (5, 3.0)):
+        costs = {}
+        for r in range(n // 2):
+            for cut in combinations(range(step, n, step), r):
+                ends = [0, *cut, n]
+                if all(b - a >= 2 for a, b in zip(ends[:-1], ends[1:], strict=True)):
+                    costs[cut] = sum(np.trace(k[a:b, a:b]) - k[a:b, a:b].sum() / (b - a) + penalty for a, b in zip(ends[:-1], ends[1:], strict=True))
+        got = tuple(tx.breaks(x, 2, step, penalty))
+        assert costs[got] == pytest.approx(min(costs.values()), abs=1e-9)
+
+
+def test_change_points_by_month_and_short_series(spark):
+    rows = [("a", D("2020-01-01") + dt.timedelta(days=i), float(i >= 450)) for i in range(900)] + [("b", D("2020-01-01"), 1.0), ("c", D("2020-01-01"), None)]
+    s = spark.createDataFrame(rows, "series string, date date, value double")
+    got = [(r.series, r.break_date) for r in tx.change_points(s, period="month").collect()]
+    assert got == [("a", D("2021-04-01"))]
+    assert tx.change_points(s.limit(0)).count() == 0
+
+
+def test_html_text_nodes_are_joined_by_line_ends(spark):
+    import html
+    import re
+
+    pages = ["<p>a</p><p>b &amp; c</p>", "<div>x<br>\n\n\n\n y</div><script>no</script>", "", None, "a<!-- no --><style>no</style>b &eacute; &#33;", "<p> one </p> <p>two</p>"]
+    got = [r.t for r in spark.createDataFrame([(p,) for p in pages], "h string").select(tx.html_to_text("h").alias("t")).collect()]
+
+    def plain(p):
+        nodes = [html.unescape(x) for x in re.split(r"(?:<[^>]*>)+", re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "", p))]
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "\n".join(nodes))).strip()
+
+    assert got == [None if p is None else plain(p) for p in pages]
+
+
+def test_keywords_of_one_and_of_several_words(spark):
+    docs = spark.createDataFrame([(1, "Of the cat, of-the cat's CAT über-cat cats"), (2, ""), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.theme): r.score for r in tx.keyword_scores(docs, {"a": ["cat", "of the"], "b": ["über"]}).collect()}
+    assert got[1, "a"] == round(5 / 8, 6) and got[1, "b"] == round(1 / 8, 6) and got[2, "a"] == 0
+
+
+def test_fits_meet_their_optimality_conditions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 3))
+    y = x @ [1.5, 0.0, -0.7] + 0.3 + rng.normal(0, 0.4, 80)
+    rows = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    fit = lambda **k: [r.coefficient for r in md.fit_linear(rows, ["a", "b", "c"], "y", **k).collect()]
+    z, t = x - x.mean(axis=0), y - y.mean()
+    *w, intercept = fit(alpha=2.0, ridge=True)
+    assert w == pytest.approx(np.linalg.solve(z.T @ z + 2.0 * np.eye(3), z.T @ t), abs=1e-4) and intercept == pytest.approx(y.mean() - x.mean(axis=0) @ w, abs=1e-4)
+    *w, _ = fit(alpha=0.2, l1=0.5)
+    slope = z.T @ (t - z @ w) / 80 - 0.2 * 0.5 * np.array(w)
+    for g, c in zip(slope, w, strict=True):
+        assert abs(g - 0.1 * np.sign(c)) < 2e-3 if abs(c) > 1e-6 else abs(g) <= 0.1 + 2e-3
+
+
+def test_trees_learn_a_step_and_name_its_feature(spark):
+    rows = spark.createDataFrame([(f"E{k}", float(k % 20), float(k % 7), 10.0 if k % 20 >= 10 else 0.0) for k in range(200)], "entity string, x double, noise double, y double")
+    for kind in ("random_forest", "gradient_boosting"):
+        model, data = md.fit_trees(rows, ["x", "noise"], "y", kind=kind, trees=10)
+        assert all(abs(r.prediction - r.y) < 2 for r in model.transform(data).select("prediction", "y").collect())
+        assert md.feature_importance(model, ["x", "noise"], spark).first().feature == "x"
+
+
 def test_entry_imports_and_names_match():
     import __spark_entry__ as e
 
