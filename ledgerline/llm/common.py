@@ -5,17 +5,18 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.functions.workers import shared, shared_folder, ship
+
+__all__ = ["shared", "shared_folder", "ship"]
+
 #: A byte is part of a word if it is a digit, a letter a-z (A-Z are lowered first) or not ASCII.
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -34,20 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package's source to the executors, once a context, so that it need not be installed there."""
-    sc = spark.sparkContext
-    if getattr(sc, "_ledgerline_sent", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    to = Path(tempfile.mkdtemp(prefix="ledgerline-source-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(str(to))
-    sc._ledgerline_sent = True
-
-
 def limit_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds of its input, and sends this package to the workers.
 
@@ -60,27 +47,6 @@ def limit_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Where that is unset, a local master gets a folder of its own; on a cluster that is an error, since other machines
-    would not see it.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def shared(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder, where they outlive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 @contextmanager
 def counted_memory() -> Iterator[None]:
     """While a task runs, memory is freed by counting alone: tracing its large tables costs a third of the time.
