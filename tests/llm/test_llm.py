@@ -199,6 +199,24 @@ def test_ngram_join_against_brute_force(spark, monkeypatch):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 40, 100_000])
+def test_components(spark, few):
+    from ledgerline.llm.components import components
+
+    rng = np.random.default_rng(7)
+    edges = [(hashlib.md5(b"%d" % a).digest(), hashlib.md5(b"%d" % b).digest()) for a, b in [*rng.integers(0, 300, (180, 2)).tolist(), *((k, k + 1) for k in range(400, 460)), *((500, k) for k in range(501, 600))]]
+    root = {x: x for e in edges for x in e}
+    for _ in range(len(root)):
+        before = dict(root)
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    df = spark.createDataFrame([*edges, *edges[:5], (edges[0][0], edges[0][0]), (None, edges[0][0])], "a binary, b binary")
+    got = {bytes(r.node): bytes(r.root) for r in components(df, few=few).collect()}
+    assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
 def test_ngram_join_awkward(spark, awkward):
     got = ngram_join.near_duplicates(awkward).collect()
     assert len(got) == len(AWKWARD)
