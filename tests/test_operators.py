@@ -277,3 +277,19 @@ def test_topics_of_documents_of_all_languages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     weights, _, _ = tq.topics(spark, str(tmp_path))
     assert {r.doc_id for r in weights.select("doc_id").distinct().collect()} == set(range(12))
+
+
+@pytest.mark.parametrize(("master", "local"), [("local", True), ("local[8]", True), ("local-cluster[3,1,1024]", False), ("spark://host:7077", False)])
+def test_shared_folder_without_a_setting(master, local):
+    from types import SimpleNamespace
+
+    from ledgerline.functions.workers import shared_folder
+
+    held = []
+    sc = SimpleNamespace(master=master, getCheckpointDir=lambda: held[-1] if held else None, setCheckpointDir=held.append)
+    session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default: default))
+    if local:
+        assert shared_folder(session) == held[0]
+    else:
+        with pytest.raises(ValueError):
+            shared_folder(session)
