@@ -1,16 +1,21 @@
-"""Byte-level BPE by merge replay over the distinct pre-tokens of a block of the corpus.
+"""Byte-level BPE by corpus-level merge replay.
 
-All new pre-tokens of a block stand in one array of symbols. An index from merge rank to the positions of its pairs is
+Spark counts the distinct pre-tokens of all texts. Those that come again, the most frequent first up to a table of
+bounded size, are replayed once for the whole corpus, each hash partition of the counts on its own, and the table of
+their ids is sent to the tasks. Of the others a task replays those that it meets, block by block and in the same way.
+
+A replay has all its pre-tokens in one array of symbols. An index from merge rank to the positions of its pairs is
 worked off in rank order, all positions of a rank at once; a merge touches only the two neighbours of its position,
-whose new pairs enter the index. Encoded pre-tokens are kept for the following blocks of the same task.
+whose new pairs enter the index.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
 from functools import cache
 from itertools import count, islice
 
@@ -21,10 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.characters import splitter
-from ledgerline.llm.common import counted_memory, limit_batches
+from ledgerline.llm.common import counted_memory, limit_batches, shared
 
-#: Pre-tokens that a worker keeps; beyond it starts anew, which costs time but changes no result.
+#: Pre-tokens that a worker keeps, the corpus's table among them; beyond it starts anew, which costs time but changes no result.
 KEPT_WORDS = 200_000
+#: Pre-tokens in the corpus's table, and bytes of one, at most.
+TABLE_WORDS, TABLE_BYTES = 100_000, 64
+#: Distinct pre-tokens that a task counts before it hands them on.
+COUNTED_WORDS = 300_000
 #: Bytes of text whose new pre-tokens are replayed together.
 BLOCK_BYTES = 8 << 20
 #: Room for ids in a pair's key.
@@ -163,11 +172,77 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(every), dtype=np.uint8), np.r_[0, np.cumsum([len(t) for t in every])]
 
 
+def replayed(words: list[bytes], merges: Merges, byte_ids: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words one after another, and where each word's end."""
+    out = replay(symbols_of(words, byte_ids), merges)
+    marks = np.flatnonzero(out == -1)
+    return out[out >= 0].astype(np.int32), marks - np.arange(len(marks))
+
+
+@dataclass
+class Table:
+    """Pre-tokens with FF after each, their ids one after another, and where each one's begin, with one end more."""
+
+    words: bytes = b""
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
+    ends: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+
+
+def counted(docs: DataFrame, pattern: str, *, text: str = "text") -> DataFrame:
+    """(word, n): every distinct pre-token of all texts, in the shared folder, each in one partition by its hash."""
+    limit_batches(docs.sparkSession)
+
+    def rows(counts: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with counted_memory():
+            split, counts = splitter(pattern), Counter()
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    if t:
+                        counts.update(split(t))
+                if len(counts) > COUNTED_WORDS:
+                    yield rows(counts)
+                    counts.clear()
+            yield rows(counts)
+            counts = None
+
+    return shared(docs.select(F.col(f"`{text}`")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def corpus_table(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text") -> Table:
+    """The ids of the most frequent pre-tokens of the whole corpus, TABLE_WORDS of them at most, replayed by Spark.
+
+    One that comes once is not in it, nor one of more than TABLE_BYTES bytes: at most 30 MB reach the driver.
+    """
+    counts = counted(docs, pattern, text=text).where((F.col("n") > 1) & (F.octet_length("word") <= TABLE_BYTES))
+    level = F.floor(F.log2("n") * 8)  # some hundreds of them, whatever the corpus
+    least, taken = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if (taken := taken + r["count"]) > TABLE_WORDS:
+            break
+        least = r.level
+    if least is None:
+        return Table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with counted_memory():
+            if words := [w for b in batches for w in b.column(0).to_pylist()]:
+                ids, ends = replayed(words, *rank_table(ranks_path))
+                row = (b"\xff".join([*words, b""]), ids.tobytes(), np.diff(ends, prepend=0).astype(np.int64).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["words", "ids", "sizes"])
+
+    found = counts.where(level >= least).select(F.col("word").cast("binary")).mapInArrow(run, "words binary, ids binary, sizes binary").collect()
+    sizes = np.frombuffer(b"".join(r.sizes for r in found), dtype=np.int64)
+    return Table(b"".join(r.words for r in found), np.frombuffer(b"".join(r.ids for r in found), dtype=np.int32), np.r_[0, np.cumsum(sizes)])
+
+
 class Numbered:
-    """Numbers words in the order in which they first come."""
+    """Numbers words in the order in which they first come, after those given."""
 
-    def __init__(self) -> None:
-        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+    def __init__(self, words: Sequence[str] = ()) -> None:
+        self.numbers: defaultdict[str, int] = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
 
     def of(self, words: Iterable[str], n: int) -> np.ndarray:
         return np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=n)
@@ -179,21 +254,22 @@ class Numbered:
 class Encoder:
     """Encodes texts block by block; keeps the ids of the pre-tokens that it has met."""
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, table: Table | None = None) -> None:
         self.merges, self.byte_ids = rank_table(ranks_path)
-        self.split = splitter(pattern)
+        self.split, self.table = splitter(pattern), table or Table()
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.ids, self.ends = Numbered(), np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        """Goes back to the corpus's table."""
+        self.words = Numbered([w.decode() for w in self.table.words.split(b"\xff")[:-1]])
+        self.ids, self.ends = self.table.ids, self.table.ends
 
     def _learn(self) -> None:
         new = self.words.since(len(self.ends) - 1)
         if new:
-            out = replay(symbols_of([w.encode() for w in new], self.byte_ids), self.merges)
-            marks = np.flatnonzero(out == -1)
-            self.ends = np.concatenate([self.ends, len(self.ids) + marks - np.arange(len(marks))])
-            self.ids = np.concatenate([self.ids, out[out >= 0].astype(np.int32)])
+            ids, ends = replayed([w.encode() for w in new], self.merges, self.byte_ids)
+            self.ends = np.concatenate([self.ends, len(self.ids) + ends])
+            self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, blocks: list[list[str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each list of texts all ids, and where each text's begin, with one end more."""
@@ -229,17 +305,18 @@ def _bytes_of(raw: np.ndarray, ends: np.ndarray, lists: pa.ListArray) -> pa.Arra
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", out: str = "ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with the ids of each whole text: an array of ints, empty for a null or empty text.
 
-    Each match of pattern is encoded by itself, without special tokens. decoded: a column for the bytes that the ids
-    decode to, made in the same pass. Columns of these names are replaced; repeated rows give repeated results, an empty
+    Each match of pattern is encoded by itself, without special tokens. docs is read twice: for the corpus's table of
+    pre-tokens, when this is called, and for the ids. decoded: a column for the bytes that the ids decode to. Columns of these names are replaced; repeated rows give repeated results, an empty
     table an empty one. A very long text is one block of its own; time grows with its length, not faster.
     """
     limit_batches(docs.sparkSession)
     added = [out] if decoded is None else [out, decoded]
     kept = [f for f in docs.schema.fields if f.name.lower() not in {x.lower() for x in added} and (keep is None or f.name in keep)]
     names = [f.name for f in kept] + added
+    sent = docs.sparkSession.sparkContext.broadcast(corpus_table(docs, ranks_path, pattern, text=text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, size = Encoder(ranks_path, pattern), [], 0
+        encoder, held, size = Encoder(ranks_path, pattern, sent.value), [], 0
         table = decoded and byte_table(ranks_path)
 
         def flush() -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -86,6 +87,32 @@ def test_byte_bpe_against_the_library(spark, awkward):
     assert bpe.encode(empty(spark), path, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("room", [100_000, 5, 0])
+def test_byte_bpe_replays_the_corpus_once(spark, monkeypatch, room):
+    """The table holds the most frequent pre-tokens of all rows, at most as many as there is room for; ids don't depend on it."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = [f"{'common ' * 40}{'often ' * (k % 7)}shared{k % 3} Ünï{k} {'z' * 70} once{k * 7919}\xff" for k in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    monkeypatch.setattr(bpe, "TABLE_WORDS", room)
+    monkeypatch.setattr(bpe, "COUNTED_WORDS", 10)
+    table = bpe.corpus_table(docs, path, P.PATTERN)
+    words = [w.decode() for w in table.words.split(b"\xff")[:-1]]
+    counts = Counter(w for t in texts for w in bpe.splitter(P.PATTERN)(t or ""))
+    assert {r.word: r.n for r in bpe.counted(docs, P.PATTERN).collect()} == counts
+    able = {w for w, n in counts.items() if n > 1 and len(w.encode()) <= bpe.TABLE_BYTES}
+    assert len(words) == len(set(words)) == len(table.ends) - 1 <= room and set(words) <= able
+    assert set(words) == able if room == 100_000 else (" common" in words) == (room > 0)
+    for w, a, b in zip(words, table.ends[:-1], table.ends[1:], strict=True):
+        assert table.ids[a:b].tolist() == lib.encode_ordinary(w)
+    encoder = bpe.Encoder(path, P.PATTERN, table)
+    next(encoder.encode([["".join(w for w in words if w == " common")]]))
+    assert len(encoder.ends) == len(table.ends)  # nothing is replayed again
+    for r in bpe.encode(docs, path, P.PATTERN, decoded="decoded").collect():
+        assert r.ids == lib.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+
+
 def test_replay_takes_a_neighbour_of_lower_rank_first():
     """Token bytes that arise in two ways make pairs of lower rank than the merge that made them possible."""
     tiktoken = pytest.importorskip("tiktoken")
