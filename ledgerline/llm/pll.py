@@ -280,13 +280,15 @@ def log_probabilities(p: list[np.ndarray], v: Vocabulary, ids: np.ndarray) -> np
             x += t[ids[here + o]]
         h, found = hidden(x, b1), np.empty(len(here), dtype=x.dtype)
         for a in range(0, len(h), ROWS_AT_ONCE):
-            g, total = powers(h[a : a + ROWS_AT_ONCE] @ w2)
-            found[a : a + ROWS_AT_ONCE] = np.log(g[every[: len(g)], kind[a : a + ROWS_AT_ONCE]] / total)
+            g = h[a : a + ROWS_AT_ONCE] @ w2
+            own = np.minimum(g[every[: len(g)], kind[a : a + ROWS_AT_ONCE]], MOST)
+            found[a : a + ROWS_AT_ONCE] = own - np.log(powers(g)[1])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             first, last = v.starts[kind[a]], v.starts[kind[a] + 1]
             if last - first > 1:
-                g, total = powers(h[a:b] @ u[first:last].T)
-                found[a:b] += np.log(g[every[: b - a], places[a:b] - first] / total)
+                g = h[a:b] @ u[first:last].T
+                own = np.minimum(g[every[: b - a], places[a:b] - first], MOST)
+                found[a:b] += own - np.log(powers(g)[1])
         back = np.empty_like(found)
         back[order] = found
         out.append(back)
