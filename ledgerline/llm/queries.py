@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, cover_tree, decontaminate, html_text, ngram_join, pll, quality, secrets, token_counts, toxicity
+from ledgerline.llm import bpe, cover_tree, decontaminate, html_text, ngram_join, piece_bpe, pll, quality, secrets, token_counts, toxicity
 from ledgerline.llm.common import table
 from ledgerline.llm.labelled import remainder
 
@@ -145,6 +145,17 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_bpe.encode(docs, _tokenizer("piece_bpe_32k.model"), decoded="decoded", keep=["doc_id"])
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -157,6 +168,7 @@ def queries() -> dict:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secret_scan": op9_secret_scan,
         "op10_html_text": op10_html_text,
+        "op12_sentencepiece": op12_sentencepiece,
     }
 
 
