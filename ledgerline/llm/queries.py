@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, cover_tree, decontaminate, html_text, ngram_join, piece_bpe, pll, quality, secrets, token_counts, toxicity
+from ledgerline.llm import bpe, centroids, cover_tree, decontaminate, html_text, ngram_join, piece_bpe, pll, quality, secrets, token_counts, toxicity
 from ledgerline.llm.common import table
 from ledgerline.llm.labelled import remainder
 
@@ -156,6 +156,37 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+    return made.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+def _op13_sql() -> str:
+    """Three rounds and the last assignment, each as two steps over (row, centroid) pairs and over (row, component) rows."""
+    parts = ["""kept as (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), long as (select rid, unnest(range(1, 65)) as i, unnest(v) as x from kept
+), c0 as (
+  select row_number() over (order by sha256('1:' || vec_id) nulls last, v) - 1 as c, v from kept qualify row_number() over (order by sha256('1:' || vec_id) nulls last, v) <= 16
+)"""]
+    for r in range(4):
+        parts.append(f"""a{r} as (
+  select rid, min([cast(list_sum(list_transform(list_zip(kept.v, c{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint), c]) as m from kept cross join c{r} group by rid
+)""")
+        if r < 3:
+            parts.append(f"""s{r} as (
+  select m[2] as c, i, cast(sum(x) as bigint) as s, count(*) as n from a{r} join long using (rid) group by all
+), c{r + 1} as (
+  select c, coalesce(w, v) as v from c{r} left join (select c, list((s - ((s % n) + n) % n) // n order by i) as w from s{r} group by c) using (c)
+)""")
+    return "with " + ", ".join(parts) + """
+select vec_id, cast(m[2] as integer) as cluster, m[1] as distance, cast(sum(m[1]) over (partition by m[2]) as bigint) as cluster_inertia,
+       cast(sum(m[1]) over () as bigint) as inertia, sha256(array_to_string(c3.v, ',')) as centroid_sha256
+from a3 join kept using (rid) join c3 on c3.c = m[2]
+"""
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -169,8 +200,9 @@ def queries() -> dict:
         "op9_secret_scan": op9_secret_scan,
         "op10_html_text": op10_html_text,
         "op12_sentencepiece": op12_sentencepiece,
+        "op13_centroids": op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op5_exact_top_k": OP5_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op13_centroids": _op13_sql()}
