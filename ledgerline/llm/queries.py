@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, centroids, cover_tree, decontaminate, html_text, ngram_join, piece_bpe, pll, quality, secrets, token_counts, toxicity
+from ledgerline.llm import bpe, centroids, cover_tree, decontaminate, html_text, ngram_join, piece_bpe, pll, quality, repair, secrets, token_counts, toxicity
 from ledgerline.llm.common import table
 from ledgerline.llm.labelled import remainder
+from ledgerline.llm.repair_sql import OP11_SQL
 
 TOKEN_LIMIT = 2048
 
@@ -145,6 +146,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with the faults that op11's contract puts into them, by a hash of conversation and turn."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    part = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", spaced("role").alias("role"), spaced("text").alias("text"), part.alias("part")).where("part <> 0")
+    text = F.when(F.col("part") == 1, "").when(F.col("part") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("part") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", F.when(F.col("part") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(damaged(conversations), every=conversations)
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = piece_bpe.encode(docs, _tokenizer("piece_bpe_32k.model"), decoded="decoded", keep=["doc_id"])
@@ -199,10 +215,11 @@ def queries() -> dict:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secret_scan": op9_secret_scan,
         "op10_html_text": op10_html_text,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_sentencepiece": op12_sentencepiece,
         "op13_centroids": op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op13_centroids": _op13_sql()}
+    return {"op1_decontaminate": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op11_conversation_repair": OP11_SQL, "op13_centroids": _op13_sql()}
