@@ -164,51 +164,17 @@ def model_quality(scores: DataFrame, coefficients: DataFrame, model: str, *, by:
     return best.join(size, list(by), "left").select(*by, status.alias("status"))
 
 
-def leaderboard(scores: DataFrame, *, by: Sequence[str] = ("entity",)) -> DataFrame:
-    return scores.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("mae", "model")))
+def leaderboard(scores: DataFrame, coefficients: DataFrame | None = None, *, by: Sequence[str] = ("entity",)) -> DataFrame:
+    """scores with each model's place; coefficients (by, model, feature, coefficient) add an array of them, the largest first.
 
-
-def fit_trees(rows: DataFrame, features: Sequence[str], target: str, *, kind: str = "random_forest", trees: int = 100, seed: int = 42):
-    """MLlib random forest, or gradient boosting of depth 3; nulls count as 0."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    clean = rows.where(F.col(target).isNotNull()).select("*", F.col(target).cast("double").alias("__y")).fillna(0.0, subset=list(features))
-    data = shared(VectorAssembler(inputCols=list(features), outputCol="__x").transform(clean))  # read by each pass of the fit
-    options = {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "prediction", "seed": seed}
-    estimator = RandomForestRegressor(numTrees=trees, **options) if kind == "random_forest" else GBTRegressor(maxIter=trees, maxDepth=3, **options)
-    return estimator.fit(data), data
-
-
-def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
-    rows = sorted(zip(features, map(float, model.featureImportances.toArray()), strict=True), key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame([(f, v, k + 1) for k, (f, v) in enumerate(rows)], "feature string, importance double, place int")
-
-
-def tree_walk_forward(rows: DataFrame, features: Sequence[str], target: str, cuts: Sequence[int] | None = None, *, at: str = "qidx", kind: str = "gradient_boosting", trees: int = 100, least: int = 3) -> DataFrame:
-    """One fit for each cut of the pooled panel: rows before the cut are learnt, rows at it predicted.
-
-    Cuts are a short list of dates: by default every date with a target but the first `least`.
+    The array is bounded by the model's features; models without coefficients have none.
     """
-    rows = shared(rows)  # one pass over the panel for all cuts
-    if cuts is None:
-        cuts = sorted(r[0] for r in rows.where(F.col(target).isNotNull() & F.col(at).isNotNull()).select(at).distinct().collect())[least:]
-    out = None
-    for c in cuts:
-        model, _ = fit_trees(rows.where(F.col(at) < c), features, target, kind=kind, trees=trees)
-        _, now = fit_trees_input(rows.where(F.col(at) == c), features, target)
-        p = model.transform(now).select("entity", F.lit(c).alias(at), F.col("__y").alias("actual"), "prediction")
-        out = p if out is None else out.unionByName(p)
-    if out is None:
-        return rows.select("entity", at, F.col(target).cast("double").alias("actual"), F.lit(0.0).alias("prediction")).limit(0)
-    return out
-
-
-def fit_trees_input(rows: DataFrame, features: Sequence[str], target: str):
-    from pyspark.ml.feature import VectorAssembler
-
-    clean = rows.where(F.col(target).isNotNull()).select("*", F.col(target).cast("double").alias("__y")).fillna(0.0, subset=list(features))
-    return None, VectorAssembler(inputCols=list(features), outputCol="__x").transform(clean)
+    ranked = scores.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("mae", "model")))
+    if coefficients is None:
+        return ranked
+    size = F.struct((-F.abs("coefficient")).alias("s"), "feature", "coefficient")
+    sorted_ = F.transform(F.array_sort(F.collect_list(size)), lambda r: F.struct(r["feature"].alias("feature"), r["coefficient"].alias("coefficient")))
+    return ranked.join(coefficients.groupBy(*by, "model").agg(sorted_.alias("coefficients")), [*by, "model"], "left")
 
 
 def peer_panel_info(peers: DataFrame, features: Sequence[str], target: str, *, ticker: str = "ticker", least: int = 10) -> DataFrame:

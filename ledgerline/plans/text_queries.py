@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import models as mo
 from ledgerline.operators import text as tx
+from ledgerline.operators import trees as tr
 from ledgerline.plans.bindings import FACTS_SQL, PEERS_SQL, PRICES_SQL, SECTIONS_SQL, facts, peers, prices, sections, table
 from ledgerline.plans.fact_queries import RATIOS_SQL, metrics
 from ledgerline.plans.market_queries import PANEL_SQL, panel
@@ -298,29 +299,28 @@ def _(spark, d):
     return mo.fit_linear(p, FEATURES, "target_value", alpha=0.001)
 
 
-KINDS = ["random_forest", "gradient_boosting"]
+KINDS = ("random_forest", "gradient_boosting")
+
+
+def fitted(spark, d):
+    """Both kinds of trees over the whole panel."""
+    p = panel(spark, d).select("entity", "fiscal_period", "qidx", "target_value", *FEATURES)
+    return tr.fit(p, FEATURES, "target_value", {k: tr.kind_of(k) for k in KINDS}, at="qidx")
 
 
 @R.add("tree_models", None)
 def _(spark, d):
-    out = []
-    for kind in KINDS:
-        model, data = mo.fit_trees(panel(spark, d), FEATURES, "target_value", kind=kind)
-        out.append(model.transform(data).select("entity", "fiscal_period", F.lit(kind).alias("kind"), F.round("prediction", 6).alias("prediction")))
-    return out[0].unionByName(out[1])
+    return fitted(spark, d).predict(at_cuts=False).select("entity", "fiscal_period", "kind", F.round("prediction", 6).alias("prediction"))
 
 
 @R.add("feature_importance", None)
 def _(spark, d):
-    out = [mo.feature_importance(mo.fit_trees(panel(spark, d), FEATURES, "target_value", kind=kind)[0], FEATURES, spark).withColumn("kind", F.lit(kind)) for kind in KINDS]
-    return out[0].unionByName(out[1])
+    return fitted(spark, d).importance().select("feature", "importance", "place", "kind")
 
 
 @R.add("tree_walk_forward", None)
 def _(spark, d):
-    p = panel(spark, d)
-    out = [mo.tree_walk_forward(p, FEATURES, "target_value", kind=kind).withColumn("kind", F.lit(kind)) for kind in KINDS]
-    return out[0].unionByName(out[1])
+    return tr.tree_walk_forward(panel(spark, d), FEATURES, "target_value", kinds=KINDS).select("entity", "qidx", "actual", "prediction", "kind")
 
 
 @R.add("peer_panel", f"""{PANEL_SQL}, q as (select entity as ticker, case when right(entity, 1) = '3' then null else rd_intensity end as rd_intensity, case when right(entity, 1) = '3' then null else capex_intensity end as capex_intensity, case when right(entity, 1) = '5' then null else target_value end as target_value from panel where not (right(entity, 1) = '4' and qidx > 7985)),

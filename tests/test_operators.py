@@ -242,14 +242,6 @@ def test_fits_meet_their_optimality_conditions(spark):
         assert abs(g - 0.1 * np.sign(c)) < 2e-3 if abs(c) > 1e-6 else abs(g) <= 0.1 + 2e-3
 
 
-def test_trees_learn_a_step_and_name_its_feature(spark):
-    rows = spark.createDataFrame([(f"E{k}", float(k % 20), float(k % 7), 10.0 if k % 20 >= 10 else 0.0) for k in range(200)], "entity string, x double, noise double, y double")
-    for kind in ("random_forest", "gradient_boosting"):
-        model, data = md.fit_trees(rows, ["x", "noise"], "y", kind=kind, trees=10)
-        assert all(abs(r.prediction - r.y) < 2 for r in model.transform(data).select("prediction", "y").collect())
-        assert md.feature_importance(model, ["x", "noise"], spark).first().feature == "x"
-
-
 def test_entry_imports_and_names_match():
     import __spark_entry__ as e
 
@@ -260,14 +252,14 @@ def test_entry_imports_and_names_match():
 def test_tree_walk_forward_predicts_every_quarter_past_the_history(spark):
     from inspect import signature
 
-    from ledgerline.operators import models as mo
+    from ledgerline.operators import trees as tr
 
     rows = spark.createDataFrame([(f"E{e}", 8100 + q, float(q), float(q + e)) for e in range(4) for q in range(6)], "entity string, qidx int, x double, y double")
     for kind in ("random_forest", "gradient_boosting"):
-        got = mo.tree_walk_forward(rows, ["x"], "y", kind=kind, trees=2).collect()
+        got = tr.tree_walk_forward(rows, ["x"], "y", kinds=(kind,), trees=2).collect()
         assert sorted((r.entity, r.qidx) for r in got) == [(f"E{e}", 8103 + q) for e in range(4) for q in range(3)]
-    assert mo.tree_walk_forward(rows.where("qidx < 8103"), ["x"], "y").count() == 0
-    assert signature(mo.tree_walk_forward).parameters["trees"].default == 100
+    assert tr.tree_walk_forward(rows.where("qidx < 8103"), ["x"], "y").count() == 0
+    assert signature(tr.tree_walk_forward).parameters["trees"].default == 100
 
 
 def test_topics_of_documents_of_all_languages(spark, tmp_path):
