@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import col, occurrences
+from ledgerline.functions.previous import with_previous
 from ledgerline.functions.workers import shared, ship
 
 #: The items of each section by form, and the titles that stand in for an item's number.
@@ -134,7 +135,6 @@ def tfidf_similarity(sections: DataFrame, stop: Sequence[str] = (), *, by: Seque
     Each document is paired with the one before it first; weights are then joined on (pair, term).
     """
     keys = list(by)
-    w = Window.partitionBy(*keys).orderBy(order, doc)
     tf = terms(sections, stop, key=[*keys, doc])
     n = sections.groupBy(*keys).agg(F.count("*").alias("n"))
     df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df"))
@@ -142,7 +142,7 @@ def tfidf_similarity(sections: DataFrame, stop: Sequence[str] = (), *, by: Seque
     # written once: norms and both sides of a pair are made of it
     weighted = shared(tf.join(df, [*keys, "term"]).join(n, keys).select(*keys, doc, "term", weight.alias("w")))
     norms = weighted.groupBy(*keys, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    pairs = sections.select(*keys, doc, order, F.lag(doc).over(w).alias("__before")).where("__before is not null")
+    pairs = with_previous(sections.select(*keys, doc, order), {doc: "__before"}, by=keys, order=[order, doc]).where("__before is not null")
     own = pairs.select(*keys, doc, "__before").join(weighted, [*keys, doc])
     before = weighted.select(*keys, F.col(doc).alias("__before"), "term", F.col("w").alias("v"))
     dots = own.join(before, [*keys, "__before", "term"]).groupBy(*keys, doc).agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
@@ -203,15 +203,14 @@ def sentiment_polarity(docs: DataFrame, positive: Sequence[str], negative: Seque
 
 def delta(rows: DataFrame, value: str, *, by: Sequence[str] = ("entity", "section"), order: Sequence[str] = ("filing_date", "doc_id"), out: str = "delta", digits: int = 6) -> DataFrame:
     """value less the previous filing's; the first has none and is left out."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn(out, F.round(F.col(value) - before, digits)).where(F.col(out).isNotNull())
+    paired = with_previous(rows, {value: "__then"}, by=by, order=order)
+    return paired.withColumn(out, F.round(F.col(value) - F.col("__then"), digits)).drop("__then").where(F.col(out).isNotNull())
 
 
 def embedding_distance(vectors: DataFrame, *, by: str = "entity", order: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
     """1 - cosine between consecutive vectors."""
-    before = F.lag(vector).over(Window.partitionBy(by).orderBy(order))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    rows = vectors.withColumn("__b", before).where("__b is not null")
+    rows = with_previous(vectors.select(by, order, vector), {vector: "__b"}, by=[by], order=[order]).where("__b is not null")
     cos = F.try_divide(dot(vector, "__b"), F.nullif(F.sqrt(dot(vector, vector)) * F.sqrt(dot("__b", "__b")), F.lit(0.0)))
     return rows.select(by, order, F.round(1 - cos, digits).alias("distance"))
 
