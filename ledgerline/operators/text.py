@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,29 +12,22 @@ from pyspark.sql import functions as F
 from ledgerline.functions.columns import col, occurrences
 from ledgerline.functions.previous import with_previous
 from ledgerline.functions.workers import shared, ship
+from ledgerline.operators.headings import ANCHOR, SECTIONS, cut, headings, longest_entry, markup_gone
 
-#: The items of each section by form, and the titles that stand in for an item's number.
-SECTIONS = {
-    "10-K": {"business": "ITEM 1", "risk_factors": "ITEM 1A", "mda": "ITEM 7", "quant": "ITEM 7A"},
-    "10-Q": {"risk_factors": "PART II ITEM 1A", "mda": "PART I ITEM 2"},
-}
-TITLES = {"business": "Business", "risk_factors": "Risk Factors", "mda": "Management['’]s Discussion and Analysis", "quant": "Quantitative and Qualitative Disclosures About Market Risk"}
-#: Fixed value: where the narrative of a filing may begin.
-ANCHOR = r"part\s+i|item\s+1\.|item\s+2\."
 SHORTEST_SECTION = 50
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
-def _pandas_unescape():
+def _unescaped(s: Column) -> Column:
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
-    def unescape(s: pd.Series) -> pd.Series:
+    def resolved(s: pd.Series) -> pd.Series:
         import html
 
-        return s.map(html.unescape, na_action="ignore")
+        return s.map(lambda t: html.unescape(t) if "&" in t else t, na_action="ignore")
 
-    return unescape
+    return resolved(s)
 
 
 def html_to_text(source: Column | str) -> Column:
@@ -42,8 +35,7 @@ def html_to_text(source: Column | str) -> Column:
 
     Tags that follow each other end one text node, not several.
     """
-    s = F.regexp_replace(col(source), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    s = _pandas_unescape()(F.regexp_replace(s, r"(?s)(?:<[^>]*>)+", "\n"))
+    s = _unescaped(markup_gone(col(source)))
     return stripped(F.regexp_replace(F.regexp_replace(s, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -51,14 +43,20 @@ def stripped(s: Column) -> Column:
     return F.regexp_replace(s, r"^\s+|\s+$", "")
 
 
-def _cut(s: Column, longest: int | None) -> Column:
-    return stripped(s if longest is None else F.substring(s, 1, longest))
-
-
 def sections_table(spark) -> DataFrame:
     return spark.createDataFrame([(f, s, i) for f, m in SECTIONS.items() for s, i in m.items()], "form_type string, section_name string, item string")
 
 
+def _of_item(x: Column) -> Column:
+    """Whether an entry is of the item that a row of rules names."""
+    named = F.when(F.col("form_type").startswith("10-Q"), F.concat(F.lit("PART "), F.coalesce(x["part"], F.lit("I")), F.lit(" "), x["name"])).otherwise(x["name"])
+    return (x["kind"] == "item") & (named == F.col("item"))
+
+
+def _titled(section: Column) -> Callable[[Column], Column]:
+    return lambda x: (x["kind"] == "title") & (x["name"] == section)
+
+
 def section_extract(filings: DataFrame, rules: DataFrame | None = None, *, key: str = "accession", text: str = "text", longest: int | None = None) -> DataFrame:
     """(key, form_type, section_name, text, parse_status): the longest of the stretches that follow a section's heading.
 
@@ -66,27 +64,16 @@ def section_extract(filings: DataFrame, rules: DataFrame | None = None, *, key:
     is taken whole unless `longest` bounds it.
     """
     rules = F.broadcast(rules if rules is not None else sections_table(filings.sparkSession))
-    head = r"(?im)(?=^[ \t]*(?:part[ \t]+i{1,2}\b[,. \t]*)?item[ \t]+\d{1,2}[abc]?\b)|(?=^[ \t]*part[ \t]+i{1,2}[ \t.]*$)"
-    parts = filings.select(key, "form_type", F.posexplode(F.split(F.col(text), head)).alias("n", "part"))
-    w = Window.partitionBy(key).orderBy("n")
-    own = F.nullif(F.upper(F.regexp_extract("part", r"(?i)^\s*part[ \t]+(i{1,2})\b", 1)), F.lit(""))
-    item = F.nullif(F.upper(F.regexp_replace(F.regexp_extract("part", r"(?i)^\s*(?:part[ \t]+i{1,2}\b[,. \t]*)?(item[ \t]+\d{1,2}[abc]?)\b", 1), r"\s+", " ")), F.lit(""))
-    named = parts.withColumn("in_part", F.last(own, ignorenulls=True).over(w)).withColumn("item", F.when(F.col("form_type").startswith("10-Q"), F.concat(F.lit("PART "), F.coalesce("in_part", F.lit("I")), F.lit(" "), item)).otherwise(item))
-    body = _cut(F.col("part"), longest)
-    found = named.join(rules, ["form_type", "item"]).withColumn("body", body).groupBy(key, "form_type", "section_name").agg(F.max_by("body", F.struct(F.length("body"), -F.col("n"))).alias("text"))
-    every = filings.select(key, "form_type").join(rules.select("form_type", "section_name"), "form_type")
-    ok = F.length("text") > SHORTEST_SECTION
-    return every.join(found, [key, "form_type", "section_name"], "left").select(key, "form_type", "section_name", F.when(ok, F.col("text")).alias("text"), F.when(ok, "success").otherwise("missing").alias("parse_status"))
+    indexed = headings(filings.select(key, "form_type", text), text=text, longest=longest)
+    found = indexed.join(rules, "form_type").withColumn("__e", longest_entry(_of_item))
+    ok = F.col("__e.n") > SHORTEST_SECTION
+    return found.select(key, "form_type", "section_name", F.when(ok, cut(F.col("__e"), text)).alias("text"), F.when(ok, "success").otherwise("missing").alias("parse_status"))
 
 
 def title_fallback(filings: DataFrame, section: str, *, key: str = "accession", text: str = "text", longest: int | None = None) -> DataFrame:
     """The longest stretch from a section's title, alone on its line, to the next item or part."""
-    title = TITLES[section]
-    cut = rf"(?im)(?=^[ \t]*{title}[ \t.:]*$)|(?=^[ \t]*(?:item[ \t]+\d|part[ \t]+i))"
-    parts = filings.select(key, F.posexplode(F.split(F.col(text), cut)).alias("n", "part")).where(F.col("part").rlike(rf"(?i)^\s*{title}"))
-    body = _cut(F.col("part"), longest)
-    best = parts.withColumn("body", body).groupBy(key).agg(F.max_by("body", F.struct(F.length("body"), -F.col("n"))).alias("text"))
-    return best.where(F.length("text") > SHORTEST_SECTION).withColumn("section_name", F.lit(section)).withColumn("parse_status", F.lit("fallback"))
+    found = headings(filings.select(key, text), text=text, longest=longest).withColumn("__e", longest_entry(_titled(F.lit(section))))
+    return found.where(F.col("__e.n") > SHORTEST_SECTION).select(key, cut(F.col("__e"), text).alias("text"), F.lit(section).alias("section_name"), F.lit("fallback").alias("parse_status"))
 
 
 def proxy_fallback(filings: DataFrame, anchor: str = ANCHOR, *, key: str = "accession", text: str = "text", size: int | None = None, least: int = 500) -> DataFrame:
@@ -94,12 +81,8 @@ def proxy_fallback(filings: DataFrame, anchor: str = ANCHOR, *, key: str = "acce
 
     All that follows is taken unless `size` bounds it.
     """
-    lines = filings.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    hits = lines.where((F.col("n") > 0) & F.col("line").rlike(rf"(?i)^\s*(?:{anchor})"))
-    contents = F.col("line").rlike(r"\.{4,}|\b\d{1,4}\s*$")
-    at = hits.groupBy(key).agg(F.coalesce(F.min(F.when(~contents, F.col("n"))), F.max("n")).alias("from"))
-    rest = F.array_join(F.slice(F.split(F.col(text), "\n"), F.col("from") + 1, F.lit(2**31 - 1)), "\n")
-    return filings.join(at, key).withColumn("text", _cut(rest, size)).where(F.length("text") >= least).select(key, "text", F.lit("proxy").alias("parse_status"))
+    found = headings(filings.select(key, text), text=text, anchor=anchor, longest=size).withColumn("__e", longest_entry(lambda x: x["kind"] == "anchor"))
+    return found.where(F.col("__e.n") >= least).select(key, cut(F.col("__e"), text).alias("text"), F.lit("proxy").alias("parse_status"))
 
 
 def proxy_quality(docs: DataFrame, terms: Sequence[str], *, text: str = "text") -> DataFrame:
@@ -108,19 +91,23 @@ def proxy_quality(docs: DataFrame, terms: Sequence[str], *, text: str = "text")
 
 
 def parse_filings(filings: DataFrame, *, key: str = "accession", source: str = "html") -> DataFrame:
-    """Sections of every filing with status and tier: by item number, else by title; the discussion also by its anchor."""
-    plain = filings.select(key, "form_type", html_to_text(source).alias("text"))
-    titled = None
-    for section in TITLES:
-        found = title_fallback(plain, section, key=key).select(key, "section_name", F.col("text").alias("by_title"))
-        titled = found if titled is None else titled.unionByName(found)
-    proxy = proxy_fallback(plain, key=key).select(key, F.lit("mda").alias("section_name"), F.col("text").alias("by_anchor"))
-    rows = section_extract(plain, key=key).join(titled, [key, "section_name"], "left").join(proxy, [key, "section_name"], "left")
-    best = F.coalesce("text", "by_title")
-    by_anchor = (F.coalesce(F.length(best), F.lit(0)) < 500) & F.col("by_anchor").isNotNull()
-    tier = F.when(by_anchor, "proxy").when(F.col("text").isNotNull(), "item").when(F.col("by_title").isNotNull(), "title")
-    status = F.when(tier == "item", "success").when(tier == "title", "fallback").when(tier == "proxy", "proxy").otherwise("missing")
-    return rows.select(key, "form_type", "section_name", F.when(by_anchor, F.col("by_anchor")).otherwise(best).alias("text"), status.alias("parse_status"), tier.alias("extraction_tier"))
+    """Sections of every filing with status and tier: by item number, else by title; the discussion also by its anchor.
+
+    Mark-up is read once, in the pass that makes the index; the rest are choices among a row's entries.
+    """
+    rules = F.broadcast(sections_table(filings.sparkSession))
+    rows = headings(filings.select(key, "form_type", source), source=source).join(rules, "form_type")
+    long = lambda e, least: F.when(e["n"] >= least, e)
+    rows = rows.select(
+        key, "form_type", "section_name", "text", long(longest_entry(_of_item), SHORTEST_SECTION + 1).alias("by_item"), long(longest_entry(_titled(F.col("section_name"))), SHORTEST_SECTION + 1).alias("by_title"),
+        F.when(F.col("section_name") == "mda", long(longest_entry(lambda x: x["kind"] == "anchor"), 500)).alias("by_anchor"),
+    )
+    best = F.coalesce("by_item", "by_title")
+    by_anchor = (F.coalesce(best["n"], F.lit(0)) < 500) & F.col("by_anchor").isNotNull()
+    tier = F.when(by_anchor, "proxy").when(F.col("by_item").isNotNull(), "item").when(F.col("by_title").isNotNull(), "title")
+    chosen = rows.withColumn("extraction_tier", tier).withColumn("__e", F.when(by_anchor, F.col("by_anchor")).otherwise(best))
+    status = F.when(F.col("extraction_tier") == "item", "success").when(F.col("extraction_tier") == "title", "fallback").when(F.col("extraction_tier") == "proxy", "proxy").otherwise("missing")
+    return chosen.select(key, "form_type", "section_name", cut(F.col("__e")).alias("text"), status.alias("parse_status"), "extraction_tier")
 
 
 def terms(docs: DataFrame, stop: Sequence[str] = (), *, key: Sequence[str], text: str = "text") -> DataFrame:
