@@ -70,9 +70,3 @@ def next_quarter(label: Column | str) -> Column:
 
 def previous_quarter(label: Column | str, back: int = 1) -> Column:
     return quarter_label(quarter_index(label) - back)
-
-
-def occurrences(text: Column | str, term: str) -> Column:
-    """How often term stands in text, without overlaps."""
-    text = col(text)
-    return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")

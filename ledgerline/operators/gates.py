@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import col, safe_div
+from ledgerline.functions.patterns import literal_counts
 
 #: Metrics of the strict gate, and those that a valuation cannot do without.
 CORE = ("revenue", "gross_profit", "operating_income", "net_income", "diluted_eps", "operating_cash_flow", "capex", "fcf", "total_assets", "total_debt", "cash_and_securities", "diluted_shares")
@@ -223,17 +224,22 @@ def peer_attribution(peers: DataFrame, tiers: DataFrame, *, report_date: str) ->
     return rows.select("ticker", "tier", "source_date", age.alias("age_days"), (F.size(reasons) == 0).alias("included"), F.concat_ws(";", reasons).alias("reasons"))
 
 
-def doc_policy_scan(docs: DataFrame, rules: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, rule, hits): rules (rule, pattern) over document texts; banned tokens of up to four letters carry word bounds in their pattern."""
-    listed = rules.select(F.array_sort(F.collect_list(F.struct("rule", "pattern"))).alias("rules"))
-    rows = docs.select(doc, text).crossJoin(F.broadcast(listed)).select(doc, text, F.explode("rules").alias("r"))  # one row of a few rules
-    return rows.select(doc, F.col("r.rule").alias("rule"), F.regexp_count(F.col(text), F.col("r.pattern")).alias("hits")).where("hits > 0")
+def doc_policy_scan(docs: DataFrame, tokens: dict[str, str], patterns: dict[str, str] | None = None, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, rule, hits) of rules that a text meets; tokens: rule -> literal text, patterns: rule -> expression.
+
+    All tokens are looked for in one pass; those of up to four letters and digits stand between word bounds. Only
+    expressions cost a pass each.
+    """
+    counted = literal_counts(docs.select(doc, text), {r: [t] for r, t in tokens.items()}, text=text, bounded={t: is_short(t) for t in tokens.values()}, unicode_words=False)
+    named = F.transform("counts", lambda c: F.struct(F.lit(list(tokens))[c["g"]].alias("rule"), c["n"].alias("hits"))) if tokens else F.array().cast("array<struct<rule:string,hits:int>>")
+    matched = [F.struct(F.lit(r).alias("rule"), F.regexp_count(F.col(text), F.lit(p)).alias("hits")) for r, p in (patterns or {}).items()]
+    every = F.concat(named, F.array(*matched)) if matched else named
+    return counted.select(doc, F.inline(every)).where("hits > 0")
 
 
-def banned_pattern(token: str) -> str:
-    """A literal pattern; short tokens of letters and digits match whole words only."""
-    safe = "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in token)
-    return rf"\b{safe}\b" if len(token) <= 4 and token.isalnum() else safe
+def is_short(token: str) -> bool:
+    """Whether a token matches whole words only."""
+    return len(token) <= 4 and token.isalnum()
 
 
 def references_missing(a: DataFrame, b: DataFrame, pattern: str, *, key: str, text: str = "text") -> DataFrame:

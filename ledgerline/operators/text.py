@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import col, occurrences
+from ledgerline.functions.columns import col
+from ledgerline.functions.patterns import count_of, literal_counts
 from ledgerline.functions.previous import with_previous
 from ledgerline.functions.workers import shared, ship
 from ledgerline.operators.headings import ANCHOR, SECTIONS, cut, headings, longest_entry, markup_gone
@@ -86,8 +87,10 @@ def proxy_fallback(filings: DataFrame, anchor: str = ANCHOR, *, key: str = "acce
 
 
 def proxy_quality(docs: DataFrame, terms: Sequence[str], *, text: str = "text") -> DataFrame:
-    counts = [occurrences(F.lower(F.col(text)), t).alias(f"n_{k}") for k, t in enumerate(terms)]
-    return docs.select("*", *counts).withColumn("relevant", F.greatest(*(F.col(f"n_{k}") for k in range(len(terms))), F.lit(0)) > 0)
+    """docs with n_0, n_1, ..., how often each term stands in the lower-cased text, and whether one does."""
+    counted = literal_counts(docs.withColumn("__low", F.lower(F.col(text))), {str(k): [t] for k, t in enumerate(terms)}, text="__low", out="__counts")
+    found = counted.withColumns({f"n_{k}": F.when(F.col("__low").isNotNull(), count_of(k, "__counts")) for k in range(len(terms))}).drop("__low", "__counts")
+    return found.withColumn("relevant", F.greatest(*(F.col(f"n_{k}") for k in range(len(terms))), F.lit(0)) > 0)
 
 
 def parse_filings(filings: DataFrame, *, key: str = "accession", source: str = "html") -> DataFrame:
@@ -164,20 +167,15 @@ def shift_snippets(similarity: DataFrame, sections: DataFrame, *, n: int = 5, do
 def keyword_scores(docs: DataFrame, themes: dict[str, Sequence[str]], *, key: Sequence[str] = ("doc_id",), text: str = "text", digits: int = 6) -> DataFrame:
     """(key, theme, score): whole-word matches of a theme's keywords over the words of the text; overlaps count twice.
 
-    A text is cut into words once, and of these only keywords are kept; keywords of several words are looked for in texts
-    that hold them at all.
+    All keywords are looked for in one pass over a text, however many there are.
     """
     t = F.lower(F.col(text))
-    quote = lambda k: "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in k.lower())
-    every = sorted({k.lower() for words in themes.values() for k in words})
-    single = [k for k in every if k.replace("_", "").isalnum()]
-    n = F.greatest(F.size(F.filter(F.split(F.trim(t), r"\s+"), lambda x: x != "")), F.lit(1))
-    hits = F.filter(F.regexp_extract_all(t, F.lit(r"(?U)\w+"), 0), lambda x: x.isin(*single)) if single else F.array().cast("array<string>")
-    rows = docs.select(*key, hits.alias("__hits"), n.alias("__n"), *(F.when(t.contains(k), F.regexp_count(t, F.lit(rf"(?U)\b{quote(k)}\b"))).otherwise(0).alias(f"__p{i}") for i, k in enumerate(every) if k not in single))
-    of = lambda k: F.size(F.filter("__hits", lambda x: x == k))
-    times = {k: of(k) if k in single else F.col(f"__p{i}") for i, k in enumerate(every)}
-    scores = [F.struct(F.lit(name).alias("theme"), F.round(sum((times[k.lower()] for k in words), F.lit(0)) / F.col("__n"), digits).alias("score")) for name, words in themes.items()]
-    return rows.select(*key, F.explode(F.array(*scores)).alias("s")).select(*key, "s.*")
+    n = F.greatest(F.size(F.filter(F.split(F.trim("__low"), r"\s+"), lambda x: x != "")), F.lit(1))
+    groups = {name: [k.lower() for k in words] for name, words in themes.items()}
+    rows = literal_counts(docs.select(*key, t.alias("__low")), groups, text="__low", bounded=True, out="__counts").withColumn("__n", n)
+    score = lambda g: F.when(F.col("__low").isNotNull(), F.round(count_of(g, "__counts") / F.col("__n"), digits))
+    scored = rows.select(*key, "__low", "__counts", "__n", F.posexplode(F.lit(list(groups)).cast("array<string>")).alias("__g", "theme"))
+    return scored.select(*key, "theme", score(F.col("__g")).alias("score"))
 
 
 def sentiment_polarity(docs: DataFrame, positive: Sequence[str], negative: Sequence[str], *, key: Sequence[str] = ("doc_id",), text: str = "text", digits: int = 6) -> DataFrame:

@@ -329,8 +329,7 @@ def _(spark, d):
 
 @R.add("doc_policy_scan", r"""with rules(rule, pattern) as (values ('short_token', '\bthe\b'), ('phrase', 'of the'), ('marks', '\*\*\*'), ('years', 'FY20[0-9]{2}')) select doc_id, rule, len(regexp_extract_all(text, pattern)) as hits from documents, rules where regexp_matches(text, pattern)""")
 def _(spark, d):
-    rules = spark.createDataFrame([("short_token", ga.banned_pattern("the")), ("phrase", ga.banned_pattern("of the")), ("marks", ga.banned_pattern("***")), ("years", "FY20[0-9]{2}")], "rule string, pattern string")
-    return ga.doc_policy_scan(table(spark, d, "documents"), rules)
+    return ga.doc_policy_scan(table(spark, d, "documents"), {"short_token": "the", "phrase": "of the", "marks": "***"}, {"years": "FY20[0-9]{2}"})
 
 
 @R.add("references_missing", r"""with a as (select conv_id, text from conversations where turn = 0), b as (select conv_id, text from conversations where turn = 1),
