@@ -224,6 +224,25 @@ def peer_attribution(peers: DataFrame, tiers: DataFrame, *, report_date: str) ->
     return rows.select("ticker", "tier", "source_date", age.alias("age_days"), (F.size(reasons) == 0).alias("included"), F.concat_ws(";", reasons).alias("reasons"))
 
 
+def attribution_from_log(log: DataFrame, tiers: DataFrame, *, step: str = "fetch_peer_financials", most_days: int = 90) -> DataFrame:
+    """What peer_attribution() says, as far as the provenance log alone tells it: one row for each retrieval of a peer.
+
+    The log knows the date of the figures, their age in days, and when the market value was fetched; a peer whose age is
+    not logged is included. Peers of no tier are of the tier other.
+    """
+    calls = log.where((F.col("step") == step) & F.col("ticker").isNotNull()).join(tiers, "ticker", "left")
+    stale = F.coalesce(F.col("staleness_days") > most_days, F.lit(False))
+    return calls.select(
+        "ticker", F.coalesce("tier", F.lit("other")).alias("tier"), "source_date", F.to_date("timestamp").alias("market_date"), F.col("staleness_days").alias("age_days"), (~stale).alias("included"), F.when(stale, "stale").otherwise("").alias("reasons")
+    )
+
+
+def attribution_breakdown(attribution: DataFrame) -> DataFrame:
+    """(tier, reason, peers): how many peers each reason excludes, by tier and over all (tier null); a peer counts once for each of its reasons."""
+    rows = attribution.where(~F.col("included")).select("ticker", "tier", F.explode(F.split("reasons", ";")).alias("reason"))
+    return rows.groupingSets([("tier", "reason"), ("reason",)], "tier", "reason").agg(F.count_distinct("ticker").alias("peers"))
+
+
 def doc_policy_scan(docs: DataFrame, tokens: dict[str, str], patterns: dict[str, str] | None = None, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, rule, hits) of rules that a text meets; tokens: rule -> literal text, patterns: rule -> expression.
 

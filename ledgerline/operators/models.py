@@ -165,16 +165,23 @@ def model_quality(scores: DataFrame, coefficients: DataFrame, model: str, *, by:
 
 
 def leaderboard(scores: DataFrame, coefficients: DataFrame | None = None, *, by: Sequence[str] = ("entity",)) -> DataFrame:
-    """scores with each model's place; coefficients (by, model, feature, coefficient) add an array of them, the largest first.
-
-    The array is bounded by the model's features; models without coefficients have none.
+    """scores with each model's place by error; coefficients (by, model, feature, coefficient) add a row for each of a
+    model's coefficients with its place by size. Models without coefficients have one row.
     """
     ranked = scores.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("mae", "model")))
     if coefficients is None:
         return ranked
-    size = F.struct((-F.abs("coefficient")).alias("s"), "feature", "coefficient")
-    sorted_ = F.transform(F.array_sort(F.collect_list(size)), lambda r: F.struct(r["feature"].alias("feature"), r["coefficient"].alias("coefficient")))
-    return ranked.join(coefficients.groupBy(*by, "model").agg(sorted_.alias("coefficients")), [*by, "model"], "left")
+    size = Window.partitionBy(*by, "model").orderBy(F.desc(F.abs("coefficient")), "feature")
+    sorted_ = coefficients.select(*by, "model", "feature", "coefficient", F.row_number().over(size).alias("coefficient_place"))
+    return ranked.join(sorted_, [*by, "model"], "left")
+
+
+def trend_coefficients(rows: DataFrame, target: str, *, by: Sequence[str] = ("entity",), order: Sequence[str] = ("feature_available_date", "fiscal_period"), digits: int = 6) -> DataFrame:
+    """(by, model, feature, coefficient) of the linear trend over all rows with a target: its slope and intercept."""
+    at = rows.withColumn("__i", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("double")).where(F.col(target).isNotNull())
+    fits = at.groupBy(*by).agg(F.regr_slope(target, "__i").alias("slope"), F.regr_intercept(target, "__i").alias("intercept"))
+    long = fits.unpivot(list(by), ["slope", "intercept"], "feature", "coefficient").where("coefficient is not null")
+    return long.select(*by, F.lit("linear_trend").alias("model"), "feature", F.round("coefficient", digits).alias("coefficient"))
 
 
 def peer_panel_info(peers: DataFrame, features: Sequence[str], target: str, *, ticker: str = "ticker", least: int = 10) -> DataFrame:

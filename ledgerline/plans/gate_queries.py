@@ -11,6 +11,7 @@ from ledgerline.operators import valuation as va
 from ledgerline.plans.bindings import FACTS_SQL, PEERS_SQL, PRICES_SQL, facts, lines, peers, prices, table
 from ledgerline.plans.fact_queries import RATIOS_SQL, metrics
 from ledgerline.plans.registered import Registry
+from ledgerline.sources.readers import provenance_from_lines
 
 R = Registry()
 
@@ -327,6 +328,32 @@ def _(spark, d):
     return ga.peer_attribution(peers(spark, d), tiers(spark, d), report_date="2001-12-31")
 
 
+PEER_LOG_SQL = """peer_log as (select 'NATION_' || (user_id % 30) as ticker, cast(ts as date) as market_date, cast(floor(value) as integer) as age_days, cast(date '2001-12-31' - cast(floor(value) as integer) as date) as source_date
+  from events where event_type in ('view', 'click') and event_id % 10 <> 0 and event_id % 7 <> 0)"""
+FROM_LOG_SQL = """from_log as (select ticker, coalesce(tier, 'other') as tier, source_date, market_date, age_days, age_days <= 90 as included, case when age_days > 90 then 'stale' else '' end as reasons from peer_log left join tiers using (ticker))"""
+
+
+def peer_log(spark, d):
+    """Events as lines of a provenance log: some are cut off, some tell no peer."""
+    e = table(spark, d, "events")
+    days = F.floor("value").cast("int")
+    line = F.to_json(F.struct(
+        F.when(F.col("event_type").isin("view", "click"), "fetch_peer_financials").otherwise("other").alias("step"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
+        F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("NATION_"), F.col("user_id") % 30)).alias("ticker"), F.date_sub(F.lit("2001-12-31").cast("date"), days).alias("source_date"), days.alias("staleness_days"),
+    ))
+    return provenance_from_lines(e.select(F.when(F.col("event_id") % 10 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")))
+
+
+@R.add("peer_attribution_from_log", f"{PEERS_SQL}, {TIERS_SQL}, {PEER_LOG_SQL}, {FROM_LOG_SQL} select * from from_log")
+def _(spark, d):
+    return ga.attribution_from_log(peer_log(spark, d), tiers(spark, d))
+
+
+@R.add("peer_attribution_breakdown", f"{PEERS_SQL}, {TIERS_SQL}, {PEER_LOG_SQL}, {FROM_LOG_SQL} select tier, reasons as reason, count(distinct ticker) as peers from from_log where not included group by grouping sets ((tier, reasons), (reasons))")
+def _(spark, d):
+    return ga.attribution_breakdown(ga.attribution_from_log(peer_log(spark, d), tiers(spark, d)))
+
+
 @R.add("doc_policy_scan", r"""with rules(rule, pattern) as (values ('short_token', '\bthe\b'), ('phrase', 'of the'), ('marks', '\*\*\*'), ('years', 'FY20[0-9]{2}')) select doc_id, rule, len(regexp_extract_all(text, pattern)) as hits from documents, rules where regexp_matches(text, pattern)""")
 def _(spark, d):
     return ga.doc_policy_scan(table(spark, d, "documents"), {"short_token": "the", "phrase": "of the", "marks": "***"}, {"years": "FY20[0-9]{2}"})

@@ -259,9 +259,15 @@ def _(spark, d):
     return mo.evaluate(base(spark, d), MODELS, digits=9)
 
 
-@R.add("leaderboard", f"{EVAL_SQL} select *, cast(row_number() over (partition by entity order by mae, model) as integer) as place from ev")
+@R.add("leaderboard", f"""{EVAL_SQL}, fits as (select entity, regr_slope(target_value, cast(i as double)) as slope, regr_intercept(target_value, cast(i as double)) as intercept from i where target_value is not null group by 1),
+co as (select entity, 'linear_trend' as model, feature, round(coefficient, 6) as coefficient from (unpivot fits on slope, intercept into name feature value coefficient)),
+cs as (select *, cast(row_number() over (partition by entity, model order by abs(coefficient) desc, feature) as integer) as coefficient_place from co),
+rk as (select *, cast(row_number() over (partition by entity order by mae, model) as integer) as place from ev)
+select rk.*, feature, coefficient, coefficient_place
+from rk left join cs using (entity, model)""")
 def _(spark, d):
-    return mo.leaderboard(mo.evaluate(base(spark, d), MODELS, digits=9))
+    p = panel(spark, d)
+    return mo.leaderboard(mo.evaluate(base(spark, d), MODELS, digits=9), mo.trend_coefficients(p, "target_value"))
 
 
 @R.add("signals", f"{EVAL_SQL} select entity, max(directional_accuracy) filter (model = 'linear_trend') as ml_signal from ev group by 1")
@@ -358,11 +364,15 @@ def _(spark, d):
 @R.add("filings_source", f"""{FACTS_SQL}, f as (select distinct entity, accession, form_type, filing_date, period_end, fiscal_year from facts where metric = 'revenue')
 select entity, accession, form_type, filing_date, period_end as report_period, 'https://www.sec.gov/Archives/edgar/data/' || entity || '/' || replace(accession, '-', '') || '/doc.htm' as url, filing_date as source_available_date from f where filing_date <= date '2000-06-30' and (fiscal_year between 1996 and 1999 or fiscal_year + 1 between 1996 and 1999)""")
 def _(spark, d):
-    f = facts(spark, d).where("metric = 'revenue'").select("entity", "accession", "form_type", F.col("filing_date").cast("string").alias("fd"), F.col("period_end").cast("string").alias("pe")).distinct()
-    lists = f.groupBy("entity").agg(F.collect_list(F.struct("accession", "fd", "pe", "form_type")).alias("x"))
-    recent = F.struct(F.col("x.accession").alias("accessionNumber"), F.col("x.fd").alias("filingDate"), F.col("x.pe").alias("reportDate"), F.col("x.form_type").alias("form"), F.transform("x", lambda _: F.lit("doc.htm")).alias("primaryDocument"))
-    raw = lists.select(F.to_json(F.struct(F.col("entity").alias("cik"), F.struct(recent.alias("recent")).alias("filings"))).alias("value"))
-    return rd.filings_from_json(raw, report_date="2000-06-30", first_fy=1996, last_fy=1999)
+    """Filings of even fiscal years stand in the documents' recent block, the others in older pages that it names."""
+    f = facts(spark, d).where("metric = 'revenue'").select("entity", "accession", "form_type", F.col("filing_date").cast("string").alias("fd"), F.col("period_end").cast("string").alias("pe"), (F.col("fiscal_year") % 2 == 0).alias("new")).distinct()
+    lists = f.groupBy("entity", "new").agg(F.collect_list(F.struct("accession", "fd", "pe", "form_type")).alias("x"))  # the filings of one company
+    block = F.struct(F.col("x.accession").alias("accessionNumber"), F.col("x.fd").alias("filingDate"), F.col("x.pe").alias("reportDate"), F.col("x.form_type").alias("form"), F.transform("x", lambda _: F.lit("doc.htm")).alias("primaryDocument"))
+    name = F.concat(F.lit("CIK-"), "entity", F.lit("-submissions-001.json"))
+    named = F.array(F.struct(name.alias("name")), F.struct(F.lit("never-fetched.json").alias("name")))
+    raw = lists.where("new").select(F.to_json(F.struct(F.col("entity").alias("cik"), F.struct(block.alias("recent"), named.alias("files")).alias("filings"))).alias("value"))
+    pages = lists.where("not new").select(F.concat(F.lit("/raw/"), name).alias("path"), F.to_json(block).alias("value"))
+    return rd.filings_from_json(raw, pages, report_date="2000-06-30", first_fy=1996, last_fy=1999)
 
 
 @R.add("prices_source", f"{PRICES_SQL} select ticker, count(*) as n, max(date) as last, round(sum(adj_close), 2) as total from prices where date <= date '2000-12-31' group by 1")

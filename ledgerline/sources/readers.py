@@ -13,7 +13,9 @@ from ledgerline.operators.valuation import stale
 
 ENTRY = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string,frame:string>"
 FACTS_SCHEMA = f"cik bigint, entityName string, facts map<string,map<string,struct<label:string,description:string,units:map<string,array<{ENTRY}>>>>>"
-FILINGS_SCHEMA = "cik string, name string, tickers array<string>, filings struct<recent:struct<accessionNumber:array<string>,filingDate:array<string>,reportDate:array<string>,form:array<string>,primaryDocument:array<string>>>"
+COLUMNS = ("accessionNumber", "filingDate", "reportDate", "form", "primaryDocument")
+BLOCK = ", ".join(f"{c} array<string>" for c in COLUMNS)
+FILINGS_SCHEMA = f"cik string, name string, tickers array<string>, filings struct<recent: struct<{BLOCK.replace(' array', ': array')}>, files: array<struct<name: string>>>"
 FORMS = ("10-K", "10-K/A", "10-Q", "10-Q/A")
 
 
@@ -32,11 +34,19 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return facts_from_json(spark.read.text(path, wholetext=True))
 
 
-def filings_from_json(raw: DataFrame, *, json: str = "value", report_date: str, first_fy: int, last_fy: int, entity: str = "entity") -> DataFrame:
-    """Parallel arrays to rows; allowed forms, known by the report date, in the window of fiscal years (kept if the period is no date)."""
-    d = raw.select(F.from_json(F.col(json), FILINGS_SCHEMA).alias("d"))
-    r = "d.filings.recent."
-    rows = d.select(F.col("d.cik").alias(entity), F.inline(F.arrays_zip(*(F.col(r + c).alias(c) for c in ("accessionNumber", "filingDate", "reportDate", "form", "primaryDocument")))))
+def filings_from_json(raw: DataFrame, pages: DataFrame | None = None, *, json: str = "value", path: str = "path", report_date: str, first_fy: int, last_fy: int, entity: str = "entity") -> DataFrame:
+    """Parallel arrays to rows; allowed forms, known by the report date, in the window of fiscal years (kept if the period is no date).
+
+    pages (path, json): older pages, whose arrays stand at the top. A page belongs to the company whose document names its
+    file; a page that none names, and a named file that is not there, give no rows.
+    """
+    d = raw.select(F.from_json(F.col(json), FILINGS_SCHEMA).alias("d")).select(F.col("d.cik").alias(entity), "d.filings.*")
+    blocks = d.select(entity, F.col("recent").alias("block"))
+    if pages is not None:
+        named = d.select(entity, F.explode("files.name").alias("__name")).where("__name is not null").distinct()
+        own = pages.select(F.substring_index(path, "/", -1).alias("__name"), F.from_json(F.col(json), BLOCK).alias("block"))
+        blocks = blocks.unionByName(named.join(own, "__name").select(entity, "block"))
+    rows = blocks.select(entity, F.inline(F.arrays_zip(*(F.col(f"block.{c}").alias(c) for c in COLUMNS))))
     out = rows.select(
         entity, F.col("accessionNumber").alias("accession"), F.col("form").alias("form_type"), F.try_to_date("filingDate", "yyyy-MM-dd").alias("filing_date"), F.try_to_date("reportDate", "yyyy-MM-dd").alias("report_period"),
         F.concat_ws("/", F.lit("https://www.sec.gov/Archives/edgar/data"), F.col(entity), F.replace("accessionNumber", F.lit("-"), F.lit("")), "primaryDocument").alias("url"),
@@ -46,6 +56,13 @@ def filings_from_json(raw: DataFrame, *, json: str = "value", report_date: str,
     return out.where(F.col("form_type").isin(*FORMS) & (F.col("source_available_date") <= F.lit(report_date).cast("date")) & inside)
 
 
+def read_filings(spark: SparkSession, folder: str, *, report_date: str, first_fy: int, last_fy: int) -> DataFrame:
+    """Filings of a folder of submissions: documents by company, CIK<number>.json, and the older pages that they name."""
+    files = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    page = F.substring_index("path", "/", -1).contains("-submissions-")
+    return filings_from_json(files.where(~page), files.where(page), report_date=report_date, first_fy=first_fy, last_fy=last_fy)
+
+
 def prices_table(raw: DataFrame, *, price_date: str) -> DataFrame:
     """Canonical prices up to a date; the price column may be adj_close or adjusted_close."""
     price = F.coalesce(*(F.col(c).cast("double") for c in ("adj_close", "adjusted_close") if c in raw.columns))
@@ -73,7 +90,7 @@ def filing_docs(documents: DataFrame, filings: DataFrame) -> DataFrame:
     return documents.join(filings.select("accession", "form_type", "filing_date", "source_available_date"), "accession")
 
 
-PROVENANCE = "step string, timestamp timestamp, http_status int, error string, rows bigint, cached boolean, path string"
+PROVENANCE = "step string, timestamp timestamp, http_status int, error string, rows bigint, cached boolean, path string, ticker string, source_date date, staleness_days int"
 
 
 def provenance_from_lines(lines: DataFrame, *, line: str = "value") -> DataFrame:
