@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import safe_div
@@ -81,34 +81,59 @@ def excess_returns(probes: DataFrame, prices: DataFrame, *, sector: str, broad:
     return rows.select("ticker", at, "return_3m", "return_12m", *made, "__asked").where("__asked").drop("__asked")
 
 
-def _in_window(probes: DataFrame, prices: DataFrame, days: int, at: str) -> DataFrame:
-    """Each price with the probes in whose window it lies. Blocks of `days` days make this an equi-join of two blocks at most."""
-    block = lambda c: F.floor(F.unix_date(c) / days)
-    asked = probes.withColumn("__block", F.explode(F.array(block(F.col(at)), block(F.date_sub(at, days))))).dropDuplicates([*probes.columns, "__block"])
-    near = prices.withColumn("__block", block(F.col("date")))
-    return asked.join(near, ["ticker", "__block"]).where((F.col("date") <= F.col(at)) & (F.col("date") >= F.date_sub(at, days)))
+def window_sums(probes: DataFrame, rows: DataFrame, sums: Sequence[str], days: int, *, at: str) -> DataFrame:
+    """(ticker, at, n, sums): over the rows of (ticker, date, sums) with a date from `days` days before a probe up to it, how
+    many there are, and the sums of all but the first, whose change from the row before lies outside.
+
+    Running sums are made once for each ticker and taken at both ends of a window by one as-of pass: no row is copied for
+    a probe, however many windows it lies in.
+    """
+    w = Window.partitionBy("ticker").orderBy("date")
+    so_far = F.struct(F.row_number().over(w).cast("long").alias("n"), *(F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0).cast("double")).alias(c) for c in sums))
+    running = rows.select("ticker", "date", so_far.alias("here"))
+    after_last = F.col("here").withField("n", F.col("here.n") + 1)
+    known = running.select("ticker", "date", F.struct("here", F.coalesce(F.lead("here").over(w), after_last).alias("next")).alias("__v"))
+    ends = F.explode(F.lit([0, days + 1])).alias("__back")
+    asked = probes.select("ticker", at).distinct().select("ticker", at, ends).withColumn("__then", F.date_sub(at, F.col("__back")))
+    found = as_of_backward(asked, known, at="__then", value="__v", out="__v")
+    pick = lambda back: F.max(F.when(F.col("__back") == back, F.col("__v")))
+    both = found.groupBy("ticker", at).agg(pick(0)["here"].alias("last"), pick(days + 1)["next"].alias("first"))
+    # without a row before the window it begins with the first row of all
+    n = F.greatest(F.col("last.n") - F.coalesce("first.n", F.lit(1)) + 1, F.lit(0))
+    return both.select("ticker", at, n.alias("n"), *((F.col(f"last.{c}") - F.coalesce(f"first.{c}", F.lit(0.0))).alias(c) for c in sums))
+
+
+def _spread(square: Column, total: Column, n: Column) -> Column:
+    """The sum of squares about the mean; what rounding leaves of nothing is nothing."""
+    about = square - total * total / n
+    return F.when(about > 1e-12 * square, about).otherwise(0.0)
 
 
 def volatility(probes: DataFrame, prices: DataFrame, *, days: int = 60, least_prices: int = 10, least_returns: int = 5, at: str = "as_of", out: str = "volatility_60d", digits: int = 6) -> DataFrame:
     """Sample deviation of log returns between prices of the window, times the root of 252."""
-    before = F.lag("adj_close").over(Window.partitionBy("ticker", at).orderBy("date"))
-    rows = _in_window(probes.select("ticker", at).distinct(), prices.where("adj_close is not null"), days, at).withColumn("r", F.ln(safe_div("adj_close", before)))
-    v = rows.groupBy("ticker", at).agg(F.when((F.count("*") >= least_prices) & (F.count("r") >= least_returns), F.round(F.stddev_samp("r") * F.sqrt(F.lit(252.0)), digits)).alias(out))
-    return probes.join(v, ["ticker", at], "left")
+    before = F.lag("adj_close").over(Window.partitionBy("ticker").orderBy("date"))
+    changes = prices.where("adj_close is not null").withColumn("r", F.ln(safe_div("adj_close", before)))
+    rows = changes.select("ticker", "date", F.col("r").isNotNull().cast("double").alias("k"), "r", (F.col("r") * F.col("r")).alias("rr"))
+    sums = window_sums(probes, rows, ["k", "r", "rr"], days, at=at)
+    deviation = F.sqrt(_spread(F.col("rr"), F.col("r"), F.col("k")) / (F.col("k") - 1)) * F.sqrt(F.lit(252.0))
+    enough = (F.col("n") >= least_prices) & (F.col("k") >= max(least_returns, 2))
+    return probes.join(sums.select("ticker", at, F.when(enough, F.round(deviation, digits)).alias(out)), ["ticker", at], "left")
 
 
 def beta(probes: DataFrame, prices: DataFrame, benchmark: str, *, days: int = 252, least: int = 30, at: str = "as_of", out: str = "beta_252d", digits: int = 6) -> DataFrame:
     """Covariance with the benchmark's returns over their variance, over the days that both have."""
     bench = prices.where(F.col("ticker") == benchmark).select("date", F.col("adj_close").alias("b"))
     both = prices.where("adj_close is not null").join(bench.where("b is not null"), "date")
-    w = Window.partitionBy("ticker", at).orderBy("date")
+    w = Window.partitionBy("ticker").orderBy("date")
     change = lambda c: safe_div(c, F.lag(c).over(w)) - 1
-    rows = _in_window(probes.select("ticker", at).distinct(), both, days, at).withColumn("rx", change("adj_close")).withColumn("ry", change("b"))
-    paired = F.col("rx").isNotNull() & F.col("ry").isNotNull()
-    x, y = F.when(paired, F.col("rx")), F.when(paired, F.col("ry"))
-    made = F.round(safe_div(F.covar_samp(x, y), F.var_samp(y)), digits)
-    v = rows.groupBy("ticker", at).agg(F.when((F.count("*") >= least) & (F.count(x) >= least), made).alias(out))
-    return probes.join(v, ["ticker", at], "left")
+    moved = both.select("ticker", "date", change("adj_close").alias("x"), change("b").alias("y"))
+    paired = F.col("x").isNotNull() & F.col("y").isNotNull()
+    terms = {"k": F.lit(1.0), "x": F.col("x"), "y": F.col("y"), "xy": F.col("x") * F.col("y"), "yy": F.col("y") * F.col("y")}
+    sums = window_sums(probes, moved.select("ticker", "date", *(F.when(paired, t).alias(c) for c, t in terms.items())), list(terms), days, at=at)
+    together = F.col("xy") - F.col("x") * F.col("y") / F.col("k")
+    enough = (F.col("n") >= least) & (F.col("k") >= max(least, 2))
+    made = F.round(safe_div(together, _spread(F.col("yy"), F.col("y"), F.col("k"))), digits)
+    return probes.join(sums.select("ticker", at, F.when(enough, made).alias(out)), ["ticker", at], "left")
 
 
 def market_features(probes: DataFrame, prices: DataFrame, *, sector: str, broad: str, at: str = "as_of", digits: int = 6) -> DataFrame:
