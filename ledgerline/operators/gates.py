@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import col, safe_div
 from ledgerline.functions.patterns import literal_counts
+from ledgerline.functions.running import with_running_sums
 
 #: Metrics of the strict gate, and those that a valuation cannot do without.
 CORE = ("revenue", "gross_profit", "operating_income", "net_income", "diluted_eps", "operating_cash_flow", "capex", "fcf", "total_assets", "total_debt", "cash_and_securities", "diluted_shares")
@@ -147,7 +148,7 @@ def business_calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
     free = F.coalesce(F.array_contains(F.array_compact(federal_holidays(F.year("day"))), F.col("day")), F.lit(False)) | F.coalesce(F.array_contains(F.array_compact(federal_holidays(F.year("day") + 1)), F.col("day")), F.lit(False))
     works = F.when(F.dayofweek("day").isin(1, 7) | free, 0).otherwise(1)
-    return days.withColumn("works", works).withColumn("business_index", F.sum("works").over(Window.partitionBy(F.lit(0)).orderBy("day")))
+    return with_running_sums(days.withColumn("works", works).withColumn("business_index", works), ["business_index"], order=["day"])
 
 
 def trading_days_between(rows: DataFrame, calendar: DataFrame, start: str, end: str, *, out: str = "trading_days") -> DataFrame:

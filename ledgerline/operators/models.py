@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.running import with_running_sums
 from ledgerline.functions.workers import shared, ship
 
 
@@ -115,8 +116,7 @@ def predictor(p: int, alpha: float, l1: float, ridge: bool):
 def pooled_walk_forward(rows: DataFrame, features: Sequence[str], target: str, *, keys: Sequence[str] = ("entity", "fiscal_period"), at: str = "feature_available_date", least: int = 5, alpha: float = 0.1, l1: float = 0.5, ridge: bool = False, digits: int = 6) -> DataFrame:
     """keys, at, n_train, prediction, actual: every row is predicted by a fit on all entities' rows of earlier days.
 
-    Sums of products are made by day first, so that the expanding window, which is one task, runs over days, of which
-    there are few whatever the pool.
+    Sums of products are made by day first, then summed up along ranges of days; no window runs over all days.
     """
     rows, p = rows.where(F.col(target).isNotNull()), len(features)
     names = [*(f"__x{i}" for i in range(p)), "__y"]
@@ -125,8 +125,8 @@ def pooled_walk_forward(rows: DataFrame, features: Sequence[str], target: str, *
     parts = [*names, *(f"__p{i}_{j}" for i in range(p + 1) for j in range(i, p + 1))]
     terms = [F.col(n) for n in names] + [F.col(names[i]) * F.col(names[j]) for i in range(p + 1) for j in range(i, p + 1)]
     days = base.groupBy(at).agg(F.count("*").alias("__c"), *(F.sum(t).alias(n) for t, n in zip(terms, parts, strict=True)))
-    past = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    known = days.select(at, F.sum("__c").over(past).alias("n_train"), F.array(*(F.sum(n).over(past) for n in parts)).alias("__s"))
+    past = with_running_sums(days, ["__c", *parts], order=[at], before=True)
+    known = past.select(at, F.col("__c").alias("n_train"), F.array(*parts).alias("__s"))
     ship(rows.sparkSession)
     made = base.join(known, at).where(F.col("n_train") >= least).withColumn("__v", F.array(*names))
     return made.select(*keys, at, "n_train", F.round(predictor(p, alpha, l1, ridge)("__s", "__v", "n_train"), digits).alias("prediction"), F.col("__y").alias("actual"))
