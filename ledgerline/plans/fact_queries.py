@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import facts as fo
 from ledgerline.operators import metrics as mo
+from ledgerline.operators import validity as vd
 from ledgerline.plans.bindings import FACTS_SQL, METRICS, facts, table
 from ledgerline.plans.registered import Registry
 
@@ -84,6 +85,33 @@ def _(spark, d):
     return fo.amendment_resolve(ranked, keys=["entity", "metric", "fiscal_year"]).select("entity", "metric", "fiscal_year", "value", "accession", "selection_reason")
 
 
+AS_OF_DAYS = [f"{y}-{m:02}-15" for y in range(1996, 2002) for m in (3, 6, 9, 12)]
+AS_OF_SQL = f"""ranked as (select *, {RANK_SQL} as selection_rank from filed), days as (select distinct entity, metric, fiscal_year, filing_date as day from filed),
+seen as (select d.day, r.*, count(*) over (partition by d.entity, d.metric, d.fiscal_year, d.day, selection_rank) > 1 as several,
+  row_number() over (partition by d.entity, d.metric, d.fiscal_year, d.day order by selection_rank, filing_date desc nulls last, accession desc) as rn
+  from days d join ranked r on (r.entity, r.metric, r.fiscal_year) = (d.entity, d.metric, d.fiscal_year) and r.filing_date <= d.day)"""
+
+
+def amendments(spark, d):
+    """Every report's interval of validity for its entity, metric and fiscal year."""
+    ranked = filed(spark, d).withColumn("selection_rank", fo.form_rank())
+    return vd.validity(ranked, keys=["entity", "metric", "fiscal_year"], best=vd.amendment_order(), rank="selection_rank", available="filing_date")
+
+
+@R.add("fact_validity", f"""with {FILED_SQL}, {AS_OF_SQL}, c as (select *, lag((accession, value, several)) over w as before from seen where rn = 1 window w as (partition by entity, metric, fiscal_year order by day))
+select entity, metric, fiscal_year, accession, value, several, day as known_from, lead(day) over (partition by entity, metric, fiscal_year order by day) as known_to from c where (accession, value, several) is distinct from before""")
+def _(spark, d):
+    return amendments(spark, d).select("entity", "metric", "fiscal_year", "accession", "value", "several", "known_from", "known_to")
+
+
+@R.add("facts_at_dates", f"""with {FILED_SQL}, dates as (select cast(unnest({AS_OF_DAYS}) as date) as as_of), seen as (
+  select as_of, f.*, row_number() over (partition by as_of, entity, metric, fiscal_year order by {RANK_SQL}, filing_date desc nulls last, accession desc) as rn from dates join filed f on f.filing_date <= as_of)
+select as_of, entity, metric, fiscal_year, accession, value from seen where rn = 1""")
+def _(spark, d):
+    """Facts resolved once, as they were known on each of many dates."""
+    return vd.at_dates(amendments(spark, d), AS_OF_DAYS).select("as_of", "entity", "metric", "fiscal_year", "accession", "value")
+
+
 #: Concepts: a metric's own name, or one of two stand-ins, as the discount of its line has it.
 TAGGED_SQL = """
 tagged as (
