@@ -8,9 +8,10 @@ from ledgerline.operators import marts as mt
 from ledgerline.operators import metrics as mo
 from ledgerline.operators import valuation as va
 from ledgerline.plans.bindings import FACTS_SQL, PEERS_SQL, facts, peers, table
-from ledgerline.plans.fact_queries import INPUTS_SQL, LATEST_SQL, RATIOS_SQL, YOY_SQL, inputs, metrics
+from ledgerline.plans.fact_queries import INPUTS_SQL, LATEST_SQL, RATIOS_SQL, YOY_SQL, inputs, metrics, nation_prices
 from ledgerline.plans.gate_queries import MAPPED_SQL, TIERS_SQL, mapped, tiers
 from ledgerline.plans.registered import Registry
+from ledgerline.sources.readers import write_bucketed
 
 R = Registry()
 
@@ -46,6 +47,20 @@ def _(spark, d):
     return valued(spark, d).select("entity", "scenario", "probability", "per_share")
 
 
+@R.add("bucketed_ratios", f"{RATIOS_SQL} select entity, fiscal_year, fiscal_period, metric, value, source_available_date, unit from ratios")
+def _(spark, d):
+    """Ratios over the fact sink, which is bucketed by entity: nothing is shuffled to read it."""
+    return mo.ratios(write_bucketed(facts(spark, d), "facts", by=["entity"], sort=["fiscal_year", "fiscal_period"]))
+
+
+@R.add("bucketed_scenarios", f"{VALUED_SQL} select entity, scenario, probability, per_share from valued")
+def _(spark, d):
+    """Valuations over the sinks of metrics and prices, both bucketed by entity."""
+    known = write_bucketed(metrics(spark, d), "metrics", by=["entity"], sort=["metric", "fiscal_period"])
+    closes = write_bucketed(nation_prices(spark, d), "prices", by=["ticker"], sort=["date"])
+    return va.scenarios(mo.valuation_inputs(known, closes), va.scenario_table(spark)).select("entity", "scenario", "probability", "per_share")
+
+
 GRID_SQL = f"""sens as (select entity, wacc, tgx as terminal_growth, round(case when diluted_shares > 0 then ({dcf_sql('cast(0.2 as double)', 'cast(0.35 as double)', 'cast(0.3 as double)', 'wacc', 'tgx')} + net_cash) / diluted_shares else 0 end, 4) as per_share
   from inputs, (select cast(unnest([0.08, 0.09, 0.10, 0.11, 0.12]) as double) as wacc), (select cast(unnest([0.02, 0.025, 0.03, 0.035, 0.04]) as double) as tgx))"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +128,21 @@ def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = No
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, *, by: Sequence[str], sort: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """df as a table of a new name in the shared folder, in buckets of `by`, each sorted by `by` and `sort`; the table read back.
+
+    What joins or groups by these columns, and by others besides, reads it without a shuffle; the rows are shuffled once,
+    here, and every bucket is one file. Tables that are to be joined need the same number of buckets, by default that of
+    the session's shuffles.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"ledgerline_{name}_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, *(F.col(f"`{c}`") for c in by))
+    dealt.write.bucketBy(n, *by).sortBy(*by, *sort).option("path", scratch(spark, name)).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def analyst_latest(snapshots: DataFrame, *, keys: tuple[str, ...] = ("ticker", "period")) -> DataFrame:
     """The latest snapshot of each ticker and period."""
     rest = [c for c in snapshots.columns if c not in keys]
