@@ -200,27 +200,6 @@ def embedding_distance(vectors: DataFrame, *, by: str = "entity", order: str = "
     return rows.select(by, order, F.round(1 - cos, digits).alias("distance"))
 
 
-def topic_model(docs: DataFrame, *, key: str = "doc_id", text: str = "text", topics: int = 5, vocabulary: int = 1000, iterations: int = 20, seed: int = 42):
-    """(rows (key, topic, weight), fitted model, vocabulary model) by LDA over words of at most 95 % and at least 2 of the documents."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-
-    words = docs.where(F.length(text) > 50).select(key, F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), 0).alias("words"))
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2.0, maxDF=0.95).fit(words)
-    matrix = counts.transform(words).select(key, "features")
-    lda = LDA(k=min(topics, max(2, len(counts.vocabulary))), maxIter=iterations, seed=seed, featuresCol="features").fit(matrix)
-    return lda.transform(matrix).select(key, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight")), lda, counts
-
-
-def topic_terms(lda, counts, *, n: int = 5) -> DataFrame:
-    """(topic, place, term, weight) of each topic's first terms; the vocabulary is bounded by the model's."""
-    t = lda.describeTopics(n)
-    vocabulary = F.lit(list(counts.vocabulary))
-    zipped = F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "t")
-    return t.select("topic", zipped).select("topic", "place", F.element_at(vocabulary, F.col("t.termIndices") + 1).alias("term"), F.col("t.termWeights").alias("weight"))
-
-
 def emerging_fading(weights: DataFrame, *, order: str = "doc_id", band: float = 0.01, digits: int = 6) -> DataFrame:
     """Mean weight of the later half of the documents less the earlier half's, for each topic.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import models as mo
 from ledgerline.operators import text as tx
+from ledgerline.operators import topics as to
 from ledgerline.operators import trees as tr
 from ledgerline.plans.bindings import FACTS_SQL, PEERS_SQL, PRICES_SQL, SECTIONS_SQL, facts, peers, prices, sections, table
 from ledgerline.plans.fact_queries import RATIOS_SQL, metrics
@@ -155,7 +156,7 @@ def _(spark, d):
 
 
 def topics(spark, d):
-    return tx.topic_model(table(spark, d, "documents"))
+    return to.topic_model(table(spark, d, "documents"))
 
 
 @R.add("topic_model", None)
@@ -165,8 +166,7 @@ def _(spark, d):
 
 @R.add("topic_terms", None)
 def _(spark, d):
-    _, lda, counts = topics(spark, d)
-    return tx.topic_terms(lda, counts)
+    return to.topic_terms(spark, topics(spark, d)[1])
 
 
 WEIGHTS_SQL = "w as (select doc_id, cast(t as integer) as topic, ((doc_id * 7 + t * 13) % 10) / 10.0 + case when t = 1 then doc_id / 100000.0 else 0 end as weight from documents, unnest([0, 1, 2]) as u(t))"

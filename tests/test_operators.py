@@ -267,7 +267,7 @@ def test_topics_of_documents_of_all_languages(spark, tmp_path):
 
     rows = [(k, f"word{k % 3} other{k % 2} " * 10 + f"rest{k % 4}", ["en", "de", None][k % 3]) for k in range(12)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    weights, _, _ = tq.topics(spark, str(tmp_path))
+    weights, _ = tq.topics(spark, str(tmp_path))
     assert {r.doc_id for r in weights.select("doc_id").distinct().collect()} == set(range(12))
 
 
