@@ -10,8 +10,9 @@ Vocabulary and classes grow with the distinct words. The counts of the words in
 joined to the words of each document. Texts are cut into words twice, to count them and to number them; training and
 scoring read the numbers.
 
-The network is trained in numpy by every task on every window of its own part of the corpus, in rounds; Spark averages
-the tasks' parameters after each round.
+The network is trained in numpy on every window, in rounds: every task works out the gradient of its part of the
+round's windows, Spark sums the gradients, and one step is made of the sum. The scores are the same, rounding apart,
+however many tasks there are.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ WINDOW = (-2, -1, 1, 2)
 NEVER, MOST = -1e4, 70
 #: Rows whose classes are worked out at once: their logits stay in the processor's cache.
 ROWS_AT_ONCE = 512
+#: Rounds of a pass over all windows; windows whose gradient is worked out at once.
+ROUNDS, WINDOWS = 12, 8192
 
 
 @dataclass
@@ -172,42 +175,43 @@ def hidden(x: np.ndarray, b1: np.ndarray) -> np.ndarray:
     return h
 
 
-def learn(p: list[np.ndarray], v: Vocabulary, around: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One step of gradient descent on a batch of windows and the ids in their middles, in place."""
+def gradient(p: list[np.ndarray], v: Vocabulary, around: np.ndarray, target: np.ndarray, into: list[np.ndarray]) -> None:
+    """Adds the gradient of the windows' log-probabilities, less sign, to `into`; target: the ids in their middles."""
     emb, w1, b1, w2, u = p
-    step, every = np.float32(rate / np.sqrt(len(target))), np.arange(len(target))
+    to_emb, to_w1, to_b1, to_w2, to_u = into
+    every = np.arange(len(target))
     order, cuts = in_order(v.kind[target])
     around, target = around[order], target[order]  # the tokens of a class stand together
     kind, places = v.kind[target], v.place[target]
     x = emb[around].reshape(len(around), -1)
     h = hidden(x @ w1, b1)
-    back, change = np.empty_like(h), np.zeros_like(w2)
+    back = np.empty_like(h)
     for a in range(0, len(h), ROWS_AT_ONCE):
         own = h[a : a + ROWS_AT_ONCE]
         g, total = powers(own @ w2)
-        g *= (step / total)[:, None]
-        g[every[: len(own)], kind[a : a + ROWS_AT_ONCE]] -= step
+        g *= (1 / total)[:, None]
+        g[every[: len(own)], kind[a : a + ROWS_AT_ONCE]] -= 1
         np.matmul(g, w2.T, out=back[a : a + ROWS_AT_ONCE])
-        change += own.T @ g
-    w2 -= change
+        to_w2 += own.T @ g
     starts = v.starts.tolist()
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         low, high = starts[kind[a]], starts[kind[a] + 1]
         if high - low > 1:
             own, inner = h[a:b], u[low:high]
             g, total = powers(own @ inner.T)
-            g *= (step / total)[:, None]
-            g[every[: b - a], places[a:b] - low] -= step
+            g *= (1 / total)[:, None]
+            g[every[: b - a], places[a:b] - low] -= 1
             back[a:b] += g @ inner
-            inner -= g.T @ own
+            to_u[low:high] += g.T @ own
     back, h = back[:, :HIDDEN], h[:, :HIDDEN]
     back = back * (1 - h * h)
     dx = (back @ w1.T).reshape(-1, DIM)
-    w1 -= x.T @ back
-    b1 -= back.sum(axis=0)
+    to_w1 += x.T @ back
+    to_b1 += back.sum(axis=0)
     ids = around.ravel()
     order, cuts = in_order(ids)
-    emb[ids[order[cuts[:-1]]]] -= np.add.reduceat(dx[order], cuts[:-1], axis=0)
+    if len(order):
+        to_emb[ids[order[cuts[:-1]]]] += np.add.reduceat(dx[order], cuts[:-1], axis=0)
 
 
 def numbered(docs: DataFrame, vocab: Broadcast, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -238,29 +242,43 @@ def with_edges(packed: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(edge + edge.join([*packed, b""]), dtype=size).astype(np.int64), np.array([len(x) // size.itemsize for x in packed], dtype=np.int64)
 
 
-def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = 1, batch: int = 4096, rate: float = 0.05) -> np.ndarray:
-    """Parameters of the network, from numbered() documents. In a round each task starts from the last average and takes every window of its part."""
+def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = ROUNDS, passes: int = 1, rate: float = 0.1) -> np.ndarray:
+    """Parameters of the network, from numbered() documents.
+
+    Each round takes every rounds-th window of each text, so that a pass takes every window once; Spark sums the tasks'
+    gradients, and the driver makes one step with moments of the sums (Adam). What is learnt therefore depends on no
+    division of the corpus into tasks, but for the rounding of sums.
+    """
     like = vocab.value.shapes
     flat = initial(like, vocab.value.prior)
-    for _ in range(rounds):
+    first, second = np.zeros(len(flat)), np.zeros(len(flat))
+    for r in range(steps := rounds * passes):
         sent = ids.sparkSession.sparkContext.broadcast(flat.astype(np.float32))
 
-        def part(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+        def part(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent, turn: int = r % rounds) -> Iterator[pa.RecordBatch]:
             with counted_memory():
                 p, v, seen = unpacked(sent.value, like), vocab.value, 0
+                into = [np.zeros(s) for s in like]
                 for b in batches:
-                    own, _ = with_edges(b.column(0).to_pylist(), v)
+                    own, n = with_edges(b.column(0).to_pylist(), v)
                     at = np.flatnonzero(own != EDGE)
-                    for k in range(0, len(at), batch):
-                        here = at[k : k + batch]
-                        learn(p, v, np.stack([own[here + o] for o in WINDOW], axis=1), own[here], rate)
+                    at = at[(np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) % rounds == turn]
+                    for k in range(0, len(at), WINDOWS):
+                        here = at[k : k + WINDOWS]
+                        gradient(p, v, np.stack([own[here + o] for o in WINDOW], axis=1), own[here], into)
                     seen += len(at)
                 if seen:
-                    yield from blocks(np.append(np.concatenate([x.ravel() for x in p]).astype(np.float64) * seen, seen))
+                    yield from blocks(np.append(np.concatenate([x.ravel() for x in into]), seen))
 
         total = summed(ids.select("__ids").mapInArrow(part, ROWS), len(flat) + 1)
-        if total[-1]:
-            flat = total[:-1] / total[-1]
+        sent.unpersist()
+        if not total[-1]:
+            continue
+        change = total[:-1] / total[-1]
+        first = 0.8 * first + 0.2 * change
+        second = 0.99 * second + 0.01 * change * change
+        step = rate * min(1, (steps - r) / (0.6 * steps)) * (first / (1 - 0.8 ** (r + 1))) / (np.sqrt(second / (1 - 0.99 ** (r + 1))) + 1e-6)
+        flat -= np.where(flat <= NEVER / 2, 0, step)  # what no text has stays so
     return flat
 
 
@@ -299,9 +317,9 @@ def score(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
     """docs with mean_log_likelihood a word, log_likelihood (the sum of conditional log-probabilities) and n_words.
 
     Vocabulary and network are learnt from all of docs. A text without words, null included, has null, 0 and 0; an empty
-    table gives an empty one. Each row counts as often as it is there, and equal rows have equal scores; columns of these
+    table gives an empty one. Each row counts as often as it is there, and equal rows have equal scores but for rounding; columns of these
     names are replaced. A very long text is scored whole. What is sent to the tasks grows with the root of the number of
-    distinct words.
+    distinct words. The number of tasks, and so the layout of files, changes scores by the rounding of sums alone.
     """
     sc = docs.sparkSession.sparkContext
     counts = counted(docs, text=text)
