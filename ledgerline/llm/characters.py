@@ -34,15 +34,25 @@ def _inside(spans: list[tuple[int, int]]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
 
 
+@cache
+def category_spans(kind: str) -> list[tuple[int, int]]:
+    """Runs of characters whose category in Unicode 16 begins with kind."""
+    added = {c for a, b in _spans(_ADDED[kind]) for c in range(a, b + 1)}
+    out, first = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and (unicodedata.category(chr(c))[0] == kind or c in added)
+        if inside and first is None:
+            first = c
+        elif not inside and first is not None:
+            out.append((first, c - 1))
+            first = None
+    return out
+
+
 @cache
 def char_class(kind: str, last: int) -> str:
     """The characters up to last whose category in Unicode 16 begins with kind, as the inside of a character class."""
-    added = {c for a, b in _spans(_ADDED[kind]) for c in range(a, b + 1)}
-    out: list[tuple[int, int]] = []
-    for c in range(last + 1):
-        if c in added or unicodedata.category(chr(c))[0] == kind:
-            out = [*out[:-1], (out[-1][0], c)] if out and out[-1][1] == c - 1 else [*out, (c, c)]
-    return _inside(out)
+    return _inside([(a, min(b, last)) for a, b in category_spans(kind) if a <= last])
 
 
 def written_out(pattern: str, last: int) -> str:
@@ -92,6 +102,6 @@ def _loose() -> Callable[[str], list[str]]:
 
 def composed(text: str) -> str:
     """Normal form C; characters of _LOOSE stay where they are and are composed with nothing."""
-    if text.isascii():
+    if text.isascii() or unicodedata.is_normalized("NFC", text):  # and so are all its parts
         return text
     return "".join(x if k % 2 else unicodedata.normalize("NFC", x) for k, x in enumerate(_loose()(text)))

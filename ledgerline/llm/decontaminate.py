@@ -8,13 +8,14 @@ word the state holds the longest suffix that occurs in some item. A suffix of at
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import map_rows, shared, words_of
+from ledgerline.llm.common import map_rows, shared_folder, words_of
 
 #: Item words in one automaton, about. A larger benchmark is handled in several automata, one pass over the documents each.
 WORDS_PER_AUTOMATON = 1_000_000
@@ -172,47 +173,74 @@ def find_overlaps(
     columns of the same names; an empty benchmark or an empty docs gives no hits or no rows. A text of any length is
     streamed through the automaton word by word. clean: a column for the text without its hit runs, as by cut_hits().
 
-    The driver and a task hold the items of one automaton, about words_per_automaton words. Of a larger benchmark the
-    blocks are taken one after the other, each over what the one before has written to the shared folder.
+    The driver and a task hold the items of one automaton, about words_per_automaton words. Of a larger benchmark each
+    block goes over the texts by itself and keeps numbers and runs alone, no text; these are joined to the rows once, by
+    their numbers. docs must then be rows that are the same, in the same order, whenever they are read, as a table's are.
     """
     spark = docs.sparkSession
-    added = {"n_words", "hits", "n_hit", "items", "longest_match"}
+    added = {"n_words", "hits", "n_hit", "items", "longest_match", "__row", "__parts"}
     first = docs.drop(*(c for c in docs.columns if c.lower() in added))
     ddl = "n_words bigint, hits array<struct<start:int,end:int>>, items array<string>, longest_match int"
     rows, parts = dealt(benchmark, item, item_text, words_per_automaton)
+    with_clean = ddl + (f", `{clean}` string" if clean else "")
 
-    def one_pass(df: DataFrame, block: Broadcast, again: bool, clean: str | None) -> DataFrame:
+    def cleaned(t: bytes | None, runs: list[tuple[int, int]]) -> str | None:
+        return None if t is None else (_without(t, runs) if runs else t).decode()
+
+    def one_pass(df: DataFrame, block: Broadcast, clean: str | None, keep: list[str] | None = None) -> DataFrame:
         def make():
             automaton = SuffixAutomaton(((i, words_of(t)) for i, t in block.value), window)
 
-            def work(texts, *earlier):
+            def work(texts):
                 out = ([], [], [], [], [])
-                for k, t in enumerate(texts):
+                for t in texts:
                     words = words_of(t)
                     runs, found, longest = automaton.matches(words)
-                    if again:
-                        hits, items, most = (c[k] for c in earlier)
-                        runs = _merged([(h["start"], h["end"]) for h in hits], runs)
-                        found, longest = found | set(items), max(longest, most)
-                    out[0].append(len(words))
-                    out[1].append([{"start": a, "end": b} for a, b in runs])
-                    out[2].append(sorted(found))
-                    out[3].append(longest)
+                    for to, value in zip(out, (len(words), [{"start": a, "end": b} for a, b in runs], sorted(found), longest), strict=False):
+                        to.append(value)
                     if clean:
-                        out[4].append(None if t is None else (_without(t, runs) if runs else t).decode())
+                        out[4].append(cleaned(t, runs))
                 return out if clean else out[:4]
 
             return work
 
-        return map_rows(df, [text, *(("hits", "items", "longest_match") if again else ())], ddl + (f", `{clean}` string" if clean else ""), make)
+        return map_rows(df, [text], with_clean if clean else ddl, make, keep)
+
+    def together(df: DataFrame) -> DataFrame:
+        """The blocks' results of each row as one."""
+
+        def make():
+            def work(texts, parts):
+                out = ([], [], [], [], [])
+                for t, found in zip(texts, parts, strict=True):
+                    runs: list[tuple[int, int]] = []
+                    for x in found or ():
+                        runs = _merged([(h["start"], h["end"]) for h in x["hits"]], runs)
+                    out[0].append(len(words_of(t)))
+                    out[1].append([{"start": a, "end": b} for a, b in runs])
+                    out[2].append(sorted({i for x in found or () for i in x["items"]}))
+                    out[3].append(max((x["longest_match"] for x in found or ()), default=0))
+                    out[4].append(cleaned(t, runs) if clean else None)
+                return out if clean else out[:4]
+
+            return work
 
-    for n in range(max(parts, 1)):
-        block = [(r.i, r.t.encode()) for r in rows.where(F.col("part") == n).toLocalIterator()]
-        last = n >= parts - 1
-        first = one_pass(first, spark.sparkContext.broadcast(block), n > 0, clean if last else None)
-        if not last:
-            first = shared(first)
-    return first.withColumn("n_hit", F.expr("aggregate(hits, 0L, (a, h) -> a + h.end - h.start)"))
+        return map_rows(df, [text, "__parts"], with_clean, make, [c for c in df.columns if not c.startswith("__")])
+
+    def block(n: int) -> Broadcast:
+        return spark.sparkContext.broadcast([(r.i, r.t.encode()) for r in rows.where(F.col("part") == n).toLocalIterator()])
+
+    if parts <= 1:
+        found = one_pass(first, block(0), clean)
+    else:
+        numbered = first.withColumn("__row", F.monotonically_increasing_id())
+        to = f"{shared_folder(spark)}/overlaps-{uuid.uuid4().hex}"
+        for n in range(parts):
+            narrow = one_pass(numbered.select("__row", text), block(n), None, ["__row"]).where("longest_match > 0")
+            narrow.select("__row", F.struct("hits", "items", "longest_match").alias("x")).write.parquet(f"{to}/part={n}")
+        met = spark.read.parquet(to).groupBy("__row").agg(F.collect_list("x").alias("__parts"))  # one of each block at the most
+        found = together(numbered.join(met, "__row", "left"))
+    return found.withColumn("n_hit", F.expr("aggregate(hits, 0L, (a, h) -> a + h.end - h.start)"))
 
 
 def contaminated(coverage: int = 20) -> Column:

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 
@@ -19,7 +21,7 @@ from ledgerline.llm.common import map_rows
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-INVISIBLE = frozenset("head script style template noscript iframe object datalist select option title noembed noframes canvas audio video defs desc metadata symbol annotation annotation-xml".split())
+INVISIBLE = frozenset("head script style template noscript iframe object datalist select option title noembed noframes canvas audio video defs desc metadata symbol annotation annotation-xml rp".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tr ul xmp".split()
 )
@@ -293,6 +295,60 @@ def laid_out(rows: list[list[tuple[int, int, str]]]) -> str:
     return "\n".join(x for x in lines if x.strip(" |"))
 
 
+class Spans:
+    """Columns into which cells of earlier rows reach, as few intervals; a row costs its own cells and what ends with it."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []  # of taken intervals that don't touch each other
+        self.ends: list[int] = []
+        self.owners: list[list[int]] = []  # start, end and first free row of each cell's columns, in order, apart
+        self.queue: list[tuple[int, int, list[int]]] = []  # by first free row
+        self.number = 0
+
+    def free(self, at: int) -> int:
+        """The first column from `at` on that is not taken."""
+        k = bisect_right(self.starts, at) - 1
+        return self.ends[k] if k >= 0 and at < self.ends[k] else at
+
+    def take(self, start: int, end: int, row: int) -> None:
+        """Columns that are taken until `row`; the last cell that reaches into a column has it."""
+        k = max(bisect_right(self.owners, [start]) - 1, 0)
+        while k < len(self.owners) and self.owners[k][0] < end:
+            a, b, until = own = self.owners[k]
+            if b <= start:
+                k += 1
+                continue
+            del self.owners[k]
+            own[1] = -1  # nobody's any more
+            for left, right in ((a, start), (end, b)):
+                if left < right:
+                    self._own(left, right, until)
+        self._own(start, end, row)
+        low, high = bisect_left(self.ends, start), bisect_right(self.starts, end)
+        if low < high:
+            start, end = min(start, self.starts[low]), max(end, self.ends[high - 1])
+        self.starts[low:high], self.ends[low:high] = [start], [end]
+
+    def _own(self, start: int, end: int, row: int) -> None:
+        own = [start, end, row]
+        insort(self.owners, own)
+        self.number += 1
+        heappush(self.queue, (row, self.number, own))
+
+    def until(self, row: int) -> None:
+        """Gives back the columns that are free from `row` on."""
+        while self.queue and self.queue[0][0] <= row:
+            own = heappop(self.queue)[2]
+            start, end, _ = own
+            if end < 0:
+                continue
+            del self.owners[bisect_left(self.owners, own)]
+            k = bisect_right(self.starts, start) - 1
+            a, b = self.starts[k], self.ends[k]
+            left = [(x, y) for x, y in ((a, start), (end, b)) if x < y]
+            self.starts[k : k + 1], self.ends[k : k + 1] = [x for x, _ in left], [y for _, y in left]
+
+
 def table(x: Node, page: Page, depth: int, shown: bool) -> Iterator:
     rows, outside = rows_of(x, shown)
     for c, seen in outside:
@@ -309,20 +365,21 @@ def table(x: Node, page: Page, depth: int, shown: bool) -> Iterator:
                 page.blank = True
                 yield render(c.children, page, False, depth, seen if c.vis is None else c.vis)
     else:
-        found, taken = [], {}  # taken: rows that a cell above still reaches into a column
-        for row in rows:
-            out, at, below = [], 0, {}
+        found, spans = [], Spans()
+        for n, row in enumerate(rows):
+            spans.until(n)
+            out, at, below = [], 0, []
             for c, seen in row:
-                while at in taken:
-                    at += 1
+                at = spans.free(at)
                 cell = Page()
                 if not c.hidden:
                     yield render(c.children, cell, False, depth + 1, seen if c.vis is None else c.vis)
                 out.append((at, c.span, " ".join(cell.done().split())))
                 if c.down > 1:
-                    below |= dict.fromkeys(range(at, at + c.span), c.down)
+                    below.append((at, at + c.span, n + c.down))
                 at += c.span
-            taken = {k: v - 1 for k, v in (taken | below).items() if v > 1}
+            for cells in below:  # they reach into the rows after this one
+                spans.take(*cells)
             if out:
                 found.append(out)
         if laid := laid_out(found):
