@@ -319,7 +319,7 @@ def linked_sets(source: DataFrame, sets: DataFrame, n: int, similarity: float, t
         placed = members.join(parts, "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")).select("key", "set", "cluster", "block", "parts", "n_copies")
         slot = F.pmod(F.col("key"), F.lit(SLOTS)).cast("int").alias("slot")
         own = source.select("key", "text", slot).join(F.broadcast(placed.select(slot).distinct()), "slot", "left_semi").drop("slot")
-        # rows that repeat have one key: each task keeps one of them
+        # rows that repeat have one key and meet in one partition, which adaptive execution splits if it is very large
         grams = map_rows(own.join(placed, "key"), ["text", "set"], "grams binary", regram, ["cluster", "set", "block", "parts", "n_copies"]).where("grams is not null")
         full = grams.groupBy("set", "cluster", "block", "parts", "n_copies").agg(F.first("grams").alias("grams"))
         dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(

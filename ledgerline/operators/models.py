@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.running import with_running_sums
-from ledgerline.functions.workers import shared, ship
+from ledgerline.functions.workers import ship
 
 
 def metrics_wide(metrics: DataFrame, names: Sequence[str], *, entity: str = "entity") -> DataFrame:
@@ -37,23 +37,26 @@ def feature_target_matrix(wide: DataFrame, target: str, text: DataFrame | None =
     )
 
 
-def fit_linear(rows: DataFrame, features: Sequence[str], target: str, *, alpha: float = 0.1, l1: float = 0.5, ridge: bool = False) -> DataFrame:
-    """(feature, coefficient) of a ridge (alpha) or elastic-net (alpha, l1) fit by MLlib, nulls as 0; none under two rows.
+def fit_linear(rows: DataFrame, features: Sequence[str], target: str, *, alpha: float = 0.1, l1: float = 0.5, ridge: bool = False, digits: int = 6) -> DataFrame:
+    """(feature, coefficient) of a ridge (alpha) or elastic-net (alpha, l1) fit, nulls as 0; none under two rows.
 
-    MLlib scales the penalty by the label's spread; the settings undo that.
+    Sums of products, made in one pass, are all that the fit needs; they reach the driver, which solves the small system.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    clean = rows.where(F.col(target).isNotNull()).select(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features), F.col(target).cast("double").alias("__y"))
-    clean = shared(clean)  # read by the statistics and by each pass of the solver
-    n, spread = clean.agg(F.count("*"), F.stddev_pop("__y")).first()
-    spark = rows.sparkSession
-    if n < 2 or not spread:
+    p = len(features)
+    values = [*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features), F.col(target).cast("double")]
+    clean = rows.where(F.col(target).isNotNull()).select(*(v.alias(f"x{i}") for i, v in enumerate(values)))
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    found = clean.agg(F.count("*").alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(p + 1)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs)).first()
+    spark, n = rows.sparkSession, found.n
+    if n < 2 or not found[f"c{p}_{p}"]:
         return spark.createDataFrame([], "feature string, coefficient double")
-    reg, mix = (alpha * spread / n, 0.0) if ridge else (alpha * (l1 + (1 - l1) * spread), alpha * l1 / (alpha * (l1 + (1 - l1) * spread)))
-    model = LinearRegression(featuresCol="__x", labelCol="__y", standardization=False, regParam=reg, elasticNetParam=mix, maxIter=500, tol=1e-10).fit(VectorAssembler(inputCols=list(features), outputCol="__x").transform(clean))
-    return spark.createDataFrame([*((f, float(c)) for f, c in zip(features, model.coefficients, strict=True)), ("intercept", float(model.intercept))], "feature string, coefficient double")
+    square = np.zeros((p + 1, p + 1))
+    for i, j in pairs:
+        square[i, j] = square[j, i] = found[f"c{i}_{j}"] * n
+    w = solve(square[:p, :p], square[:p, p], n, alpha=alpha, l1=l1, ridge=ridge, steps=2000)
+    intercept = found[f"m{p}"] - sum(found[f"m{i}"] * w[i] for i in range(p))
+    made = [*zip(features, w.tolist(), strict=True), ("intercept", float(intercept))]
+    return spark.createDataFrame([(f, round(c, digits)) for f, c in made], "feature string, coefficient double")
 
 
 def solve(gram: np.ndarray, xy: np.ndarray, n: int, *, alpha: float, l1: float, ridge: bool, steps: int = 200) -> np.ndarray:

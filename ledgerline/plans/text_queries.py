@@ -283,23 +283,66 @@ def _(spark, d):
     return mo.model_quality(scores, c, "linear_trend")
 
 
-@R.add("walk_forward", None)
+P = len(FEATURES)
+PAIRS = [(i, j) for i in range(P + 1) for j in range(i, P + 1)]
+#: Rows of the panel with a target: x0 to x4, and the target as x5.
+ROWS_SQL = f"xs as (select entity, fiscal_period, feature_available_date, {', '.join(f'coalesce(cast({f} as double), 0) as x{i}' for i, f in enumerate(FEATURES))}, cast(target_value as double) as x{P} from panel where target_value is not null)"
+SUMS_SQL = ", ".join([f"sum(x{i}) {{0}} as s{i}" for i in range(P + 1)] + [f"sum(x{i} * x{j}) {{0}} as q{i}_{j}" for i, j in PAIRS])
+
+
+def solved_sql(sums: str, keys: str, *, alpha: float, l1: float = 0.5, ridge: bool = False, steps: int = 200, tag: str = "") -> str:
+    """sys: means and centred sums of products of each row of `sums` (keys, n, s, q); fit: its coefficients w, by sweeps of coordinate descent."""
+    g = lambda i, j: f"g{min(i, j)}_{max(i, j)}"
+    sweep = []
+    for j in range(P):
+        others = " + ".join(f"{g(i, j)} * {f'a{i}' if i < j else f'w{i}'}" for i in range(P) if i != j)
+        left, size = f"({g(j, P)} - ({others}))", f"({g(j, j)} + {alpha})" if ridge else f"({g(j, j)} / n + {alpha * (1 - l1)})"
+        whole = left if ridge else f"sign({left}) * greatest(abs({left} / n) - {alpha * l1}, 0)"
+        sweep.append(f"case when {size} > 0 then {whole} / {size} else 0 end as a{j}")
+    return f"""sys{tag} as (select {keys}, cast(n as double) as n, {', '.join(f's{i} / n as m{i}' for i in range(P + 1))}, {', '.join(f'q{i}_{j} - s{i} * s{j} / n as g{i}_{j}' for i, j in PAIRS)} from {sums}),
+cd{tag}({keys}, step, {', '.join(f'w{i}' for i in range(P))}) as (select {keys}, 0, {', '.join('cast(0 as double)' for _ in range(P))} from sys{tag}
+  union all select {keys}, step + 1, {', '.join(f'a{i}' for i in range(P))} from (select {keys}, step, {', '.join(sweep)} from cd{tag} join sys{tag} using ({keys}) where step < {steps})),
+fit{tag} as (select * from cd{tag} join sys{tag} using ({keys}) where step = {steps})"""
+
+
+PREDICTED_SQL = f"round(m{P} + {' + '.join(f'(x{i} - m{i}) * w{i}' for i in range(P))}, 6)"
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("with", "with recursive", 1)
+
+
+@R.add("walk_forward", recursive(f"""{PANEL_SQL}, {ROWS_SQL}, o as (select *, cast(row_number() over w as integer) as fold, count(*) over (w rows between unbounded preceding and 1 preceding) as n, {SUMS_SQL.format('over (w rows between unbounded preceding and 1 preceding)')}
+  from xs window w as (partition by entity order by feature_available_date, fiscal_period)), known as (select * from o where n >= 3),
+{solved_sql('known', 'entity, fold', alpha=0.1)}
+select k.entity, k.feature_available_date, k.fiscal_period, k.fold, {PREDICTED_SQL} as prediction, x{P} as actual from known k join fit using (entity, fold)"""))
 def _(spark, d):
     return mo.walk_forward(panel(spark, d), FEATURES, "target_value")
 
 
-@R.add("panel_walk_forward", None)
+@R.add("panel_walk_forward", recursive(f"""{PANEL_SQL}, {ROWS_SQL}, days as (select feature_available_date as d, count(*) as c, {SUMS_SQL.format('')} from xs group by 1),
+past as (select d, sum(c) over w as n, {', '.join(f'sum({c}) over w as {c}' for c in [*(f's{i}' for i in range(P + 1)), *(f'q{i}_{j}' for i, j in PAIRS)])} from days window w as (order by d rows between unbounded preceding and 1 preceding)),
+known as (select * from past where n >= 5), {solved_sql('known', 'd', alpha=0.001)}
+select entity, fiscal_period, feature_available_date, cast(n as bigint) as n_train, {PREDICTED_SQL} as prediction, x{P} as actual from xs join fit on d = feature_available_date"""))
 def _(spark, d):
     return mo.pooled_walk_forward(panel(spark, d), FEATURES, "target_value", alpha=0.001)
 
 
-@R.add("fit_elasticnet", None)
+def coefficients_sql(fit: str, kind: str | None = None) -> str:
+    own = "" if kind is None else f", '{kind}' as kind"
+    named = " union all ".join(f"select '{f}' as feature, round(w{i}, 6) as coefficient{own} from {fit}" for i, f in enumerate(FEATURES))
+    return f"{named} union all select 'intercept', round(m{P} - ({' + '.join(f'm{i} * w{i}' for i in range(P))}), 6){own} from {fit}"
+
+
+@R.add("fit_elasticnet", recursive(f"""{PANEL_SQL}, {ROWS_SQL}, whole as (select 1 as one, count(*) as n, {SUMS_SQL.format('')} from xs), {solved_sql('whole', 'one', alpha=0.001, steps=2000, tag='_e')}, {solved_sql('whole', 'one', alpha=1.0, ridge=True, steps=2000, tag='_r')}
+{coefficients_sql('fit_e', 'elastic_net')} union all {coefficients_sql('fit_r', 'ridge')}"""))
 def _(spark, d):
     p = panel(spark, d)
     return mo.fit_linear(p, FEATURES, "target_value", alpha=0.001).withColumn("kind", F.lit("elastic_net")).unionByName(mo.fit_linear(p, FEATURES, "target_value", alpha=1.0, ridge=True).withColumn("kind", F.lit("ridge")))
 
 
-@R.add("fit_panel", None)
+@R.add("fit_panel", recursive(f"""{PANEL_SQL}, {ROWS_SQL}, chosen as (select entity from panel group by 1 having count(*) >= 10 and count(target_value) > 0 and count(coalesce({', '.join(FEATURES)})) > 0),
+whole as (select 1 as one, count(*) as n, {SUMS_SQL.format('')} from xs where entity in (select entity from chosen)), {solved_sql('whole', 'one', alpha=0.001, steps=2000)} {coefficients_sql('fit')}"""))
 def _(spark, d):
     p = mo.peer_panel(panel(spark, d).withColumnRenamed("entity", "ticker"), FEATURES, "target_value")
     return mo.fit_linear(p, FEATURES, "target_value", alpha=0.001)
