@@ -179,7 +179,26 @@ def _(spark, d):
     return tx.emerging_fading(w)
 
 
-@R.add("change_points", None)
+#: The division of least cost of each series, by all divisions at once: a segment from the si-th start to the ei-th end.
+CHANGE_SQL = f"""{KEY_SQL}, raw as (
+  select concat_ws('/', entity, section, theme) as series, filing_date as day, cast(score as double) as v from ks where score is not null
+  union all select 'shipped/' || l_returnflag, day, cast(sum(q) over (partition by l_returnflag order by day) as double) from (select l_returnflag, cast(l_shipdate as date) as day, sum(l_quantity) as q from lineitem group by all)
+), months as (select series, cast(date_trunc('month', day) as date) as day, avg(v) as x from raw group by all),
+pts as (select *, row_number() over (partition by series order by day) - 1 as i, count(*) over (partition by series) as n, max(day) over (partition by series) as final from months),
+gaps as (select a.series, median((a.x - b.x) * (a.x - b.x)) as middle from pts a join pts b on a.series = b.series and a.i < b.i where a.n >= 4 group by 1),
+segments as (select distinct series, n, cast(si as bigint) as si, cast(ei as bigint) as ei, 5 * si as a, least(5 * ei, n) as e from (select distinct series, n from pts where n >= 4) t,
+  unnest(range(0, cast(ceil(n / 5) as bigint))) u(si), unnest(range(si + 1, cast(ceil(n / 5) as bigint) + 1)) v(ei)),
+costs as (select s.series, s.ei, s.si, case when any_value(s.e - s.a) >= 2 then any_value(s.e - s.a) * exp(-0.01) - sum(exp(-least(greatest((p.x - r.x) * (p.x - r.x) * (case when middle > 0 then 1 / middle else 1 end), 0.01), 100))) / any_value(s.e - s.a) end as c
+  from segments s join gaps using (series) join pts p on p.series = s.series and p.i >= s.a and p.i < s.e join pts r on r.series = s.series and r.i >= s.a and r.i < s.e group by all),
+ends as (select series, ei, list(c order by si) as cs from costs group by all),
+best(series, ei, bests, lasts) as (select distinct series, cast(0 as bigint), [cast(0 as double)], [cast(0 as bigint)] from ends
+  union all select series, ei, list_append(bests, list_min(l) + 3), list_append(lasts, cast(list_position(l, list_min(l)) - 1 as bigint)) from (
+    select b.series, n.ei, b.bests, b.lasts, list_transform(list_zip(b.bests, n.cs), lambda z: z[1] + z[2]) as l from best b join ends n on n.series = b.series and n.ei = b.ei + 1)),
+back(series, ei, lasts) as (select series, ei, lasts from best where (series, ei) in (select series, max(ei) from ends group by 1) union all select series, lasts[ei + 1], lasts from back where lasts[ei + 1] > 0)"""
+
+
+@R.add("change_points", f"""{CHANGE_SQL.replace("with", "with recursive", 1)}
+select p.series, p.day as break_date, p.final as available_date from back join pts p on p.series = back.series and p.i = 5 * ei and 5 * ei < p.n""")
 def _(spark, d):
     """Months of keyword scores by source, language and theme, and of the quantities shipped so far."""
     s = tx.keyword_scores(sections(spark, d), THEMES, key=["entity", "section", "filing_date"])
