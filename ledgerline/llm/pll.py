@@ -42,6 +42,8 @@ NEVER, MOST = -1e4, 70
 ROWS_AT_ONCE = 512
 #: Rounds of a pass over all windows; windows whose gradient is worked out at once.
 ROUNDS, WINDOWS = 12, 8192
+#: Tasks whose sums are added up at once.
+TOGETHER = 64
 
 
 @dataclass
@@ -252,14 +254,18 @@ def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = ROUNDS, passes: int
     like = vocab.value.shapes
     flat = initial(like, vocab.value.prior)
     first, second = np.zeros(len(flat)), np.zeros(len(flat))
+    # as many tasks as there are cores, each over several partitions: what is shuffled is an array a task
+    tasks = ids.sparkSession.sparkContext.defaultParallelism
+    lanes, fed = -(-tasks // TOGETHER), ids.select("__ids").coalesce(tasks)
     for r in range(steps := rounds * passes):
         sent = ids.sparkSession.sparkContext.broadcast(flat.astype(np.float32))
 
         def part(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent, turn: int = r % rounds) -> Iterator[pa.RecordBatch]:
             with counted_memory():
                 p, v, seen = unpacked(sent.value, like), vocab.value, 0
-                into = [np.zeros(s) for s in like]
+                total = [np.zeros(s) for s in like]
                 for b in batches:
+                    into = [np.zeros(s, dtype=np.float32) for s in like]
                     own, n = with_edges(b.column(0).to_pylist(), v)
                     at = np.flatnonzero(own != EDGE)
                     at = at[(np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) % rounds == turn]
@@ -267,10 +273,12 @@ def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = ROUNDS, passes: int
                         here = at[k : k + WINDOWS]
                         gradient(p, v, np.stack([own[here + o] for o in WINDOW], axis=1), own[here], into)
                     seen += len(at)
+                    for x, y in zip(total, into, strict=True):
+                        x += y
                 if seen:
-                    yield from blocks(np.append(np.concatenate([x.ravel() for x in into]), seen))
+                    yield from blocks(np.append(np.concatenate([x.ravel() for x in total]), seen), lanes)
 
-        total = summed(ids.select("__ids").mapInArrow(part, ROWS), len(flat) + 1)
+        total = summed(fed.mapInArrow(part, ROWS), len(flat) + 1, lanes)
         sent.unpersist()
         if not total[-1]:
             continue

@@ -16,11 +16,11 @@ ROWS = "block int, lane int, v binary"
 ARROW = pa.schema([("block", pa.int32()), ("lane", pa.int32()), ("v", pa.binary())])
 
 
-def blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+def blocks(total: np.ndarray, lanes: int = LANES) -> Iterator[pa.RecordBatch]:
     """A task's array as rows of blocks, for ROWS."""
     from pyspark import TaskContext
 
-    lane = TaskContext.get().partitionId() % LANES
+    lane = TaskContext.get().partitionId() % lanes
     flat = np.ascontiguousarray(total, dtype=np.float64).ravel()
     parts = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
     yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([lane] * len(parts), pa.int32()), pa.array(parts, pa.binary())], schema=ARROW)
@@ -33,9 +33,12 @@ def _sum(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": rows["block"].iloc[:1], "lane": [0], "v": [total.tobytes()]})
 
 
-def summed(rows: DataFrame, size: int) -> np.ndarray:
-    """The sum of all tasks' arrays of `size` numbers; zeros if there was none. What reaches the driver is one such array."""
-    by_lane = rows.groupBy("block", "lane").applyInPandas(_sum, ROWS)
+def summed(rows: DataFrame, size: int, lanes: int = LANES) -> np.ndarray:
+    """The sum of all tasks' arrays of `size` numbers; zeros if there was none. What reaches the driver is one such array.
+
+    lanes: as given to blocks(); with one lane the arrays are summed at once, for few tasks.
+    """
+    by_lane = rows.groupBy("block", "lane").applyInPandas(_sum, ROWS) if lanes > 1 else rows
     total = np.zeros(size)
     for r in by_lane.groupBy("block").applyInPandas(_sum, ROWS).toLocalIterator():
         v = np.frombuffer(bytes(r.v), dtype=np.float64)
