@@ -173,7 +173,7 @@ def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, *, hidden: int = 32,
 def train(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "quality", most: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Word vectors from all documents; the network from at most `most` labelled rows for which `learn` holds.
 
-    Without labelled rows every text has the probability 0.5 of an untrained network's bias.
+    Without labelled rows, as of an empty table, every text has the probability 0.5 of an untrained network's bias.
     """
     vectors = word_vectors(docs, text=text)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -193,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, label: str = "qu
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """docs with the probability that the whole text is of good quality; null and empty texts are texts without tokens.
 
-    Each row is scored alone; a column of the name `out` is replaced. What is sent out has the fixed size of the model.
+    Each row is scored alone, so repeated rows give repeated results, and whole, however long: only the mean over its
+    tokens is held. An empty table gives an empty one; a column of the name `out` is replaced. What is sent out has the
+    fixed size of the model.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

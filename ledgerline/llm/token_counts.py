@@ -104,7 +104,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ke
     """docs with n_bytes (UTF-8) and n_tokens of each whole text, as the tokenizer's own library counts them.
 
     Strings of special tokens inside a text count one token each. Null and empty texts have 0 of both; each row is
-    counted alone; columns of these names are replaced.
+    counted alone, so repeated rows give repeated results; columns of these names are replaced; an empty table gives an
+    empty one. A very long text is a batch of its own and is counted whole.
     """
 
     def make():

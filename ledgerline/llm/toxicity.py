@@ -72,7 +72,8 @@ def train(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights that are not 0, the bias (place 2^BITS) included; learnt from at most `most` labelled rows.
 
-    FTRL takes one example after the other, so one task learns; its input is bounded by `most`.
+    FTRL takes one example after the other, so one task learns; its input is bounded by `most`. Without labelled rows,
+    as of an empty table, there are no weights: every text then has a score of 0.5.
     """
     rows = sample(docs, labels, label, most, learn, doc_id=doc_id, text=text)
     limit_batches(rows.sparkSession)
@@ -105,7 +106,8 @@ def train(
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """docs with the probability that the whole text is toxic. A null or empty text has the score of the bias alone.
 
-    Each row is scored alone; a column of the name `out` is replaced. The weights sent out are bounded by 2^BITS.
+    Each row is scored alone, so repeated rows give repeated results, and whole, however long; an empty table gives an
+    empty one; a column of the name `out` is replaced. The weights sent out are bounded by 2^BITS.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
