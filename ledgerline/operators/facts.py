@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import duration_days, period_type
+from ledgerline.functions.tables import small
 
 #: XBRL concepts of each metric, the preferred one first.
 CONCEPTS = {
@@ -70,7 +71,7 @@ def metric_unit(metric: Column | str, unit: Column | str) -> Column:
 def concept_merge(facts: DataFrame, concepts: DataFrame, *, entity: str = "entity") -> DataFrame:
     """Facts of all of a metric's concepts; for one (fy, fp, start, end) the preferred concept's, then the latest filed."""
     w = Window.partitionBy(entity, "metric", "fy", "fp", "start", "end").orderBy("priority", F.desc_nulls_last("filed"), F.desc("accn"), F.desc("val"))
-    return facts.join(F.broadcast(concepts), "concept").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "priority")
+    return facts.join(small(concepts), "concept").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "priority")
 
 
 def period_classify(facts: DataFrame, *, start: str = "period_start", end: str = "period_end") -> DataFrame:
@@ -135,7 +136,7 @@ def fallback_report(facts: DataFrame, concepts: DataFrame, *, entity: str = "ent
     used = facts.select(entity, "metric", "concept").distinct()
     pairs = used.select(entity).distinct().crossJoin(names).select(entity, F.explode("__names").alias("metric"))
     missing = pairs.join(used, [entity, "metric"], "left_anti").select(entity, "metric", F.lit(None).cast("string").alias("concept"), F.lit("missing").alias("kind"))
-    other = used.join(F.broadcast(first), "metric").where("concept <> preferred").select(entity, "metric", "concept", F.lit("fallback").alias("kind"))
+    other = used.join(small(first), "metric").where("concept <> preferred").select(entity, "metric", "concept", F.lit("fallback").alias("kind"))
     return missing.unionByName(other)
 
 

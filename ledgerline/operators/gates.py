@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.columns import col, safe_div
 from ledgerline.functions.patterns import literal_counts
 from ledgerline.functions.running import with_running_sums
+from ledgerline.functions.tables import small
 
 #: Metrics of the strict gate, and those that a valuation cannot do without.
 CORE = ("revenue", "gross_profit", "operating_income", "net_income", "diluted_eps", "operating_cash_flow", "capex", "fcf", "total_assets", "total_debt", "cash_and_securities", "diluted_shares")
@@ -117,7 +118,7 @@ def canonical_truth(published: DataFrame, parsed: DataFrame, manual: DataFrame,
 def eligibility(statuses: DataFrame, kinds: DataFrame, data_status: DataFrame, *, entity: str = "entity") -> DataFrame:
     """Blocked by blocked data or by a blocking component that is BLOCKED or UNAVAILABLE; diagnostic ones never block."""
     bad = (F.col("kind") == "blocking") & F.col("status").isin("BLOCKED", "UNAVAILABLE")
-    by = statuses.join(F.broadcast(kinds), "component", "left").groupBy(entity).agg(F.array_join(F.array_sort(F.collect_list(F.when(bad, F.col("component")))), ";").alias("blockers"))
+    by = statuses.join(small(kinds), "component", "left").groupBy(entity).agg(F.array_join(F.array_sort(F.collect_list(F.when(bad, F.col("component")))), ";").alias("blockers"))
     blocked = F.coalesce("blocks_recommendation", F.lit(True)) | (F.col("blockers") != "")
     return by.join(data_status, entity, "left").select(entity, (~blocked).alias("eligible"), "blockers")
 
@@ -153,8 +154,8 @@ def business_calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
 
 def trading_days_between(rows: DataFrame, calendar: DataFrame, start: str, end: str, *, out: str = "trading_days") -> DataFrame:
     """Business days of the inclusive range less 1, never under 0; 0 if start is not before end."""
-    a = F.broadcast(calendar.select(F.col("day").alias("__a"), (F.col("business_index") - F.col("works")).alias("__before")))
-    b = F.broadcast(calendar.select(F.col("day").alias("__b"), F.col("business_index").alias("__to")))
+    a = small(calendar.select(F.col("day").alias("__a"), (F.col("business_index") - F.col("works")).alias("__before")))
+    b = small(calendar.select(F.col("day").alias("__b"), F.col("business_index").alias("__to")))
     n = F.when(F.col(start) >= F.col(end), 0).otherwise(F.greatest(F.col("__to") - F.col("__before") - 1, F.lit(0)))
     return rows.join(a, F.col(start) == F.col("__a"), "left").join(b, F.col(end) == F.col("__b"), "left").withColumn(out, n.cast("int")).drop("__a", "__before", "__b", "__to")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import safe_div
+from ledgerline.functions.tables import small
 
 SHORT, LONG = 90, 365
 
@@ -26,7 +27,7 @@ def price_clean(prices: DataFrame, *, ticker: str = "ticker", order: str = "seq"
 
 def index_alias_resolve(prices: DataFrame, aliases: DataFrame) -> DataFrame:
     """(index, ticker): the first alias for which there are prices."""
-    there = prices.select("ticker").distinct().join(F.broadcast(aliases), "ticker")
+    there = prices.select("ticker").distinct().join(small(aliases), "ticker")
     return there.groupBy("index").agg(F.min_by("ticker", "rank").alias("ticker"))
 
 

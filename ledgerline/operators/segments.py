@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import safe_div
+from ledgerline.functions.tables import small
 
 #: Segment labels in the order in which partial matches are tried, and their categories.
 LABELS = {
@@ -29,7 +30,7 @@ def label_normalise(rows: DataFrame, labels: DataFrame, *, label: str = "origina
     names = rows.select(F.col(label).alias("__label"), clean.alias("__clean")).distinct()
     hit = (F.col("__clean") == F.col("key")) | F.col("__clean").contains(F.col("key")) | (F.col("key").contains(F.col("__clean")) & (F.col("__clean") != ""))
     rank = F.struct(F.col("__clean") != F.col("key"), F.col("place"))
-    best = names.join(F.broadcast(labels), hit).groupBy("__label").agg(F.min_by("category", rank).alias("category"), F.min_by("key", rank).alias("key"))
+    best = names.join(small(labels), hit).groupBy("__label").agg(F.min_by("category", rank).alias("category"), F.min_by("key", rank).alias("key"))
     exact = F.col("key") == clean
     return rows.join(best, F.col(label) == F.col("__label"), "left").withColumn("normalized_category", F.coalesce("category", F.lit("other"))).withColumn(
         "mapping_notes", F.when(exact, "").when(F.col("key").isNotNull(), F.concat(F.lit("partial match: "), F.col("key"))).otherwise("unmapped label")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.columns import col
 from ledgerline.functions.patterns import count_of, literal_counts
 from ledgerline.functions.previous import with_previous
+from ledgerline.functions.tables import small
 from ledgerline.functions.workers import shared, ship
 from ledgerline.operators.headings import ANCHOR, SECTIONS, cut, headings, longest_entry, markup_gone
 
@@ -64,7 +65,7 @@ def section_extract(filings: DataFrame, rules: DataFrame | None = None, *, key:
     A text is cut before every heading, so that a heading in the table of contents starts a short stretch only. A stretch
     is taken whole unless `longest` bounds it.
     """
-    rules = F.broadcast(rules if rules is not None else sections_table(filings.sparkSession))
+    rules = small(rules if rules is not None else sections_table(filings.sparkSession))
     indexed = headings(filings.select(key, "form_type", text), text=text, longest=longest)
     found = indexed.join(rules, "form_type").withColumn("__e", longest_entry(_of_item))
     ok = F.col("__e.n") > SHORTEST_SECTION
