@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import safe_div
-from ledgerline.functions.tables import small
+from ledgerline.functions.patterns import Automaton
+from ledgerline.functions.tables import SMALL_ROWS
+from ledgerline.functions.workers import ship
 
 #: Segment labels in the order in which partial matches are tried, and their categories.
 LABELS = {
@@ -21,16 +27,55 @@ def label_table(spark, labels: dict[str, str] = LABELS) -> DataFrame:
     return spark.createDataFrame([(k, c, i) for i, (k, c) in enumerate(labels.items())], "key string, category string, place int")
 
 
+class Dictionary:
+    """Entries (key, category) in the order in which partial matches are tried."""
+
+    def __init__(self, entries: Sequence[tuple[str, str]]) -> None:
+        self.keys, self.categories = ([e[i] for e in entries] for i in (0, 1))
+        self.exact = {k: i for i, k in reversed(list(enumerate(self.keys)))}
+        self.parts = Automaton(dict.fromkeys(k for k in self.keys if k))
+        self.place = np.array([self.exact[k] for k in self.parts.patterns], dtype=np.int64)
+        # entries one after another: where a label is first found is in the first entry that contains it
+        self.joined = "\0".join(["", *self.keys, ""])
+        self.ends = np.cumsum([len(k) + 1 for k in self.keys])
+
+    def first(self, labels: Sequence[str | None]) -> list[int | None]:
+        """The entry of each cleaned label: itself, else the first that is in it or contains it."""
+        found = np.full(len(labels), len(self.keys))
+        row, pattern, _ = self.parts.count(labels)
+        np.minimum.at(found, row, self.place[pattern])
+        out: list[int | None] = []
+        for label, best in zip(labels, found.tolist(), strict=True):
+            if label is not None and label in self.exact:
+                best = self.exact[label]
+            elif label and "\0" not in label and (at := self.joined.find(label)) >= 0:
+                best = min(best, int(np.searchsorted(self.ends, at, side="left")))
+            out.append(best if best < len(self.keys) else None)
+        return out
+
+
 def label_normalise(rows: DataFrame, labels: DataFrame, *, label: str = "original_label") -> DataFrame:
     """rows with normalized_category and mapping_notes: exact match, else the first entry that contains the label or is in it, else other.
 
-    Distinct labels are matched, against a dictionary of a few rows, and joined back.
+    Distinct labels are matched in one pass over each, however long the dictionary (at most SMALL_ROWS entries), and
+    joined back.
     """
+    spark = rows.sparkSession
+    ship(spark)
+    entries = labels.orderBy("place").select("key", "category").limit(SMALL_ROWS + 1).collect()
+    if len(entries) > SMALL_ROWS:
+        raise ValueError(f"a dictionary has {SMALL_ROWS} entries at the most")
+    sent = spark.sparkContext.broadcast(Dictionary([tuple(e) for e in entries]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            at = known.first(b.column(1).to_pylist())
+            made = [pa.array([None if k is None else own[k] for k in at], pa.string()) for own in (known.categories, known.keys)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["__label", "category", "key"])
+
     clean = F.lower(F.trim(F.col(label)))
-    names = rows.select(F.col(label).alias("__label"), clean.alias("__clean")).distinct()
-    hit = (F.col("__clean") == F.col("key")) | F.col("__clean").contains(F.col("key")) | (F.col("key").contains(F.col("__clean")) & (F.col("__clean") != ""))
-    rank = F.struct(F.col("__clean") != F.col("key"), F.col("place"))
-    best = names.join(small(labels), hit).groupBy("__label").agg(F.min_by("category", rank).alias("category"), F.min_by("key", rank).alias("key"))
+    best = rows.select(F.col(label).alias("__label"), clean.alias("__clean")).distinct().mapInArrow(run, "__label string, category string, key string")
     exact = F.col("key") == clean
     return rows.join(best, F.col(label) == F.col("__label"), "left").withColumn("normalized_category", F.coalesce("category", F.lit("other"))).withColumn(
         "mapping_notes", F.when(exact, "").when(F.col("key").isNotNull(), F.concat(F.lit("partial match: "), F.col("key"))).otherwise("unmapped label")
