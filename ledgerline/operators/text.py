@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions.columns import col
 from ledgerline.functions.patterns import count_of, literal_counts
@@ -123,23 +125,40 @@ def terms(docs: DataFrame, stop: Sequence[str] = (), *, key: Sequence[str], text
 def tfidf_similarity(sections: DataFrame, stop: Sequence[str] = (), *, by: Sequence[str] = ("entity", "section"), doc: str = "doc_id", order: str = "filing_date", digits: int = 6) -> DataFrame:
     """Cosine of consecutive filings with smooth idf over the filings of the section, by entity and section.
 
-    Each document is paired with the one before it first; weights are then joined on (pair, term).
+    A document's weights are one row, which is handed to the document after it; no weight is joined with another's.
     """
     keys = list(by)
     tf = terms(sections, stop, key=[*keys, doc])
     n = sections.groupBy(*keys).agg(F.count("*").alias("n"))
     df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df"))
     weight = F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    # written once: norms and both sides of a pair are made of it
-    weighted = shared(tf.join(df, [*keys, "term"]).join(n, keys).select(*keys, doc, "term", weight.alias("w")))
-    norms = weighted.groupBy(*keys, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    pairs = with_previous(sections.select(*keys, doc, order), {doc: "__before"}, by=keys, order=[order, doc]).where("__before is not null")
-    own = pairs.select(*keys, doc, "__before").join(weighted, [*keys, doc])
-    before = weighted.select(*keys, F.col(doc).alias("__before"), "term", F.col("w").alias("v"))
-    dots = own.join(before, [*keys, "__before", "term"]).groupBy(*keys, doc).agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    a, b = norms.withColumnRenamed("norm", "na"), norms.select(*keys, F.col(doc).alias("__before"), F.col("norm").alias("nb"))
-    rows = pairs.join(dots, [*keys, doc], "left").join(a, [*keys, doc], "left").join(b, [*keys, "__before"], "left")
-    return rows.select(*keys, doc, F.col("__before").alias("previous"), order, F.round(F.coalesce(F.try_divide(F.col("dot"), F.nullif(F.col("na") * F.col("nb"), F.lit(0.0))), F.lit(0.0)), digits).alias("similarity"))
+    weighted = tf.join(df, [*keys, "term"]).join(n, keys).groupBy(*keys, doc).agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("__v"))
+    rows = sections.select(*keys, doc, order).join(weighted, [*keys, doc], "left")
+    pairs = with_previous(rows, {doc: "previous", "__v": "__u"}, by=keys, order=[order, doc]).where("previous is not null")
+    out = [*keys, doc, "previous", order]
+    shape = T.StructType([*(pairs.schema[c] for c in out), T.StructField("similarity", T.DoubleType())])
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [_sparse(b.column(len(out) + k)) for k in (0, 1)]
+            code = pa.concat_arrays([s[1] for s in sides]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            width, cut_at = int(code.max()) + 1 if len(code) else 1, len(sides[0][0])
+            at = [row * width + c for (row, _, _), c in zip(sides, (code[:cut_at], code[cut_at:]), strict=True)]
+            common, i, j = np.intersect1d(*at, assume_unique=True, return_indices=True)
+            dot = np.bincount(common // width, weights=sides[0][2][i] * sides[1][2][j], minlength=b.num_rows)
+            size = np.sqrt(np.prod([np.bincount(row, weights=w * w, minlength=b.num_rows) for row, _, w in sides], axis=0))
+            similarity = np.divide(dot, size, out=np.zeros(b.num_rows), where=size > 0)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array(similarity)], names=shape.names)
+
+    made = pairs.select(*out, "__v", "__u").mapInArrow(cosines, shape)
+    return made.withColumn("similarity", F.round("similarity", digits))
+
+
+def _sparse(v: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Row, term and weight of lists of (term, weight); a null list is empty."""
+    sizes = np.asarray(v.value_lengths().fill_null(0))
+    flat = v.flatten()
+    return np.repeat(np.arange(len(v)), sizes), flat.field(0), np.asarray(flat.field(1), dtype=np.float64)
 
 
 def pairwise_tfidf(pairs: DataFrame, stop: Sequence[str] = (), *, key: str = "pair_id", digits: int = 6) -> DataFrame:
