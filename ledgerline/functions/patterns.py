@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.workers import ship
+from ledgerline.functions.workers import pieces, ship
 
 #: Stretches that are moved on together, about, and the least length of one.
 STRETCHES, SHORTEST = 4096, 64
@@ -156,7 +156,7 @@ def literal_counts(docs: DataFrame, groups: Mapping[str, Sequence[str]], *, text
     names, width = [*(f.name for f in kept), out], max(len(groups), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             row, pattern, n = sent.value.count(b.column(b.num_columns - 1).to_pylist())
             times = first[pattern + 1] - first[pattern]
             to = np.cumsum(times)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +26,13 @@ def ship(spark: SparkSession) -> None:
     sc._ledgerline_sent = True
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, for what holds much more than its rows while it works; an empty one is one."""
+    for b in batches:
+        for k in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(k, rows)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 

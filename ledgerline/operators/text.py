@@ -15,7 +15,7 @@ from ledgerline.functions.columns import col
 from ledgerline.functions.patterns import count_of, literal_counts
 from ledgerline.functions.previous import with_previous
 from ledgerline.functions.tables import small
-from ledgerline.functions.workers import shared, ship
+from ledgerline.functions.workers import pieces, shared, ship
 from ledgerline.operators.headings import ANCHOR, SECTIONS, cut, headings, longest_entry, markup_gone
 
 SHORTEST_SECTION = 50
@@ -139,7 +139,7 @@ def tfidf_similarity(sections: DataFrame, stop: Sequence[str] = (), *, by: Seque
     shape = T.StructType([*(pairs.schema[c] for c in out), T.StructField("similarity", T.DoubleType())])
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sides = [_sparse(b.column(len(out) + k)) for k in (0, 1)]
             code = pa.concat_arrays([s[1] for s in sides]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
             width, cut_at = int(code.max()) + 1 if len(code) else 1, len(sides[0][0])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.workers import shared, ship
+from ledgerline.functions.workers import pieces, shared, ship
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 #: Units of a term's contribution to a topic, and of a document's share of the bound.
@@ -136,7 +136,7 @@ def _counted(words: DataFrame, key: str, terms: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = sent.value
-        for b in batches:
+        for b in pieces(batches):
             ids, counts = [], []
             for own in b.column(1).to_pylist():
                 found, times = np.unique([number[w] for w in own or () if w in number], return_counts=True)
@@ -158,7 +158,7 @@ def _round(state: DataFrame, model: Topics) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, bound, schema = np.zeros((terms, topics), dtype=np.int64), 0, None
-        for b in batches:
+        for b in pieces(batches):
             schema = b.schema
             if not b.num_rows:
                 continue
