@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import random
 import re
 
@@ -105,7 +106,10 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
         if clean is not None:
             masked = re.sub(r"password=[A-Za-z0-9+/_.=-]{8,}|AKIA[A-Z0-9]{12,}", "[SECRET]", clean)
             want.append((doc, code.encode_ordinary(masked), True))
-    got = [(r.doc_id, list(r.ids), r.round_trip) for r in cp.run(spark, str(tmp_path)).collect()]
+    last = cp.run(spark, str(tmp_path))
+    got = [(r.doc_id, list(r.ids), r.round_trip) for r in last.collect()]
+    folder = os.path.dirname(os.path.dirname(last.inputFiles()[0].removeprefix("file://")))
+    assert os.listdir(folder) == ["4-tokens"]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
