@@ -74,12 +74,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents. Each stage's table is written to a folder of this run in the shared checkpoint folder."""
-    to = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    """The last stage's rows over documents. Each stage's table is written to a folder of this run in the shared checkpoint
+    folder, and deleted when the stage after it is written; the last one stays, since the result reads it.
+    """
+    to, before = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", None
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{to}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
     return docs
