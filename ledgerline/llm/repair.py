@@ -137,12 +137,13 @@ def signatures(rows: DataFrame, every: DataFrame | None = None, *, conv: str = "
     if every is not None:
         ids = every.select(F.col(conv).alias("conv")).distinct()
         narrow = narrow.unionByName(ids.withColumn("real", F.lit(False)), allowMissingColumns=True)
-    order = [F.col("turn").asc_nulls_first(), "h"]
-    dealt = narrow.repartition("conv")
+    # of rows equal in all, the one that is no repetition comes first
+    order = [F.col("turn").asc_nulls_first(), "h", "again"]
     same = Window.partitionBy("conv", "real", "h").orderBy(F.col("turn").asc_nulls_first())
     inside = Window.partitionBy("conv", "real").orderBy(*order)
     pair = F.concat(F.lag("initial").over(inside), "initial")
-    marked = dealt.withColumn("again", F.row_number().over(same) > 1).select(
+    dealt = narrow.repartition("conv").withColumn("again", F.row_number().over(same) > 1)
+    marked = dealt.select(
         "conv", "real", "turn", "h", "initial", "blank", "again", "open",
         F.coalesce(~pair.isin("su", "ua", "au"), F.lit(False)).cast("byte").alias("illegal"),
         F.coalesce(F.col("turn").isNotNull() & ~F.col("turn").eqNullSafe(F.lag("turn").over(inside)), F.lit(False)).cast("byte").alias("fresh"),

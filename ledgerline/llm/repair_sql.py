@@ -15,9 +15,10 @@ with recursive crc_table as (
   from parted where part <> 0
 ), told as (
   select conv_id, turn, role, text, copy, md5(len(role) || ':' || role || text) as h, left(role, 1) as initial, right(rtrim(text, E' \t\n\x0B\f\r'), 1) as last from damaged
+), seen as (
+  select *, row_number() over (partition by conv_id, h order by turn nulls first, copy) > 1 as again from told
 ), placed as (
-  select *, row_number() over o as n, lag(initial) over o || initial as pair, row_number() over (partition by conv_id, h order by turn nulls first, copy) > 1 as again
-  from told window o as (partition by conv_id order by turn nulls first, h, copy)
+  select *, row_number() over o as n, lag(initial) over o || initial as pair from seen window o as (partition by conv_id order by turn nulls first, h, again, copy)
 ), faults as (
   select *, case when last = '' then 'blank' when again then 'duplicate' when last not in ('.', '!', '?') then 'truncated' end as fault from placed
 ), marked as (

@@ -123,6 +123,8 @@ def test_query_against_python_and_sql(spark, tmp_path):
     rng = random.Random(8)
     rows = [(i if i else None, *r) for i in range(60) for r in conversation(rng, rng.randint(1, 8))]
     rows += [(99, None, None, None), (99, None, None, "Said."), (98, 3, "user", None), (rows[5]), (rows[5])]
+    rows += [r for r in rows[:120:3] for _ in range(3)]  # rows equal in all, some at a conversation's start
+    rng.shuffle(rows)
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     table.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted(map(tuple, queries.op11_conversation_repair(spark, str(tmp_path)).collect()), key=str)
