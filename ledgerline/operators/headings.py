@@ -43,7 +43,7 @@ class Index:
     def __init__(self, anchor: str, longest: int | None) -> None:
         titles = "|".join(rf"(?P<{name}>{title})" for name, title in TITLES.items())
         # lines that may be a heading of any kind; an anchor may be any expression
-        self.lines = re.compile(rf"^{_GAP}*(?:item{_GAP}+\d|part{_GAP}+i|(?:{titles})[ \t.:\r]*$|{anchor})", re.I | re.M)
+        self.line = re.compile(rf"{_GAP}*(?:item{_GAP}+\d|part{_GAP}+i|(?:{titles})[ \t.:\r]*$|{anchor})", re.I | re.M).match
         self.anchor, self.longest = re.compile(rf"\s*(?:{anchor})", re.I), longest
 
     def __call__(self, text: str | None) -> list[tuple[str, str | None, str | None, int, int]]:
@@ -55,8 +55,7 @@ class Index:
         if not text:
             return []
         heads, titles, closings, anchors, part = [], [], [], [], None
-        for m in self.lines.finditer(text):
-            at = m.start()
+        for at, m in self._marked(text):
             end = text.find("\n", at)
             line = text[at : end if end >= 0 else len(text)]
             item, alone = _ITEM.match(line), _PART.match(line)
@@ -84,6 +83,16 @@ class Index:
             out.append(("anchor", None, None, *self._trimmed(text, at, len(text))))
         return out
 
+    def _marked(self, text: str) -> Iterator[tuple[int, re.Match]]:
+        """Lines that may be headings, each looked at from its start alone."""
+        at = 0
+        while True:
+            if m := self.line(text, at):
+                yield at, m
+            at = text.find("\n", at) + 1
+            if not at:
+                return
+
     def _trimmed(self, text: str, at: int, end: int) -> tuple[int, int]:
         if self.longest is not None:
             end = min(end, at + self.longest)

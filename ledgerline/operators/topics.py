@@ -184,6 +184,9 @@ def topic_model(docs: DataFrame, *, key: str = "doc_id", text: str = "text", top
     """
     ship(docs.sparkSession)
     words = docs.where(F.length(text) > shortest).select(key, F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), 0).alias("words"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if words.rdd.getNumPartitions() < cores:  # a small table of few files: its rounds are for all cores
+        words = words.repartition(cores)
     terms = vocabulary(words, vocabulary_size)
     model = Topics.start(terms, topics, seed)
     state = _counted(words, key, terms)
