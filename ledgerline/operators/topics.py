@@ -87,21 +87,23 @@ class Documents:
 
     def step(self, terms: np.ndarray, prior: float, steps: int) -> None:
         """terms: exp of the expected logarithm of each term in each topic, a row a term."""
+        first = np.flatnonzero(np.r_[True, self.doc[1:] != self.doc[:-1]]) if len(self.doc) else self.doc
         for _ in range(steps):
             parts, total = self._fit(terms)
             fresh = np.full(self.gamma.shape, prior)
-            np.add.at(fresh, self.doc, parts * (self.counts / total)[:, None])
+            if len(first):
+                fresh[self.doc[first]] += np.add.reduceat(parts * (self.counts / total)[:, None], first, axis=0)
             self.gamma = fresh
 
     def sums(self, terms: np.ndarray, prior: float) -> tuple[np.ndarray, int]:
         """What every term contributes to every topic, and the documents' share of the bound, in units."""
         parts, total = self._fit(terms)
-        given = np.zeros(terms.shape, dtype=np.int64)
-        np.add.at(given, self.ids, np.rint(parts * (self.counts / total)[:, None] * UNIT).astype(np.int64))
-        k = self.gamma.shape[1]
+        units, k = np.rint(parts * (self.counts / total)[:, None] * UNIT), self.gamma.shape[1]
+        # whole numbers, of one batch: sums are exact
+        given = np.stack([np.bincount(self.ids, weights=units[:, t], minlength=len(terms)) for t in range(k)], axis=1).astype(np.int64)
         logs = expected_log(self.gamma)
         own = ((prior - self.gamma) * logs + log_gamma(self.gamma) - log_gamma(np.array(prior))).sum(axis=1) + log_gamma(np.array(k * prior)) - log_gamma(self.gamma.sum(axis=1))
-        np.add.at(own, self.doc, self.counts * np.log(total))
+        own += np.bincount(self.doc, weights=self.counts * np.log(total), minlength=len(own))
         return given, int(np.rint(own * BOUND_UNIT).astype(np.int64).sum())
 
 
