@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -13,18 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.workers import shared, shared_folder, ship
+from ledgerline.functions.workers import BYTES_PER_BATCH, ROWS_PER_BATCH, limit_batches, shared, shared_folder, ship
 
-__all__ = ["shared", "shared_folder", "ship"]
+__all__ = ["BYTES_PER_BATCH", "ROWS_PER_BATCH", "limit_batches", "shared", "shared_folder", "ship"]
 
 #: A byte is part of a word if it is a digit, a letter a-z (A-Z are lowered first) or not ASCII.
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 
-#: Rows and bytes handed to Python at once, at most; a longer text is a batch of its own.
-ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 4 << 20
-
 
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cased words of UTF-8 bytes; None has none."""
@@ -35,18 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def limit_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds of its input, and sends this package to the workers.
-
-    The settings are the session's and stay: Spark reads them when a plan runs, not when it is made.
-    """
-    ship(spark)
-    for key, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
-        key = f"spark.sql.execution.arrow.{key}"
-        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
-            spark.conf.set(key, str(most))
-
-
 @contextmanager
 def counted_memory() -> Iterator[None]:
     """While a task runs, memory is freed by counting alone: tracing its large tables costs a third of the time.

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerline.functions.columns import col
 from ledgerline.functions.patterns import count_of, literal_counts
 from ledgerline.functions.previous import with_previous
 from ledgerline.functions.tables import small
-from ledgerline.functions.workers import pieces, shared, ship
+from ledgerline.functions.workers import shared, ship
 from ledgerline.operators.headings import ANCHOR, SECTIONS, cut, headings, longest_entry, markup_gone
+from ledgerline.operators.similarity import terms, tfidf_similarity
 
 SHORTEST_SECTION = 50
-WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def _unescaped(s: Column) -> Column:
@@ -116,51 +114,6 @@ def parse_filings(filings: DataFrame, *, key: str = "accession", source: str = "
     return chosen.select(key, "form_type", "section_name", cut(F.col("__e")).alias("text"), status.alias("parse_status"), "extraction_tier")
 
 
-def terms(docs: DataFrame, stop: Sequence[str] = (), *, key: Sequence[str], text: str = "text") -> DataFrame:
-    """(key, term, tf) of lower-cased words of two characters or more that are no stop words."""
-    words = docs.select(*key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), 0)).alias("term"))
-    return words.where(~F.col("term").isin(*stop) if stop else F.lit(True)).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-
-
-def tfidf_similarity(sections: DataFrame, stop: Sequence[str] = (), *, by: Sequence[str] = ("entity", "section"), doc: str = "doc_id", order: str = "filing_date", digits: int = 6) -> DataFrame:
-    """Cosine of consecutive filings with smooth idf over the filings of the section, by entity and section.
-
-    A document's weights are one row, which is handed to the document after it; no weight is joined with another's.
-    """
-    keys = list(by)
-    tf = terms(sections, stop, key=[*keys, doc])
-    n = sections.groupBy(*keys).agg(F.count("*").alias("n"))
-    df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    weight = F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighted = tf.join(df, [*keys, "term"]).join(n, keys).groupBy(*keys, doc).agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("__v"))
-    rows = sections.select(*keys, doc, order).join(weighted, [*keys, doc], "left")
-    pairs = with_previous(rows, {doc: "previous", "__v": "__u"}, by=keys, order=[order, doc]).where("previous is not null")
-    out = [*keys, doc, "previous", order]
-    shape = T.StructType([*(pairs.schema[c] for c in out), T.StructField("similarity", T.DoubleType())])
-
-    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            sides = [_sparse(b.column(len(out) + k)) for k in (0, 1)]
-            code = pa.concat_arrays([s[1] for s in sides]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            width, cut_at = int(code.max()) + 1 if len(code) else 1, len(sides[0][0])
-            at = [row * width + c for (row, _, _), c in zip(sides, (code[:cut_at], code[cut_at:]), strict=True)]
-            common, i, j = np.intersect1d(*at, assume_unique=True, return_indices=True)
-            dot = np.bincount(common // width, weights=sides[0][2][i] * sides[1][2][j], minlength=b.num_rows)
-            size = np.sqrt(np.prod([np.bincount(row, weights=w * w, minlength=b.num_rows) for row, _, w in sides], axis=0))
-            similarity = np.divide(dot, size, out=np.zeros(b.num_rows), where=size > 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array(similarity)], names=shape.names)
-
-    made = pairs.select(*out, "__v", "__u").mapInArrow(cosines, shape)
-    return made.withColumn("similarity", F.round("similarity", digits))
-
-
-def _sparse(v: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Row, term and weight of lists of (term, weight); a null list is empty."""
-    sizes = np.asarray(v.value_lengths().fill_null(0))
-    flat = v.flatten()
-    return np.repeat(np.arange(len(v)), sizes), flat.field(0), np.asarray(flat.field(1), dtype=np.float64)
-
-
 def pairwise_tfidf(pairs: DataFrame, stop: Sequence[str] = (), *, key: str = "pair_id", digits: int = 6) -> DataFrame:
     """Cosine of text_a and text_b with idf over the two alone; 0 if one is blank."""
     sides = pairs.select(key, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("text_a").alias("text")), F.struct(F.lit("b").alias("side"), F.col("text_b").alias("text")))).alias("s")).select(key, "s.*")
