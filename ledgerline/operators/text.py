@@ -131,10 +131,11 @@ def snippet(text: Column | str, size: int = 300) -> Column:
 
 
 def shift_snippets(similarity: DataFrame, sections: DataFrame, *, n: int = 5, doc: str = "doc_id") -> DataFrame:
-    """The n pairs of least similarity with a snippet of each side."""
-    least = similarity.orderBy("similarity", doc).limit(n)
-    now, then = sections.select(F.col(doc), snippet("text").alias("after")), sections.select(F.col(doc).alias("previous"), snippet("text").alias("before"))
-    return least.join(now, doc).join(then, "previous").select(doc, "previous", "similarity", "before", "after")
+    """The n pairs of least similarity with a snippet of each side, made of their texts alone."""
+    least = shared(similarity.orderBy("similarity", doc).limit(n))
+    now, then = sections.select(F.col(doc), F.col("text").alias("__now")), sections.select(F.col(doc).alias("previous"), F.col("text").alias("__then"))
+    found = then.join(F.broadcast(small(now.join(F.broadcast(small(least)), doc))), "previous")  # n is a parameter
+    return found.select(doc, "previous", "similarity", snippet("__then").alias("before"), snippet("__now").alias("after"))
 
 
 def keyword_scores(docs: DataFrame, themes: dict[str, Sequence[str]], *, key: Sequence[str] = ("doc_id",), text: str = "text", digits: int = 6) -> DataFrame:

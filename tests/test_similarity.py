@@ -67,3 +67,12 @@ def test_a_task_is_handed_few_rows_and_no_weights(spark):
 def test_nothing(spark):
     assert tx.tfidf_similarity(spark.createDataFrame([], SHAPE)).count() == 0
     assert tx.tfidf_similarity(spark.createDataFrame([("A", "x", 1, 1, None)], SHAPE)).count() == 0
+
+
+def test_snippets_are_made_of_the_few_texts(spark):
+    rows = spark.createDataFrame([("A", "x", k, k, f"word{k} " * (3 + 100 * k)) for k in range(6)], SHAPE)
+    made = tx.shift_snippets(tx.tfidf_similarity(rows), rows, n=2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_replace") < plan.index("Join")  # after the joins, so above them
+    assert [(r.doc_id, r.previous) for r in made.orderBy("doc_id").collect()] == [(1, 0), (2, 1)]
+    assert made.where("doc_id = 1").first().before == "word0 word0 word0"
