@@ -1,8 +1,8 @@
 """When a value was the valid one: facts resolved once for every date, as intervals [known_from, known_to).
 
-Which of several reports of a figure is the best can only change on a day on which one becomes known. A running maximum
-along those days gives the winner of each; where it changes an interval ends and the next begins. Any date is then a
-filter, and a table with dates of its own a join by key and interval.
+Which of several reports of a figure is the best can only change on a day on which one becomes known. A day's best report
+that is better than all of the days before begins an interval and ends the one before. Rows are dealt once, by key. Any
+date is then a filter, and a table with dates of its own a join by key and interval.
 """
 
 from __future__ import annotations
@@ -29,24 +29,28 @@ def validity(facts: DataFrame, *, keys: Sequence[str], best: Sequence[Column], r
     best: what a row wins by, the greatest first, nulls last; of rows equal in all of it either may win. several: whether
     by then more than one row had the winner's rank. Rows without a date of availability are never known.
     """
-    known = facts.where(F.col(available).isNotNull())
-    held = F.struct(*(F.col(f"`{c}`") for c in facts.columns)).alias("row")
-    order = F.struct(*(b.alias(f"o{i}") for i, b in enumerate(best)))
+    known = facts.where(F.col(available).isNotNull()).repartition(*keys)  # what follows needs no other shuffle
+    along = Window.partitionBy(*keys).orderBy("known_from")
     second = F.lit(None).cast("date")
     if rank is not None:
-        known = known.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys, rank).orderBy(available)))
-        second = F.min(F.when(F.col("__nth") == 2, F.col(available))).over(Window.partitionBy(*keys, rank))
-    rows = known.select(*keys, F.col(available).alias("known_from"), order.alias("__order"), held, second.alias("__second"))
-    days = rows.groupBy(*keys, "known_from").agg(F.max_by(F.struct("row", "__second", "__order"), "__order").alias("__w"))  # the best of those of a day
-    along = Window.partitionBy(*keys).orderBy("known_from")
-    winner = F.max_by("__w", F.col("__w.__order")).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    won = days.select(*keys, "known_from", winner.alias("__w"))
-    won = won.withColumn("several", F.coalesce(F.col("__w.__second") <= F.col("known_from"), F.lit(False)))
-    state = F.struct("__w.__order", "several")
-    changed = won.withColumn("__new", ~state.eqNullSafe(F.lag(state).over(along))).where("__new")
-    out = changed.withColumn("known_to", F.lead("known_from").over(along))
-    rest = [F.col(f"__w.row.`{c}`").alias(c) for c in facts.columns if c not in keys]
-    return out.select(*keys, *rest, "known_from", "known_to", *(["several"] if rank is not None else []))
+        of_rank = Window.partitionBy(*keys, rank).orderBy(available).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        second = F.nth_value(available, 2).over(of_rank)
+    names = [f"__o{i}" for i in range(len(best))]
+    rows = known.select("*", F.col(available).alias("known_from"), second.alias("__second"), *(b.alias(o) for b, o in zip(best, names, strict=True)))
+    of_day = Window.partitionBy(*keys, "known_from").orderBy(*(F.col(o).desc_nulls_last() for o in names))
+    days = rows.withColumn("__nth", F.row_number().over(of_day)).where("__nth = 1")  # the best of those of a day
+    order = F.struct(*names)
+    before = F.max(order).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    won = days.withColumn("__before", before).where(F.col("__before").isNull() | (order > F.col("__before"))).withColumn("known_to", F.lead("known_from").over(along))
+    rest = [F.col(f"`{c}`") for c in facts.columns if c not in keys]
+    if rank is None:
+        return won.select(*keys, *rest, "known_from", "known_to")
+    # an interval within which a second row of the winner's rank becomes known is cut there
+    cut = (F.col("__second") > F.col("known_from")) & (F.col("known_to").isNull() | (F.col("__second") < F.col("known_to")))
+    part = lambda a, z, several: F.struct(F.col(a).alias("a"), F.col(z).alias("z"), several.alias("several"))
+    whole = part("known_from", "known_to", F.coalesce(F.col("__second") <= F.col("known_from"), F.lit(False)))
+    parts = F.when(cut, F.array(part("known_from", "__second", F.lit(False)), part("__second", "known_to", F.lit(True)))).otherwise(F.array(whole))
+    return won.select(*keys, *rest, F.explode(parts).alias("__p")).select(*keys, *rest, F.col("__p.a").alias("known_from"), F.col("__p.z").alias("known_to"), "__p.several")
 
 
 def _within(day: Column) -> Column:

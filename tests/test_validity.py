@@ -65,3 +65,10 @@ def test_rows_with_dates_of_their_own(spark):
     for d in ("2001-02-10", "2001-07-01"):
         own = made.where(F.col("at") == d).where("accession is not null").select(*KEYS, "accession")
         assert sorted(map(str, own.collect())) == sorted(map(str, vd.at_date(valid, d).select(*KEYS, "accession").collect()))
+
+
+def test_rows_are_shuffled_once(spark):
+    """Every later step of the resolution stays with the key's rows."""
+    valid = vd.validity(table(spark).repartition(3), keys=KEYS, best=vd.amendment_order(), rank="selection_rank")
+    plan = valid._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "max_by" not in plan
