@@ -104,3 +104,13 @@ def test_many_headings_take_time_in_their_number():
 
 def test_plain_text_of_markup():
     assert hd.plain("  a &amp; b \n \n\n\n c\t") == "a & b\n\nc" and hd.plain(None) is None
+
+
+def test_python_is_handed_few_filings_at_once(spark):
+    """What a worker holds does not grow with the rows of a partition."""
+    rows, size = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set(rows, "10000")
+    spark.conf.set(size, "256MB")
+    filings = spark.createDataFrame([("a", "10-K", "<p>Item 1. Business</p>")], "accession string, form_type string, html string")
+    tx.parse_filings(filings)
+    assert int(spark.conf.get(rows)) <= 512 and int(spark.conf.get(size)) <= 4 << 20
