@@ -37,7 +37,8 @@ def limit_batches(spark: SparkSession) -> None:
     ship(spark)
     for key, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
         key = f"spark.sql.execution.arrow.{key}"
-        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
+        n, unit = re.match(r"(-?\d+)([kmgtp]?)", spark.conf.get(key).lower()).groups()
+        if not 0 < int(n) << 10 * "kmgtp".find(unit or "-") + 10 <= most:
             spark.conf.set(key, str(most))
 
 
