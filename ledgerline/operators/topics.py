@@ -13,17 +13,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.workers import pieces, shared, ship
+from ledgerline.functions.workers import limit_batches, shared
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 #: Units of a term's contribution to a topic, and of a document's share of the bound.
 UNIT, BOUND_UNIT = 1 << 20, 1 << 16
 #: Steps of a document's weights in a round.
 STEPS = 6
+#: Documents of a block, about.
+BLOCK = 1000
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -80,31 +83,47 @@ class Documents:
     doc: np.ndarray
     gamma: np.ndarray
 
-    def _fit(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unnormalised shares of the topics in each count, and their sum."""
-        parts = np.exp(expected_log(self.gamma))[self.doc] * terms[self.ids]
-        return parts, parts.sum(axis=1)
+    def _met(self, terms: np.ndarray) -> list[np.ndarray]:
+        """Of each topic, the terms' values at every count."""
+        return [np.ascontiguousarray(t)[self.ids] for t in terms.T]
+
+    def _sizes(self) -> np.ndarray:
+        return np.bincount(self.doc, minlength=len(self.gamma))
+
+    def _fit(self, met: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each document's factors, a column a topic, and at every count the sum over the topics of factor times term."""
+        own, total = np.exp(expected_log(self.gamma)), None
+        for k, m in enumerate(met):  # one topic after the other, so that no division into batches changes a sum
+            part = np.repeat(own[:, k], sizes)
+            part *= m
+            total = part if total is None else np.add(total, part, out=total)
+        return own, total
 
     def step(self, terms: np.ndarray, prior: float, steps: int) -> None:
         """terms: exp of the expected logarithm of each term in each topic, a row a term."""
-        first = np.flatnonzero(np.r_[True, self.doc[1:] != self.doc[:-1]]) if len(self.doc) else self.doc
+        met, sizes = self._met(terms), self._sizes()
+        some = np.flatnonzero(sizes)
+        first = (np.cumsum(sizes) - sizes)[some]
         for _ in range(steps):
-            parts, total = self._fit(terms)
+            own, total = self._fit(met, sizes)
             fresh = np.full(self.gamma.shape, prior)
-            if len(first):
-                fresh[self.doc[first]] += np.add.reduceat(parts * (self.counts / total)[:, None], first, axis=0)
+            if len(some):
+                share = self.counts / total
+                for k, m in enumerate(met):
+                    fresh[some, k] += own[some, k] * np.add.reduceat(share * m, first)
             self.gamma = fresh
 
     def sums(self, terms: np.ndarray, prior: float) -> tuple[np.ndarray, int]:
         """What every term contributes to every topic, and the documents' share of the bound, in units."""
-        parts, total = self._fit(terms)
-        units, k = np.rint(parts * (self.counts / total)[:, None] * UNIT), self.gamma.shape[1]
+        met, sizes, k = self._met(terms), self._sizes(), self.gamma.shape[1]
+        factors, total = self._fit(met, sizes)
+        share = self.counts / total * UNIT
         # whole numbers, of one batch: sums are exact
-        given = np.stack([np.bincount(self.ids, weights=units[:, t], minlength=len(terms)) for t in range(k)], axis=1).astype(np.int64)
+        given = [np.bincount(self.ids, weights=np.rint(np.repeat(factors[:, t], sizes) * m * share), minlength=len(terms)) for t, m in enumerate(met)]
         logs = expected_log(self.gamma)
         own = ((prior - self.gamma) * logs + log_gamma(self.gamma) - log_gamma(np.array(prior))).sum(axis=1) + log_gamma(np.array(k * prior)) - log_gamma(self.gamma.sum(axis=1))
         own += np.bincount(self.doc, weights=self.counts * np.log(total), minlength=len(own))
-        return given, int(np.rint(own * BOUND_UNIT).astype(np.int64).sum())
+        return np.stack(given, axis=1).astype(np.int64), int(np.rint(own * BOUND_UNIT).astype(np.int64).sum())
 
 
 def vocabulary(words: DataFrame, size: int, *, least: int = 2, most: float = 0.95) -> list[str]:
@@ -115,38 +134,61 @@ def vocabulary(words: DataFrame, size: int, *, least: int = 2, most: float = 0.9
     return [r.term for r in df.where((F.col("df") >= least) & (F.col("df") <= most * n)).orderBy(F.desc("df"), "term").limit(size).collect()]
 
 
-def _documents(b: pa.RecordBatch, topics: int, prior: float) -> Documents:
-    """A batch whose last columns are ids, counts and gamma; a null gamma begins even."""
-    ids, counts, gamma = b.columns[-5:-2]
-    sizes = np.asarray(ids.value_lengths())
-    doc = np.repeat(np.arange(b.num_rows), sizes)
-    counted = np.asarray(counts.flatten(), dtype=np.float64)
-    if gamma.null_count:
-        start = np.full((b.num_rows, topics), prior) + (np.bincount(doc, weights=counted, minlength=b.num_rows) / topics)[:, None]
-    else:
-        start = np.asarray(gamma.flatten(), dtype=np.float64).reshape(b.num_rows, topics)
-    return Documents(np.asarray(ids.flatten(), dtype=np.int64), counted, doc, start)
+#: A block of documents: their keys and numbers of terms, and flat arrays as bytes; or a task's sums (at, v).
+_STATE = "sizes binary, ids binary, counts binary, gamma binary, at array<int>, v array<bigint>"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest takes."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes()
 
 
-_STATE = "ids array<int>, counts array<int>, gamma array<double>, at array<int>, v array<bigint>"
+def _unpacked(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, dtype=f"u{max(len(b) // max(n, 1), 1)}").astype(np.int64)
+
+
+def _documents(n: int, sizes: bytes, ids: bytes, counts: bytes, gamma: bytes | None, topics: int, prior: float) -> Documents:
+    """A block of n documents; without a gamma they begin even."""
+    own = _unpacked(sizes, n)
+    doc, m = np.repeat(np.arange(n), own), int(own.sum())
+    counted = _unpacked(counts, m).astype(np.float64)
+    if gamma is None:
+        start = np.full((n, topics), prior) + (np.bincount(doc, weights=counted, minlength=n) / topics)[:, None]
+    else:
+        start = np.frombuffer(gamma).reshape(n, topics)
+    return Documents(_unpacked(ids, m), counted, doc, start)
 
 
 def _counted(words: DataFrame, key: str, terms: list[str]) -> DataFrame:
-    """(key, ids, counts, gamma, at, v): each document's terms of the vocabulary, with nothing fitted yet."""
-    sent = words.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-    shape = T.StructType([words.schema[key], *T.StructType.fromDDL(_STATE).fields])
+    """(keys, sizes, ids, counts, gamma, at, v): blocks of documents with their terms of the vocabulary, nothing fitted yet."""
+    sent = words.sparkSession.sparkContext.broadcast(terms)
+    shape = T.StructType([T.StructField("keys", T.ArrayType(words.schema[key].dataType)), *T.StructType.fromDDL(_STATE).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = sent.value
-        for b in pieces(batches):
-            ids, counts = [], []
-            for own in b.column(1).to_pylist():
-                found, times = np.unique([number[w] for w in own or () if w in number], return_counts=True)
-                ids.append(found.astype(np.int32))
-                counts.append(times.astype(np.int32))
-            none = [None] * b.num_rows
-            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip((ids, counts, none, none, none), kinds, strict=True))], names=[key, "ids", "counts", "gamma", "at", "v"])
+        known = pa.array(sent.value, pa.string())
+        width = max(len(known), 1)
+
+        def block(keys: list[pa.Array], met: list[np.ndarray]) -> pa.RecordBatch:
+            own = pa.concat_arrays(keys)
+            sizes = np.concatenate([np.bincount(m[0] // width, minlength=len(k)) for k, m in zip(keys, met, strict=True)])
+            parts = [sizes, np.concatenate([m[0] % width for m in met]), np.concatenate([m[1] for m in met])]
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), *(pa.array([_packed(x)], pa.binary()) for x in parts)]
+            return pa.RecordBatch.from_arrays([*columns, pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int64()))], names=shape.names)
+
+        keys, met = [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words = b.column(1)
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            code = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            keys.append(b.column(0))
+            met.append(np.unique((row * width + code)[code >= 0], return_counts=True))
+            if sum(map(len, keys)) >= BLOCK:
+                yield block(keys, met)
+                keys, met = [], []
+        if keys:
+            yield block(keys, met)
 
     return shared(words.select(key, "words").mapInArrow(run, shape))
 
@@ -160,16 +202,17 @@ def _round(state: DataFrame, model: Topics) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, bound, schema = np.zeros((terms, topics), dtype=np.int64), 0, None
-        for b in pieces(batches):
+        for b in batches:
             schema = b.schema
-            if not b.num_rows:
-                continue
-            docs = _documents(b, topics, prior)
-            docs.step(sent.value, prior, STEPS)
-            given, own = docs.sums(sent.value, prior)
-            total, bound = total + given, bound + own
-            gamma = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * topics, pa.int32()), pa.array(docs.gamma.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-3], gamma, *b.columns[-2:]], names=schema.names)
+            gammas = []
+            for keys, *parts in zip(*b.columns[:5], strict=True):
+                docs = _documents(len(keys), *(x.as_py() for x in parts), topics, prior)
+                docs.step(sent.value, prior, STEPS)
+                given, own = docs.sums(sent.value, prior)
+                total, bound = total + given, bound + own
+                gammas.append(docs.gamma.tobytes())
+            if gammas:
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(gammas, pa.binary()), *b.columns[5:]], names=schema.names)
         if schema is not None:
             at = np.flatnonzero(total)
             last = [*([None] * (len(schema.names) - 2)), [-1, *at.tolist()], [bound, *total.ravel()[at].tolist()]]
@@ -178,13 +221,28 @@ def _round(state: DataFrame, model: Topics) -> DataFrame:
     return shared(state.where("at is null").mapInArrow(run, kind))
 
 
+def _shares(state: DataFrame, key: T.StructField, topics: int) -> DataFrame:
+    """(key, topic, weight) of the documents of all blocks."""
+    shape = T.StructType([key, T.StructField("topic", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, gamma in zip(*b.columns, strict=True):
+                n = len(keys)
+                own = np.ones((n, topics)) if gamma.as_py() is None else np.frombuffer(gamma.as_py()).reshape(n, topics)
+                weight = own / sum(own.T)[:, None]
+                yield pa.RecordBatch.from_arrays([keys.values.take(pa.array(np.repeat(np.arange(n), topics))), pa.array(np.tile(np.arange(topics, dtype=np.int32), n)), pa.array(weight.ravel())], names=shape.names)
+
+    return state.where("at is null").select("keys", "gamma").mapInArrow(run, shape)
+
+
 def topic_model(docs: DataFrame, *, key: str = "doc_id", text: str = "text", topics: int = 5, vocabulary_size: int = 1000, iterations: int = 20, seed: int = 42, shortest: int = 50) -> tuple[DataFrame, Topics]:
     """(rows (key, topic, weight), topics) of documents longer than `shortest`, over words of two characters or more.
 
     The vocabulary are words of at most 95 % and at least 2 of the documents. A document without a word of it has even
     weights. What goes through the driver is of the size of topics times vocabulary.
     """
-    ship(docs.sparkSession)
+    limit_batches(docs.sparkSession)
     words = docs.where(F.length(text) > shortest).select(key, F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), 0).alias("words"))
     cores = docs.sparkSession.sparkContext.defaultParallelism
     if words.rdd.getNumPartitions() < cores:  # a small table of few files: its rounds are for all cores
@@ -203,10 +261,7 @@ def topic_model(docs: DataFrame, *, key: str = "doc_id", text: str = "text", top
         given = np.zeros(v * topics)
         given[list(found)] = list(found.values())
         model.weights = model.prior + given.reshape(v, topics).T / UNIT
-    even = F.array_repeat(F.lit(1.0 / topics), topics)
-    total = F.aggregate("gamma", F.lit(0.0), lambda s, x: s + x)
-    shares = F.coalesce(F.transform("gamma", lambda g: g / total), even)
-    return state.where("at is null").select(key, F.posexplode(shares).alias("topic", "weight")), model
+    return _shares(state, words.schema[key], topics), model
 
 
 def topic_terms(spark, model: Topics, *, n: int = 5) -> DataFrame:

@@ -75,3 +75,15 @@ def test_a_step_is_the_textbooks(k):
         theta = np.exp([float(to.digamma(np.array(g)) - to.digamma(np.array(gamma.sum()))) for g in gamma])
         gamma = 0.5 + sum(c * theta * terms[i] / (theta * terms[i]).sum() for i, c in zip((0, 1, 3), counts, strict=True))
     assert np.allclose(docs.gamma[0], gamma)
+
+
+def test_a_round_moves_blocks_of_documents(spark, monkeypatch):
+    """A row holds many documents' arrays as bytes, in whatever blocks, with the same result."""
+    made = []
+    for size in (1, 1000):
+        monkeypatch.setattr(to, "BLOCK", size)
+        rows, model = to.topic_model(frame(spark), topics=3, iterations=3)
+        made.append((model.weights.tolist(), model.bounds, sorted((r.doc_id, r.topic, r.weight) for r in rows.collect())))
+    assert made[0] == made[1]
+    state = to._counted(spark.createDataFrame([(k, ["apple", "pear", "apple"]) for k in range(300)], "doc_id int, words array<string>").coalesce(1), "doc_id", ["apple", "pear"])
+    assert state.count() == 1 and len(state.first().ids) == 600
