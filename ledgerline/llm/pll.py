@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -32,16 +33,17 @@ from ledgerline.llm.common import counted_memory, limit_batches, map_rows, share
 from ledgerline.llm.sums import ROWS, blocks, summed
 
 #: Words with ids of their own and classes, at least; GROWTH times the root of the number of distinct words if that is more.
-WORDS, BUCKETS, CLASSES, DIM, HIDDEN, GROWTH = 4096, 512, 64, 16, 32, 8
+WORDS, BUCKETS, CLASSES, DIM, HIDDEN, GROWTH = 4096, 512, 64, 16, 16, 8
 #: The token that stands beyond both ends of a text; words after the first WORDS have the ids after it.
 EDGE = WORDS + BUCKETS
 WINDOW = (-2, -1, 1, 2)
 #: A bias whose power of e is 0, and stays it; the largest logit.
 NEVER, MOST = -1e4, 70
+TINY = np.finfo(np.float32).tiny
 #: Rows whose classes are worked out at once: their logits stay in the processor's cache.
 ROWS_AT_ONCE = 512
 #: Rounds of a pass over all windows; windows whose gradient is worked out at once.
-ROUNDS, WINDOWS = 12, 8192
+ROUNDS, WINDOWS = 15, 1 << 14
 #: Tasks whose sums are added up at once.
 TOGETHER = 64
 
@@ -63,19 +65,19 @@ class Vocabulary:
     def shapes(self) -> tuple[tuple[int, ...], ...]:
         return shapes(len(self.kind), len(self.starts) - 1)
 
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """The ids of words in order, and those of them that are in buckets."""
+        ids = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        at = np.flatnonzero(ids < 0)
+        rare = [words[i] for i in at.tolist()]
+        ids[at] = WORDS + np.fromiter(map(crc32, rare), dtype=np.int64, count=len(rare)) % BUCKETS
+        return ids, rare
+
     def ids(self, texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all tokens with two EDGEs after each text and before the first, and how many tokens each text has."""
-        found, known = [], self.words
-        out: list[int] = [EDGE, EDGE]
-        for t in texts:
-            words = words_of(t)
-            found.append(len(words))
-            ids = list(map(known.get, words))
-            if None in ids:
-                ids = [WORDS + crc32(w) % BUCKETS if i is None else i for i, w in zip(ids, words, strict=True)]
-            out += ids
-            out += (EDGE, EDGE)
-        return np.array(out, dtype=np.int64), np.array(found, dtype=np.int64)
+        edge = np.full(2, EDGE)
+        found = [self.ids_of(words_of(t))[0] for t in texts]
+        return np.concatenate([edge, *(x for ids in found for x in (ids, edge))]), np.array([len(ids) for ids in found], dtype=np.int64)
 
 
 def counted(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -115,12 +117,13 @@ def vocabulary(docs: DataFrame, *, text: str = "text", counts: DataFrame | None
     n[list(words.values())] = [c for _, c in top]
     for r in rare.collect():
         n[WORDS + r.bucket] = buckets[r.bucket] = r.n
-    # the most frequent words have classes of their own, the others share classes of about equal counts
+    # the most frequent words have classes of their own; by roots of counts the others' classes are small where words are
+    # rare: of all divisions of this kind it has about the fewest logits to work out for a token
     classes = int(CLASSES * (len(n) / (EDGE + 1)) ** 0.5)
     kind = np.empty(len(n), dtype=np.int64)
     order, alone = np.argsort(-n, kind="stable"), classes // 8
     kind[order[:alone]] = np.arange(alone)
-    tail = np.cumsum(n[order[alone:]])
+    tail = np.cumsum(np.sqrt(n[order[alone:]]))
     kind[order[alone:]] = alone + np.minimum((tail - tail[0]) * (classes - alone) // max(tail[-1], 1), classes - alone - 1).astype(np.int64)
     by = np.argsort(kind, kind="stable")
     place = np.empty(len(n), dtype=np.int64)
@@ -156,11 +159,16 @@ def initial(like: tuple[tuple[int, ...], ...] = SHAPES, prior: tuple[np.ndarray,
     return np.concatenate([x.ravel() for x in parts])
 
 
-def powers(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of e of rows of logits, in place, and the sum of each row. No logit counts for more than MOST."""
-    np.minimum(logit, MOST, out=logit)
-    np.exp(logit, out=logit)
-    return logit, logit @ np.ones(logit.shape[1], dtype=logit.dtype) + np.finfo(np.float32).tiny
+def powers(logit: np.ndarray, high: bool) -> np.ndarray:
+    """Powers of e of rows of logits, in place. No logit counts for more than MOST; high: whether one may be above it."""
+    if high:
+        np.minimum(logit, MOST, out=logit)
+    return np.exp(logit, out=logit)
+
+
+def may_be_high(weights: np.ndarray) -> bool:
+    """Whether a logit of the weights (a row for each of the hidden layer, the last for the biases) may be above MOST."""
+    return bool((np.abs(weights[:HIDDEN]).sum(axis=0) + weights[HIDDEN]).max() > MOST - 1)
 
 
 def in_order(keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -170,50 +178,97 @@ def in_order(keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return order, np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]).tolist() if len(keys) else [0]
 
 
-def hidden(x: np.ndarray, b1: np.ndarray) -> np.ndarray:
-    """The hidden layer and a last column of ones, which meets the biases."""
+def tables_of(p: list[np.ndarray]) -> list[np.ndarray]:
+    """For each place around a token what an id there adds to the hidden layer, the first with the layer's bias."""
+    emb, w1, b1, _, _ = p
+    out = [emb @ w1[k * DIM : (k + 1) * DIM] for k in range(len(WINDOW))]
+    out[0] += b1
+    return out
+
+
+def hidden(tables: list[np.ndarray], around: list[np.ndarray]) -> np.ndarray:
+    """The hidden layer and a last column of ones, which meets the biases; around: for each place the ids there."""
+    x = tables[0][around[0]]
+    for t, i in zip(tables[1:], around[1:], strict=True):
+        x += t[i]
     h = np.ones((len(x), HIDDEN + 1), dtype=x.dtype)
-    np.tanh(x + b1, out=h[:, :HIDDEN])
+    np.tanh(x, out=h[:, :HIDDEN])
     return h
 
 
+def add_by_id(total: np.ndarray, ids: np.ndarray, columns: np.ndarray) -> None:
+    """total[:, i] += the sum of the columns whose id is i."""
+    for t, c in zip(total, columns, strict=True):
+        t += np.bincount(ids, c, minlength=len(t))
+
+
+class Gradient:
+    """The gradient of the log-probabilities of many windows, less sign.
+
+    What the ids around add to the hidden layer is looked up in tables; the gradient is gathered by rows of the tables,
+    and that of the vectors and of the layer before follows from it once, in parts().
+    """
+
+    def __init__(self, p: list[np.ndarray], v: Vocabulary) -> None:
+        _, _, _, w2, u = self.p = p
+        self.v, self.tables = v, tables_of(p)
+        self.high = may_be_high(w2), may_be_high(u.T)
+        # with a last column of ones, which meets the powers of e and gives their sum
+        self.back2, self.back_u = (np.column_stack([x, np.ones(len(x), dtype=x.dtype)]) for x in (w2.T, u))
+        self.to_tables = [np.zeros((HIDDEN, len(u))) for _ in WINDOW]
+        self.to_w2, self.to_u = np.zeros(w2.shape), np.zeros(u.shape)
+
+    def add(self, around: list[np.ndarray], target: np.ndarray) -> None:
+        """around: for each place of WINDOW the ids there; target: the ids in the middles."""
+        v, (_, _, _, w2, u) = self.v, self.p
+        order, _ = in_order(v.place[target])  # the tokens of a class stand together
+        around, target = [x[order] for x in around], target[order]
+        kind, places = v.kind[target], v.place[target]
+        cuts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1], True]).tolist() if len(kind) else [0]
+        h = hidden(self.tables, around)
+        back, every, starts = np.empty_like(h), np.arange(len(h)), v.starts.tolist()
+        to_w2 = np.zeros_like(w2)
+        for a in range(0, len(h), ROWS_AT_ONCE):
+            own = h[a : a + ROWS_AT_ONCE]
+            g = powers(own @ w2, self.high[0])
+            found = g @ self.back2
+            each = 1 / (found[:, -1:] + TINY)
+            np.multiply(found[:, :-1], each, out=back[a : a + ROWS_AT_ONCE])
+            to_w2 += (own * each).T @ g
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own, k = h[a:b], int(kind[a])
+            low, high = starts[k], starts[k + 1]
+            to_w2[:, k] -= own.sum(axis=0)
+            back[a:b] -= self.back2[k, :-1]
+            if high - low > 1:
+                g = powers(own @ u[low:high].T, self.high[1])
+                found = g @ self.back_u[low:high]
+                total = found[:, -1] + TINY
+                g[every[: b - a], places[a:b] - low] -= total
+                each = (1 / total)[:, None]
+                found = found[:, :-1] * each
+                found -= u[places[a:b]]
+                back[a:b] += found
+                self.to_u[low:high] += g.T @ (own * each)
+        self.to_w2 += to_w2
+        h = h[:, :HIDDEN]
+        columns = (back[:, :HIDDEN] * (1 - h * h)).T.astype(np.float64, order="C")
+        for to, ids in zip(self.to_tables, around, strict=True):
+            add_by_id(to, ids, columns)
+
+    def parts(self) -> list[np.ndarray]:
+        """In the order of shapes()."""
+        emb, w1 = self.p[:2]
+        to_emb = sum(t.T @ w1[k * DIM : (k + 1) * DIM].T for k, t in enumerate(self.to_tables))
+        return [to_emb, np.concatenate([(t @ emb).T for t in self.to_tables]), self.to_tables[0].sum(axis=1), self.to_w2, self.to_u]
+
+
 def gradient(p: list[np.ndarray], v: Vocabulary, around: np.ndarray, target: np.ndarray, into: list[np.ndarray]) -> None:
     """Adds the gradient of the windows' log-probabilities, less sign, to `into`; target: the ids in their middles."""
-    emb, w1, b1, w2, u = p
-    to_emb, to_w1, to_b1, to_w2, to_u = into
-    every = np.arange(len(target))
-    order, cuts = in_order(v.kind[target])
-    around, target = around[order], target[order]  # the tokens of a class stand together
-    kind, places = v.kind[target], v.place[target]
-    x = emb[around].reshape(len(around), -1)
-    h = hidden(x @ w1, b1)
-    back = np.empty_like(h)
-    for a in range(0, len(h), ROWS_AT_ONCE):
-        own = h[a : a + ROWS_AT_ONCE]
-        g, total = powers(own @ w2)
-        g *= (1 / total)[:, None]
-        g[every[: len(own)], kind[a : a + ROWS_AT_ONCE]] -= 1
-        np.matmul(g, w2.T, out=back[a : a + ROWS_AT_ONCE])
-        to_w2 += own.T @ g
-    starts = v.starts.tolist()
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        low, high = starts[kind[a]], starts[kind[a] + 1]
-        if high - low > 1:
-            own, inner = h[a:b], u[low:high]
-            g, total = powers(own @ inner.T)
-            g *= (1 / total)[:, None]
-            g[every[: b - a], places[a:b] - low] -= 1
-            back[a:b] += g @ inner
-            to_u[low:high] += g.T @ own
-    back, h = back[:, :HIDDEN], h[:, :HIDDEN]
-    back = back * (1 - h * h)
-    dx = (back @ w1.T).reshape(-1, DIM)
-    to_w1 += x.T @ back
-    to_b1 += back.sum(axis=0)
-    ids = around.ravel()
-    order, cuts = in_order(ids)
-    if len(order):
-        to_emb[ids[order[cuts[:-1]]]] += np.add.reduceat(dx[order], cuts[:-1], axis=0)
+    g = Gradient(p, v)
+    g.add(list(around.T), target)
+    for x, y in zip(into, g.parts(), strict=True):
+        x += y
 
 
 def numbered(docs: DataFrame, vocab: Broadcast, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -224,13 +279,8 @@ def numbered(docs: DataFrame, vocab: Broadcast, *, text: str = "text", keep: lis
         size = np.uint16 if len(v.kind) < 1 << 16 else np.uint32
 
         def work(texts):
-            ids, n = v.ids(texts)
-            ids = ids[ids != EDGE].astype(size)
-            ends = np.r_[0, np.cumsum(n)]
-            rare = (ids >= WORDS) & (ids < EDGE)
-            packed = [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            some = np.add.reduceat(np.append(rare, False), ends[:-1], dtype=np.int64) if len(n) else n
-            return pa.array(n), packed, [[w for w in words_of(t) if w not in v.words] if k else [] for t, k in zip(texts, some.tolist(), strict=True)]
+            found = [v.ids_of(words_of(t)) for t in texts]
+            return pa.array([len(ids) for ids, _ in found], pa.int64()), [ids.astype(size).tobytes() for ids, _ in found], [rare for _, rare in found]
 
         return work
 
@@ -244,7 +294,14 @@ def with_edges(packed: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(edge + edge.join([*packed, b""]), dtype=size).astype(np.int64), np.array([len(x) // size.itemsize for x in packed], dtype=np.int64)
 
 
-def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = ROUNDS, passes: int = 1, rate: float = 0.1) -> np.ndarray:
+def every(n: np.ndarray, rounds: int, turn: int) -> np.ndarray:
+    """Where in ids with EDGEs every rounds-th token of each text stands, the turn-th first; n: the texts' tokens."""
+    taken = np.maximum(n - turn + rounds - 1, 0) // rounds
+    first = 2 + turn + np.cumsum(n + 2) - (n + 2)
+    return np.repeat(first - rounds * (np.cumsum(taken) - taken), taken) + rounds * np.arange(taken.sum())
+
+
+def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = ROUNDS, passes: int = 1, rate: float = 0.15) -> np.ndarray:
     """Parameters of the network, from numbered() documents.
 
     Each round takes every rounds-th window of each text, so that a pass takes every window once; Spark sums the tasks'
@@ -262,21 +319,16 @@ def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = ROUNDS, passes: int
 
         def part(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent, turn: int = r % rounds) -> Iterator[pa.RecordBatch]:
             with counted_memory():
-                p, v, seen = unpacked(sent.value, like), vocab.value, 0
-                total = [np.zeros(s) for s in like]
+                found, seen = Gradient(unpacked(sent.value, like), vocab.value), 0
                 for b in batches:
-                    into = [np.zeros(s, dtype=np.float32) for s in like]
-                    own, n = with_edges(b.column(0).to_pylist(), v)
-                    at = np.flatnonzero(own != EDGE)
-                    at = at[(np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) % rounds == turn]
+                    own, n = with_edges(b.column(0).to_pylist(), vocab.value)
+                    at = every(n, rounds, turn)
                     for k in range(0, len(at), WINDOWS):
                         here = at[k : k + WINDOWS]
-                        gradient(p, v, np.stack([own[here + o] for o in WINDOW], axis=1), own[here], into)
+                        found.add([own[here + o] for o in WINDOW], own[here])
                     seen += len(at)
-                    for x, y in zip(total, into, strict=True):
-                        x += y
                 if seen:
-                    yield from blocks(np.append(np.concatenate([x.ravel() for x in total]), seen), lanes)
+                    yield from blocks(np.append(np.concatenate([x.ravel() for x in found.parts()]), seen), lanes)
 
         total = summed(fed.mapInArrow(part, ROWS), len(flat) + 1, lanes)
         sent.unpersist()
@@ -292,29 +344,28 @@ def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = ROUNDS, passes: int
 
 def log_probabilities(p: list[np.ndarray], v: Vocabulary, ids: np.ndarray) -> np.ndarray:
     """Conditional log-probabilities of all tokens of ids that aren't EDGE, in order."""
-    emb, w1, b1, w2, u = p
-    tables = [emb @ w1[k * DIM : (k + 1) * DIM] for k in range(len(WINDOW))]
+    _, _, _, w2, u = p
+    tables, high = tables_of(p), (may_be_high(w2), may_be_high(u.T))
     at, out = np.flatnonzero(ids != EDGE), []
-    for low in range(0, len(at), 1 << 14):
-        here = at[low : low + (1 << 14)]
+    for low in range(0, len(at), WINDOWS):
+        here = at[low : low + WINDOWS]
         order, cuts = in_order(v.kind[ids[here]])
         here = here[order]
         own = ids[here]
         kind, places, every = v.kind[own], v.place[own], np.arange(len(here))
-        x = tables[0][ids[here + WINDOW[0]]]
-        for o, t in zip(WINDOW[1:], tables[1:], strict=True):
-            x += t[ids[here + o]]
-        h, found = hidden(x, b1), np.empty(len(here), dtype=x.dtype)
+        h, found = hidden(tables, [ids[here + o] for o in WINDOW]), np.empty(len(here), dtype=w2.dtype)
         for a in range(0, len(h), ROWS_AT_ONCE):
             g = h[a : a + ROWS_AT_ONCE] @ w2
             own = np.minimum(g[every[: len(g)], kind[a : a + ROWS_AT_ONCE]], MOST)
-            found[a : a + ROWS_AT_ONCE] = own - np.log(powers(g)[1])
+            g = powers(g, high[0])
+            found[a : a + ROWS_AT_ONCE] = own - np.log(g @ np.ones(g.shape[1], dtype=g.dtype) + TINY)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             first, last = v.starts[kind[a]], v.starts[kind[a] + 1]
             if last - first > 1:
                 g = h[a:b] @ u[first:last].T
                 own = np.minimum(g[every[: b - a], places[a:b] - first], MOST)
-                found[a:b] += own - np.log(powers(g)[1])
+                g = powers(g, high[1])
+                found[a:b] += own - np.log(g @ np.ones(g.shape[1], dtype=g.dtype) + TINY)
         back = np.empty_like(found)
         back[order] = found
         out.append(back)
