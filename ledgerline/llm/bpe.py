@@ -4,9 +4,9 @@ Spark counts the distinct pre-tokens of all texts. Those that come again, the mo
 bounded size, are replayed once for the whole corpus, each hash partition of the counts on its own, and the table of
 their ids is sent to the tasks. Of the others a task replays those that it meets, block by block and in the same way.
 
-A replay has all its pre-tokens in one array of symbols. An index from merge rank to the positions of its pairs is
-worked off in rank order, all positions of a rank at once; a merge touches only the two neighbours of its position,
-whose new pairs enter the index.
+A replay has all its pre-tokens in one array of symbols. An index from ranges of merge ranks to the positions of their
+pairs is worked off in rank order, in each turn all positions whose rank is the least of their word; a merge touches
+only the two neighbours of its position, whose new pairs enter the index. In long pre-tokens a range is one rank.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ TABLE_WORDS, TABLE_BYTES = 100_000, 64
 COUNTED_WORDS = 300_000
 #: Bytes of text whose new pre-tokens are replayed together.
 BLOCK_BYTES = 8 << 20
+#: Ranks in a range of the index for short words; bytes of the longest of these, its mark included.
+RANGE, LONG_WORD = 1024, 128
 #: Room for ids in a pair's key.
 PAIR = 1 << 24
 _NONE = np.int32((1 << 31) - 1)
@@ -58,15 +60,19 @@ class Merges:
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
 
-def replay(symbols: np.ndarray, merges: Merges) -> np.ndarray:
+def replay(symbols: np.ndarray, merges: Merges, width: int = 1) -> np.ndarray:
     """The symbols after all merges; a -1 stands after each word and stays.
 
-    In each word the pair of least rank is merged first, the leftmost of equal ones; words don't touch each other.
+    In each word the pair of least rank is merged first, the leftmost of equal ones; words don't touch each other. The
+    index holds positions by ranges of ranks of the given width. Of the lowest range every word takes its own least rank
+    at once, so that a wide range saves turns where words are many and short; a narrow one suits long words, whose other
+    positions in the range are looked at again in every turn.
     """
     n = len(symbols)
     symbols = np.concatenate([symbols, [-1, -1]]).astype(np.int32)
     after, before = np.arange(1, n + 3, dtype=np.int32), np.arange(-1, n + 1, dtype=np.int32)
     word = np.cumsum(symbols == -1, dtype=np.int32)
+    made = np.asarray(merges.made, dtype=np.int32)
     rank_at = np.full(n + 2, _NONE)
     for low in range(0, n, 1 << 18):
         high = min(n, low + (1 << 18))
@@ -75,30 +81,33 @@ def replay(symbols: np.ndarray, merges: Merges) -> np.ndarray:
     queue: list[int] = []
 
     def enter(ranks: np.ndarray, places: np.ndarray) -> None:
-        order = np.argsort(ranks, kind="stable")
-        ranks, places = ranks[order], places[order]
-        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
-        for k, rank in enumerate(ranks[cuts[:-1]].tolist()):
+        ranges = ranks // width
+        order = np.argsort(ranges, kind="stable")
+        ranges, places = ranges[order], places[order]
+        cuts = [0, *(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist(), len(ranges)]
+        for k, r in enumerate(ranges[cuts[:-1]].tolist()):
             part = places[cuts[k] : cuts[k + 1]]
-            if rank in index:
-                index[rank].append(part)
+            if r in index:
+                index[r].append(part)
             else:
-                index[rank] = [part]
-                heapq.heappush(queue, rank)
+                index[r] = [part]
+                heapq.heappush(queue, r)
 
-    def in_turn(i: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the places of a rank, those that each word takes from left to right, and those to be looked at again.
+    def in_turn(i: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places of each word's rank, those that it takes from left to right, and those to be looked at again.
 
         A place overlapped by the one before it is not taken. All after a place whose merge makes a pair of lower rank wait.
         """
         every = i
         chained = np.r_[False, after[i[:-1]] == i[1:]]
         starts = np.maximum.accumulate(np.where(chained, 0, np.arange(len(i))))
-        i = i[(np.arange(len(i)) - starts) % 2 == 0]
-        new = np.full(len(i), merges.made[rank], dtype=np.int32)
+        taken = (np.arange(len(i)) - starts) % 2 == 0
+        i, ranks = i[taken], ranks[taken]
+        new = made[ranks]
         left, right = symbols[before[i]], symbols[after[after[i]]]
-        left[1:][after[after[i[:-1]]] == i[1:]] = merges.made[rank]  # the neighbour has been merged by then
-        lower = (merges.of(left, new) < rank) | (merges.of(new, right) < rank)
+        touching = after[after[i[:-1]]] == i[1:]
+        left[1:][touching] = new[:-1][touching]  # the neighbour has been merged by then
+        lower = (merges.of(left, new) < ranks) | (merges.of(new, right) < ranks)
         if not lower.any():
             return i, i[:0]
         of = word[i]
@@ -111,24 +120,40 @@ def replay(symbols: np.ndarray, merges: Merges) -> np.ndarray:
     if len(live):
         enter(rank_at[live], live)
     while queue:
-        rank = heapq.heappop(queue)
-        parts = index.pop(rank)
-        i = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-        i = i[rank_at[i] == rank]
+        lowest = heapq.heappop(queue)
+        parts = index.pop(lowest)
+        i = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        i = i[rank_at[i] // width == lowest]
         if not len(i):
             continue
-        if (word[i[1:]] == word[i[:-1]]).any():
-            i, waiting = in_turn(i, rank)
-            if len(waiting):
-                index[rank] = [waiting]
-                heapq.heappush(queue, rank)
+        if len(parts) > 1:  # runs in order, which this sort merges
+            i.sort(kind="stable")
+            i = i[np.r_[True, i[1:] != i[:-1]]]
+        ranks = rank_at[i]
+        of = word[i]
+        begins = np.r_[True, of[1:] != of[:-1]]
+        later = []
+        if not begins.all():
+            starts = np.flatnonzero(begins)
+            least = np.minimum.reduceat(ranks, starts)[np.cumsum(begins) - 1] == ranks
+            if not least.all():
+                later.append(i[~least])
+                i, ranks, of = i[least], ranks[least], of[least]
+            if (of[1:] == of[:-1]).any():
+                i, waiting = in_turn(i, ranks)
+                ranks = rank_at[i]
+                if len(waiting):
+                    later.append(waiting)
+        if later:
+            index[lowest] = later
+            heapq.heappush(queue, lowest)
         j = after[i]
         far = after[j]
-        symbols[i], symbols[j] = merges.made[rank], -2
+        symbols[i], symbols[j] = made[ranks], -2
         rank_at[j] = _NONE
         after[i], before[far] = far, i
-        near = before[i]
-        touched = np.unique(np.concatenate([near[near >= 0], i]))
+        touched = np.stack([before[i], i], axis=1).ravel()  # in order: between two of i there is no symbol before the first
+        touched = touched[np.r_[touched[0] >= 0, touched[1:] != touched[:-1]]]
         ranks = merges.of(symbols[touched], symbols[after[touched]])
         rank_at[touched] = ranks
         live = np.flatnonzero(ranks < _NONE)
@@ -174,7 +199,19 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def replayed(words: list[bytes], merges: Merges, byte_ids: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words one after another, and where each word's end."""
-    out = replay(symbols_of(words, byte_ids), merges)
+    symbols = symbols_of(words, byte_ids)
+    sizes = np.diff(np.flatnonzero(symbols == -1), prepend=-1)
+    long = np.repeat(sizes > LONG_WORD, sizes)
+    if long.any():  # short words in wide ranges of ranks, long ones rank by rank
+        out, order = zip(*((replay(symbols[x], merges, width), np.flatnonzero((sizes > LONG_WORD) == w)) for x, width, w in ((~long, RANGE, False), (long, 1, True))), strict=True)
+        found = np.concatenate(out)
+        marks = np.flatnonzero(found == -1)
+        order = np.argsort(np.concatenate(order), kind="stable")
+        begins, sizes = np.r_[0, marks[:-1] + 1][order], np.diff(marks, prepend=-1)[order]
+        to = np.cumsum(sizes) - sizes
+        out = found[np.repeat(begins - to, sizes) + np.arange(sizes.sum())]
+    else:
+        out = replay(symbols, merges, RANGE)
     marks = np.flatnonzero(out == -1)
     return out[out >= 0].astype(np.int32), marks - np.arange(len(marks))
 
