@@ -7,6 +7,7 @@ import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_BYTES).split() if text else []
 
 
+def cut(texts: Sequence[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in order, as words_of() has them, in one array, and how many each text has."""
+    joined = np.frombuffer(b" ".join([b"", *(t or b"" for t in texts), b""]).translate(_WORD_BYTES), dtype=np.uint8)
+    inside = joined != 0x20
+    edges = np.flatnonzero(inside[1:] != inside[:-1])  # begins and ends of words in turn
+    first, size = edges[::2], edges[1::2] - edges[::2]
+    ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(size, dtype=np.int64)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(joined[inside])])
+    text_ends = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    return words, np.diff(np.searchsorted(first, text_ends))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,8 +7,8 @@ share of the bucket's count. So the conditional probabilities of all distinct wo
 score is the sum of its tokens' conditional log-probabilities.
 
 Vocabulary and classes grow with the distinct words. The counts of the words in buckets never leave Spark: they are
-joined to the words of each document. Texts are cut into words twice, to count them and to number them; training and
-scoring read the numbers.
+joined to the words of each document, save those of the KNOWN most frequent of them, which are looked up where words are
+numbered. Texts are cut into words twice, to count them and to number them; training and scoring read the numbers.
 
 The network is trained in numpy on every window, in rounds: every task works out the gradient of its part of the
 round's windows, Spark sums the gradients, and one step is made of the sum. The scores are the same, rounding apart,
@@ -17,7 +17,6 @@ however many tasks there are.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -25,11 +24,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import counted_memory, limit_batches, map_rows, shared, words_of
+from ledgerline.llm.common import counted_memory, cut, limit_batches, map_rows, shared, words_of
 from ledgerline.llm.sums import ROWS, blocks, summed
 
 #: Words with ids of their own and classes, at least; GROWTH times the root of the number of distinct words if that is more.
@@ -44,6 +44,10 @@ TINY = np.finfo(np.float32).tiny
 ROWS_AT_ONCE = 512
 #: Rounds of a pass over all windows; windows whose gradient is worked out at once.
 ROUNDS, WINDOWS = 15, 1 << 14
+#: Words in buckets whose counts are sent to the tasks, at most, and their bytes; all others' are joined.
+KNOWN, KNOWN_BYTES = 100_000, 64
+#: Bytes of words that are counted at once.
+COUNTED_BYTES = 32 << 20
 #: Tasks whose sums are added up at once.
 TOGETHER = 64
 
@@ -60,6 +64,8 @@ class Vocabulary:
     #: Logarithms of the counts of classes and of ids in order of class, NEVER for those that no text has.
     prior: tuple[np.ndarray, np.ndarray]
     buckets: np.ndarray
+    #: The most frequent words in buckets, the logarithms of their counts, and their ids.
+    known: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
 
     @property
     def shapes(self) -> tuple[tuple[int, ...], ...]:
@@ -70,7 +76,7 @@ class Vocabulary:
         ids = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         at = np.flatnonzero(ids < 0)
         rare = [words[i] for i in at.tolist()]
-        ids[at] = WORDS + np.fromiter(map(crc32, rare), dtype=np.int64, count=len(rare)) % BUCKETS
+        ids[at] = buckets_of(rare)
         return ids, rare
 
     def ids(self, texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,23 +92,27 @@ def counted(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-        counts: Counter[bytes] = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(words_of(t))
-            if len(counts) > 300_000:
-                yield rows()
-                counts.clear()
-        yield rows()
+            found = pc.value_counts(pa.chunked_array(held, pa.large_binary()))
+            return pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "n"])
+
+        with counted_memory():
+            held, size = [], 0
+            for b in batches:
+                words, _ = cut(b.column(0).to_pylist())
+                held.append(words)
+                size += words.nbytes
+                if size > COUNTED_BYTES:
+                    yield rows()
+                    held, size = [], 0
+            yield rows()
+            held = None
 
     made = docs.select(F.col(text).cast("binary")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return shared(made)
 
 
 def vocabulary(docs: DataFrame, *, text: str = "text", counts: DataFrame | None = None) -> Vocabulary:
-    """From the counts of every word of every document; the frequent words, the buckets' totals and how many words have each count reach the driver."""
+    """From the counts of every word of every document; the frequent words, KNOWN more with their counts, the buckets' totals and how many words have each count reach the driver."""
     counts = counted(docs, text=text) if counts is None else counts
     sizes = sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
     most, taken, least = max(WORDS, int(GROWTH * sum(k for _, k in sizes) ** 0.5)), 0, sizes[0][0] + 1 if sizes else 1
@@ -130,7 +140,15 @@ def vocabulary(docs: DataFrame, *, text: str = "text", counts: DataFrame | None
     place[by] = np.arange(len(n))
     held = np.bincount(kind, n, minlength=classes)
     prior = tuple(np.where(x > 0, np.log(np.maximum(x, 1) / max(n.sum(), 1)), NEVER) for x in (held, n[by]))
-    return Vocabulary(words, kind, place, np.searchsorted(kind[by], np.arange(classes + 1)), prior, buckets)
+    below, more = least, 0
+    for c, k in sizes:
+        if c < least:
+            if (more := more + k) > KNOWN:
+                break
+            below = c
+    known = counts.where((F.col("n") >= below) & (F.col("n") < least) & (F.octet_length("word") <= KNOWN_BYTES)).select("word", "n").toArrow()
+    known = known["word"].cast(pa.large_binary()).combine_chunks(), np.log(known["n"].to_numpy()), buckets_of(known["word"].to_pylist())
+    return Vocabulary(words, kind, place, np.searchsorted(kind[by], np.arange(classes + 1)), prior, buckets, known)
 
 
 def shapes(ids: int, classes: int) -> tuple[tuple[int, ...], ...]:
@@ -160,7 +178,7 @@ def initial(like: tuple[tuple[int, ...], ...] = SHAPES, prior: tuple[np.ndarray,
 
 
 def powers(logit: np.ndarray, high: bool) -> np.ndarray:
-    """Powers of e of rows of logits, in place. No logit counts for more than MOST; high: whether one may be above it."""
+    """Powers of e of logits, in place. No logit counts for more than MOST; high: whether one may be above it."""
     if high:
         np.minimum(logit, MOST, out=logit)
     return np.exp(logit, out=logit)
@@ -186,23 +204,53 @@ def tables_of(p: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def hidden(tables: list[np.ndarray], around: list[np.ndarray]) -> np.ndarray:
-    """The hidden layer and a last column of ones, which meets the biases; around: for each place the ids there."""
-    x = tables[0][around[0]]
-    for t, i in zip(tables[1:], around[1:], strict=True):
-        x += t[i]
-    h = np.ones((len(x), HIDDEN + 1), dtype=x.dtype)
-    np.tanh(x, out=h[:, :HIDDEN])
-    return h
+class Forward:
+    """The network on many windows at once, a column a window: what is done to each number runs along the columns.
 
+    All arrays of a window's size are made once and written again: an array made anew for every few windows costs more in
+    pages taken from the system than what is worked out in it.
+    """
 
-def add_by_id(total: np.ndarray, ids: np.ndarray, columns: np.ndarray) -> None:
-    """total[:, i] += the sum of the columns whose id is i."""
-    for t, c in zip(total, columns, strict=True):
-        t += np.bincount(ids, c, minlength=len(t))
+    def __init__(self, p: list[np.ndarray], v: Vocabulary, windows: int = WINDOWS) -> None:
+        _, _, _, w2, self.u = self.p = p
+        self.v, self.tables, self.starts = v, tables_of(p), v.starts.tolist()
+        self.w2 = np.ascontiguousarray(w2.T)
+        self.high = may_be_high(w2), may_be_high(self.u.T)
+        kind = w2.dtype
+        self.h_all, self.count = np.ones((HIDDEN + 1) * windows, dtype=kind), np.arange(ROWS_AT_ONCE)
+        self.rows = np.empty((2, ROWS_AT_ONCE, HIDDEN), dtype=kind)
+        self.logits = np.empty(max(w2.shape[1], int(np.diff(v.starts).max(initial=1))) * ROWS_AT_ONCE, dtype=kind)
+
+    def hidden(self, around: list[np.ndarray]) -> np.ndarray:
+        """The hidden layer and a last row of ones, which meets the biases; around: for each place the ids there."""
+        n = len(around[0])
+        h = self.h_all[: (HIDDEN + 1) * n].reshape(HIDDEN + 1, n)
+        h[HIDDEN] = 1
+        for a in range(0, n, ROWS_AT_ONCE):
+            b = min(a + ROWS_AT_ONCE, n)
+            x, more = self.rows[:, : b - a]
+            np.take(self.tables[0], around[0][a:b], axis=0, out=x, mode="clip")
+            for t, i in zip(self.tables[1:], around[1:], strict=True):
+                x += np.take(t, i[a:b], axis=0, out=more, mode="clip")
+            h[:HIDDEN, a:b] = np.tanh(x, out=x).T
+        return h
+
+    def times(self, weights: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Logits, a row for each of the weights."""
+        out = self.logits[: len(weights) * h.shape[1]].reshape(len(weights), h.shape[1])
+        return np.matmul(weights, h, out=out)
+
+    def classes(self, kind: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Stretches of windows, at most ROWS_AT_ONCE, whose targets are of one class of several ids: begin, end, class."""
+        cuts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1], True]).tolist() if len(kind) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            k = int(kind[a])
+            if self.starts[k + 1] - self.starts[k] > 1:
+                for low in range(a, b, ROWS_AT_ONCE):
+                    yield low, min(low + ROWS_AT_ONCE, b), k
 
 
-class Gradient:
+class Gradient(Forward):
     """The gradient of the log-probabilities of many windows, less sign.
 
     What the ids around add to the hidden layer is looked up in tables; the gradient is gathered by rows of the tables,
@@ -210,57 +258,62 @@ class Gradient:
     """
 
     def __init__(self, p: list[np.ndarray], v: Vocabulary) -> None:
-        _, _, _, w2, u = self.p = p
-        self.v, self.tables = v, tables_of(p)
-        self.high = may_be_high(w2), may_be_high(u.T)
-        # with a last column of ones, which meets the powers of e and gives their sum
-        self.back2, self.back_u = (np.column_stack([x, np.ones(len(x), dtype=x.dtype)]) for x in (w2.T, u))
+        super().__init__(p, v)
+        w2, u, sizes = p[3], self.u, np.diff(v.starts)
+        self.back2, self.back_u = (np.ascontiguousarray(x[:HIDDEN]) for x in (w2, u.T))
+        self.several, self.class_of = np.repeat(sizes > 1, sizes), np.repeat(np.arange(len(sizes)), sizes)
+        self.weights = -(self.back2[:, self.class_of] + self.back_u * self.several)
         self.to_tables = [np.zeros((HIDDEN, len(u))) for _ in WINDOW]
-        self.to_w2, self.to_u = np.zeros(w2.shape), np.zeros(u.shape)
+        self.to_w2, self.to_u, self.to_own = np.zeros(w2.shape), np.zeros(u.shape), np.zeros(u.T.shape)
+        self.back_all, self.each_all = np.empty(HIDDEN * WINDOWS, dtype=w2.dtype), np.empty(ROWS_AT_ONCE, dtype=w2.dtype)
+        self.found_all, self.scaled_all = np.empty(HIDDEN * ROWS_AT_ONCE, dtype=w2.dtype), np.empty((HIDDEN + 1) * ROWS_AT_ONCE, dtype=w2.dtype)
+        self.column, self.slope = np.empty(WINDOWS), np.empty(WINDOWS, dtype=w2.dtype)
+
+    def stretch(self, own: np.ndarray, weights: np.ndarray, back_weights: np.ndarray, high: bool, back: np.ndarray) -> np.ndarray:
+        """Of some windows: adds the mean of the weights, by probability, to back; what the logits' probabilities add to the weights."""
+        n = own.shape[1]
+        g = powers(self.times(weights, own), high)
+        each = np.add.reduce(g, axis=0, out=self.each_all[:n])
+        each += TINY
+        np.divide(1, each, out=each)
+        found = np.matmul(back_weights, g, out=self.found_all[: HIDDEN * n].reshape(HIDDEN, n))
+        found *= each
+        back += found
+        return g @ np.multiply(own, each, out=self.scaled_all[: (HIDDEN + 1) * n].reshape(HIDDEN + 1, n)).T
 
     def add(self, around: list[np.ndarray], target: np.ndarray) -> None:
         """around: for each place of WINDOW the ids there; target: the ids in the middles."""
-        v, (_, _, _, w2, u) = self.v, self.p
-        order, _ = in_order(v.place[target])  # the tokens of a class stand together
-        around, target = [x[order] for x in around], target[order]
-        kind, places = v.kind[target], v.place[target]
-        cuts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1], True]).tolist() if len(kind) else [0]
-        h = hidden(self.tables, around)
-        back, every, starts = np.empty_like(h), np.arange(len(h)), v.starts.tolist()
-        to_w2 = np.zeros_like(w2)
-        for a in range(0, len(h), ROWS_AT_ONCE):
-            own = h[a : a + ROWS_AT_ONCE]
-            g = powers(own @ w2, self.high[0])
-            found = g @ self.back2
-            each = 1 / (found[:, -1:] + TINY)
-            np.multiply(found[:, :-1], each, out=back[a : a + ROWS_AT_ONCE])
-            to_w2 += (own * each).T @ g
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own, k = h[a:b], int(kind[a])
-            low, high = starts[k], starts[k + 1]
-            to_w2[:, k] -= own.sum(axis=0)
-            back[a:b] -= self.back2[k, :-1]
-            if high - low > 1:
-                g = powers(own @ u[low:high].T, self.high[1])
-                found = g @ self.back_u[low:high]
-                total = found[:, -1] + TINY
-                g[every[: b - a], places[a:b] - low] -= total
-                each = (1 / total)[:, None]
-                found = found[:, :-1] * each
-                found -= u[places[a:b]]
-                back[a:b] += found
-                self.to_u[low:high] += g.T @ (own * each)
-        self.to_w2 += to_w2
-        h = h[:, :HIDDEN]
-        columns = (back[:, :HIDDEN] * (1 - h * h)).T.astype(np.float64, order="C")
-        for to, ids in zip(self.to_tables, around, strict=True):
-            add_by_id(to, ids, columns)
+        for k in range(0, len(target), WINDOWS):
+            self.add_some([x[k : k + WINDOWS] for x in around], target[k : k + WINDOWS])
+
+    def add_some(self, around: list[np.ndarray], target: np.ndarray) -> None:
+        order, cuts = in_order(self.v.place[target])  # the tokens of a class stand together
+        around, places = [x[order] for x in around], self.v.place[target[order]]
+        n, h = len(places), self.hidden(around)
+        back = np.take(self.weights, places, axis=1, out=self.back_all[: HIDDEN * n].reshape(HIDDEN, n), mode="clip")
+        to_w2 = np.zeros_like(self.w2)
+        for a in range(0, n, ROWS_AT_ONCE):
+            here = slice(a, min(a + ROWS_AT_ONCE, n))
+            to_w2 += self.stretch(h[:, here], self.w2, self.back2, self.high[0], back[:, here])
+        self.to_w2 += to_w2.T
+        for a, b, k in self.classes(self.class_of[places]):
+            ids = slice(self.starts[k], self.starts[k + 1])
+            self.to_u[ids] += self.stretch(h[:, a:b], self.u[ids], self.back_u[:, ids], self.high[1], back[:, a:b])
+        # the targets' own logits: sums of the hidden layer over the windows of each
+        self.to_own[:, places[cuts[:-1]]] += np.add.reduceat(h, cuts[:-1], axis=1)
+        for i in range(HIDDEN):
+            slope, column = np.multiply(h[i], h[i], out=self.slope[:n]), self.column[:n]
+            np.subtract(1, slope, out=slope)
+            np.multiply(slope, back[i], out=column)
+            for to, ids in zip(self.to_tables, around, strict=True):
+                to[i] += np.bincount(ids, column, minlength=to.shape[1])
 
     def parts(self) -> list[np.ndarray]:
         """In the order of shapes()."""
         emb, w1 = self.p[:2]
         to_emb = sum(t.T @ w1[k * DIM : (k + 1) * DIM].T for k, t in enumerate(self.to_tables))
-        return [to_emb, np.concatenate([(t @ emb).T for t in self.to_tables]), self.to_tables[0].sum(axis=1), self.to_w2, self.to_u]
+        own = [np.bincount(self.class_of, x, minlength=self.to_w2.shape[1]) for x in self.to_own]
+        return [to_emb, np.concatenate([(t @ emb).T for t in self.to_tables]), self.to_tables[0].sum(axis=1), self.to_w2 - own, self.to_u - self.to_own.T * self.several[:, None]]
 
 
 def gradient(p: list[np.ndarray], v: Vocabulary, around: np.ndarray, target: np.ndarray, into: list[np.ndarray]) -> None:
@@ -272,26 +325,59 @@ def gradient(p: list[np.ndarray], v: Vocabulary, around: np.ndarray, target: np.
 
 
 def numbered(docs: DataFrame, vocab: Broadcast, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs, in the shared folder, with n_words, __ids (the ids of the words, packed) and __rare (the words in buckets)."""
+    """docs, in the shared folder, with n_words, __ids (the ids of the words, packed), __known (the sum of the logarithms of
+    the counts of the known words in buckets) and __rare (the other words in buckets)."""
 
     def make():
         v = vocab.value
         size = np.uint16 if len(v.kind) < 1 << 16 else np.uint32
+        known, logs, places = v.known or (pa.array([], pa.large_binary()), np.zeros(0), np.zeros(0, dtype=np.int64))
+        look = pa.concat_arrays([pa.array(list(v.words), pa.large_binary()), known])
+        # with a last place, which words that aren't found have
+        id_of = np.concatenate([np.fromiter(v.words.values(), dtype=np.int64, count=len(v.words)), places, [0]])
+        log_of = np.concatenate([np.zeros(len(v.words)), logs, [0]])
 
         def work(texts):
-            found = [v.ids_of(words_of(t)) for t in texts]
-            return pa.array([len(ids) for ids, _ in found], pa.int64()), [ids.astype(size).tobytes() for ids, _ in found], [rare for _, rare in found]
+            words, n = cut(texts)
+            place = pc.index_in(words, look).fill_null(len(look)).to_numpy()
+            at, text_of = np.flatnonzero(place == len(look)), np.repeat(np.arange(len(n)), n)
+            rare, ids = words.take(pa.array(at)).to_pylist(), id_of[place]
+            ids[at] = buckets_of(rare)
+            packed, ends = ids.astype(size).tobytes(), (np.cumsum(n) * np.dtype(size).itemsize).tolist()
+            ends_of_rare = np.cumsum(np.bincount(text_of[at], minlength=len(n))).tolist()
+            return (
+                pa.array(n),
+                [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)],
+                [rare[a:b] for a, b in zip([0, *ends_of_rare[:-1]], ends_of_rare, strict=True)],
+                pa.array(np.bincount(text_of, log_of[place], minlength=len(n))),
+            )
 
         return work
 
-    return shared(map_rows(docs, [text], "n_words bigint, __ids binary, __rare array<binary>", make, keep))
+    return shared(map_rows(docs, [text], "n_words bigint, __ids binary, __rare array<binary>, __known double", make, keep))
+
+
+def buckets_of(words: list[bytes]) -> np.ndarray:
+    """The ids of words in buckets."""
+    return WORDS + np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % BUCKETS
 
 
-def with_edges(packed: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """As Vocabulary.ids(), of the ids of numbered()."""
+def edged(packed: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """As Vocabulary.ids(), of the ids of numbered() and of their kind."""
     size = np.dtype(np.uint16 if len(v.kind) < 1 << 16 else np.uint32)
     edge = np.full(2, EDGE, dtype=size).tobytes()
-    return np.frombuffer(edge + edge.join([*packed, b""]), dtype=size).astype(np.int64), np.array([len(x) // size.itemsize for x in packed], dtype=np.int64)
+    return np.frombuffer(edge + edge.join([*packed, b""]), dtype=size), np.array([len(x) // size.itemsize for x in packed], dtype=np.int64)
+
+
+def batched(ids: DataFrame, vocab: Broadcast) -> DataFrame:
+    """The ids of numbered() documents in the shared folder, a row a batch: the rounds read them alone, without the rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, n = edged(b.column(0).to_pylist(), vocab.value)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (own, n)], names=["ids", "n"])
+
+    return shared(ids.select("__ids").mapInArrow(pack, "ids binary, n binary"))
 
 
 def every(n: np.ndarray, rounds: int, turn: int) -> np.ndarray:
@@ -313,24 +399,24 @@ def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = ROUNDS, passes: int
     first, second = np.zeros(len(flat)), np.zeros(len(flat))
     # as many tasks as there are cores, each over several partitions: what is shuffled is an array a task
     tasks = ids.sparkSession.sparkContext.defaultParallelism
-    lanes, fed = -(-tasks // TOGETHER), ids.select("__ids").coalesce(tasks)
+    lanes, fed = -(-tasks // TOGETHER), batched(ids, vocab).coalesce(tasks)
     for r in range(steps := rounds * passes):
         sent = ids.sparkSession.sparkContext.broadcast(flat.astype(np.float32))
 
         def part(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent, turn: int = r % rounds) -> Iterator[pa.RecordBatch]:
             with counted_memory():
                 found, seen = Gradient(unpacked(sent.value, like), vocab.value), 0
-                for b in batches:
-                    own, n = with_edges(b.column(0).to_pylist(), vocab.value)
-                    at = every(n, rounds, turn)
+                size = np.uint16 if len(vocab.value.kind) < 1 << 16 else np.uint32
+                for packed, n in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                    own, at = np.frombuffer(packed, dtype=size), every(np.frombuffer(n, dtype=np.int64), rounds, turn)
                     for k in range(0, len(at), WINDOWS):
                         here = at[k : k + WINDOWS]
-                        found.add([own[here + o] for o in WINDOW], own[here])
+                        found.add([own[here + o].astype(np.intp) for o in WINDOW], own[here].astype(np.intp))
                     seen += len(at)
                 if seen:
-                    yield from blocks(np.append(np.concatenate([x.ravel() for x in found.parts()]), seen), lanes)
+                    yield from blocks(np.append(np.concatenate([x.ravel() for x in found.parts()]), seen), lanes, np.float32)
 
-        total = summed(fed.mapInArrow(part, ROWS), len(flat) + 1, lanes)
+        total = summed(fed.mapInArrow(part, ROWS), len(flat) + 1, lanes, np.float32)
         sent.unpersist()
         if not total[-1]:
             continue
@@ -342,34 +428,31 @@ def train(ids: DataFrame, vocab: Broadcast, *, rounds: int = ROUNDS, passes: int
     return flat
 
 
-def log_probabilities(p: list[np.ndarray], v: Vocabulary, ids: np.ndarray) -> np.ndarray:
-    """Conditional log-probabilities of all tokens of ids that aren't EDGE, in order."""
-    _, _, _, w2, u = p
-    tables, high = tables_of(p), (may_be_high(w2), may_be_high(u.T))
-    at, out = np.flatnonzero(ids != EDGE), []
+def log_probabilities(p: list[np.ndarray], v: Vocabulary, ids: np.ndarray, net: Forward | None = None) -> np.ndarray:
+    """Conditional log-probabilities of all tokens of ids that aren't EDGE, in order; net: the network of p, if it is made."""
+    at = np.flatnonzero(ids != EDGE)
+    net, out = Forward(p, v, min(WINDOWS, len(at))) if net is None else net, np.empty(len(at), dtype=p[3].dtype)
+
+    def log_of_own(weights: np.ndarray, h: np.ndarray, own: np.ndarray, high: bool) -> np.ndarray:
+        g = net.times(weights, h)
+        own = np.minimum(g[own, net.count[: len(own)]], MOST)
+        return own - np.log(powers(g, high).sum(axis=0) + TINY)
+
     for low in range(0, len(at), WINDOWS):
         here = at[low : low + WINDOWS]
-        order, cuts = in_order(v.kind[ids[here]])
+        order, _ = in_order(v.kind[ids[here]])
         here = here[order]
         own = ids[here]
-        kind, places, every = v.kind[own], v.place[own], np.arange(len(here))
-        h, found = hidden(tables, [ids[here + o] for o in WINDOW]), np.empty(len(here), dtype=w2.dtype)
-        for a in range(0, len(h), ROWS_AT_ONCE):
-            g = h[a : a + ROWS_AT_ONCE] @ w2
-            own = np.minimum(g[every[: len(g)], kind[a : a + ROWS_AT_ONCE]], MOST)
-            g = powers(g, high[0])
-            found[a : a + ROWS_AT_ONCE] = own - np.log(g @ np.ones(g.shape[1], dtype=g.dtype) + TINY)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            first, last = v.starts[kind[a]], v.starts[kind[a] + 1]
-            if last - first > 1:
-                g = h[a:b] @ u[first:last].T
-                own = np.minimum(g[every[: b - a], places[a:b] - first], MOST)
-                g = powers(g, high[1])
-                found[a:b] += own - np.log(g @ np.ones(g.shape[1], dtype=g.dtype) + TINY)
-        back = np.empty_like(found)
-        back[order] = found
-        out.append(back)
-    return np.concatenate(out) if out else np.zeros(0)
+        kind, places = v.kind[own], v.place[own]
+        h, found = net.hidden([ids[here + o] for o in WINDOW]), np.empty(len(here), dtype=out.dtype)
+        for a in range(0, len(here), ROWS_AT_ONCE):
+            b = min(a + ROWS_AT_ONCE, len(here))
+            found[a:b] = log_of_own(net.w2, h[:, a:b], kind[a:b], net.high[0])
+        for a, b, k in net.classes(kind):
+            first, last = net.starts[k], net.starts[k + 1]
+            found[a:b] += log_of_own(net.u[first:last], h[:, a:b], places[a:b] - first, net.high[1])
+        out[low : low + WINDOWS][order] = found
+    return out
 
 
 def score(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -391,10 +474,12 @@ def score(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
     def make():
         v = vocab.value
         p = unpacked(sent.value, v.shapes)
+        net = Forward(p, v)
 
         def work(packed):
-            ids, n = with_edges(packed, v)
-            found = log_probabilities(p, v, ids).astype(np.float64)
+            ids, n = edged(packed, v)
+            ids = ids.astype(np.intp)
+            found = log_probabilities(p, v, ids, net).astype(np.float64)
             ids = ids[ids != EDGE]
             bucket = (ids >= WORDS) & (ids < EDGE)
             found[bucket] -= np.log(v.buckets[ids[bucket] - WORDS])
@@ -402,9 +487,9 @@ def score(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
 
         return work
 
-    part = map_rows(rows, ["__ids"], "__sum double", make, [*front, "__row", "n_words"])
-    # of a word in a bucket, what is still wanting is the logarithm of its own count
+    part = map_rows(rows, ["__ids"], "__sum double", make, [*front, "__row", "n_words", "__known"])
+    # of a word in a bucket that is not known, what is still wanting is the logarithm of its own count
     rare = rows.select("__row", F.explode("__rare").alias("word")).join(counts, "word").groupBy("__row").agg(F.sum(F.log("n")).alias("__own"))
-    total = F.col("__sum") + F.coalesce("__own", F.lit(0.0))
+    total = F.col("__sum") + F.col("__known") + F.coalesce("__own", F.lit(0.0))
     mean = F.when(F.col("n_words") > 0, total / F.col("n_words"))
     return part.join(rare, "__row", "left").select(*(F.col(f"`{c}`") for c in front), mean.alias("mean_log_likelihood"), total.alias("log_likelihood"), "n_words")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,31 +16,35 @@ ROWS = "block int, lane int, v binary"
 ARROW = pa.schema([("block", pa.int32()), ("lane", pa.int32()), ("v", pa.binary())])
 
 
-def blocks(total: np.ndarray, lanes: int = LANES) -> Iterator[pa.RecordBatch]:
-    """A task's array as rows of blocks, for ROWS."""
+def blocks(total: np.ndarray, lanes: int = LANES, kind: type = np.float64) -> Iterator[pa.RecordBatch]:
+    """A task's array as rows of blocks, for ROWS; kind: that of its numbers on their way."""
     from pyspark import TaskContext
 
     lane = TaskContext.get().partitionId() % lanes
-    flat = np.ascontiguousarray(total, dtype=np.float64).ravel()
+    flat = np.ascontiguousarray(total, dtype=kind).ravel()
     parts = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
     yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([lane] * len(parts), pa.int32()), pa.array(parts, pa.binary())], schema=ARROW)
 
 
-def _sum(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.frombuffer(rows["v"].iloc[0], dtype=np.float64).copy()
-    for v in rows["v"].iloc[1:]:
-        total += np.frombuffer(v, dtype=np.float64)
-    return pd.DataFrame({"block": rows["block"].iloc[:1], "lane": [0], "v": [total.tobytes()]})
+def _sum_of(kind: type) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(rows["v"].iloc[0], dtype=kind).astype(np.float64)
+        for v in rows["v"].iloc[1:]:
+            total += np.frombuffer(v, dtype=kind)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "lane": [0], "v": [total.tobytes()]})
 
+    return add
 
-def summed(rows: DataFrame, size: int, lanes: int = LANES) -> np.ndarray:
+
+def summed(rows: DataFrame, size: int, lanes: int = LANES, kind: type = np.float64) -> np.ndarray:
     """The sum of all tasks' arrays of `size` numbers; zeros if there was none. What reaches the driver is one such array.
 
-    lanes: as given to blocks(); with one lane the arrays are summed at once, for few tasks.
+    lanes, kind: as given to blocks(), sums are of doubles; with one lane the arrays are summed at once, for few tasks.
     """
-    by_lane = rows.groupBy("block", "lane").applyInPandas(_sum, ROWS) if lanes > 1 else rows
+    if lanes > 1:
+        rows, kind = rows.groupBy("block", "lane").applyInPandas(_sum_of(kind), ROWS), np.float64
     total = np.zeros(size)
-    for r in by_lane.groupBy("block").applyInPandas(_sum, ROWS).toLocalIterator():
+    for r in rows.groupBy("block").applyInPandas(_sum_of(kind), ROWS).collect():  # as an iterator, a job a partition
         v = np.frombuffer(bytes(r.v), dtype=np.float64)
         total[r.block * BLOCK : r.block * BLOCK + len(v)] = v
     return total
